@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .simhash_neardup import op6_simhash_neardup
+from .token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_simhash_neardup]
+    found = [op6_simhash_neardup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
