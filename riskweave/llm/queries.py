@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
+from .quality_rules import op1_quality_rules
 from .simhash_neardup import op6_simhash_neardup
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_simhash_neardup, op10_token_counts]
+    found = [op1_quality_rules, op6_simhash_neardup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality_rules.oracle()}
