@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, url_filters, warc_bundles
 from .quality_rules import op1_quality_rules
 from .simhash_neardup import op6_simhash_neardup
 from .token_counts import op10_token_counts
+from .url_filters import op4_url_filters
+from .warc_bundles import op7_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op6_simhash_neardup, op10_token_counts]
+    found = [op1_quality_rules, op4_url_filters, op6_simhash_neardup, op7_warc_bundles, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op4_url_filters": url_filters.oracle(), "op7_warc_bundles": warc_bundles.oracle()}
