@@ -42,6 +42,20 @@ def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+KEY = ["__none", "__id", "__text"]
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the columns KEY, by which a row is found again: its id, null or not, and a hash of its text."""
+    doc_id = F.col(id_col).cast("long")
+    return docs.withColumns({KEY[0]: doc_id.isNull(), KEY[1]: F.coalesce(doc_id, F.lit(0)), KEY[2]: F.xxhash64(text_col)})
+
+
+def broadcast_if_few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; counting is cheap for what materialize() wrote."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id's decimal text, mod n; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % n
