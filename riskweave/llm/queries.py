@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules, url_filters, warc_bundles
+from .decontamination import op3_decontamination
 from .language_id import op2_language_id
 from .quality_rules import op1_quality_rules
 from .simhash_neardup import op6_simhash_neardup
@@ -16,7 +17,7 @@ from .warc_bundles import op7_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_language_id, op4_url_filters, op6_simhash_neardup, op7_warc_bundles, op10_token_counts]
+    found = [op1_quality_rules, op2_language_id, op3_decontamination, op4_url_filters, op6_simhash_neardup, op7_warc_bundles, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
