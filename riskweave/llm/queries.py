@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules, url_filters, warc_bundles
+from .context_tree import op8_context_tree
 from .decontamination import op3_decontamination
 from .language_id import op2_language_id
 from .line_templates import op5_line_templates
@@ -19,7 +20,7 @@ from .warc_bundles import op7_warc_bundles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_language_id, op3_decontamination, op4_url_filters, op5_line_templates, op6_simhash_neardup, op7_warc_bundles, op9_piece_transducer, op10_token_counts]
+    found = [op1_quality_rules, op2_language_id, op3_decontamination, op4_url_filters, op5_line_templates, op6_simhash_neardup, op7_warc_bundles, op8_context_tree, op9_piece_transducer, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
