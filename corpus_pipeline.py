@@ -1,22 +1,56 @@
-"""A corpus cleaning run: each stage is one operator of riskweave.llm, written as Parquet and read again."""
+"""A corpus cleaning run: each stage applies one operator of riskweave.llm to all that the stage before it kept.
+
+Quality rules drop documents; line dedup takes recurring template lines out of texts; near-dedup keeps one document of
+each group; decontamination drops documents that hold benchmark passages; encoding gives each document's token ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm.common import materialize, table
+from riskweave.llm.decontamination import clean_documents
+from riskweave.llm.line_templates import deduplicated_lines
+from riskweave.llm.piece_transducer import encoded
+from riskweave.llm.quality_rules import good_documents
 from riskweave.llm.simhash_neardup import deduplicated
 
+#: Words of a shingle in the near-dedup stage.
+SHINGLE = 5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return good_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicated_lines(docs, chars_col="n_chars")
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs)
+    return deduplicated(docs, words=SHINGLE)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("piece_encoding", piece_encoding),
+]
 
-#: SQL cannot express the fingerprints, masks and transducers; tests/llm holds the run against a brute-force version.
+#: SQL cannot express the fingerprints and transducers; tests/llm holds the run against a plain Python version.
 ORACLE_SQL = None
 
 
