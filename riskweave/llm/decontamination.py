@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,36 +31,52 @@ from .common import KEY, broadcast_if_few, keyed, materialize, steps, table, utf
 
 WINDOW, SHARE, LEAST = 13, 0.8, 5
 MASKS = ("11110011", "11010111")
-MOST_BITS = 1 << 26
+MOST_BITS, PROBES = 1 << 26, 6
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
+@lru_cache(maxsize=8)
+def _powers(base: int, log: int) -> np.ndarray:
+    out = np.full(1 << log, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n modulo 2 ** 64."""
+    return _powers(base, int(n).bit_length())[: n + 1]
+
+
+def rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of values[start:end] for each range."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values))[:-1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * powers(UNBASE, len(values))[starts])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
 
-def token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of some texts, one after the other, and the first token of each text (and the end)."""
-    word = WORD_BYTE[data]
+def token_bounds(data: np.ndarray, at: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of some texts, one after the other, start and end; no token reaches into the next text."""
+    word = word_byte[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = word[:-1], word[1:]
     full = at[:-1][np.diff(at) > 0]
     before[full] = False
     after[full[1:] - 1] = False
-    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data))[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(UNBASE, len(data))[starts]), np.searchsorted(starts, at)
+    return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+
+
+def token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts, and the first token of each text (and the end)."""
+    starts, ends = token_bounds(data, at, WORD_BYTE)
+    return rolled(data.astype(np.uint64) + np.uint64(1), starts, ends), np.searchsorted(starts, at)
 
 
 def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -119,27 +136,46 @@ def test_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     return materialize(rows.mapInArrow(run, "item long, item_id long, tokens array<long>, seeds array<struct<seed: long, pos: int>>"), "items")
 
 
+def slots(seed: np.ndarray, probe: int, log: int) -> np.ndarray:
+    """The bit of each seed for one of the probes, among 2 ** log."""
+    return mixed(seed + np.uint64(probe * 0x5851F42D4C957F2D % (1 << 64))) >> np.uint64(64 - log)
+
+
 def bitmap(test_seeds: DataFrame, n: int) -> np.ndarray:
-    """Bits of a power of two, about 16 for each seed."""
-    log = min(MOST_BITS.bit_length() - 1, max(10, (16 * n).bit_length()))
-    place = F.shiftrightunsigned("seed", 64 - log)
-    words = test_seeds.groupBy((place / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - log}) % 64 as int))")).alias("b"))
+    """A Bloom filter of the seeds: a power of two of bits, 64 or more for each seed up to MOST_BITS in all."""
+    log = min(MOST_BITS.bit_length() - 1, max(10, (64 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.concatenate([slots(batch.column(0).to_numpy().view(np.uint64), k, log) for k in range(PROBES)])
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["w", "b"])
+
+    words = test_seeds.select("seed").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros((1 << log) // 64, np.int64)
     for row in words.collect():  # at most MOST_BITS / 64 rows
         out[row.w] = row.b
     return out
 
 
+def passing(bits: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The places of the seeds that the filter has."""
+    log = (len(bits) * 64).bit_length() - 1
+    place = np.arange(len(seed))
+    for k in range(PROBES):
+        slot = slots(seed[place], k, log)
+        place = place[((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)]
+    return place
+
+
 def clusters(docs: DataFrame, bits: np.ndarray, masks: list[str], reach: int) -> DataFrame:
     """Places whose seeds pass the bitmap, with the tokens around them: (cluster, KEY, doc_id, first, tokens, hits).
 
     docs has KEY, doc_id and text; hits of a document that are at most ``reach`` tokens apart are one cluster.
     """
-    log = np.uint64(64 - (len(bits) * 64).bit_length() + 1)
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, passing = TaskContext.get().partitionId() << 40, held.value.view(np.uint64)
+        number, filled = TaskContext.get().partitionId() << 40, held.value.view(np.uint64)
         for batch in batches:
             data, at = utf8(batch.column(4))
             rows = []
@@ -148,8 +184,7 @@ def clusters(docs: DataFrame, bits: np.ndarray, masks: list[str], reach: int) ->
                 places, values = [], []
                 for mask in masks:
                     seed = seeds(tokens, mask)
-                    slot = seed >> log
-                    hit = np.flatnonzero((passing[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                    hit = passing(filled, seed)
                     row = np.searchsorted(first, hit, side="right") - 1
                     hit = hit[hit + len(mask) <= first[row + 1]]
                     places.append(hit)
