@@ -9,7 +9,7 @@ templates are dropped; a document whose words lie mostly (over ``COPY_SHARE``) i
 whole, as copies are the work of near-duplicate detection, which keeps one of them.
 
 Scale: two passes make small rows of hashes and counts; text is moved only for lines of leaves that vary and for the
-final join of the documents with their dropped lines. All groups are counts with partial aggregation; documents are counted once
+final join of the documents with their dropped lines; tokens, lines and leaves are compared by 64-bit hashes. All groups are counts with partial aggregation; documents are counted once
 for a line however often it repeats in them.
 
 Defined results: a null text stays null and has no line; lines of fewer than ``LEAST_TOKENS`` tokens are never
@@ -18,18 +18,24 @@ dropped; rows equal in id and text count as one document and get the same result
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, broadcast_if_few, keyed, materialize, table
+from .common import KEY, broadcast_if_few, keyed, materialize, steps, table, utf8
+from .decontamination import BASE, bitmap, mixed, passing, rolled, token_bounds
 
 DEPTH = 3
 LEAST_TOKENS, LONG = 3, 20
 SHORT_DOCS, LONG_DOCS = 10, 3
 CONSTANT, LEAST_CONSTANT = 0.8, 6
 COPY_SHARE = 0.5
-SPACES = r"[\x20\x09-\x0D]+"
-FIELD = "<*>"
+WORD_BYTE = np.ones(256, bool)
+WORD_BYTE[[32, *range(9, 14)]] = False
+FIELD = 0xF1E1DF1E1DF1E1DF  # stands for the hash of a variable field
 
 
 def needed(n: Column) -> Column:
@@ -37,26 +43,61 @@ def needed(n: Column) -> Column:
     return F.when(n >= LONG, LONG_DOCS).otherwise(SHORT_DOCS)
 
 
-def tokens_of(line: Column) -> Column:
-    """The words of a line; those with a digit are variable fields."""
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)
-    return F.array_remove(F.split(masked, SPACES), "")
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(KEY, pos, tokens) for each line of docs (KEY, text) that has a token."""
-    rows = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select(*KEY, "pos", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-
-
-def leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), *[F.get(tokens, F.lit(i)) for i in range(DEPTH)])
-
-
-def addressed(rows: DataFrame) -> DataFrame:
-    """(KEY, pos, n, leaf, line): what the tree needs of each line; line is a hash of its masked tokens."""
-    tokens = F.col("tokens")
-    return rows.select(*KEY, "pos", F.size(tokens).alias("n"), leaf(tokens).alias("leaf"), F.xxhash64(F.array_join(tokens, " ")).alias("line"))
+class Lines:
+    """The lines with tokens of some texts, one after the other: their place, token hashes and addresses in the tree."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        starts, ends = token_bounds(data, at, WORD_BYTE)
+        self.tokens = rolled(data.astype(np.uint64) + np.uint64(1), starts, ends)
+        digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        self.tokens[digits[ends] > digits[starts]] = FIELD
+        breaks = np.flatnonzero(data == 10)
+        text = np.searchsorted(at, starts, side="right") - 1
+        line = np.searchsorted(breaks, starts) + text
+        self.first = np.flatnonzero(np.concatenate([[True], np.diff(line) > 0])) if len(line) else np.zeros(0, np.int64)
+        self.end = np.append(self.first[1:], len(line)) if len(line) else self.first
+        self.text = text[self.first]
+        self.pos = line[self.first] - self.text - np.searchsorted(breaks, at[self.text])
+        self.n = self.end - self.first
+        self.line = rolled(self.tokens, self.first, self.end)
+        self.leaf = mixed(self.n.astype(np.uint64))
+        for i in range(DEPTH):
+            token = self.tokens[np.minimum(self.first + i, self.end - 1)] if len(line) else self.leaf
+            self.leaf = mixed(self.leaf * np.uint64(BASE) + np.where(i < self.n, token, np.uint64(0)))
+
+
+def addressed(docs: DataFrame) -> DataFrame:
+    """(KEY, pos, n, leaf, line) for each line of docs (KEY, text) that has a token; line is a hash of its masked tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(3))
+            for a, b in steps(at):
+                own = Lines(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                keys = batch.select(KEY).take(pa.array(own.text + a))
+                yield pa.RecordBatch.from_arrays([*keys.columns, *map(pa.array, (own.pos.astype(np.int32), own.n.astype(np.int32), own.leaf.view(np.int64), own.line.view(np.int64)))], [*KEY, "pos", "n", "leaf", "line"])
+
+    return docs.select(*KEY, "text").mapInArrow(run, f"{KEY[0]} boolean, {KEY[1]} long, {KEY[2]} long, pos int, n int, leaf long, line long")
+
+
+def lines_of_leaves(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(leaf, line, tokens: hashes) of the lines whose leaf passes a Bloom filter of the leaves."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(leaves.select(F.col("leaf").alias("seed")), leaves.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = held.value.view(np.uint64)
+        for batch in batches:
+            data, at = utf8(batch.column(0))
+            for a, b in steps(at):
+                own = Lines(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                hit = passing(filled, own.leaf)
+                hit = hit[own.n[hit] >= LEAST_CONSTANT]
+                cuts = np.concatenate([[0], np.cumsum(own.n[hit])]).astype(np.int32)
+                each = np.arange(cuts[-1]) + np.repeat(own.first[hit] - cuts[:-1], own.n[hit])
+                tokens = pa.ListArray.from_arrays(pa.array(cuts), pa.array(own.tokens[each].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(own.leaf[hit].view(np.int64)), pa.array(own.line[hit].view(np.int64)), tokens], ["leaf", "line", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "leaf long, line long, tokens array<long>")
 
 
 def generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -66,13 +107,13 @@ def generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """
     varied = counts.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("docs").alias("all"))
     varied = materialize(varied.filter((F.col("lines") > 1) & (F.col("all") >= needed(F.col("n"))) & (F.col("n") >= LEAST_CONSTANT)).select("leaf", "n"), "varied")
-    texts = lines(docs).filter(F.size("tokens") >= LEAST_CONSTANT).select(leaf(F.col("tokens")).alias("leaf"), "tokens", F.xxhash64(F.array_join("tokens", " ")).alias("line"))
-    texts = texts.join(broadcast_if_few(varied.select("leaf")), "leaf", "left_semi").join(broadcast_if_few(materialize(counts.join(varied, ["leaf", "n"], "left_semi").select("leaf", "line", "n", "docs"), "candidates")), ["leaf", "line"])
-    one = materialize(texts.dropDuplicates(["leaf", "line"]), "lines")
+    wanted = materialize(counts.join(broadcast_if_few(varied), ["leaf", "n"], "left_semi").select("leaf", "line", "n", "docs"), "candidates")
+    one = lines_of_leaves(docs, varied).dropDuplicates(["leaf", "line"]).join(broadcast_if_few(wanted), ["leaf", "line"])
+    one = materialize(one, "lines")
     places = one.select("leaf", "line", "n", "docs", F.posexplode("tokens").alias("i", "token"))
     common = places.groupBy("leaf", "n", "i", "token").agg(F.sum("docs").alias("d")).filter(F.col("d") >= needed(F.col("n"))).select("leaf", "i", "token")
     constant = places.join(common, ["leaf", "i", "token"]).groupBy("leaf", "line", "n", "docs")
-    parts = constant.agg(F.sum((F.col("token") != FIELD).cast("int")).alias("fixed"), F.xxhash64(F.array_sort(F.collect_list(F.struct("i", "token")))).alias("template"))
+    parts = constant.agg(F.sum((F.col("token") != FIELD - (1 << 64)).cast("int")).alias("fixed"), F.xxhash64(F.array_sort(F.collect_list(F.struct("i", "token")))).alias("template"))
     parts = materialize(parts.filter((F.col("fixed") >= CONSTANT * F.col("n")) & (F.col("fixed") >= LEAST_CONSTANT)), "templates")
     recurring = parts.groupBy("leaf", "template", "n").agg(F.sum("docs").alias("all")).filter(F.col("all") >= needed(F.col("n")))
     return parts.join(recurring, ["leaf", "template", "n"]).select("leaf", "line")
@@ -80,7 +121,7 @@ def generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs has KEY and text. Returns (KEY, n_lines, n_dropped, copy_like, drop: positions) of the texts with lines, and the recurring (leaf, line)."""
-    all_lines = materialize(addressed(lines(docs)), "addressed")
+    all_lines = materialize(addressed(docs), "addressed")
     once = all_lines.filter(F.col("n") >= LEAST_TOKENS).select("leaf", "line", "n", *KEY).distinct()
     counts = materialize(once.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs")), "counts")
     alone = F.col("docs") >= needed(F.col("n"))
