@@ -13,6 +13,7 @@ import numpy as np
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
+ENDED = re.compile(r"(.*[^\W_])[^\w\s]+$")
 #: Longer chunks are merged with a heap, one by one.
 LONG = 64
 
@@ -43,6 +44,28 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += n
 
 
+class Recent:
+    """Results of recent chunks: of the last ``most`` to twice as many, so frequent ones never go."""
+
+    def __init__(self, base: dict, most: int):
+        self.base, self.most, self.now, self.before = base, most, dict(base), {}
+
+    def turn(self) -> None:
+        """To be called before a step, whose chunks then stay till its end."""
+        if len(self.now) > self.most:
+            self.before, self.now = self.now, dict(self.base)
+
+    def missing(self, chunks: set[str]) -> list[str]:
+        now, before, new = self.now, self.before, []
+        for c in chunks:
+            if c not in now:
+                if c in before:
+                    now[c] = before[c]
+                else:
+                    new.append(c)
+        return new
+
+
 class PieceModel:
     """Pieces, scores and kinds by id, the model's kind and its normaliser's switches."""
 
@@ -98,9 +121,12 @@ class PieceModel:
             self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
     def fine(self, chunk: str) -> list[str]:
-        """A chunk cut at each pair of characters that no piece has."""
-        at = [0, *(i for i, pair in enumerate(zip(chunk, chunk[1:], strict=False), 1) if pair not in self.pairs), len(chunk)]
-        return [chunk[i:j] for i, j in zip(at, at[1:], strict=False)]
+        """A chunk cut between a word and the marks that end it, if no piece has the two characters side by side."""
+        found = ENDED.match(chunk)
+        if found is None:
+            return [chunk]
+        at = found.end(1)
+        return [chunk[:at], chunk[at:]] if (chunk[at - 1], chunk[at]) not in self.pairs else [chunk]
 
     def normalised(self, text: str) -> str:
         return (SPACE * self.dummy_prefix + text).replace(" ", SPACE) if text else ""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import steps, table, utf8
-from .piece_model import PieceModel, compiled
+from .piece_model import PieceModel, Recent, compiled
 
 REMEMBERED = 400_000
 
@@ -29,26 +29,25 @@ REMEMBERED = 400_000
 class Counter:
     def __init__(self, model: PieceModel):
         self.model = model
-        self.known = dict.fromkeys(model.whole(), 1)
-        self.first = len(self.known)
+        self.recent = Recent(dict.fromkeys(model.whole(), 1), REMEMBERED)
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = dict.fromkeys(list(self.known)[: self.first], 1)
-            new = [c for c in chunks if c not in self.known]
+        self.recent.turn()
+        new = self.recent.missing(chunks)
         parts = [self.model.fine(c) for c in new]
-        rest = [c for c in set().union(*parts) if c not in self.known]
+        rest = self.recent.missing(set().union(*parts))
+        known = self.recent.now
         for chunk, ids in zip(rest, self.model.merged(rest), strict=True):
-            self.known[chunk] = sum(1 if i >= 0 else -i for i in ids)
+            known[chunk] = sum(1 if i >= 0 else -i for i in ids)
         for chunk, cut in zip(new, parts, strict=True):
-            self.known[chunk] = sum(map(self.known.__getitem__, cut))
+            if len(cut) > 1:
+                known[chunk] = sum(map(known.__getitem__, cut))
 
     def counts(self, texts: list[str]) -> list[int]:
         find = self.model.chunks.findall
         cut = [find(self.model.normalised(t)) for t in texts]
         self.learn(set().union(*cut))
-        get = self.known.__getitem__
+        get = self.recent.now.__getitem__
         return [sum(map(get, chunks)) for chunks in cut]
 
 
