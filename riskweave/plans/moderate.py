@@ -21,10 +21,11 @@ ANALYSED, EXPENSIVE = 4000, 600
 
 def normalised(messages: DataFrame) -> DataFrame:
     """messages with the views that the extractors read."""
-    out = messages.withColumn("analysed", F.substring(F.coalesce("text", F.lit("")), 1, ANALYSED))
-    out = out.withColumn("base", N.base(F.col("analysed"))).withColumn("transforms", N.transforms_used(F.col("analysed")))
+    out = N.settled(messages.withColumn("analysed", F.substring(F.coalesce("text", F.lit("")), 1, ANALYSED)), "analysed")
+    out = N.settled(out.withColumns({"base": N.base(F.col("analysed")), "transforms": N.transforms_used(F.col("analysed"))}), "base", "transforms")
     out = out.withColumns({"alpha": N.alpha(F.col("base")), "compact": N.compact(F.col("base")), "separated": N.expand_separator_words(F.col("base")), "tokens": N.tokens(F.col("base")), "numbers": N.number_digits(F.col("base"))})
-    return out.withColumn("signals", X.signals(F.col("base"), F.col("alpha"), F.col("compact")))
+    out = N.settled(out, "alpha", "compact", "separated", "tokens", "numbers")
+    return N.settled(out.withColumn("signals", X.signals(F.col("base"), F.col("alpha"), F.col("compact"))), "signals")
 
 
 def extracted(rows: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def extracted(rows: DataFrame) -> DataFrame:
     base, raw = F.col("base"), F.col("analysed")
     intent = F.col("signals.contact_phrase").isNotNull() | F.col("signals.off_platform_phrase").isNotNull()
     literal = F.concat(X.phones(N.masked_numbers(base)), X.emails(base, F.col("separated")), X.urls(base), X.handles(base), X.payments(base, raw))
-    rows = rows.withColumn("literal", literal)
+    rows = N.settled(rows.withColumn("literal", literal), "literal")
     dictated = F.when((F.length("numbers") > F.length(N.digits_only(base))) & (X.phone_confidence(F.col("numbers")) >= 0.5), F.array(X.found("phone", F.col("numbers"), X.phone_confidence(F.col("numbers")), 3))).otherwise(F.array().cast(X.KIND))
     suppressed = F.transform(X.phones(base, 0.55), lambda d: d)
     hidden = F.concat(dictated, X.leet_digit_runs(base), X.encoded(base, raw), X.positional(raw), X.bare_identifiers(base, intent), X.platform_steering(base, F.col("compact"), F.col("tokens"), intent))
@@ -55,21 +56,25 @@ def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: b
     """messages (schema.MESSAGE, further columns allowed) with detections, findings, score, action, reasons, masked text and escalation."""
     policy = policy or P.Policy()
     rows = messages.withColumns({"priors": F.coalesce("prior_violations", F.lit(0)), "advisory": F.coalesce("advisory", F.lit(False))})
-    rows = scored(extracted(normalised(rows)))
-    rows = rows.withColumn("findings", S.first_by_category(F.flatten(F.transform(S.chunks(F.col("base")), S.evaluate))))
+    rows = N.settled(extracted(normalised(rows)), "detections", "suppressed_only")
+    rows = N.settled(scored(rows), "score", "contributions")
+    rows = N.settled(rows.withColumn("findings", S.first_by_category(F.flatten(F.transform(S.chunks(F.col("base")), S.evaluate)))), "findings")
     rows = rows.withColumn("marks", P.thresholds(F.col("trust"), F.col("stage"), F.col("priors"), policy))
     args = [F.col(c) for c in ("score", "marks", "priors", "detections", "findings")]
     rows = rows.withColumn("action", P.decide(*args, F.col("advisory"), policy))
+    rows = N.settled(rows, "marks", "action")
     none = F.lit(-1.0)
     rows = rows.withColumns({
         "reasons": P.reasons(*args, F.col("action"), policy),
         "suspicions": R.suspicions(F.col("base"), F.col("analysed"), F.size("detections") > 0, none, F.lit(0.0), none, none),
     })
+    rows = N.settled(rows, "reasons", "suspicions")
     rows = rows.withColumn("action", F.when(F.array_contains("suspicions", "promptManipulation") & ~F.col("advisory"), "block").otherwise(F.col("action")))
     rows = rows.withColumn("escalated", P.escalates(F.col("score"), F.col("suspicions"), F.lit(False)))
     held, action = P.hold(F.col("escalated"), F.transform("findings", lambda f: f["category"]), F.col("action"), adjudicator)
-    rows = rows.withColumns({"held": held, "action": action})
+    rows = N.settled(rows.withColumns({"held": held, "action": action}), "held", "action", "escalated")
     rows = rows.withColumn("detections", X.located(F.col("detections"), F.coalesce("text", F.lit(""))))
+    rows = N.settled(rows, "detections")
     # what has no place of its own in the text (spelled or hidden details) hides the whole text
     whole = F.struct(F.lit(0).alias("low"), F.length("text").alias("high"))
     ranges = F.transform("detections", lambda d: F.when(d["low"] >= 0, F.struct(d["low"].alias("low"), d["high"].alias("high"))).otherwise(whole))

@@ -426,7 +426,7 @@ def adjudicated_decisions(spark, d):
 def judged_turns(spark, d):
     """Second opinions (a fixed table, by frozen text) applied to the moderated turns."""
     rows = moderated(spark, d).withColumn("window_text", F.col("text"))
-    said = rows.filter("escalated").select("window_text", F.when(F.length("text") % 2 == 0, "benign").otherwise("exfiltration").alias("decision"), F.lit(None).cast("string").alias("category"), F.lit(0.7).alias("confidence"))
+    said = read(spark, d, "conversations").filter("turn % 3 = 0").select(F.col("text").alias("window_text"), F.when(F.length("text") % 2 == 0, "benign").otherwise("exfiltration").alias("decision"), F.lit(None).cast("string").alias("category"), F.lit(0.7).alias("confidence"))
     return E.adjudicated(rows, said).select("message_id", "judgement", "revised_action", F.round("revised_score", 6).alias("revised_score"), "superseded")
 
 
