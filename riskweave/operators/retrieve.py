@@ -18,8 +18,9 @@ def features(text: Column, grams: bool = True) -> Column:
     """``w:`` words, ``b:`` word pairs and, with grams, ``c:`` character 4-grams of a normalised text."""
     words = F.array_remove(F.split(text, " "), "")
     singles = F.transform(words, lambda w: F.concat(F.lit("w:"), w))
-    pairs = N.let(words, lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.lit("b:"), F.get(w, i), F.lit(" "), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>")))
-    fours = F.when(F.length(text) >= 4, F.transform(F.sequence(F.lit(1), F.length(text) - 3), lambda i: F.concat(F.lit("c:"), F.substr(text, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    pairs = N.let(words, lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.lit("b:"), F.get(w, i), F.lit(" "), F.get(w, i + 1)))).otherwise(none))
+    fours = N.let(text, lambda t: F.when(F.length(t) >= 4, F.transform(F.sequence(F.lit(1), F.length(t) - 3), lambda i: F.concat(F.lit("c:"), F.substr(t, i, F.lit(4))))).otherwise(none))
     return F.concat(singles, pairs, fours) if grams else F.concat(singles, pairs)
 
 

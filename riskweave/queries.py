@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import assets as A
 from .functions import normalise as N
+from .operators import abuse as B
 from .operators import extract as X
 from .operators import metrics as M
 from .operators import policy as P
@@ -249,6 +250,14 @@ def safety_heads(spark, d):
     return rows.select("o_orderkey", r("threat"), r("harassment"), r("coercion"), F.round("h.legitimateComplaint", 6).alias("complaint"), F.size("b.route").cast("long").alias("routed"))
 
 
+@query()
+def abuse_router(spark, d):
+    """A router trained on half of the labelled documents, and its scores of all of them."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
+    model = B.train(rows.filter("doc_id % 2 = 0"))
+    return B.routed(rows, model).select("doc_id", "label", F.round("abuse", 4).alias("abuse"), "flagged")
+
+
 # Score and policy ------------------------------------------------------------------------------------------------
 
 W = A.WEIGHTS
