@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import assets as A
@@ -45,11 +45,6 @@ def q(pattern: str) -> str:
     return N.sql_text(pattern)
 
 
-def whole(c: Column) -> Column:
-    """A count that is never null, as a long."""
-    return F.coalesce(c, F.lit(0)).cast("long")
-
-
 # Normalisation ---------------------------------------------------------------------------------------------------
 
 FOLD_SQL = f"SELECT doc_id, md5({N.sql_folded('text')}) AS folded_md5, length({N.sql_folded('text')})::BIGINT AS n FROM documents"
@@ -261,7 +256,6 @@ def abuse_router(spark, d):
 # Score and policy ------------------------------------------------------------------------------------------------
 
 W = A.WEIGHTS
-SCORE_IN = {"max_confidence": "(o_orderkey % 101) / 100.0", "detection_count": "o_orderkey % 5", "effort": "o_orderkey % 17", "priors": "o_custkey % 5", "at_count": "o_orderkey % 4", "density": "(o_orderkey % 50) / 100.0"}
 SCORE_SQL = f"""1 / (1 + exp(-({W['bias']} + {W['max_confidence']} * (o_orderkey % 101) / 100.0 + {W['detection_count']} * least(o_orderkey % 5, 3) / 3.0 + {W['effort']} * least(o_orderkey % 17, 12) / 12.0
     + {W['contact_intent']} * (o_orderkey % 2) + {W['platform_strong']} * (o_orderkey % 3 = 0)::INT + {W['off_platform']} * (o_orderkey % 7 = 0)::INT + {W['priors']} * least(o_custkey % 5, 3) / 3.0
     + {W['explicit_at']} * least(o_orderkey % 4, 2) / 2.0 + {W['digit_density']} * least((o_orderkey % 50) / 100.0 * 3, 1))))"""
@@ -284,7 +278,7 @@ a AS (SELECT *, CASE WHEN score >= withhold THEN CASE WHEN priors >= 3 THEN 'blo
 SELECT o_orderkey, mask AS threshold, CASE WHEN advisory AND action IN ('mask', 'warn', 'block') THEN 'hint' ELSE action END AS action FROM a"""
 
 
-@query(LADDER_SQL.replace("{{", "{"))
+@query(LADDER_SQL)
 def policy_ladder(spark, d):
     pick = lambda names, c: F.element_at(F.array(*map(F.lit, names.values())), (c % 3 + 1).cast("int"))
     rows = read(spark, d, "orders").select("o_orderkey", F.round(synthetic_score(), 6).alias("score"), (F.col("o_custkey") % 5).alias("priors"), pick(TRUST, F.col("o_orderkey")).alias("trust"), pick(STAGE, F.col("o_custkey")).alias("stage"))
