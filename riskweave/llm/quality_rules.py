@@ -4,8 +4,8 @@ A document's histograms of character classes and of common words are compared wi
 summed over all documents of each reference language. The distance is the Jensen-Shannon distance (base 2, so 0 to 1)
 to the nearest language. It counts only above a minimum length, since short texts have ragged histograms.
 
-Scale: one pass sums the references (a few hundred numbers for each language of ``COMMON``, partially aggregated),
-a second judges each row by itself; nothing is shuffled but those sums. Equal 5-word windows are found on 64-bit hashes
+Scale: one pass over the texts writes each row's counts; the references (a few hundred numbers for each language of
+``COMMON``, partially aggregated) and the verdicts are made from those. Nothing is shuffled but the sums. Equal 5-word windows are found on 64-bit hashes
 within one document.
 
 Defined results: a null text counts as empty and fails for its length; repeated rows and null ids keep their rows;
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 # Frequent function words of each reference language.
 COMMON = {
@@ -93,16 +93,15 @@ def histograms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("__words", named).withColumn("__words", F.concat("__words", F.array(other))).drop("__held")
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+def references(measures: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """For each reference language that has documents: the shares of character classes and of words."""
     sizes = {"__chars": 6, "__words": len(WORDS) + 1}
-    rows = histograms(docs.filter(F.col(lang_col).isin(list(COMMON))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "text")
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
     out = {}
-    for row in rows.groupBy("lang").agg(*sums).collect():  # a row for each language of COMMON at most
+    for row in measures.filter(F.col("__lang").isin(list(COMMON))).groupBy("__lang").agg(*sums).collect():  # a row for each language of COMMON at most
         parts = [[row[f"{c}{i}"] for i in range(n)] for c, n in sizes.items()]
         if all(sum(p) for p in parts):
-            out[row["lang"]] = tuple([x / sum(p) for x in p] for p in parts)
+            out[row["__lang"]] = tuple([x / sum(p) for x in p] for p in parts)
     return out
 
 
@@ -122,25 +121,30 @@ def distance(counts: Column, shares: list[float]) -> Column:
     return let(counts, divergence)
 
 
-def judged(docs: DataFrame, reference: dict, text_col: str = "text") -> DataFrame:
-    """docs with the base counts, base_failed, char_distance, word_distance and kept; temporary columns are dropped."""
+def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with __lang, __n_chars, the histograms and the base counts; one pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = without(text, r"\p{L}+")
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: x)
-    out = docs.withColumn("__split", words_of(text))
-    out = out.withColumns({
-        "n_words": F.size("__split").cast("long"),
-        "word_chars": F.length(without(text, SPACES)).cast("long"),
-        "n_symbols": (F.length(rest) - F.length(without(rest, SYMBOLS))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": let(F.col("__split"), repeated_words),
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = histograms(docs, text_col).withColumn("__split", words_of(text))
+    return out.withColumns({
+        "__lang": F.col(lang_col),
+        "__n_chars": F.length(text),
+        "__n_words": F.size("__split").cast("long"),
+        "__word_chars": F.length(without(text, SPACES)).cast("long"),
+        "__n_symbols": (F.length(rest) - F.length(without(rest, SYMBOLS))).cast("long"),
+        "__n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "__n_repeat_words": let(F.col("__split"), repeated_words),
     }).drop("__split")
-    out = histograms(out, text_col)
+
+
+def judged(measures: DataFrame, reference: dict) -> DataFrame:
+    """measures with __base_failed, __char_distance, __word_distance and __kept."""
     near = lambda column, k: F.array_min(F.array(*[distance(F.col(column), r[k]) for r in reference.values()])) if reference else F.lit(None).cast("double")
-    out = out.withColumns({"char_distance": F.round(near("__chars", 0), 6), "word_distance": F.round(near("__words", 1), 6)}).drop("__chars", "__words")
-    odd = ((F.length(text) >= CHAR_LEAST) & (F.col("char_distance") > CHAR_DISTANCE)) | ((F.col("n_words") >= WORD_LEAST) & (F.col("word_distance") > WORD_DISTANCE))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(odd, F.lit(False)))
+    out = measures.withColumns({"__char_distance": F.round(near("__chars", 0), 6), "__word_distance": F.round(near("__words", 1), 6)})
+    odd = ((F.col("__n_chars") >= CHAR_LEAST) & (F.col("__char_distance") > CHAR_DISTANCE)) | ((F.col("__n_words") >= WORD_LEAST) & (F.col("__word_distance") > WORD_DISTANCE))
+    failed = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
+    return out.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~F.coalesce(odd, F.lit(False)))
 
 
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
@@ -148,15 +152,15 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, counts, distances, verdict) for each row."""
-    reference = references(docs, text_col, lang_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return judged(rows, reference).select("doc_id", *RESULT)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    measures = materialize(measured(rows).drop("text", "lang"), "measures")
+    return judged(measures, references(measures)).select("doc_id", *[F.col(f"__{c}").alias(c) for c in RESULT])
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("text"))
-    return judged(rows, references(docs, text_col, lang_col)).filter("kept").select("__row.*")
+    """The rows of docs that are kept, with their own columns. The rows are written once with their measures, so the texts are read once."""
+    measures = materialize(measured(docs, text_col, lang_col), "measures")
+    return judged(measures, references(measures)).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
