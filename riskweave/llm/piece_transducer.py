@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import steps, table, utf8
-from .piece_model import BPE, BYTE, LONG, NORMAL, SPACE, PieceModel, compiled
+from .piece_model import BPE, BYTE, LONG, NORMAL, SPACE, PieceModel, Recent, compiled
 
 REMEMBERED = 400_000
+#: Text bytes of one step: larger steps have more chunks in common.
+STEP = 6_000_000
 START = -1
 
 
@@ -47,9 +49,12 @@ class Transducer:
             self.weight[-1] = 10 - min(scores)
         self._trie()
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.known: dict[str, bytes] = {"": b""}
+        self.recent = Recent({"": b""}, REMEMBERED)
         kinds = zip(model.pieces, model.kinds, strict=True)
-        self.output = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in kinds]
+        output = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in kinds]
+        self.output = np.frombuffer(b"".join(output), np.uint8)
+        self.output_size = np.array([len(x) for x in output])
+        self.output_at = np.cumsum(self.output_size) - self.output_size
 
     def _trie(self) -> None:
         steps_of: dict[tuple[int, int], int] = {}
@@ -97,6 +102,14 @@ class Transducer:
 
     def shortest_paths(self, inputs: list[str]) -> list[list[int]]:
         """The outputs of each input's shortest path; inputs are not empty and have ``LONG`` characters at most."""
+        order, flat, bounds = self.composed(inputs)
+        out: list[list[int]] = [[] for _ in inputs]
+        for k, i in enumerate(order):
+            out[i] = flat[bounds[k] : bounds[k + 1]].tolist()
+        return out
+
+    def composed(self, inputs: list[str]) -> tuple[list[int], np.ndarray, list[int]]:
+        """All shortest paths, one after the other: the inputs' order, the outputs, and where each input's begin and end."""
         order = sorted(range(len(inputs)), key=lambda i: -len(inputs[i]))
         size = np.array([len(inputs[i]) for i in order])
         chars = np.frombuffer("".join(inputs[i] for i in order).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -120,7 +133,7 @@ class Transducer:
                     break
                 piece = self.final[node]
                 self.relax(cost, last, back, row[own[piece >= 0]], i, j + 1, piece[piece >= 0])
-        return self.traced(inputs, order, size, row, last, back)
+        return order, *self.traced(size, row, last, back)
 
     def relax(self, cost, last, back, row, i: int, j: int, piece) -> None:
         if not len(row):
@@ -132,8 +145,7 @@ class Transducer:
         to = row[better] + j
         cost[to], last[to], back[to] = new[better], piece[better], i
 
-    def traced(self, inputs, order, size, row, last, back) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in inputs]
+    def traced(self, size, row, last, back) -> tuple[np.ndarray, list[int]]:
         at, alive = size.copy(), np.arange(len(size))
         owners, pieces = [], []
         while len(alive):
@@ -144,11 +156,7 @@ class Transducer:
             alive = alive[at[alive] > 0]
         owner, piece = np.concatenate(owners[::-1]), np.concatenate(pieces[::-1])
         by = np.argsort(owner, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]).tolist()
-        flat = piece[by].tolist()
-        for k, i in enumerate(order):
-            out[i] = flat[bounds[k] : bounds[k + 1]]
-        return out
+        return piece[by], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]).tolist()
 
     def shortest_path(self, text: str) -> list[int]:
         """The same for one input of any length."""
@@ -185,30 +193,50 @@ class Transducer:
         return np.array(path, "<i4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = list(chunks)
+        self.recent.turn()
+        new = self.recent.missing(chunks)
         cut = [self.model.fine(c) for c in new]
-        rest = [p for p in set().union(*cut) if p not in self.known]
-        short, long = [p for p in rest if len(p) <= LONG], [p for p in rest if len(p) > LONG]
-        paths = self.shortest_paths(short) if short else []
-        for part, path in zip([*short, *long], [*paths, *map(self.shortest_path, long)], strict=True):
-            self.known[part] = self.ids_of(part, path)
+        rest = self.recent.missing(set().union(*cut))
+        known = self.recent.now
+        short = [p for p in rest if len(p) <= LONG]
+        if short:
+            order, flat, bounds = self.composed(short)
+            whole, hard = flat.astype("<i4").tobytes(), {k for k in np.searchsorted(bounds, np.flatnonzero(flat == self.unknown), side="right") - 1}
+            for k, i in enumerate(order):
+                a, b = bounds[k], bounds[k + 1]
+                known[short[i]] = whole[4 * a : 4 * b] if k not in hard else self.ids_of(short[i], flat[a:b].tolist())
+        for part in rest:
+            if len(part) > LONG:
+                known[part] = self.ids_of(part, self.shortest_path(part))
         for chunk, parts in zip(new, cut, strict=True):
-            self.known[chunk] = b"".join(map(self.known.__getitem__, parts))
+            if len(parts) > 1:
+                known[chunk] = b"".join(map(known.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         find = self.model.chunks.findall
         cut = [find(self.model.normalised(t)) for t in texts]
         self.learn(set().union(*cut))
-        get = self.known.__getitem__
+        get = self.recent.now.__getitem__
         return [np.frombuffer(b"".join(map(get, chunks)), "<i4") for chunks in cut]
 
+    def emitted(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids stand for, one after the other."""
+        size = self.output_size[ids]
+        ends = np.cumsum(size)
+        return self.output[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.output_at[ids] - ends + size, size)]
+
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.output.__getitem__, ids.tolist())).decode(errors="replace")
+        text = self.emitted(ids).tobytes().decode(errors="replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
+    def gives_back(self, ids: list[np.ndarray], texts: list[bytes]) -> list[bool]:
+        """Whether each text is what its ids decode to, with U+2581 as a space."""
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+        ends = np.concatenate([[0], np.cumsum(self.output_size[flat])])[np.cumsum([0, *map(len, ids)])].tolist()
+        whole, first = self.emitted(flat).tobytes(), b" " * self.model.dummy_prefix
+        mark = SPACE.encode()
+        return [whole[a:b] == (first + t.replace(mark, b" ") if t else b"") for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+
 
 _machines: dict[bytes, Transducer] = {}
 
@@ -232,13 +260,13 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
         tool = machine(raw)
         for batch in batches:
             data, at = utf8(batch.column(1))
-            for a, b in steps(at):
-                texts = [data[at[i] : at[i + 1]].tobytes().decode() for i in range(a, b)]
-                ids = tool.encode(texts)
+            for a, b in steps(at, STEP):
+                texts = [data[at[i] : at[i + 1]].tobytes() for i in range(a, b)]
+                ids = tool.encode([t.decode() for t in texts])
                 n = pa.array([len(x) for x in ids], pa.int64())
                 ids_of = batch.column(0).slice(a, b - a)
                 if digest:
-                    same = [tool.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
+                    same = tool.gives_back(ids, texts)
                     yield pa.RecordBatch.from_arrays([ids_of, n, pa.array([hashlib.sha1(x).hexdigest() for x in ids], pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha1", "round_trip"])
                 else:
                     cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
