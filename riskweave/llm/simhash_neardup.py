@@ -11,7 +11,7 @@ block, y visits the home of x there, so comparing the home members of an anchor
 
 Scale: equal fingerprints are one row before anything is replicated, so exact copies cost nothing. An anchor with more
 than ``tile`` members is cut into tiles that are compared apart; a task reports the forest that its links span, never
-the links within a dense group. Components come from large-star and small-star rounds over written tables.
+the links within a dense group. Components come from large-star and small-star rounds over written tables, with salted joins.
 
 Defined results: a null or wordless text has fingerprint zero and is linked as any other; a repeated row gets
 the same row again; a null doc_id keeps its row and counts in no component_id unless nothing else is there (null).
@@ -207,6 +207,13 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, tile: int =
     return edges.distinct()
 
 
+def salted(edges: DataFrame, node: str, other: str, low: DataFrame, salts: int = 16) -> DataFrame:
+    """edges with m of ``low`` (a, m) at their end ``node``; the edges of one node are dealt by a hash of their other end."""
+    side = low.select(F.col("a").alias("__node"), "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    rows = edges.withColumn("__key", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    return rows.join(side, (F.col(node) == F.col("__node")) & (F.col("__key") == F.col("__salt")), "left").select("a", "b", "m")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of an edge (a, b); root is the smallest node of its connected part."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
@@ -216,13 +223,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0] or state == seen:
             break
         seen = state
+        # each edge goes from its larger end a to its smaller end b
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).filter("m < a")
+        large = salted(edges, "b", "a", low).select("a", F.coalesce("m", "b").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        many = salted(large, "a", "b", low.filter("n > 1").select("a", "m")).filter("m is not null")
+        small = many.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = materialize(small.filter("a <> b").distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
