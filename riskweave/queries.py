@@ -310,7 +310,7 @@ def moderated(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws("-", "conv_id", "turn").alias("message_id"), c.cast("string").alias("conversation_id"), "role", F.col("role").alias("sender_id"), F.timestamp_seconds(c * 1000 + F.col("turn")).alias("ts"), "text",
         F.when(c % 3 == 0, "fresh").otherwise("standard").alias("trust"), F.lit("inquiry").alias("stage"), (c % 4).cast("int").alias("prior_violations"), (c % 7 == 0).alias("advisory"),
     )
-    return moderate(rows)
+    return moderate(rows.repartition(spark.sparkContext.defaultParallelism))  # little data, much work a row: over all cores
 
 
 @query()
