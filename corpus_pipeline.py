@@ -1,7 +1,7 @@
 """A corpus cleaning run: each stage applies one operator of riskweave.llm to all that the stage before it kept.
 
 Quality rules drop documents; line dedup takes recurring template lines out of texts; near-dedup keeps one document of
-each group; decontamination drops documents that hold benchmark passages; encoding gives each document's token ids.
+each group of word-shingle similarity 0.8 or more; decontamination drops documents that hold benchmark passages; encoding gives each document's token ids.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm.common import materialize, table
 from riskweave.llm.decontamination import clean_documents
+from riskweave.llm.jaccard_neardup import deduplicated
 from riskweave.llm.line_templates import deduplicated_lines
 from riskweave.llm.piece_transducer import encoded
 from riskweave.llm.quality_rules import good_documents
-from riskweave.llm.simhash_neardup import deduplicated
 
 #: Words of a shingle in the near-dedup stage.
 SHINGLE = 5

@@ -248,7 +248,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one document of each component: the smallest (doc_id, text_key), null ids last."""
-    found = near_duplicates(docs, id_col, text_col, **how)
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component of found (doc_id, text_key, fp, component_id)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = found.groupBy(F.coalesce("component_id", "fp"), F.col("component_id").isNull()).agg(F.min(order).alias("k"))
     keys = ["__none", "__id", "__text"]
