@@ -7,7 +7,8 @@ first n - ceil(4n/5) + 1 of each (prefix filter), so only texts that share such
 Scale: equal sets are one node. The order is by hash, but shingles that stand in many prefixes come last (any order is
 right), so boilerplate meets only in texts made of it. In the rounds each text of a shingle is compared with one text of
 each round's choice, and links found are merged; only then are all pairs compared that still lie in different components.
-So dense groups cost a few comparisons a text. Texts made mostly of common shingles that are still no copies of each
+So dense groups cost a few comparisons a text. Most pairs
+are ruled out by counts of their shingles' first bytes, an upper bound of what they share; the others by their whole sets. Texts made mostly of common shingles that are still no copies of each
 other are compared pair by pair.
 
 Defined results: as in simhash_neardup; all wordless and null texts have the same empty set.
@@ -46,13 +47,18 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles start with each byte. The sum of two sketches' lesser counts is no less than what the sets share."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 65535).astype("<u2").tobytes()
+
+
 def alike(shared: Column, a: Column, b: Column) -> Column:
     """Jaccard similarity of at least 4/5, in whole numbers."""
     return 9 * shared >= 4 * (a + b)
 
 
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, node, n, prefix) of docs (doc_id, text_key, text): the set's hash and size, and its first shingles by hash."""
+    """(doc_id, text_key, node, n, prefix, sketch) of docs (doc_id, text_key, text): the set's hash and size, and its first shingles by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,9 +66,9 @@ def prefixes(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(data[a:b].tobytes(), words) for a, b in zip(at, at[1:], strict=False)]
             node = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
             first = [x[: prefix_length(len(x))].view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.binary())], ["doc_id", "text_key", "node", "n", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, node long, n int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, node long, n int, prefix array<long>, sketch binary")
 
 
 def reordered(docs: DataFrame, words: int, common: np.ndarray) -> DataFrame:
@@ -107,7 +113,7 @@ def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     plain = one.select("node", "n", F.explode("prefix").alias("token"))
     counts = materialize(plain.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1"), "shared")
     common = counts.filter(F.col("d") > COMMON).orderBy(F.desc("d"), "token").limit(MOST_COMMON).select("token")
-    late = np.array([r.token for r in common.collect()], np.int64)
+    late = common.toArrow().column(0).to_numpy()
     if not len(late):
         return materialize(plain.join(broadcast_if_few(counts.select("token")), "token").select("token", "node", "n"), "entries")
     new = materialize(reordered(docs, words, late).dropDuplicates(["node", "token"]), "reordered")
@@ -118,40 +124,54 @@ def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     return materialize(both.join(broadcast_if_few(counts), "token").select("token", "node", "n"), "entries")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) among pairs; a text of many pairs is copied to as many tasks as it needs."""
+def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b) with x and y, the values (node, v) of their ends; the value of a crowded end a goes to as many tasks as it needs."""
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
-    left = sets.join(crowd, sets.node == crowd.a).select("a", F.col("shingles").alias("x"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    left = values.join(crowd, values.node == crowd.a).select("a", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = pairs.join(broadcast_if_few(materialize(crowd.filter("parts > 1"), "crowd")), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    compared = dealt.join(left.hint("shuffle_hash"), ["a", "part"]).join(right, "b")
-    return compared.filter(alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+    return dealt.join(left, ["a", "part"]).join(values.select(F.col("node").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
+
+
+def hopeful(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, x, y: sketches) that may share enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, 256) for c in batch.columns[2:])
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            full = (x == 65535).any(1) | (y == 65535).any(1)
+            ok = pa.array((9 * most >= 4 * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))) | full)
+            yield batch.select(["a", "b"]).filter(ok)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
+    """The links (a, b) among pairs: those of sketches that allow it, by their whole sets."""
+    pairs = materialize(hopeful(beside(pairs, one.select("node", F.col("sketch").alias("v")))), "hopeful")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(one.select("node", "doc_id", "text_key"), "node")
+    keys = materialize(ends.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k")), "ends")
+    wanted = docs.join(broadcast_if_few(keys), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
+    sets = materialize(whole_sets(wanted, words), "sets").withColumnRenamed("shingles", "v")
+    return beside(pairs, sets).filter(alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     """(node, root) for nodes of links; docs has (doc_id, text_key, text), one has a row for each node with its first text."""
     spark = docs.sparkSession
     met = entries(docs, one, words)
-    touched = met.select("node").distinct().join(one.select("node", "doc_id", "text_key"), "node")
-    keys = materialize(touched.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k")), "touched")
-    wanted = docs.join(broadcast_if_few(keys), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
-    sets = materialize(whole_sets(wanted, words).dropDuplicates(["node"]), "sets")
-    fits = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
-    edges = seen = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
+    edges, roots = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
     for k in range(ROUNDS + 1):
         named = met.join(broadcast_if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parted = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("hub")).filter("low <> high")
-        parted = parted.select("token", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"), F.col("hub.root").alias("from"))
+        hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("hub")
+        parted = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).filter("low <> high")
         if k < ROUNDS:
-            pairs = named.join(parted, "token").filter("root <> from")
+            pairs = named.join(parted.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("from")), "token").filter("root <> from")
         else:
-            ends = named.join(parted.select("token"), "token")
-            pairs = ends.join(ends.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("from")), "token").filter("root <> from AND node < other")
-        pairs = pairs.filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = seen.union(pairs)
-        new = materialize(verified(pairs, sets), "links")
+            ends = materialize(named.join(parted.select("token"), "token"), "ends")
+            pairs = ends.join(ends.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("from")), "token").filter("root <> from AND a < node")
+        pairs = pairs.filter(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", F.col("node").alias("b")).distinct()
+        new = materialize(verified(materialize(pairs, "pairs"), docs, one, words), "links")
         if new.isEmpty():
             continue
         edges = edges.union(new)
@@ -163,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text_key, fp, component_id) for each row of docs; fp is the hash of the text's set of shingles."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     rows = materialize(prefixes(texts, words), "prefixes")
-    first = F.min_by(F.struct("doc_id", "text_key", "n", "prefix"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    first = F.min_by(F.struct("doc_id", "text_key", "n", "prefix", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     one = materialize(rows.groupBy("node").agg(first.alias("r")).select("node", "r.*"), "nodes")
     roots = links(texts, one, words)
     named = one.join(broadcast_if_few(roots), "node", "left").select("node", F.col("doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))
