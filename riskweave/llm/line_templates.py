@@ -101,21 +101,26 @@ def lines_of_leaves(docs: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(line, docs) for lines that recur only as a template with more variable fields.
+    """(leaf, line) for lines that recur only as a template with more variable fields.
 
-    counts has (leaf, line, n, docs) of the lines that do not recur by themselves.
+    counts has (leaf, line, n, docs, alone) of all lines: those that recur by themselves (alone) support their template too.
     """
-    varied = counts.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("docs").alias("all"))
-    varied = materialize(varied.filter((F.col("lines") > 1) & (F.col("all") >= needed(F.col("n"))) & (F.col("n") >= LEAST_CONSTANT)).select("leaf", "n"), "varied")
-    wanted = materialize(counts.join(broadcast_if_few(varied), ["leaf", "n"], "left_semi").select("leaf", "line", "n", "docs"), "candidates")
+    varied = counts.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("docs").alias("all"), F.count_if(~F.col("alone")).alias("open"))
+    varied = materialize(varied.filter((F.col("open") > 0) & (F.col("lines") > 1) & (F.col("all") >= needed(F.col("n"))) & (F.col("n") >= LEAST_CONSTANT)).select("leaf", "n"), "varied")
+    wanted = materialize(counts.join(broadcast_if_few(varied), ["leaf", "n"], "left_semi").select("leaf", "line", "n", "docs", "alone"), "candidates")
     one = lines_of_leaves(docs, varied).dropDuplicates(["leaf", "line"]).join(broadcast_if_few(wanted), ["leaf", "line"])
     one = materialize(one, "lines")
-    places = one.select("leaf", "line", "n", "docs", F.posexplode("tokens").alias("i", "token"))
+    places = one.select("leaf", "line", "n", "docs", "alone", F.posexplode("tokens").alias("i", "token"))
     common = places.groupBy("leaf", "n", "i", "token").agg(F.sum("docs").alias("d")).filter(F.col("d") >= needed(F.col("n"))).select("leaf", "i", "token")
-    constant = places.join(common, ["leaf", "i", "token"]).groupBy("leaf", "line", "n", "docs")
-    parts = constant.agg(F.sum((F.col("token") != FIELD - (1 << 64)).cast("int")).alias("fixed"), F.xxhash64(F.array_sort(F.collect_list(F.struct("i", "token")))).alias("template"))
-    parts = materialize(parts.filter((F.col("fixed") >= CONSTANT * F.col("n")) & (F.col("fixed") >= LEAST_CONSTANT)), "templates")
-    recurring = parts.groupBy("leaf", "template", "n").agg(F.sum("docs").alias("all")).filter(F.col("all") >= needed(F.col("n")))
+    constant = places.filter(~F.col("alone")).join(common, ["leaf", "i", "token"]).groupBy("leaf", "line", "n", "docs")
+    parts = constant.agg(F.sum((F.col("token") != FIELD - (1 << 64)).cast("int")).alias("fixed"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("own"))
+    parts = parts.filter((F.col("fixed") >= CONSTANT * F.col("n")) & (F.col("fixed") >= LEAST_CONSTANT))
+    parts = materialize(parts.select("leaf", "line", "n", "docs", F.xxhash64("own").alias("template"), F.col("own.i").alias("places")), "templates")
+    # a line that recurs by itself has each template of its leaf that it agrees with
+    masks = parts.select("leaf", "places").distinct()
+    seen_as = F.xxhash64(F.transform("places", lambda i: F.struct(i.alias("i"), F.get("tokens", i).alias("token"))))
+    more = one.filter("alone").join(masks, "leaf").select("leaf", seen_as.alias("template"), "n", "docs")
+    recurring = parts.select("leaf", "template", "n", "docs").union(more).groupBy("leaf", "template", "n").agg(F.sum("docs").alias("all")).filter(F.col("all") >= needed(F.col("n")))
     return parts.join(recurring, ["leaf", "template", "n"]).select("leaf", "line")
 
 
@@ -125,7 +130,7 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = all_lines.filter(F.col("n") >= LEAST_TOKENS).select("leaf", "line", "n", *KEY).distinct()
     counts = materialize(once.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs")), "counts")
     alone = F.col("docs") >= needed(F.col("n"))
-    recurring = counts.filter(alone).select("leaf", "line").union(generalised(docs, counts.filter(~alone)))
+    recurring = counts.filter(alone).select("leaf", "line").union(generalised(docs, counts.withColumn("alone", alone)))
     recurring = materialize(recurring, "recurring")
     marked = all_lines.join(broadcast_if_few(recurring.withColumn("hit", F.lit(1))), ["leaf", "line"], "left")
     hit = F.col("hit").isNotNull()

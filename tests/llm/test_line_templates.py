@@ -89,3 +89,13 @@ def test_rows_equal_brute_force(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert L.deduplicated_lines(frame, chars_col="n_chars").count() == 0
+
+
+def test_recurring_variants_support_their_template(spark):
+    """11 documents share one line, 9 more have 9 other values in it: the template stands in 20."""
+    line = "Read more about the {} in our weekly letter of news"
+    words = ["river"] * 11 + ["moon", "sun", "star", "tree", "bird", "fish", "stone", "wind", "rain"]
+    own = [" ".join(f"{a}{'abcdefghijklmnopqrst'[i]}" for a in "bcdfghklmnprstvwz") for i in range(20)]
+    docs = [(i, f"{own[i]}\n{line.format(w)}") for i, w in enumerate(words)]
+    got = {r.doc_id: r.text for r in L.deduplicated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(own))
