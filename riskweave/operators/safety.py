@@ -86,11 +86,11 @@ def evaluate(base: Column) -> Column:
     return F.coalesce(F.array_compact(F.array(*sides)), F.array().cast(FINDING))
 
 
-def chunks(text: Column, size: int = 600, overlap: int = 120, most: int = 10) -> Column:
-    """A long text in overlapping pieces, and a text of up to ``size`` as one."""
+def chunks(text: Column, size: int = 600, overlap: int = 120) -> Column:
+    """The whole of a long text in overlapping pieces, and a text of up to ``size`` as one."""
     step = size - overlap
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(step)), lambda i: F.substr(text, i + 1, F.lit(size)))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.slice(cut, 1, most))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(cut)
 
 
 def first_by_category(findings: Column) -> Column:

@@ -223,8 +223,8 @@ def safety_lexicons(spark, d):
 
 @query()
 def safety_findings(spark, d):
-    """Findings of the labelled documents, chunk by chunk; the first of each category."""
-    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    """Findings of all documents, chunk by chunk; the first of each category. toxic is null without a label."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
     found = S.first_by_category(F.flatten(F.transform(S.chunks(N.base(F.col("text"))), S.evaluate)))
     return rows.select("doc_id", "toxic", F.explode_outer(found).alias("f")).select("doc_id", "toxic", "f.category", "f.confidence", "f.phrase")
 

@@ -33,3 +33,12 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_safety_findings_cover_whole_and_unlabelled_documents(spark, tmp_path):
+    long = "the house is quiet and clean. " * 400
+    docs = [(1, long + "i will hurt you"), (2, "i will hurt you"), (3, long)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.doc_id, r.toxic, r.category) for r in entry.queries()["safety_findings"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, "threat"), (2, None, "threat"), (3, 0, None)}
