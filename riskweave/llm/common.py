@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on inside a task.
 STEP_BYTES = 2_000_000
+#: Bytes of an Arrow batch, and of a Parquet row group that a task holds while it writes.
+BATCH_BYTES, ROW_GROUP_BYTES = 16 << 20, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's own, or a fresh one where none is set."""
+    """The folder that driver and executors share: the cluster's own. Only in local mode a fresh one is made where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='riskweave-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,22 +38,42 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later reads survive lost executors, and lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all shuffle partitions, however few bytes it has: for small rows that cost much work each."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of about ``BATCH_BYTES`` at most, where the session sets no lower bound: long texts must not
+    meet in one batch by the thousand."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(df.sparkSession.conf.get(key)).rstrip("b")
+    if now.isdigit() and not 0 < int(now) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
 
 
-KEY = ["__none", "__id", "__text"]
+def spread_out(df: DataFrame) -> DataFrame:
+    """df over all shuffle partitions, however few bytes it has: for small rows that cost much work each. Without keys, so no partitioning that df has already makes it void."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with the columns KEY, by which a row is found again: its id, null or not, and a hash of its text."""
-    doc_id = F.col(id_col).cast("long")
-    return docs.withColumns({KEY[0]: doc_id.isNull(), KEY[1]: F.coalesce(doc_id, F.lit(0)), KEY[2]: F.xxhash64(text_col)})
+KEY = ["key_none", "key_id", "key_text"]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text, KEY): docs with all its columns in one struct, so that no name clashes with a helper's, its id and
+    text, and KEY, by which a row is found again: its id, null or not, and a hash of its text. ``row.*`` gives the columns back."""
+    doc_id, text = quoted(id_col).cast("long"), quoted(text_col)
+    key = [doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64(text)]
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), doc_id.alias("doc_id"), text.alias("text"), *[c.alias(k) for c, k in zip(key, KEY, strict=True)])
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
 
 
 def broadcast_if_few(df: DataFrame, most: int = 100_000) -> DataFrame:

@@ -9,10 +9,12 @@ that every such run has a hit (tests check all placements of substitutions), so
 
 Scale: one pass over the documents keeps only the places whose seeds pass a bitmap of the test seeds (at most
 ``MOST_BITS`` bits; a fuller bitmap lets more through and changes no result). Those places and the tokens around them are
-written; hits join test seeds by hash, and clusters are compared with items. Whole documents are never shuffled.
+written; hits join test seeds by hash, and clusters are compared with items. Whole documents are never shuffled. A seed of very
+many hits is one join key; the hits' side is split by adaptive execution where the test seeds are too many to be broadcast.
 
 Defined results: null and empty texts have no tokens; null ids and repeated rows are judged as any other row; an item
-with a null id is searched for; empty tables give no rows.
+with a null id is searched for; empty tables give no rows, and no document is contaminated by an empty benchmark; very long
+texts are searched whole; further columns of either table may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, broadcast_if_few, keyed, materialize, steps, table, utf8
+from .common import KEY, boxed, broadcast_if_few, in_batches, materialize, quoted, steps, table, unboxed, utf8
 
 WINDOW, SHARE, LEAST = 13, 0.8, 5
 MASKS = ("11110011", "11010111")
@@ -132,8 +134,8 @@ def test_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     kind = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("seeds", pa.list_(pa.struct([("seed", pa.int64()), ("pos", pa.int32())])))])
-    rows = benchmark.select(F.col(id_col).cast("long"), F.lower(text_col))
-    return materialize(rows.mapInArrow(run, "item long, item_id long, tokens array<long>, seeds array<struct<seed: long, pos: int>>"), "items")
+    rows = benchmark.select(quoted(id_col).cast("long"), F.lower(quoted(text_col)))
+    return materialize(in_batches(rows, run, "item long, item_id long, tokens array<long>, seeds array<struct<seed: long, pos: int>>"), "items")
 
 
 def slots(seed: np.ndarray, probe: int, log: int) -> np.ndarray:
@@ -150,7 +152,7 @@ def bitmap(test_seeds: DataFrame, n: int) -> np.ndarray:
             place = np.concatenate([slots(batch.column(0).to_numpy().view(np.uint64), k, log) for k in range(PROBES)])
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["w", "b"])
 
-    words = test_seeds.select("seed").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = in_batches(test_seeds.select("seed"), run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros((1 << log) // 64, np.int64)
     for row in words.collect():  # at most MOST_BITS / 64 rows
         out[row.w] = row.b
@@ -208,7 +210,7 @@ def clusters(docs: DataFrame, bits: np.ndarray, masks: list[str], reach: int) ->
 
     kind = pa.schema([("cluster", pa.int64()), (KEY[0], pa.bool_()), (KEY[1], pa.int64()), (KEY[2], pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("tokens", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("seed", pa.int64()), ("pos", pa.int32())])))])
     schema = f"cluster long, {KEY[0]} boolean, {KEY[1]} long, {KEY[2]} long, doc_id long, first long, tokens array<long>, hits array<struct<seed: long, pos: int>>"
-    return materialize(docs.select(*KEY, "doc_id", F.lower("text")).mapInArrow(run, schema), "clusters")
+    return materialize(in_batches(docs.select(*KEY, "doc_id", F.lower("text")), run, schema), "clusters")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lengths = [r.n for r in items.select(F.size("tokens").alias("n")).filter(f"n < {WINDOW}").distinct().collect()]  # under WINDOW rows
     longest = items.agg(F.max(F.size("tokens"))).first()[0] or 0
     masks = [*MASKS, *("1" * m for m in sorted(lengths))]
-    rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    rows = boxed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col).drop("row")
     near = clusters(rows, bitmap(flat, n), masks, longest)
     hits = near.select("cluster", F.inline("hits")).join(broadcast_if_few(flat.withColumnRenamed("pos", "at")), "seed")
     pairs = hits.select("cluster", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
@@ -240,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, pa.int64())) for c in range(5)), *(pa.array(c, pa.int64()) for c in columns)], names)
 
     schema = f"{KEY[0]} boolean, {KEY[1]} long, {KEY[2]} long, doc_id long, item_id long, first_token long, n_tokens long, n_same long"
-    found = joined.select(*KEY, "doc_id", "item_id", "first", "shift", "tokens", "wanted").mapInArrow(compare, schema)
+    found = in_batches(joined.select(*KEY, "doc_id", "item_id", "first", "shift", "tokens", "wanted"), compare, schema)
     best = F.max(F.struct("n_same", "n_tokens", (-F.col("first_token")).alias("low"))).alias("b")
     return found.groupBy(*KEY, "doc_id", "item_id").agg(best).select(*KEY, "doc_id", "item_id", (-F.col("b.low")).alias("first_token"), "b.n_tokens", "b.n_same")
 
@@ -248,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no item contaminates."""
     bad = materialize(contaminated(docs, benchmark, id_col, text_col).select(*KEY).distinct(), "contaminated")
-    return keyed(docs, id_col, text_col).join(broadcast_if_few(bad), KEY, "left_anti").drop(*KEY)
+    return unboxed(boxed(docs, id_col, text_col).join(broadcast_if_few(bad), KEY, "left_anti"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

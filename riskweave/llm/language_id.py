@@ -3,12 +3,14 @@
 Texts become shares of hashed byte 3-grams of their lower-cased UTF-8. Linear support vector machines, one against the
 rest, choose the family; within it, one-versus-one machines separate the languages and vote (ties: summed margins).
 
-Learning takes at most ``sample`` documents of each language: documents fall into that many buckets by a hash of their
-id, and the one with the smallest hash of each bucket is taken, so the sample is bounded, repeatable and independent of
-partitions. Only their fixed-size 3-gram counts reach the driver. Predicting is one pass without a shuffle.
+Learning takes a sample of bounded size: of the ``LANGUAGES`` most frequent languages (ties: by name) at most ``sample`` documents
+each, and at most about ``ROWS`` in all. Documents fall into buckets by a hash of their id, and the one with the smallest hash of
+each bucket is taken, so the sample is repeatable and independent of partitions. Only fixed-size 3-gram counts of the sample reach the
+driver (ROWS times 32 KB at most). Predicting is one pass without a shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing could be
-learned; a null id is not held out and not learned from; repeated rows keep their rows.
+learned; a null id is not held out and not learned from; repeated rows keep their rows; an empty table gives no rows; a very
+long text is read whole; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, steps, table, utf8
+from .common import crc_mod, in_batches, materialize, quoted, steps, table, utf8
 
 # Families of language codes; a code that is not here is a family of its own.
 FAMILIES = {
@@ -41,7 +43,8 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 DIMS = 8192
-SAMPLE = 300
+#: Bounds of the sample that is learned from: documents of a language, languages, documents in all.
+SAMPLE, LANGUAGES, ROWS = 300, 200, 4_000
 
 
 def buckets(data: np.ndarray) -> np.ndarray:
@@ -137,11 +140,16 @@ def fit(counts: np.ndarray, languages: list[str]) -> Model | None:
 
 
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` rows (doc_id, text, lang) of each language; docs has these columns, none null."""
+    """A bounded sample of docs (doc_id, text, lang), none of which is null."""
+    frequent = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang").collect()  # at most LANGUAGES rows
+    names = [r.lang for r in frequent]
+    sample = min(sample, max(1, ROWS // max(1, len(names))))
+    keys = ["lang", "doc_id", "text_key"]
+    rows = docs.filter(F.col("lang").isin(names)).withColumn("text_key", F.xxhash64("text"))
     place = F.xxhash64("doc_id")
-    chosen = docs.select("lang", "doc_id", place.alias("h")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min(F.struct("h", "doc_id")).alias("k"))
-    chosen = materialize(chosen.select("lang", F.col("k.doc_id").alias("doc_id")), "sample")  # at most sample x languages rows
-    return docs.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").dropDuplicates(["lang", "doc_id"])
+    chosen = rows.groupBy("lang", F.pmod(place, F.lit(sample)).alias("bucket")).agg(F.min(F.struct(place.alias("h"), "doc_id", "text_key")).alias("k"))
+    chosen = materialize(chosen.select("lang", "k.doc_id", "k.text_key"), "sample")  # at most ROWS rows
+    return rows.join(F.broadcast(chosen), keys, "left_semi").dropDuplicates(keys).drop("text_key")
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -157,7 +165,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], ["lang", "counts"])
 
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    rows = sampled(usable, sample).select(F.lower("text"), "lang").mapInArrow(run, "lang string, counts binary").collect()  # bounded by the sample
+    rows = in_batches(sampled(usable, sample).select(F.lower("text"), "lang"), run, "lang string, counts binary").collect()  # bounded by the sample
     if not rows:
         return None
     rows = sorted(rows, key=lambda r: (r.lang, bytes(r.counts)))
@@ -188,8 +196,8 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
                     names[a + i], score[a + i] = found[i], sure[i]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    rows = docs.select(quoted(id_col).alias("doc_id"), F.lower(quoted(text_col)), F.coalesce(quoted(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return in_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ Scale: one pass over the texts writes each row's counts; the references (a few h
 ``COMMON``, partially aggregated) and the verdicts are made from those. Nothing is shuffled but the sums. Equal 5-word windows are found on 64-bit hashes
 within one document.
 
-Defined results: a null text counts as empty and fails for its length; repeated rows and null ids keep their rows;
-with no document in a reference language there is no reference, and only the base rules judge.
+Defined results: a null text counts as empty and fails for its length; repeated rows and null ids keep their rows, each judged
+alike; a null language is no reference; with no document in a reference language there is no reference, and only the base rules
+judge; an empty table gives no rows; a very long text is measured whole, in one row; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, quoted, table, unboxed
 
 # Frequent function words of each reference language.
 COMMON = {
@@ -76,32 +77,31 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, 0).otherwise(let(windows, once)).cast("long")
 
 
-def histograms(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __chars and __words: counts of character classes, and of common words followed by all other words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def histograms(docs: DataFrame) -> DataFrame:
+    """docs (text and others) with ``chars`` and ``words``: counts of character classes, and of common words followed by all other words."""
+    text = F.coalesce("text", F.lit(""))
     rest = without(text, r"\p{L}+")
     upper = F.length(without(text, r"[^\p{Lu}]+"))
     digits, spaces, marks = (F.length(rest) - F.length(without(rest, p)) for p in ("[0-9]+", SPACES, PUNCTUATION))
     classes = [F.length(text) - F.length(rest) - upper, upper, digits, spaces, marks, F.length(rest) - digits - spaces - marks]
     tokens = F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
     held = let(tokens, lambda t: F.struct(F.size(t).alias("n"), F.array_join(F.filter(t, lambda w: w.isin(WORDS)), "  ").alias("s")))
-    out = docs.withColumn("__chars", F.array(*[c.cast("double") for c in classes])).withColumn("__held", held)
-    joined = F.concat(F.lit(" "), F.col("__held.s"), F.lit(" "))
-    counts = [(F.length(joined) - F.length(F.replace(joined, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in WORDS]
-    named = F.array(*counts)
-    other = F.col("__held.n") - F.aggregate(F.col("__words"), F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("__words", named).withColumn("__words", F.concat("__words", F.array(other))).drop("__held")
+    out = docs.withColumn("chars", F.array(*[c.cast("int") for c in classes])).withColumn("held", held)
+    joined = F.concat(F.lit(" "), F.col("held.s"), F.lit(" "))
+    counts = [((F.length(joined) - F.length(F.replace(joined, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in WORDS]
+    other = F.col("held.n") - F.aggregate("words", F.lit(0), lambda a, x: a + x)
+    return out.withColumn("words", F.array(*counts)).withColumn("words", F.concat("words", F.array(other))).drop("held")
 
 
 def references(measures: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """For each reference language that has documents: the shares of character classes and of words."""
-    sizes = {"__chars": 6, "__words": len(WORDS) + 1}
+    sizes = {"chars": 6, "words": len(WORDS) + 1}
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
     out = {}
-    for row in measures.filter(F.col("__lang").isin(list(COMMON))).groupBy("__lang").agg(*sums).collect():  # a row for each language of COMMON at most
+    for row in measures.filter(F.col("lang").isin(list(COMMON))).groupBy("lang").agg(*sums).collect():  # a row for each language of COMMON at most
         parts = [[row[f"{c}{i}"] for i in range(n)] for c, n in sizes.items()]
         if all(sum(p) for p in parts):
-            out[row["__lang"]] = tuple([x / sum(p) for x in p] for p in parts)
+            out[row["lang"]] = tuple([x / sum(p) for x in p] for p in parts)
     return out
 
 
@@ -114,37 +114,36 @@ def distance(counts: Column, shares: list[float]) -> Column:
         return (gain(p) + gain(q)) / 2
 
     def divergence(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
         inner = let(total, lambda n: F.aggregate(F.zip_with(c, F.array(*map(F.lit, shares)), lambda x, q: term(x / n, q)), F.lit(0.0), lambda a, x: a + x))
         return F.when(total > 0, F.sqrt(F.greatest(inner, F.lit(0.0))))
 
     return let(counts, divergence)
 
 
-def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with __lang, __n_chars, the histograms and the base counts; one pass over the texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (text and others) with n_chars, the histograms and the base counts; one pass over the texts."""
+    text = F.coalesce("text", F.lit(""))
     rest = without(text, r"\p{L}+")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = histograms(docs, text_col).withColumn("__split", words_of(text))
+    out = histograms(docs).withColumn("split", words_of(text))
     return out.withColumns({
-        "__lang": F.col(lang_col),
-        "__n_chars": F.length(text),
-        "__n_words": F.size("__split").cast("long"),
-        "__word_chars": F.length(without(text, SPACES)).cast("long"),
-        "__n_symbols": (F.length(rest) - F.length(without(rest, SYMBOLS))).cast("long"),
-        "__n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "__n_repeat_words": let(F.col("__split"), repeated_words),
-    }).drop("__split")
+        "n_chars": F.length(text),
+        "n_words": F.size("split").cast("long"),
+        "word_chars": F.length(without(text, SPACES)).cast("long"),
+        "n_symbols": (F.length(rest) - F.length(without(rest, SYMBOLS))).cast("long"),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": let(F.col("split"), repeated_words),
+    }).drop("split")
 
 
 def judged(measures: DataFrame, reference: dict) -> DataFrame:
-    """measures with __base_failed, __char_distance, __word_distance and __kept."""
+    """measures with base_failed, char_distance, word_distance and kept."""
     near = lambda column, k: F.array_min(F.array(*[distance(F.col(column), r[k]) for r in reference.values()])) if reference else F.lit(None).cast("double")
-    out = measures.withColumns({"__char_distance": F.round(near("__chars", 0), 6), "__word_distance": F.round(near("__words", 1), 6)})
-    odd = ((F.col("__n_chars") >= CHAR_LEAST) & (F.col("__char_distance") > CHAR_DISTANCE)) | ((F.col("__n_words") >= WORD_LEAST) & (F.col("__word_distance") > WORD_DISTANCE))
-    failed = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
-    return out.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~F.coalesce(odd, F.lit(False)))
+    out = measures.withColumns({"char_distance": F.round(near("chars", 0), 6), "word_distance": F.round(near("words", 1), 6)})
+    odd = ((F.col("n_chars") >= CHAR_LEAST) & (F.col("char_distance") > CHAR_DISTANCE)) | ((F.col("n_words") >= WORD_LEAST) & (F.col("word_distance") > WORD_DISTANCE))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(odd, F.lit(False)))
 
 
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
@@ -152,15 +151,16 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, counts, distances, verdict) for each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    measures = materialize(measured(rows).drop("text", "lang"), "measures")
-    return judged(measures, references(measures)).select("doc_id", *[F.col(f"__{c}").alias(c) for c in RESULT])
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
+    measures = materialize(measured(rows).drop("text"), "measures")
+    return judged(measures, references(measures)).select("doc_id", *RESULT)
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with their own columns. The rows are written once with their measures, so the texts are read once."""
-    measures = materialize(measured(docs, text_col, lang_col), "measures")
-    return judged(measures, references(measures)).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
+    measures = materialize(measured(rows).drop("text"), "measures")
+    return unboxed(judged(measures, references(measures)).filter("kept"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,15 @@ block, y visits the home of x there, so comparing the home members of an anchor
 
 Scale: equal fingerprints are one row before anything is replicated, so exact copies cost nothing. An anchor with more
 than ``tile`` members is cut into tiles that are compared apart; a task reports the forest that its links span, never
-the links within a dense group. Components come from large-star and small-star rounds over written tables, with salted joins.
+the links within a dense group. Pairs for each anchor grow with the square of the fingerprints, so from ``MANY`` fingerprints on
+two blocks of 32 bits stand for three of 21 and 22: 16 times the replicas, 2,000 times the anchors, the same links. (Computed:
+at 200 million fingerprints the pairs of three blocks cost what the replicas of two do.) Components come from large-star and
+small-star rounds over written tables, with salted joins.
 
 Defined results: a null or wordless text has fingerprint zero and is linked as any other; a repeated row gets
-the same row again; a null doc_id keeps its row and counts in no component_id unless nothing else is there (null).
+the same row again; a null doc_id keeps its row and counts in no component_id unless nothing else is there (null); an empty
+table gives no rows; a very long text is read whole; further columns may have any name. Of a component one row stays: the smallest
+id (null ids last), then the smallest hash of its text, then of its other columns; rows equal in all of them are alike.
 """
 
 from __future__ import annotations
@@ -29,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_out, steps, table, utf8
+from .common import KEY, boxed, in_batches, materialize, quoted, spread_out, steps, table, unboxed, utf8
 
 SEED = 42
 HAMMING = 15
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Candidate pairs that one numpy step compares.
 PAIRS = 2_000_000
+#: Fingerprints from which on two blocks cost less than three.
+MANY = 200_000_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -73,8 +80,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found[i] = majority(shingle_hashes(data[at[i] : at[i + 1]].tobytes(), words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col).alias("text"))
+    return in_batches(rows, run, "doc_id long, text_key long, fp long")
 
 
 class Covering:
@@ -152,12 +159,12 @@ def compared(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int)
     return forest(np.concatenate(left), np.concatenate(right))
 
 
-def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, tile: int = 1024) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = 4, blocks: int | None = None, tile: int = 1024) -> DataFrame:
     """Edges (a, b) between different fingerprints, whose connected parts are those of all links.
 
-    distinct has one row for each fingerprint, in column fp.
+    distinct has one row for each fingerprint, in column fp, and is cheap to count.
     """
-    code = Covering(threshold, blocks)
+    code = Covering(threshold, blocks or (3 if distinct.count() < MANY else 2))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +193,7 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, tile: int =
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    rows = spread_out(distinct.select("fp"), "fp").mapInArrow(spread, "anchor long, fp long, home boolean")
+    rows = in_batches(spread_out(distinct.select("fp")), spread, "anchor long, fp long, home boolean")
     crowded = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "crowded")
     n_crowded = crowded.count()
     if n_crowded:
@@ -203,7 +210,7 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, tile: int =
     else:
         rows = rows.withColumn("key", F.col("anchor"))
     dealt = rows.select("key", "fp", "home").repartition("key").sortWithinPartitions("key")
-    edges = dealt.mapInArrow(compare, "a long, b long")
+    edges = in_batches(dealt, compare, "a long, b long")
     return edges.distinct()
 
 
@@ -236,7 +243,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 4, blocks: int = 3, tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 4, blocks: int | None = None, tile: int = 1024) -> DataFrame:
     """(doc_id, text_key, fp, component_id) for each row of docs."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -255,13 +262,12 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     """docs with one document of each component of found (doc_id, text_key, fp, component_id)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = found.groupBy(F.coalesce("component_id", "fp"), F.col("component_id").isNull()).agg(F.min(order).alias("k"))
-    keys = ["__none", "__id", "__text"]
-    kept = kept.select(F.col("k.none").alias(keys[0]), F.coalesce("k.doc_id", F.lit(0)).alias(keys[1]), F.col("k.text_key").alias(keys[2])).distinct()
-    doc_id = F.col(id_col).cast("long")
-    keyed = docs.withColumns({keys[0]: doc_id.isNull(), keys[1]: F.coalesce(doc_id, F.lit(0)), keys[2]: F.xxhash64(text_col)})
-    staying = keyed.join(kept, keys, "left_semi")
-    once = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    return staying.withColumn("__n", once).filter("__n = 1").drop("__n", *keys)
+    kept = kept.select(F.col("k.none").alias(KEY[0]), F.coalesce("k.doc_id", F.lit(0)).alias(KEY[1]), F.col("k.text_key").alias(KEY[2])).distinct()
+    staying = boxed(docs, id_col, text_col).join(kept, KEY, "left_semi")
+    others = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("others"))
+    ranked = staying.withColumn("others", F.xxhash64(*others)).withColumn("place", place)
+    return unboxed(ranked.filter("place = 1"))
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
