@@ -3,17 +3,22 @@
 A line's tokens are its words, with those that hold a digit masked as a variable field. The tree's first level is the
 token count, the next ``DEPTH`` levels are the leading tokens; a leaf holds lines alike in these. Within a leaf,
 tokens of a position that fewer than the needed number of different lines share become variable fields too, if what stays
-constant is at least ``CONSTANT`` of the line and ``LEAST_CONSTANT`` tokens. A template recurs if lines of so many
-documents have it: ``SHORT_DOCS`` for a short line, ``LONG_DOCS`` for one of ``LONG`` tokens or more. Lines of recurring
-templates are dropped; a document whose words lie mostly (over ``COPY_SHARE``) in such lines is a copy of others and stays
-whole, as copies are the work of near-duplicate detection, which keeps one of them.
+constant is at least ``CONSTANT`` of the line and ``LEAST_CONSTANT`` tokens. A template recurs if it stands in so many different
+texts: ``SHORT_DOCS`` for a short line, ``LONG_DOCS`` for one of ``LONG`` tokens or more. Lines of recurring templates are dropped
+wherever they stand.
+
+Near copies of one document share all their lines, which are no boilerplate: near-duplicate detection keeps one of them, and
+it must stay whole. So texts are told apart first: one whose words lie mostly (over ``COPY_SHARE``) in lines that recur word for
+word is copy-like, and a template recurs only if texts that are not copy-like hold it often enough, and are at least
+``OWN_SHARE`` of all that hold it. Copy-like texts lose lines of recurring templates as others do.
 
 Scale: two passes make small rows of hashes and counts; text is moved only for lines of leaves that vary and for the
-final join of the documents with their dropped lines; tokens, lines and leaves are compared by 64-bit hashes. All groups are counts with partial aggregation; documents are counted once
-for a line however often it repeats in them.
+final join of the documents with their dropped lines; tokens, lines and leaves are compared by 64-bit hashes. All groups are
+counts with partial aggregation; equal texts count once, and a text once for a line however often it repeats in it.
 
 Defined results: a null text stays null and has no line; lines of fewer than ``LEAST_TOKENS`` tokens are never
-dropped; rows equal in id and text count as one document and get the same result; an empty table gives no rows.
+dropped; a text of nothing but dropped lines becomes empty; rows with equal texts count once and get the same result; null ids are
+rows as any other; an empty table gives no rows; a very long text is read whole; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, broadcast_if_few, keyed, materialize, steps, table, utf8
+from .common import broadcast_if_few, in_batches, materialize, quoted, steps, table, unboxed, utf8
 from .decontamination import BASE, bitmap, mixed, passing, rolled, token_bounds
 
 DEPTH = 3
 LEAST_TOKENS, LONG = 3, 20
 SHORT_DOCS, LONG_DOCS = 10, 3
 CONSTANT, LEAST_CONSTANT = 0.8, 6
-COPY_SHARE = 0.5
+COPY_SHARE, OWN_SHARE = 0.6, 0.25
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[32, *range(9, 14)]] = False
 FIELD = 0xF1E1DF1E1DF1E1DF  # stands for the hash of a variable field
@@ -66,18 +71,26 @@ class Lines:
             self.leaf = mixed(self.leaf * np.uint64(BASE) + np.where(i < self.n, token, np.uint64(0)))
 
 
+def recurs(n: Column, texts: Column, own: Column) -> Column:
+    """Whether a template of n tokens that stands in so many texts, ``own`` of them not copy-like, is boilerplate."""
+    return (own >= needed(n)) & (own >= OWN_SHARE * texts)
+
+
 def addressed(docs: DataFrame) -> DataFrame:
-    """(KEY, pos, n, leaf, line) for each line of docs (KEY, text) that has a token; line is a hash of its masked tokens."""
+    """(text_key, pos, n, leaf, line, first) for each line with a token of the different texts of docs (text_key, text): line is a
+    hash of its masked tokens, first whether it stands at no earlier place of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column(3))
+            data, at = utf8(batch.column(1))
             for a, b in steps(at):
                 own = Lines(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                keys = batch.select(KEY).take(pa.array(own.text + a))
-                yield pa.RecordBatch.from_arrays([*keys.columns, *map(pa.array, (own.pos.astype(np.int32), own.n.astype(np.int32), own.leaf.view(np.int64), own.line.view(np.int64)))], [*KEY, "pos", "n", "leaf", "line"])
+                first = np.zeros(len(own.line), bool)
+                first[np.unique(mixed(own.line * np.uint64(BASE) + own.text.astype(np.uint64)), return_index=True)[1]] = True
+                keys = batch.column(0).take(pa.array(own.text + a))
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, (own.pos.astype(np.int32), own.n.astype(np.int32), own.leaf.view(np.int64), own.line.view(np.int64), first))], ["text_key", "pos", "n", "leaf", "line", "first"])
 
-    return docs.select(*KEY, "text").mapInArrow(run, f"{KEY[0]} boolean, {KEY[1]} long, {KEY[2]} long, pos int, n int, leaf long, line long")
+    return in_batches(docs.select("text_key", "text"), run, "text_key long, pos int, n int, leaf long, line long, first boolean").distinct()
 
 
 def lines_of_leaves(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -97,74 +110,71 @@ def lines_of_leaves(docs: DataFrame, leaves: DataFrame) -> DataFrame:
                 tokens = pa.ListArray.from_arrays(pa.array(cuts), pa.array(own.tokens[each].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(own.leaf[hit].view(np.int64)), pa.array(own.line[hit].view(np.int64)), tokens], ["leaf", "line", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "leaf long, line long, tokens array<long>")
+    return in_batches(docs.select("text"), run, "leaf long, line long, tokens array<long>")
 
 
 def generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """(leaf, line) for lines that recur only as a template with more variable fields.
 
-    counts has (leaf, line, n, docs, alone) of all lines: those that recur by themselves (alone) support their template too.
+    counts has (leaf, line, n, texts, own, alone) of all lines: those that recur by themselves (alone) support their template too.
     """
-    varied = counts.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("docs").alias("all"), F.count_if(~F.col("alone")).alias("open"))
-    varied = materialize(varied.filter((F.col("open") > 0) & (F.col("lines") > 1) & (F.col("all") >= needed(F.col("n"))) & (F.col("n") >= LEAST_CONSTANT)).select("leaf", "n"), "varied")
-    wanted = materialize(counts.join(broadcast_if_few(varied), ["leaf", "n"], "left_semi").select("leaf", "line", "n", "docs", "alone"), "candidates")
+    varied = counts.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("own").alias("own"), F.count_if(~F.col("alone")).alias("open"))
+    varied = materialize(varied.filter((F.col("open") > 0) & (F.col("lines") > 1) & (F.col("own") >= needed(F.col("n"))) & (F.col("n") >= LEAST_CONSTANT)).select("leaf", "n"), "varied")
+    wanted = materialize(counts.join(broadcast_if_few(varied), ["leaf", "n"], "left_semi").select("leaf", "line", "n", "texts", "own", "alone"), "candidates")
     one = lines_of_leaves(docs, varied).dropDuplicates(["leaf", "line"]).join(broadcast_if_few(wanted), ["leaf", "line"])
     one = materialize(one, "lines")
-    places = one.select("leaf", "line", "n", "docs", "alone", F.posexplode("tokens").alias("i", "token"))
-    common = places.groupBy("leaf", "n", "i", "token").agg(F.sum("docs").alias("d")).filter(F.col("d") >= needed(F.col("n"))).select("leaf", "i", "token")
-    constant = places.filter(~F.col("alone")).join(common, ["leaf", "i", "token"]).groupBy("leaf", "line", "n", "docs")
-    parts = constant.agg(F.sum((F.col("token") != FIELD - (1 << 64)).cast("int")).alias("fixed"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("own"))
+    places = one.select("leaf", "line", "n", "texts", "own", "alone", F.posexplode("tokens").alias("i", "token"))
+    common = places.groupBy("leaf", "n", "i", "token").agg(F.sum("own").alias("d")).filter(F.col("d") >= needed(F.col("n"))).select("leaf", "i", "token")
+    constant = places.filter(~F.col("alone")).join(common, ["leaf", "i", "token"]).groupBy("leaf", "line", "n", "texts", "own")
+    parts = constant.agg(F.sum((F.col("token") != FIELD - (1 << 64)).cast("int")).alias("fixed"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("held"))
     parts = parts.filter((F.col("fixed") >= CONSTANT * F.col("n")) & (F.col("fixed") >= LEAST_CONSTANT))
-    parts = materialize(parts.select("leaf", "line", "n", "docs", F.xxhash64("own").alias("template"), F.col("own.i").alias("places")), "templates")
+    parts = materialize(parts.select("leaf", "line", "n", "texts", "own", F.xxhash64("held").alias("template"), F.col("held.i").alias("places")), "templates")
     # a line that recurs by itself has each template of its leaf that it agrees with
     masks = parts.select("leaf", "places").distinct()
     seen_as = F.xxhash64(F.transform("places", lambda i: F.struct(i.alias("i"), F.get("tokens", i).alias("token"))))
-    more = one.filter("alone").join(masks, "leaf").select("leaf", seen_as.alias("template"), "n", "docs")
-    recurring = parts.select("leaf", "template", "n", "docs").union(more).groupBy("leaf", "template", "n").agg(F.sum("docs").alias("all")).filter(F.col("all") >= needed(F.col("n")))
-    return parts.join(recurring, ["leaf", "template", "n"]).select("leaf", "line")
+    more = one.filter("alone").join(masks, "leaf").select("leaf", seen_as.alias("template"), "n", "texts", "own")
+    every = parts.select("leaf", "template", "n", "texts", "own").union(more).groupBy("leaf", "template", "n").agg(F.sum("texts").alias("texts"), F.sum("own").alias("own"))
+    return parts.join(every.filter(recurs(F.col("n"), F.col("texts"), F.col("own"))).select("leaf", "template", "n"), ["leaf", "template", "n"]).select("leaf", "line")
 
 
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs has KEY and text. Returns (KEY, n_lines, n_dropped, copy_like, drop: positions) of the texts with lines, and the recurring (leaf, line)."""
-    all_lines = materialize(addressed(docs), "addressed")
-    once = all_lines.filter(F.col("n") >= LEAST_TOKENS).select("leaf", "line", "n", *KEY).distinct()
-    counts = materialize(once.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs")), "counts")
-    alone = F.col("docs") >= needed(F.col("n"))
-    recurring = counts.filter(alone).select("leaf", "line").union(generalised(docs, counts.withColumn("alone", alone)))
-    recurring = materialize(recurring, "recurring")
-    marked = all_lines.join(broadcast_if_few(recurring.withColumn("hit", F.lit(1))), ["leaf", "line"], "left")
-    hit = F.col("hit").isNotNull()
-    # a row may stand more than once in docs: its positions are made distinct, so its lines count once
-    per_line = marked.select(*KEY, "pos", "n", hit.alias("hit")).distinct()
-    sums = per_line.groupBy(*KEY).agg(F.count("*").alias("n_lines"), F.sum("n").alias("words"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("lost"), F.collect_list(F.when(F.col("hit"), F.col("pos"))).alias("drop"))
-    copy_like = F.col("lost") > COPY_SHARE * F.col("words")
-    drop = F.when(copy_like, F.array().cast("array<int>")).otherwise(F.col("drop"))
-    return sums.select(*KEY, "n_lines", copy_like.alias("copy_like"), drop.alias("drop")), recurring
-
-
-def without_templates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with lines of recurring templates taken out of the text, and __n_lines, __n_dropped, __copy_like."""
-    rows = keyed(docs, id_col, text_col)
-    found, _ = dropped_lines(rows.select(*KEY, F.col(text_col).alias("text")))
-    found = materialize(found, "dropped").withColumnsRenamed({"n_lines": "__n_lines", "copy_like": "__copy_like", "drop": "__drop"})
-    joined = rows.join(found, KEY, "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    n = F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
-    out = joined.withColumns({"__n_dropped": F.when(n > 0, n).otherwise(0).cast("long"), "__n_lines": F.coalesce("__n_lines", F.lit(0).cast("long")), "__copy_like": F.coalesce("__copy_like", F.lit(False))})
-    text = F.when(F.col("__n_dropped") > 0, kept).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).select(*docs.columns, "__n_lines", "__n_dropped", "__copy_like")
-
-
-def deduplicated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chars_col: str | None = None) -> DataFrame:
+    """docs has text_key and text. Returns (text_key, drop: positions) of the texts that lose lines, and (text_key) of the copy-like texts."""
+    lines = materialize(addressed(docs), "addressed")
+    # places that count: one for each text and line
+    once = lines.filter(F.col("first") & (F.col("n") >= LEAST_TOKENS))
+    alone = once.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts")).filter(F.col("texts") >= needed(F.col("n")))
+    alone = materialize(alone.select("leaf", "line", F.lit(1).alias("hit")), "alone")
+    shares = lines.join(broadcast_if_few(alone), ["leaf", "line"], "left").groupBy("text_key").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("hit") == 1, F.col("n"))).alias("lost"))
+    copies = materialize(shares.filter(F.col("lost") > COPY_SHARE * F.col("words")).select("text_key", F.lit(1).alias("copy")), "copies")
+    marked = once.join(broadcast_if_few(copies), "text_key", "left")
+    counts = materialize(marked.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts"), F.count_if(F.col("copy").isNull()).alias("own")), "counts")
+    counts = counts.withColumn("alone", recurs(F.col("n"), F.col("texts"), F.col("own")))
+    recurring = materialize(counts.filter("alone").select("leaf", "line").union(generalised(docs, counts)), "recurring")
+    drop = lines.join(broadcast_if_few(recurring), ["leaf", "line"]).groupBy("text_key").agg(F.collect_list("pos").alias("drop"))
+    return materialize(drop, "dropped"), copies.select("text_key")
+
+
+def without_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, text, n_dropped, copy_like): each row of docs with its cleaned text and the number of its lines that went."""
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("text_key"))
+    drop, copies = dropped_lines(rows)
+    joined = rows.join(drop, "text_key", "left").join(broadcast_if_few(copies.withColumn("copy_like", F.lit(True))), "text_key", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
+    return joined.select("row", F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text")).alias("text"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("copy_like", F.lit(False)).alias("copy_like"))
+
+
+def deduplicated_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """docs with their own columns and cleaned texts; chars_col, if given, is set to the new length where lines went."""
-    out = without_templates(docs, text_col, id_col)
+    out = without_templates(docs, text_col)
+    gone = F.col("n_dropped") > 0
+    row = F.col("row").withField("`" + text_col + "`", F.col("text"))
     if chars_col:
-        length = F.length(text_col).cast(docs.schema[chars_col].dataType)
-        out = out.withColumn(chars_col, F.when(F.col("__n_dropped") > 0, length).otherwise(F.col(chars_col)))
-    return out.select(*docs.columns)
+        length = F.length("text").cast(docs.schema[chars_col].dataType)
+        row = row.withField("`" + chars_col + "`", F.when(gone, length).otherwise(F.col("row").getField(chars_col)))
+    return unboxed(out.select(row.alias("row")))
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = without_templates(docs)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__copy_like").alias("copy_like"), F.sha1("text").alias("text_sha1"))
+    return out.select("row.doc_id", "n_dropped", "copy_like", F.sha1("text").alias("text_sha1"))

@@ -15,42 +15,48 @@ def need(n):
 
 def brute(docs):
     """The same tree with dictionaries of Python."""
-    once = set(docs)
+    texts = {text for _, text in docs if text is not None}
     where = defaultdict(set)
-    for doc in once:
-        for line in (doc[1] or "").split("\n") if doc[1] is not None else ():
+    for text in texts:
+        for line in text.split("\n"):
             if len(masked(line)) >= L.LEAST_TOKENS:
-                where[masked(line)].add(doc)
-    recurring = {t for t, d in where.items() if len(d) >= need(len(t))}
+                where[masked(line)].add(text)
+    often = {t for t, d in where.items() if len(d) >= need(len(t))}
+    copies = set()
+    for text in texts:
+        lines = [masked(x) for x in text.split("\n")]
+        if sum(len(t) for t in lines if t in often) > L.COPY_SHARE * sum(map(len, lines)):
+            copies.add(text)
+    own = {t: len(d - copies) for t, d in where.items()}
+    recurs = lambda n, group: sum(own[t] for t in group) >= max(need(n), L.OWN_SHARE * sum(len(where[t]) for t in group))
+    recurring = {t for t in where if recurs(len(t), [t])}
     leaves = defaultdict(list)
     for t in where:
-        if t not in recurring and len(t) >= L.LEAST_CONSTANT:
+        if len(t) >= L.LEAST_CONSTANT:
             leaves[len(t), t[: L.DEPTH]].append(t)
-    for (n, _), own in leaves.items():
-        if len(own) < 2:
-            continue
+    more = set()
+    for (n, _), lines in leaves.items():
         votes = defaultdict(int)
-        for t in own:
+        for t in lines:
             for i, x in enumerate(t):
-                votes[i, x] += len(where[t])
+                votes[i, x] += own[t]
         groups = defaultdict(list)
-        for t in own:
+        for t in lines:
             template = tuple((i, x) for i, x in enumerate(t) if votes[i, x] >= need(n))
             fixed = sum(x != "<*>" for _, x in template)
-            if fixed >= L.CONSTANT * n and fixed >= L.LEAST_CONSTANT:
+            if t not in recurring and fixed >= L.CONSTANT * n and fixed >= L.LEAST_CONSTANT:
                 groups[template].append(t)
-        for found in groups.values():
-            if sum(len(where[t]) for t in found) >= need(n):
-                recurring |= set(found)
+        for template, found in groups.items():
+            agree = [t for t in lines if t in recurring and all(t[i] == x for i, x in template)]
+            if recurs(n, found + agree):
+                more |= set(found)
+    recurring |= more
     out = []
     for doc_id, text in docs:
         parts = text.split("\n") if text is not None else []
-        tokens = [masked(p) for p in parts]
-        hit = [i for i, t in enumerate(tokens) if t in recurring]
-        copy = sum(len(tokens[i]) for i in hit) > L.COPY_SHARE * sum(map(len, tokens))
-        gone = [] if copy else hit
+        gone = [i for i, p in enumerate(parts) if masked(p) in recurring]
         new = text if not gone else "\n".join(p for i, p in enumerate(parts) if i not in gone)
-        out.append((doc_id, new, sum(1 for t in tokens if t), len(gone), bool(parts) and copy))
+        out.append((doc_id, new, len(gone), text in copies))
     return sorted(out, key=str)
 
 
@@ -72,18 +78,26 @@ def corpus():
             body += ["All rights reserved", "All rights reserved", "", "short one"]
         docs.append((i, "\n".join(body)))
     docs += [(200 + i, docs[1][1]) for i in range(12)] + [(docs[3]), (docs[3]), (None, docs[5][1]), (300, None), (301, ""), (302, "\n\n"), (303, "All rights reserved"), (304, "x" * 50_000)]
-    return docs
+    docs += [(310, "Posted on 2024-01-7 by user7 at site"), (311, "own little words\nPosted on 2024-01-7 by user7 at site")]
+    base = [say(14) for _ in range(12)]  # near copies: each has another line of its own
+    docs += [(400 + i, "\n".join([*base[: i % 12], say(14), *base[i % 12 + 1 :]])) for i in range(30)]
+    return [*docs, (500, "\n".join([say(9) for _ in range(20_000)] + ["All rights reserved"]))]
 
 
 def test_rows_equal_brute_force(spark):
     docs = corpus()
-    frame = spark.createDataFrame([(a, b, 1, 2) for a, b in docs], "doc_id long, text string, leaf int, n int")
-    got = sorted([(r.doc_id, r.text, r["__n_lines"], r["__n_dropped"], r["__copy_like"]) for r in L.without_templates(frame).collect()], key=str)
+    frame = spark.createDataFrame([(a, b, 1, 2, 3, 4) for a, b in docs], "doc_id long, text string, leaf int, text_key int, drop int, row int")
+    got = L.without_templates(frame).select("row.doc_id", "text", "n_dropped", "copy_like").collect()
     want = brute(docs)
-    assert got == want
-    assert sum(r[3] for r in want) > 40 and any(r[4] for r in want)
-    assert not any(x in (r[1] or "") for r in want if not r[4] for x in ("weekly letter", "Posted on"))
-    assert L.deduplicated_lines(frame).columns == frame.columns
+    assert sorted(map(tuple, got), key=str) == want
+    assert sum(r[2] for r in want) > 40
+    copies = {r[0] for r in want if r[3]}
+    assert set(range(400, 430)) <= copies and all(r[2] == 0 for r in want if r[0] in range(400, 430))
+    assert not any(x in (r[1] or "") for r in want for x in ("weekly letter", "Posted on"))
+    assert dict((r[0], r[1]) for r in want)[310] == ""
+    clean = L.deduplicated_lines(frame, chars_col="leaf")
+    assert clean.columns == frame.columns
+    assert sorted(((r.doc_id, r.text, r.text_key, r.drop, r.row) for r in clean.collect()), key=str) == sorted(((r[0], r[1], 2, 3, 4) for r in want), key=str)
 
 
 def test_empty(spark):
