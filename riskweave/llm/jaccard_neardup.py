@@ -1,15 +1,18 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash anchors and, for what 64-bit fingerprints miss, by exact Jaccard similarity of word shingles.
 
 Two texts are linked if the sets of their shingles' hashes have a Jaccard similarity of at least 4/5; a component is
-what links reach. No link is missed: shingles stand in one global order, and two sets so alike share a shingle among the
-first n - ceil(4n/5) + 1 of each (prefix filter), so only texts that share such a shingle are compared, on their whole sets.
+what links reach. First the fingerprints of simhash_neardup are covered with anchors, which finds exact and close copies;
+each such pair is verified on the whole sets. Fingerprints of pairs of similarity 0.8 differ in about 10 of 64 bits, too many for a
+covering (threshold 15 in four blocks would put each at about 630 anchors), so an exact search follows: shingles stand in one
+global order, and two sets so alike share a shingle among the first n - ceil(4n/5) + 1 of each (prefix filter), so only
+texts that share such a shingle and are not linked yet are compared. No link is missed.
 
 Scale: equal sets are one node. The order is by hash, but shingles that stand in many prefixes come last (any order is
 right), so boilerplate meets only in texts made of it. In the rounds each text of a shingle is compared with one text of
 each round's choice, and links found are merged; only then are all pairs compared that still lie in different components.
-So dense groups cost a few comparisons a text. Most pairs
-are ruled out by counts of their shingles' first bytes, an upper bound of what they share; the others by their whole sets. Texts made mostly of common shingles that are still no copies of each
-other are compared pair by pair.
+So dense groups cost a few comparisons a text. Most pairs are ruled out by counts of their shingles' first bytes, an upper bound
+of what they share; the others by their whole sets, which are made once for each text that needs them. Texts made mostly of
+common shingles that are still no copies of each other are compared pair by pair.
 
 Defined results: as in simhash_neardup; all wordless and null texts have the same empty set.
 """
@@ -24,13 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, materialize, utf8
-from .simhash_neardup import SEED, components, one_of_each, shingle_hashes
+from . import simhash_neardup as simhash
+from .common import KEY, boxed, broadcast_if_few, in_batches, materialize, quoted, utf8
+from .simhash_neardup import SEED, components, majority, one_of_each, shingle_hashes
 
 #: Prefixes from which on a shingle comes last in the order, and how many such shingles there are at most.
 COMMON, MOST_COMMON = 32, 500_000
 #: Rounds that compare with one text for each shingle, before all that is left.
-ROUNDS = 3
+ROUNDS = 2
 #: Comparisons with one text that one task makes.
 CROWD = 256
 
@@ -58,21 +62,29 @@ def alike(shared: Column, a: Column, b: Column) -> Column:
 
 
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, node, n, prefix, sketch) of docs (doc_id, text_key, text): the set's hash and size, and its first shingles by hash."""
+    """(doc_id, text_key, node, n, fp, prefix, sketch) of docs (doc_id, text_key, text): the set's hash and size, the text's
+    fingerprint, and the set's first shingles by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(2))
-            sets = [shingle_set(data[a:b].tobytes(), words) for a, b in zip(at, at[1:], strict=False)]
-            node = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
-            first = [x[: prefix_length(len(x))].view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.binary())], ["doc_id", "text_key", "node", "n", "prefix", "sketch"])
+            node, size, prints, first, counts = [], [], [], [], []
+            for a, b in zip(at, at[1:], strict=False):
+                hashes = shingle_hashes(data[a:b].tobytes(), words)
+                own = np.unique(hashes)
+                node.append(node_of(own))
+                size.append(len(own))
+                prints.append(majority(hashes))
+                first.append(own[: prefix_length(len(own))].view(np.int64))
+                counts.append(sketch(own))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed[0], pa.array(size, pa.int32()), signed[1], pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "text_key", "node", "n", "fp", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, node long, n int, prefix array<long>, sketch binary")
+    return in_batches(docs, run, "doc_id long, text_key long, node long, n int, fp long, prefix array<long>, sketch binary")
 
 
 def reordered(docs: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """(node, n, token) for the texts of docs (text) with a common shingle among the first by hash: the first where common ones come last."""
+    """(node, n, token) for the texts of docs (text): the first shingles where common ones come last."""
     held = docs.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,15 +96,13 @@ def reordered(docs: DataFrame, words: int, common: np.ndarray) -> DataFrame:
                 own = shingle_set(data[a:b].tobytes(), words)
                 k = prefix_length(len(own))
                 late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
-                if late[:k].any():
-                    first = np.concatenate([own[~late], own[late]])[:k]
-                    node.append(np.full(k, node_of(own), np.uint64))
-                    size.append(np.full(k, len(own), np.int32))
-                    token.append(first)
+                node.append(np.full(k, node_of(own), np.uint64))
+                size.append(np.full(k, len(own), np.int32))
+                token.append(np.concatenate([own[~late], own[late]])[:k])
             if node:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(token).view(np.int64))], ["node", "n", "token"])
 
-    return docs.select("text").mapInArrow(run, "node long, n int, token long")
+    return in_batches(docs.select("text"), run, "node long, n int, token long")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -105,20 +115,22 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
             node = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+    return in_batches(docs.select("text"), run, "node long, shingles array<long>")
 
 
 def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     """(token, node, n) for the prefix shingles that more than one node has."""
     plain = one.select("node", "n", F.explode("prefix").alias("token"))
     counts = materialize(plain.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1"), "shared")
-    common = counts.filter(F.col("d") > COMMON).orderBy(F.desc("d"), "token").limit(MOST_COMMON).select("token")
-    late = common.toArrow().column(0).to_numpy()
+    common = materialize(counts.filter(F.col("d") > COMMON).orderBy(F.desc("d"), "token").limit(MOST_COMMON).select("token"), "common")
+    late = common.toArrow().column(0).to_numpy()  # at most MOST_COMMON rows
     if not len(late):
         return materialize(plain.join(broadcast_if_few(counts.select("token")), "token").select("token", "node", "n"), "entries")
-    new = materialize(reordered(docs, words, late).dropDuplicates(["node", "token"]), "reordered")
+    moved = materialize(plain.join(F.broadcast(common), "token", "left_semi").select("node").distinct().join(one.select("node", *KEY), "node"), "moved")
+    wanted = docs.join(broadcast_if_few(moved.select(*KEY)), KEY, "left_semi")
+    new = materialize(reordered(wanted, words, late).dropDuplicates(["node", "token"]), "reordered")
     # a shingle that came in for a common one may meet any other
-    rest = plain.join(broadcast_if_few(new.select("node").distinct()), "node", "left_anti")
+    rest = plain.join(broadcast_if_few(moved.select("node")), "node", "left_anti")
     both = rest.unionByName(new.select("node", "n", "token"))
     counts = materialize(both.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1").select("token"), "shared")
     return materialize(both.join(broadcast_if_few(counts), "token").select("token", "node", "n"), "entries")
@@ -143,24 +155,43 @@ def hopeful(rows: DataFrame) -> DataFrame:
             ok = pa.array((9 * most >= 4 * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))) | full)
             yield batch.select(["a", "b"]).filter(ok)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_batches(rows, run, "a long, b long")
+
+
+class Verifier:
+    """Tells which pairs of nodes are links. docs has (KEY, text), one a row for each node with the KEY of its first text."""
+
+    def __init__(self, docs: DataFrame, one: DataFrame, words: int):
+        self.docs, self.one, self.words = docs, one, words
+        self.sets = docs.sparkSession.createDataFrame([], "node long, shingles array<long>")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The links (a, b) among pairs: of those that the sketches allow, those whose whole sets are alike."""
+        pairs = materialize(hopeful(beside(pairs, self.one.select("node", F.col("sketch").alias("v")))), "hopeful")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.sets.select("node"), "node", "left_anti")
+        keys = materialize(ends.join(self.one.select("node", *KEY), "node").select(*KEY), "ends")
+        if not keys.isEmpty():
+            wanted = self.docs.join(broadcast_if_few(keys), KEY, "left_semi")
+            self.sets = self.sets.union(materialize(whole_sets(wanted, self.words).dropDuplicates(["node"]), "sets"))
+        values = self.sets.withColumnRenamed("shingles", "v")
+        return beside(pairs, values).filter(alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
-    """The links (a, b) among pairs: those of sketches that allow it, by their whole sets."""
-    pairs = materialize(hopeful(beside(pairs, one.select("node", F.col("sketch").alias("v")))), "hopeful")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(one.select("node", "doc_id", "text_key"), "node")
-    keys = materialize(ends.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k")), "ends")
-    wanted = docs.join(broadcast_if_few(keys), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
-    sets = materialize(whole_sets(wanted, words), "sets").withColumnRenamed("shingles", "v")
-    return beside(pairs, sets).filter(alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b").distinct()
+def fingerprint_pairs(one: DataFrame) -> DataFrame:
+    """(a, b): nodes that are alike by their fingerprints: each with the first of its own, and the firsts that anchors link."""
+    first = materialize(one.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    own = one.join(first, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(first.select("fp"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+    return own.union(near.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
 
 def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
-    """(node, root) for nodes of links; docs has (doc_id, text_key, text), one has a row for each node with its first text."""
-    spark = docs.sparkSession
+    """(node, root) for nodes of links; docs has (KEY, text), one has a row for each node with its first text."""
+    check = Verifier(docs, one, words)
+    edges = materialize(check.links(materialize(fingerprint_pairs(one), "pairs")), "links")
+    roots = materialize(components(edges), "roots")
     met = entries(docs, one, words)
-    edges, roots = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
     for k in range(ROUNDS + 1):
         named = met.join(broadcast_if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("hub")
@@ -171,7 +202,7 @@ def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
             ends = materialize(named.join(parted.select("token"), "token"), "ends")
             pairs = ends.join(ends.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("from")), "token").filter("root <> from AND a < node")
         pairs = pairs.filter(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", F.col("node").alias("b")).distinct()
-        new = materialize(verified(materialize(pairs, "pairs"), docs, one, words), "links")
+        new = materialize(check.links(materialize(pairs, "pairs")), "links")
         if new.isEmpty():
             continue
         edges = edges.union(new)
@@ -181,11 +212,13 @@ def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(doc_id, text_key, fp, component_id) for each row of docs; fp is the hash of the text's set of shingles."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    rows = materialize(prefixes(texts, words), "prefixes")
-    first = F.min_by(F.struct("doc_id", "text_key", "n", "prefix", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
-    one = materialize(rows.groupBy("node").agg(first.alias("r")).select("node", "r.*"), "nodes")
-    roots = links(texts, one, words)
+    texts = boxed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col)
+    rows = materialize(prefixes(texts.select("doc_id", F.col(KEY[2]).alias("text_key"), "text"), words), "prefixes")
+    none = F.col("doc_id").isNull()
+    first = F.min_by(F.struct("doc_id", "text_key", "n", "fp", "prefix", "sketch"), F.struct(none, "doc_id", "text_key"))
+    one = rows.groupBy("node").agg(first.alias("r")).select("node", "r.*")
+    one = materialize(one.withColumns({KEY[0]: none, KEY[1]: F.coalesce("doc_id", F.lit(0)), KEY[2]: F.col("text_key")}), "nodes")
+    roots = links(texts.select(*KEY, "text"), one, words)
     named = one.join(broadcast_if_few(roots), "node", "left").select("node", F.col("doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = named.join(smallest, "root").select("node", "component_id")
