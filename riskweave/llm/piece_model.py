@@ -1,21 +1,26 @@
-"""What the two tokenizer operators share: a sentencepiece file's vocabulary, and merging many strings at once."""
+"""What the two tokenizer operators share: a sentencepiece file's normaliser and vocabulary, a memory of recent chunks, and merging many strings at once."""
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 
 SPACE = "▁"
-NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 ENDED = re.compile(r"(.*[^\W_])[^\w\s]+$")
 #: Longer chunks are merged with a heap, one by one.
 LONG = 64
+#: Characters of the chunks that a worker remembers.
+MOST_CHARS = 16_000_000
+RUN = re.compile("  +")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -44,37 +49,123 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += n
 
 
-class Recent:
-    """Results of recent chunks: of the last ``most`` to twice as many, so frequent ones never go."""
+class Numbered(dict):
+    """Numbers of strings in the order in which they are first met."""
 
-    def __init__(self, base: dict, most: int):
-        self.base, self.most, self.now, self.before = base, most, dict(base), {}
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
 
-    def turn(self) -> None:
-        """To be called before a step, whose chunks then stay till its end."""
-        if len(self.now) > self.most:
-            self.before, self.now = self.now, dict(self.base)
 
-    def missing(self, chunks: set[str]) -> list[str]:
-        now, before, new = self.now, self.before, []
-        for c in chunks:
-            if c not in now:
-                if c in before:
-                    now[c] = before[c]
-                else:
-                    new.append(c)
-        return new
+class Memory:
+    """The chunks of recent texts by number, so that each is worked out once. When there are more than ``most``, or more than
+    ``MOST_CHARS`` characters of them, those that were rarely met since the last time go."""
+
+    def __init__(self, most: int):
+        self.most, self.numbers, self.uses, self.chars = most, Numbered(), np.zeros(0, np.int64), 0
+
+    def numbered(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The numbers of the chunks of some texts, where each text's begin (and the end), and the chunks that are new."""
+        known, get = len(self.numbers), self.numbers.__getitem__
+        flat, ends = array("i"), [0]
+        for chunks in texts:
+            flat.extend(map(get, chunks))
+            ends.append(len(flat))
+        numbers = np.array(flat, np.int32)
+        uses = np.bincount(numbers, minlength=len(self.numbers))
+        uses[:known] += self.uses
+        self.uses = uses
+        new = list(islice(self.numbers, known, None))
+        self.chars += sum(map(len, new))
+        return numbers, np.array(ends), new
+
+    def cleared(self) -> np.ndarray | None:
+        """To be called before a step: the numbers that stay, in their new order, if some go."""
+        if len(self.numbers) <= self.most and self.chars <= MOST_CHARS:
+            return None
+        keys = list(self.numbers)
+        size = np.array([len(k) for k in keys])
+        least = 2
+        while True:
+            keep = np.flatnonzero(self.uses >= least)
+            if len(keep) <= self.most // 2 and size[keep].sum() <= MOST_CHARS // 2:
+                break
+            least *= 2
+        self.numbers = Numbered((keys[k], i) for i, k in enumerate(keep.tolist()))
+        self.uses, self.chars = np.zeros(len(keep), np.int64), int(size[keep].sum())
+        return keep
+
+
+def charsmap_rules(blob: bytes) -> dict[str, str]:
+    """The rewrite rules of a precompiled character map: a double-array trie of UTF-8 sources, and their targets."""
+    (n,) = struct.unpack_from("<I", blob)
+    units, targets = np.frombuffer(blob, "<u4", n // 4, 4).tolist(), blob[4 + n :]
+    jump = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    out, todo = {}, [(jump(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        for c in range(1, 256):
+            if (at ^ c) < len(units) and units[at ^ c] & 0x800000FF == c:
+                unit = units[at ^ c]
+                below = at ^ c ^ jump(unit)
+                todo.append((below, key + bytes([c])))
+                if unit >> 8 & 1:
+                    start = units[below] & 0x7FFFFFFF
+                    out[(key + bytes([c])).decode()] = targets[start : targets.index(b"\0", start)].decode()
+    return out
+
+
+class Normaliser:
+    """The normaliser's machine. At each place it takes the longest user-defined piece, which stays as it is, or else the
+    longest rule's source, which becomes its target, or else one character; where ``trim`` is set, spaces at the ends and all
+    but one of a run go; ``prefix`` puts a space first. Results are in the space form: a space stands for U+2581."""
+
+    def __init__(self, rules: dict[str, str], user: list[str], prefix: bool, trim: bool):
+        self.prefix, self.trim, self.rules, self.user = " " * prefix, trim, rules, set(user)
+        longer = {k[0] for k in [*rules, *user] if len(k) > 1} | {k for k in user if len(k) == 1}
+        self.single = {ord(k): v for k, v in rules.items() if len(k) == 1 and k not in longer}
+        keys = [*sorted(self.user, key=len, reverse=True), *sorted((k for k in rules if len(k) > 1 or k in longer), key=len, reverse=True)]
+        self.pattern = re.compile("|".join(map(re.escape, keys))) if keys else None
+        self.plain = not rules and not user and not trim
+
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """What the text becomes, part by part, and whether a part is a user-defined piece."""
+        at = 0
+        for found in self.pattern.finditer(text) if self.pattern else ():
+            if found.start() > at:
+                yield text[at : found.start()].translate(self.single), False
+            yield (found[0], True) if found[0] in self.user else (self.rules[found[0]], False)
+            at = found.end()
+        yield text[at:].translate(self.single), False
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if not self.plain:
+            out, after_space = [], True
+            for part, whole in self.parts(text):
+                if self.trim:
+                    part = part.lstrip(" ") if after_space else part
+                    part = part if whole else RUN.sub(" ", part)
+                    after_space = part.endswith(" ") if part else after_space
+                out.append(part)
+            text = "".join(out)
+            text = text.rstrip(f" {SPACE}") if self.trim else text
+            if not text:
+                return ""
+        return (self.prefix + text).replace(SPACE, " ")
 
 
 class PieceModel:
-    """Pieces, scores and kinds by id, the model's kind and its normaliser's switches."""
+    """Pieces, scores and kinds by id, the model's kind and its normaliser."""
 
     def __init__(self, raw: bytes):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
         self.kind, charsmap = UNIGRAM, b""
-        self.dummy_prefix = self.trim = True
+        prefix = trim = escape = True
+        suffix = False
         for number, value in _fields(raw):
             if number == 1:
                 piece = dict(_fields(value))
@@ -82,16 +173,24 @@ class PieceModel:
                 self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
                 self.kinds.append(piece.get(3, NORMAL))
             elif number == 2:
-                self.kind = dict(_fields(value)).get(3, UNIGRAM)
+                spec = dict(_fields(value))
+                self.kind, suffix = spec.get(3, UNIGRAM), bool(spec.get(24, 0))
             elif number == 3:
                 spec = dict(_fields(value))
-                charsmap, self.dummy_prefix, self.trim = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        if charsmap or self.trim or USER in self.kinds:
-            raise ValueError("only models with the identity normaliser and no user-defined pieces")
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
-        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
+                charsmap, prefix, trim, escape = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
+        if suffix or not escape or UNUSED in self.kinds or self.kind not in (UNIGRAM, BPE):
+            raise ValueError("only BPE and unigram models with escaped spaces before words and no unused pieces")
+        of = lambda *kinds: {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in kinds}
+        self.user = of(USER)
+        # a user-defined piece of a BPE model is never merged; in a unigram model it is a piece like others
+        self.ids = of(NORMAL) if self.kind == BPE else of(NORMAL, USER)
+        self.bytes = {int(p[3:5], 16): i for p, i in of(BYTE).items()}
         if len(self.bytes) != 256:
             raise ValueError("only models with byte fallback")
+        self.normalised = Normaliser(charsmap_rules(charsmap) if charsmap else {}, list(self.user), prefix, trim)
+        whole = sorted((p.replace(SPACE, " ") for p in self.user), key=len, reverse=True) if self.kind == BPE else []
+        self.whole_pieces = {p.replace(SPACE, " "): i for p, i in self.user.items()} if self.kind == BPE else {}
+        self.frozen = re.compile("(" + "|".join(map(re.escape, whole)) + ")") if whole else None
         self._merges()
         self._splitter()
 
@@ -118,19 +217,22 @@ class PieceModel:
         if any(b == SPACE != a for a, b in self.pairs) or any("\n" in p for p in self.ids):
             self.chunks = re.compile("(?s).+")
         else:
-            self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
+            self.chunks = re.compile(" *[^ \n]+| +|\n+")
+
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a normalised text."""
+        if self.frozen is None:
+            return self.chunks.findall(text)
+        return [c for i, part in enumerate(self.frozen.split(text)) for c in ([part] if i % 2 else self.chunks.findall(part))]
 
     def fine(self, chunk: str) -> list[str]:
         """A chunk cut between a word and the marks that end it, if no piece has the two characters side by side."""
         found = ENDED.match(chunk)
-        if found is None:
+        if found is None or chunk in self.whole_pieces:
             return [chunk]
         at = found.end(1)
         return [chunk[:at], chunk[at:]] if (chunk[at - 1], chunk[at]) not in self.pairs else [chunk]
 
-    def normalised(self, text: str) -> str:
-        return (SPACE * self.dummy_prefix + text).replace(" ", SPACE) if text else ""
-
     def units(self, chunk: str) -> list[int]:
         """One id per character; an unknown character is minus the number of its bytes."""
         return [self.ids[c] if c in self.ids else -len(c.encode()) for c in chunk]

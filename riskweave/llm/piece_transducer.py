@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-Three machines are compiled from the model file: the normaliser (dummy prefix, spaces to U+2581), the pieces (a trie
-whose final states emit an id) and byte fallback (an arc for each unknown character that emits its bytes). Composed with an input they give a
-lattice over its positions, and the encoding is the lattice's shortest path in the tropical semiring (minimum of
+Three machines are compiled from the model file: the normaliser (rewrite rules of the character map, white space, dummy prefix,
+user-defined pieces that stay as they are), the pieces (a trie whose final states emit an id) and byte fallback (an arc for
+each unknown character that emits its bytes). The normaliser is deterministic, so its composition with an input is one string;
+that string composed with the others gives a lattice over its positions, and the encoding is the lattice's shortest path in the tropical semiring (minimum of
 sums). For a unigram model an arc weighs minus its piece's score. A BPE model's scores are merge priorities, not weights, so there
 an arc weighs 1 and the composition has one more machine, an acceptor of piece pairs: (u, v) is accepted with weight 0 if merging
 the text of u v gives u, v, and else with infinite weight. A sequence of pieces whose neighbours are all accepted is
@@ -11,29 +12,31 @@ the merge result and no other such sequence exists, so the shortest path is the
 Many inputs are composed at once: inputs are cut where no piece can cross, the distinct new ones of a step are advanced
 position by position with array operations, and recent results are remembered.
 
-Scale: one pass without a shuffle; a worker holds the machines (fixed size) and at most ``REMEMBERED`` results.
+Scale: one pass without a shuffle; a worker holds the machines (fixed size), between steps the results of at most ``REMEMBERED``
+chunks and ``MOST_PAIRS`` judged pairs.
 
-Defined results: null and empty texts have no ids; decoding gives back the text with U+2581 as a space; repeated rows
-and null ids keep their rows.
+Defined results: null and empty texts have no ids; decoding gives back the normalised text, with U+2581 as a space; repeated rows
+and null ids keep their rows; an empty table gives no rows; a very long text is encoded whole; malformed UTF-8 counts as
+U+FFFD; further columns are not read, whatever their names. Models with pieces that end in U+2581 by rule, unescaped spaces,
+unused pieces or without byte fallback are refused (ValueError).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import steps, table, utf8
-from .piece_model import BPE, BYTE, LONG, NORMAL, SPACE, PieceModel, Recent, compiled
+from .common import in_batches, quoted, steps, table, utf8
+from .piece_model import BPE, BYTE, LONG, NORMAL, SPACE, USER, Memory, PieceModel, compiled
 
-REMEMBERED = 400_000
+REMEMBERED, MOST_PAIRS = 400_000, 1_000_000
 #: Text bytes of one step: larger steps have more chunks in common.
-STEP = 6_000_000
+STEP = 4_000_000
 START = -1
 
 
@@ -42,16 +45,19 @@ class Transducer:
         self.model = model
         self.unknown = len(model.pieces)  # the output of a byte fallback arc
         self.bpe = model.kind == BPE
-        scores = [model.scores[i] for i in model.ids.values()]
         self.weight = np.ones(self.unknown + 1)
         if not self.bpe:
+            scores = [model.scores[i] for p, i in model.ids.items() if p not in model.user]
             self.weight[:-1] = -np.array(model.scores)
             self.weight[-1] = 10 - min(scores)
+            for piece, i in model.user.items():  # a bonus makes the shortest path take them
+                self.weight[i] = 0.1 - len(piece.encode()) * max(scores)
         self._trie()
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.recent = Recent({"": b""}, REMEMBERED)
+        self.pair_keys, self.pair_ok, self.pair_of = np.zeros(0, np.int64), np.zeros(0, bool), {}
+        self.memory = Memory(REMEMBERED)
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         kinds = zip(model.pieces, model.kinds, strict=True)
-        output = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in kinds]
+        output = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in kinds]
         self.output = np.frombuffer(b"".join(output), np.uint8)
         self.output_size = np.array([len(x) for x in output])
         self.output_at = np.cumsum(self.output_size) - self.output_size
@@ -91,10 +97,9 @@ class Transducer:
         if len(new):
             pairs = [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in new]
             merged = self.model.merged([self.model.pieces[a] + self.model.pieces[b] for a, b in pairs])
-            keys = np.concatenate([self.pair_keys, new])
-            ok = np.concatenate([self.pair_ok, [m == list(p) for m, p in zip(merged, pairs, strict=True)]])
-            by = np.argsort(keys)
-            self.pair_keys, self.pair_ok = keys[by], ok[by].astype(bool)
+            ok = np.array([m == list(p) for m, p in zip(merged, pairs, strict=True)], bool)
+            at = np.searchsorted(self.pair_keys, new)
+            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, at, new), np.insert(self.pair_ok, at, ok)
         out = free.copy()
         if not free.all():
             out[~free] = self.pair_ok[np.searchsorted(self.pair_keys, key[~free])]
@@ -177,14 +182,12 @@ class Transducer:
             j = back[j]
         return out[::-1]
 
-    def model_pairs(self, left: int, right: int, _held: dict = {}) -> bool:  # noqa: B006
+    def model_pairs(self, left: int, right: int) -> bool:
         if START in (left,) or self.unknown in (left, right):
             return True
-        if (left, right) not in _held:
-            if len(_held) > REMEMBERED:
-                _held.clear()
-            _held[left, right] = bool(self.accepted(np.array([left]), np.array([right]))[0])
-        return _held[left, right]
+        if (left, right) not in self.pair_of:
+            self.pair_of[left, right] = bool(self.accepted(np.array([left]), np.array([right]))[0])
+        return self.pair_of[left, right]
 
     def ids_of(self, text: str, path: list[int]) -> bytes:
         if self.unknown in path:
@@ -192,32 +195,59 @@ class Transducer:
             path = [x for i in path for x in ([i] if i != self.unknown else [self.model.bytes[b] for b in next(unknown).encode()])]
         return np.array(path, "<i4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        self.recent.turn()
-        new = self.recent.missing(chunks)
-        cut = [self.model.fine(c) for c in new]
-        rest = self.recent.missing(set().union(*cut))
-        known = self.recent.now
-        short = [p for p in rest if len(p) <= LONG]
+    def paths(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each part, as little-endian 32-bit numbers."""
+        out: dict[str, bytes] = {}
+        forms = [p.replace(" ", SPACE) for p in parts]
+        short = [f for f in forms if len(f) <= LONG]
         if short:
             order, flat, bounds = self.composed(short)
             whole, hard = flat.astype("<i4").tobytes(), {k for k in np.searchsorted(bounds, np.flatnonzero(flat == self.unknown), side="right") - 1}
             for k, i in enumerate(order):
                 a, b = bounds[k], bounds[k + 1]
-                known[short[i]] = whole[4 * a : 4 * b] if k not in hard else self.ids_of(short[i], flat[a:b].tolist())
-        for part in rest:
-            if len(part) > LONG:
-                known[part] = self.ids_of(part, self.shortest_path(part))
-        for chunk, parts in zip(new, cut, strict=True):
-            if len(parts) > 1:
-                known[chunk] = b"".join(map(known.__getitem__, parts))
+                out[short[i]] = whole[4 * a : 4 * b] if k not in hard else self.ids_of(short[i], flat[a:b].tolist())
+        return {p: out[f] if f in out else self.ids_of(f, self.shortest_path(f)) for p, f in zip(parts, forms, strict=True)}
+
+    def learn(self, new: list[str]) -> None:
+        if len(self.pair_keys) > MOST_PAIRS:
+            self.pair_keys, self.pair_ok, self.pair_of = self.pair_keys[:0], self.pair_ok[:0], {}
+        numbers, held, frozen = self.memory.numbers, len(self.size), self.model.whole_pieces
+        cut = [self.model.fine(c) for c in new]
+        known = {}
+        for part in set().union(*cut):
+            n = numbers.get(part, held)
+            if part in frozen:
+                known[part] = np.array([frozen[part]], "<i4").tobytes()
+            elif n < held:
+                known[part] = self.flat[self.start[n] : self.start[n] + self.size[n]].astype("<i4").tobytes()
+            else:
+                known[part] = None
+        known |= self.paths([p for p, ids in known.items() if ids is None])
+        ids = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), "<i4"))
+
+    def gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the chunks with these numbers, one after the other."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - ends + size, size)]
+
+    def encode_normal(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some normalised texts, one after the other, and where each one's begin (and the end)."""
+        keep = self.memory.cleared()
+        if keep is not None:
+            flat, size = self.gathered(keep), self.size[keep]
+            self.flat, self.start, self.size = flat, np.cumsum(size) - size, size
+        numbers, ends, new = self.memory.numbered(map(self.model.cut, texts))
+        self.learn(new)
+        return self.gathered(numbers), np.concatenate([[0], np.cumsum(self.size[numbers])])[ends]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        find = self.model.chunks.findall
-        cut = [find(self.model.normalised(t)) for t in texts]
-        self.learn(set().union(*cut))
-        get = self.recent.now.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)), "<i4") for chunks in cut]
+        ids, at = self.encode_normal(map(self.model.normalised, texts))
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def emitted(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that the ids stand for, one after the other."""
@@ -227,15 +257,13 @@ class Transducer:
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.emitted(ids).tobytes().decode(errors="replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return text.removeprefix(self.model.normalised.prefix)
 
-    def gives_back(self, ids: list[np.ndarray], texts: list[bytes]) -> list[bool]:
-        """Whether each text is what its ids decode to, with U+2581 as a space."""
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-        ends = np.concatenate([[0], np.cumsum(self.output_size[flat])])[np.cumsum([0, *map(len, ids)])].tolist()
-        whole, first = self.emitted(flat).tobytes(), b" " * self.model.dummy_prefix
-        mark = SPACE.encode()
-        return [whole[a:b] == (first + t.replace(mark, b" ") if t else b"") for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+    def gives_back(self, ids: np.ndarray, at: np.ndarray, normal: list[str]) -> list[bool]:
+        """Whether each normalised text is what its ids stand for."""
+        ends = np.concatenate([[0], np.cumsum(self.output_size[ids])])[at].tolist()
+        whole = self.emitted(ids).tobytes()
+        return [whole[a:b] == t.encode() for a, b, t in zip(ends[:-1], ends[1:], normal, strict=True)]
 
 
 _machines: dict[bytes, Transducer] = {}
@@ -261,21 +289,21 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             data, at = utf8(batch.column(1))
             for a, b in steps(at, STEP):
-                texts = [data[at[i] : at[i + 1]].tobytes() for i in range(a, b)]
-                ids = tool.encode([t.decode() for t in texts])
-                n = pa.array([len(x) for x in ids], pa.int64())
+                normal = [tool.model.normalised(data[at[i] : at[i + 1]].tobytes().decode(errors="replace")) for i in range(a, b)]
+                ids, cuts = tool.encode_normal(normal)
+                n = pa.array(np.diff(cuts))
                 ids_of = batch.column(0).slice(a, b - a)
                 if digest:
-                    same = tool.gives_back(ids, texts)
-                    yield pa.RecordBatch.from_arrays([ids_of, n, pa.array([hashlib.sha1(x).hexdigest() for x in ids], pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha1", "round_trip"])
+                    same = tool.gives_back(ids, cuts, normal)
+                    sums = [hashlib.sha1(ids[x:y].astype("<i4").tobytes()).hexdigest() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids_of, n, pa.array(sums, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha1", "round_trip"])
                 else:
-                    cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                    values = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([ids_of, n, pa.ListArray.from_arrays(cuts, values)], ["doc_id", "n_tokens", "ids"])
+                    values = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([ids_of, n, values], ["doc_id", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, " + ("ids_sha1 string, round_trip boolean" if digest else "ids array<int>"))
+    return in_batches(rows, run, f"doc_id {kind}, n_tokens long, " + ("ids_sha1 string, round_trip boolean" if digest else "ids array<int>"))
 
 
 def decoded(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -288,8 +316,8 @@ def decoded(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: s
             texts = [None if x is None else tool.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    rows = rows.select(quoted(id_col).alias("doc_id"), quoted(ids_col).alias("ids"))
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ The normalised text is cut where no merge can cross: the cuts are proved on the
 strings that are proved to encode alone as one token are counted by one lookup; only the other chunks are merged,
 each distinct one once per task and memory of recent ones, all of a step together.
 
-Scale: one pass over the documents without a shuffle; a worker holds the vocabulary (fixed size) and at most
-``REMEMBERED`` chunk counts.
+Scale: one pass over the documents without a shuffle; a worker holds the vocabulary (fixed size) and at most ``REMEMBERED``
+chunk counts between steps.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows and null ids keep their rows.
+Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows and null ids keep their rows; an empty table gives
+no rows; a very long text is counted whole; malformed UTF-8 counts as U+FFFD; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,37 +19,35 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import steps, table, utf8
-from .piece_model import PieceModel, Recent, compiled
+from .common import in_batches, quoted, steps, table, utf8
+from .piece_model import SPACE, Memory, PieceModel, compiled
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class Counter:
     def __init__(self, model: PieceModel):
-        self.model = model
-        self.recent = Recent(dict.fromkeys(model.whole(), 1), REMEMBERED)
-
-    def learn(self, chunks: set[str]) -> None:
-        self.recent.turn()
-        new = self.recent.missing(chunks)
-        parts = [self.model.fine(c) for c in new]
-        rest = self.recent.missing(set().union(*parts))
-        known = self.recent.now
-        for chunk, ids in zip(rest, self.model.merged(rest), strict=True):
-            known[chunk] = sum(1 if i >= 0 else -i for i in ids)
-        for chunk, cut in zip(new, parts, strict=True):
-            if len(cut) > 1:
-                known[chunk] = sum(map(known.__getitem__, cut))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        find = self.model.chunks.findall
-        cut = [find(self.model.normalised(t)) for t in texts]
-        self.learn(set().union(*cut))
-        get = self.recent.now.__getitem__
-        return [sum(map(get, chunks)) for chunks in cut]
+        self.model, self.alone = model, {p.replace(SPACE, " "): 1 for p in [*model.whole(), *model.whole_pieces]}
+        self.memory, self.sizes = Memory(REMEMBERED), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Counts of the new chunks: one for a whole token; the rest are merged."""
+        numbers, sizes, alone = self.memory.numbers, self.sizes, self.alone
+        parts = [self.model.fine(c) if c not in alone else [c] for c in new]
+        known = {p: alone.get(p) or (int(sizes[numbers[p]]) if numbers.get(p, len(sizes)) < len(sizes) else None) for p in set().union(*parts)}
+        rest = [p for p, n in known.items() if n is None]
+        for part, ids in zip(rest, self.model.merged([p.replace(" ", SPACE) for p in rest]), strict=True):
+            known[part] = sum(1 if i >= 0 else -i for i in ids)
+        self.sizes = np.append(sizes, np.array([sum(map(known.__getitem__, cut)) for cut in parts], np.int64))
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        keep = self.memory.cleared()
+        if keep is not None:
+            self.sizes = self.sizes[keep]
+        numbers, ends, new = self.memory.numbered(self.model.cut(self.model.normalised(t)) for t in texts)
+        self.learn(new)
+        return np.diff(np.concatenate([[0], np.cumsum(self.sizes[numbers])])[ends])
 
 
 _counters: dict[bytes, Counter] = {}
@@ -67,11 +66,11 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             data, at = utf8(batch.column(1))
             n = np.zeros(len(batch), np.int64)
             for a, b in steps(at):
-                n[a:b] = counter.counts([data[at[i] : at[i + 1]].tobytes().decode() for i in range(a, b)])
+                n[a:b] = counter.counts([data[at[i] : at[i + 1]].tobytes().decode(errors="replace") for i in range(a, b)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
