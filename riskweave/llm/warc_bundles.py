@@ -8,18 +8,21 @@ frame, and its offset and length in that frame, so one record costs one small re
 Of the records with equal payloads of at least ``revisit_from`` bytes, those with the largest page_id are responses, and
 the others are revisits without payload that refer to it.
 
-Scale: each task writes bundles of its own under names that no other attempt has, in the shared folder; the index table
-is written with Spark's commit protocol, so it names only files of tasks that succeeded. Equal payloads are found by
-digest with partial aggregation; only digests that repeat are joined back, broadcast if there are few.
+Scale: rows are written once with a number and the digest of their payload. Each task then writes bundles of its own under names that
+no other attempt has, in the shared folder; the index table is written with Spark's commit protocol, so it names only files
+of tasks that succeeded. Equal payloads are found by digest with partial aggregation; only digests that repeat are joined
+back to the large payloads, broadcast if there are few; beyond that the rows of a hot digest are dealt to ``SALTS`` keys. Reading
+deals ranges of ``RANGE`` frames, not bundles, so that neither few bundles nor a large one leaves the work to one task.
 
 Defined results: a null html is an empty payload; a null url leaves out the target header; null page_ids come before
-all others; repeated rows become records of their own; an empty table gives no bundle and no rows.
+all others; rows equal in page_id and payload become records of their own, whose identifiers differ by the row's number (the
+first has none, and revisits refer to it); an empty table gives no bundle and no rows; a very large payload is a frame
+of its own; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,19 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, spread_out, table
+from .common import broadcast_if_few, in_batches, materialize, new_folder, quoted, spread_out, table
 
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 28
+#: Frames that one reading step takes, and keys over which the rows of one digest are dealt.
+RANGE, SALTS = 32, 16
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "record_id string, bundle string, frame int, offset long, length long"
 RECORDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page/{page_id}/{digest}')}>"
+def record_id(page_id: int | None, digest: str, copy: int | None = None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page/{page_id}/{digest}' + (f'/{copy}' if copy is not None else ''))}>"
 
 
 def safe(value: str) -> str:
@@ -54,8 +59,8 @@ def safe(value: str) -> str:
     return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> tuple[str, bytes]:
-    name = record_id(page_id, digest)
+def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, copy: int | None = None) -> tuple[str, bytes]:
+    name = record_id(page_id, digest, copy)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name, "WARC-Date": DATE}
@@ -154,8 +159,9 @@ class BundleReader:
         at, packed, plain = self.starts[i]
         return zstandard.ZstdDecompressor().decompress(self.read(at, packed), max_output_size=plain)
 
-    def records(self) -> Iterator[dict]:
-        for i in range(len(self.starts)):
+    def records(self, first: int = 0, end: int | None = None) -> Iterator[dict]:
+        """The records of the frames from first up to end."""
+        for i in range(first, len(self.starts) if end is None else end):
             data, at = self.frame(i), 0
             while at < len(data):
                 row, at = parsed(data, at)
@@ -165,21 +171,38 @@ class BundleReader:
         self.file.close()
 
 
-def with_revisits(pages: DataFrame, revisit_from: int = 1000, few: int = 100_000) -> DataFrame:
-    """pages (page_id, url, html) with payload, digest, revisit and refers_to."""
-    rows = pages.withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= revisit_from
-    keys = rows.filter(large).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    keys = materialize(keys, "digests")
-    keys = F.broadcast(keys) if keys.count() <= few else keys
-    joined = rows.join(keys, large & (F.col("digest") == F.col("d")), "left")
-    revisit = F.coalesce(F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.lit(False))
-    return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("newest")).alias("refers_to"))
-
-
-def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000) -> DataFrame:
+def numbered(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) as written rows (page_id, url, payload, n_bytes, digest, number)."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("n_bytes"), F.sha1(payload).alias("digest"))
+    return materialize(rows.withColumn("number", F.monotonically_increasing_id()), "pages")
+
+
+def with_revisits(rows: DataFrame, revisit_from: int = 1000, few: int = 100_000) -> DataFrame:
+    """Numbered rows with revisit and refers_to, and copy: the number of those that equal an earlier row in page_id and payload."""
+    sized = F.col("n_bytes") >= revisit_from
+    each = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.min("number").alias("first"), F.first("n_bytes").alias("n_bytes"))
+    each = materialize(each, "digests")
+    again = broadcast_if_few(each.filter("n > 1").select("digest", F.col("page_id").alias("p"), "first"), few)
+    newest = each.filter(sized).groupBy("digest").agg(F.max("page_id").alias("newest"), F.sum("n").alias("n")).filter("n > 1").select("digest", "newest")
+    newest = materialize(newest, "newest")
+    if newest.limit(few + 1).count() <= few:
+        joined = rows.join(F.broadcast(newest.withColumnRenamed("digest", "d")), sized & (F.col("digest") == F.col("d")), "left").drop("d")
+    else:
+        salt = F.pmod(F.col("number"), F.lit(SALTS)).cast("int")
+        side = newest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = rows.filter(sized).withColumn("salt", salt).join(side, ["digest", "salt"], "left").drop("salt")
+        joined = large.unionByName(rows.filter(~sized).withColumn("newest", F.lit(None).cast("long")).select(large.columns))
+    repeats = again.withColumnRenamed("digest", "d")
+    joined = joined.join(repeats, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left").drop("d", "p")
+    known = F.col("newest").isNotNull()
+    revisit = known & ~F.col("page_id").eqNullSafe(F.col("newest"))
+    return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("newest")).alias("refers_to"), F.when(F.col("number") > F.col("first"), F.col("number")).alias("copy"))
+
+
+def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000, few: int = 100_000) -> DataFrame:
     """Writes a record for each row and returns the index (INDEX)."""
-    rows = with_revisits(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), revisit_from)
+    rows = numbered(pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).alias("url"), quoted(html_col).alias("html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, bundle, count = TaskContext.get(), None, 0
@@ -189,7 +212,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                 if bundle is None:
                     bundle = Bundle(f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{count:04d}.warc.zst")
                     count += 1
-                name, record = warc_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["revisit"])
+                name, record = warc_record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["revisit"], row["copy"])
                 places.append((name, bundle.uri, *bundle.add(record)))
                 if bundle.plain >= BUNDLE_BYTES:
                     bundle.close()
@@ -200,7 +223,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
     names = ["record_id", "bundle", "frame", "offset", "length"]
-    return materialize(rows.mapInArrow(run, INDEX), "warc-index")
+    return materialize(in_batches(with_revisits(rows, revisit_from, few), run, INDEX), "warc-index")
 
 
 def _rows(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +246,17 @@ def read_bundles(index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[dict]:
             for batch in batches:
-                for uri in batch.column(0).to_pylist():
+                for uri, first, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     reader = BundleReader(uri)
-                    yield from reader.records()
+                    yield from reader.records(first, end)
                     reader.close()
 
         yield from _rows(records())
 
-    return spread_out(index.select("bundle").distinct(), "bundle").mapInArrow(run, RECORDS)
+    frames = index.groupBy("bundle").agg((F.max("frame") + 1).alias("n"))
+    first = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RANGE))).alias("first")
+    ranges = frames.select("bundle", "n", first).select("bundle", "first", F.least(F.col("first") + RANGE, F.col("n")).alias("end"))
+    return in_batches(spread_out(ranges), run, RECORDS)
 
 
 def fetch(index: DataFrame) -> DataFrame:
@@ -245,11 +271,12 @@ def fetch(index: DataFrame) -> DataFrame:
                         uri, reader, number = row["bundle"], BundleReader(row["bundle"]), None
                     if row["frame"] != number:
                         number, data = row["frame"], reader.frame(row["frame"])
-                    yield parsed(io.BytesIO(data).getbuffer()[row["offset"] : row["offset"] + row["length"]].tobytes())[0]
+                    yield parsed(memoryview(data)[row["offset"] : row["offset"] + row["length"]].tobytes())[0]
 
         yield from _rows(records())
 
-    return index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, RECORDS)
+    ranges = F.floor(F.col("frame") / RANGE)
+    return in_batches(index.repartition("bundle", ranges).sortWithinPartitions("bundle", "frame", "offset"), run, RECORDS)
 
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

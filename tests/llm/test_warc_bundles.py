@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 import zstandard
 from pyarrow import fs
 
@@ -29,10 +30,11 @@ def expected(data):
     return sorted(out, key=str)
 
 
-def test_round_trip_and_index(spark):
-    data = rows()
-    pages = spark.createDataFrame([(*r, 1) for r in data], "page_id long, url string, html string, payload int").repartition(3)
-    index = W.write_bundles(pages, new_folder(spark, "warc-test"))
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_round_trip_and_index(spark, few):
+    data = [*rows(), (700, "twice", "<p>7</p>"), (700, "twice", "<p>7</p>"), (None, "n", BIG)]
+    pages = spark.createDataFrame([(*r, 1, 2, 3) for r in data], "page_id long, url string, html string, payload int, digest int, number int").repartition(3)
+    index = W.write_bundles(pages, new_folder(spark, "warc-test"), few=few)
     back = W.read_bundles(index).collect()
     got = sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back], key=str)
     assert got == expected(data)
@@ -40,7 +42,11 @@ def test_round_trip_and_index(spark):
     assert all(r.payload == bodies[r.page_id] for r in back if r.record_type == "response")
     one = W.fetch(index).collect()
     assert sorted((r.record_id, r.payload_digest) for r in one) == sorted((r.record_id, r.payload_digest) for r in back)
-    assert {r.record_id for r in index.collect()} == {r.record_id for r in back}
+    places = index.collect()
+    assert len({r.record_id for r in places}) == len(places) == len(data) and {r.record_id for r in places} == {r.record_id for r in back}
+    names = {r.record_id for r in back}
+    assert all(W.record_id(r.refers_to, r.payload_digest) in names for r in back if r.record_type == "revisit")
+    assert W.read_bundles(index).rdd.getNumPartitions() > 1
     for uri in {r.bundle for r in index.collect()}:  # any zstd reader gets the plain file
         store, path = fs.FileSystem.from_uri(uri)
         with store.open_input_file(path) as f:
