@@ -1,23 +1,27 @@
 """Language model scoring with context-tree weighting.
 
 A byte is coded as eight binary decisions; the decisions made so far name one of 255 nodes. Each node has a context
-tree of its own over the bytes before, ``DEPTH`` deep. A context's counts give a Krichevsky-Trofimov estimate; from the
+tree of its own over the bytes before, ``depth`` deep. A context's counts give a Krichevsky-Trofimov estimate; from the
 leaves up, a context's weighted probability is half its own estimate and half the product of its longer contexts', so the
 model mixes all depths by how well they coded the training documents. Trained, it predicts a bit by mixing the estimates
 along the context's path with these posterior weights. A text's score is the log10 probability of its bytes (A-Z
-lower-cased, zero bytes before the start); minus the score over log10(2) and the number of bytes is the code length per byte.
+lower-cased, zero bytes before the start) and of an end mark (the byte 255, which no UTF-8 text has); minus the score over
+log10(2) and the number of bytes is the code length per byte.
 
 Beside it stands the base score: add-one unigram log10 probabilities of the words and one end token.
 
-Scale: one pass counts words and byte contexts of the training documents, pre-aggregated in each task. Trees are made by
-groups of two-byte contexts, which have at most 65,536 counts each however large the corpus; what joins them are
-tables of at most 65,536 rows. For scoring, a block of contexts (at most ``BLOCK`` rows of 256 numbers, 64 MB) is
-broadcast; a model with more contexts is scored block by block, each in a pass of its own, and the parts are added, so any model is scored exactly
-in bounded memory. The most frequent ``FREQUENT`` words are broadcast; counts of all others come by a join.
-
-Defined results: a null text counts as empty: no word, one end token, score 0; a null id counts as held out of training,
-with held_out false; repeated rows keep their rows and count each in training; without training documents every
-base probability is 1 / 1 and each bit of a text costs one bit.
+Scale: a gram is ``depth`` bytes of context and the next byte. One pass cuts the documents into parts of about ``PART_BYTES``
+and writes the texts with the different grams and words of each part, and how often training documents have them. Counts of
+a gram are summed over all parts, grams of no training document included; the log probability of each gram is
+worked out where all grams of its last two context bytes pass in order, of which only those with the same third byte
+are held at once; what two or fewer bytes of context need are tables of 65,536 rows at most. The log probabilities go
+back to the parts by a join on the gram, and each part's texts are scored with the part's own grams. So nothing is
+broadcast, the model has no size limit, and the driver gets 256 rows.
+
+Defined results: a null text counts as empty: no word, one end token, the end mark's probability, no code length per byte; a
+null training flag counts as false; null ids and repeated rows keep their rows, and repeated rows count each in training;
+without training documents every base probability is 1 / 1 and each bit of a text costs one bit; an empty table gives no rows; a
+very long text is a part of its own; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,32 +33,41 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, steps, table, utf8
+from .common import crc_mod, in_batches, materialize, quoted, steps, table, utf8
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LOWER_OF = np.frombuffer(LOWER, np.uint8)
-DEPTH = 3
-FREQUENT = 100_000
-BLOCK = 1 << 16
-FLUSH = 400_000
+END = 255
+DEPTH, DEEPEST = 5, 6
+#: Text bytes of a part, and grams that are worked out at once where one third byte does not have more.
+PART_BYTES, GRAMS = 16_000_000, 400_000
 HALF = np.log(0.5)
-
-
-def context_codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each byte of some texts: the three bytes before it (zero before the start) and the byte, as one number."""
-    out = data.astype(np.uint32)
-    whole = out.copy()
-    first = np.repeat(at[:-1], np.diff(at))
-    place = np.arange(len(data)) - first
-    for k in range(1, DEPTH + 1):
-        before = np.zeros(len(data), np.uint32)
-        before[k:] = out[:-k]
+NODES = 255
+
+
+def ended(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some texts, lower-cased and with the end mark behind each, and their offsets."""
+    cuts = at + np.arange(len(at))
+    out = np.full(int(cuts[-1]), END, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[cuts[1:] - 1] = False
+    out[keep] = LOWER_OF[data]
+    return out, cuts
+
+
+def gram_codes(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """For each byte of some texts the bytes before it, the last first (zero before the start), and the byte, as one number."""
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    out = data.astype(np.int64)
+    for k in range(1, depth + 1):
+        before = np.zeros(len(data), np.int64)
+        before[k:] = data[:-k]
         before[place < k] = 0
-        whole |= before << np.uint32(8 * k)
-    return whole
+        out |= before << (8 * (depth - k + 1))
+    return out
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -63,24 +76,24 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) at the nodes 1 to 255, for rows of 256 byte counts."""
-    tree = np.zeros((*counts.shape[:-1], 512))
-    tree[..., 256:] = counts
-    for q in range(255, 0, -1):
-        tree[..., q] = tree[..., 2 * q] + tree[..., 2 * q + 1]
-    return tree[..., 2:512:2], tree[..., 3:512:2]
-
-
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+    return np.where(zeros + ones > 0, log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi), 0.0)
 
 
 def next_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1)
 
 
+def splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros, ones) at the nodes 1 to 255, for rows of 256 byte counts."""
+    tree = np.zeros((*counts.shape[:-1], 512))
+    tree[..., 256:] = counts
+    for q in range(NODES, 0, -1):
+        tree[..., q] = tree[..., 2 * q] + tree[..., 2 * q + 1]
+    return tree[..., 2:512:2], tree[..., 3:512:2]
+
+
 def weigh(counts: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A context's weighted log probability, its posterior weight of stopping, and its chance of a one, at each node."""
     zeros, ones = splits(counts)
@@ -89,244 +102,287 @@ def weigh(counts: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
     return total, np.exp(own - total), next_one(zeros, ones)
 
 
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each of the 256 bytes, from the chances of a one at the 255 nodes."""
-    logs = np.zeros((*one.shape[:-1], 512))
-    for q in range(1, 256):
-        logs[..., 2 * q] = logs[..., q] + np.log10(1 - one[..., q - 1])
-        logs[..., 2 * q + 1] = logs[..., q] + np.log10(one[..., q - 1])
-    return logs[..., 256:]
+class Level:
+    """The contexts of ``d`` bytes of some grams: at each of the eight decisions the nodes that the grams reach."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, d: int, depth: int):
+        key = (codes >> (8 * (depth - d + 1)) << 8) | (codes & 255)
+        first, self.entry = (np.arange(len(codes)), np.arange(len(codes))) if d == depth else np.unique(key, return_index=True, return_inverse=True)[1:]
+        key, total = key[first], np.bincount(self.entry, n)
+        self.node, self.zeros, self.ones, self.first = [], [], [], []
+        for j in range(8):
+            prefix = key >> (8 - j)
+            start = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            self.node.append(np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key)))))
+            bit = (key >> (7 - j) & 1).astype(bool)
+            self.ones.append(np.add.reduceat(np.where(bit, total, 0.0), start))
+            self.zeros.append(np.add.reduceat(np.where(bit, 0.0, total), start))
+            self.first.append(first[start])  # a gram of each node
+        self.own = [estimate(z, o) for z, o in zip(self.zeros, self.ones, strict=True)]
+        self.weighted = self.own  # of the deepest contexts
+
+    def of(self, grams: np.ndarray, j: int) -> np.ndarray:
+        """The nodes of some grams at decision j."""
+        return self.node[j][self.entry[grams]]
+
+    def mix(self, below: Level) -> None:
+        """The weighted log probabilities, and the weights of stopping here, from those of the contexts one byte longer."""
+        self.weighted, self.stop = [], []
+        for j in range(8):
+            children = np.bincount(self.of(below.first[j], j), below.weighted[j], len(self.own[j]))
+            self.weighted.append(np.logaddexp(HALF + self.own[j], HALF + children))
+            self.stop.append(np.exp(HALF + self.own[j] - self.weighted[j]))
+
+
+def levels_of(codes: np.ndarray, n: np.ndarray, depth: int) -> list[Level]:
+    """The contexts of 3 to ``depth`` bytes of some grams, which are sorted and hold all with their last three bytes."""
+    out = [Level(codes, n, depth, depth)]
+    for d in range(depth - 1, 2, -1):
+        out.append(Level(codes, n, d, depth))
+        out[-1].mix(out[-2])
+    return out[::-1]
+
+
+def pair_children(codes: np.ndarray, levels: list[Level], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of last bytes, and for each the sum of its longer contexts' weighted log probabilities at the 255 nodes."""
+    pairs, row = np.unique(codes >> (8 * (depth - 1)), return_inverse=True)
+    out = np.zeros(len(pairs) * 256)
+    top = levels[0]
+    for j in range(8):
+        first = top.first[j]
+        q = (1 << j) | ((codes[first] & 255) >> (8 - j))
+        out += np.bincount(row[first] * 256 + q, top.weighted[j], len(out))
+    return pairs, out.reshape(-1, 256)[:, 1:]
+
+
+def log_probabilities(codes: np.ndarray, levels: list[Level], upper: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """log10 of each gram's probability; upper[0] and upper[1] have a row for each pair, ``row`` the gram's: the chance of a one that
+    contexts of up to two bytes give, and the weight that is left for longer ones, at the 255 nodes."""
+    every = np.arange(len(codes))
+    out = np.zeros(len(codes))
+    for j in range(8):
+        at = levels[-1].of(every, j)
+        one = next_one(levels[-1].zeros[j], levels[-1].ones[j])[at]
+        for level in levels[-2::-1]:
+            at = level.of(every, j)
+            stop = level.stop[j][at]
+            one = stop * next_one(level.zeros[j], level.ones[j])[at] + (1 - stop) * one
+        q = ((1 << j) | ((codes & 255) >> (8 - j))) - 1
+        one = upper[0, row, q] + upper[1, row, q] * one
+        out += np.log10(np.where(codes >> (7 - j) & 1, one, 1 - one))
+    return out
+
+
+def parted(docs: DataFrame, train: Column, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """Three kinds of rows, written: texts (part, doc_id, text, train), grams (part, code, n) and words (part, word, n), where n is the
+    count in training documents."""
+    names = ["kind", "part", "doc_id", "text", "train", "code", "word", "n"]
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        id_kind = None
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        words: list[Counter[bytes]] = [Counter(), Counter()]
+        held = 0
+
+        def filled(n: int, /, **columns) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), id_kind, pa.string(), pa.bool_(), pa.int64(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
+
+        def of_kind(kind: str, n: int, /, **columns) -> pa.RecordBatch:
+            return filled(n, kind=pa.array([kind] * n, pa.string()), part=pa.array(np.full(n, part)), **columns)
+
+        def merged() -> None:
+            codes, row = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
+            grams[:] = [(codes, np.bincount(row, np.concatenate([g[1] for g in grams])).astype(np.int64))]
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            merged()
+            codes, n = grams.pop()
+            for a in range(0, len(codes), 200_000):
+                yield of_kind("gram", len(codes[a : a + 200_000]), code=pa.array(codes[a : a + 200_000]), n=pa.array(n[a : a + 200_000]))
+            keys = list(words[0].keys() | words[1].keys())
+            for a in range(0, len(keys), 200_000):
+                some = keys[a : a + 200_000]
+                yield of_kind("word", len(some), word=pa.array(some, pa.binary()), n=pa.array([words[1][w] for w in some], pa.int64()))
+            words[0].clear()
+            words[1].clear()
+
+        for batch in batches:
+            id_kind = batch.column(0).type
+            data, at = utf8(batch.column(1))
+            trained = np.array(batch.column(2))
+            for a, b in steps(at):
+                text, cuts = ended(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                codes = gram_codes(text, cuts, depth)
+                learned = np.repeat(trained[a:b], np.diff(cuts))
+                for side, weight in ((codes[learned], 1), (codes[~learned], 0)):
+                    own = np.sort(side)
+                    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+                    grams.append((own[start], weight * np.diff(np.append(start, len(own)))))
+                whole = LOWER_OF[data[at[a] : at[b]]].tobytes()
+                for i in range(a, b):
+                    words[int(trained[i])].update(whole[at[i] - at[a] : at[i + 1] - at[a]].split())
+                yield of_kind("text", b - a, doc_id=batch.column(0).slice(a, b - a), text=batch.column(1).slice(a, b - a), train=batch.column(2).slice(a, b - a))
+                held += len(text)
+                if held > PART_BYTES:
+                    yield from finished()
+                    part, held = part + 1, 0
+                elif len(grams) > 8:
+                    merged()
+        if held:
+            yield from finished()
+
+    schema = f"kind string, part long, doc_id {id_type}, text string, train boolean, code long, word binary, n long"
+    return materialize(in_batches(rows, run, schema), "parts")
+
+
+def pair_blocks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, n) of sorted rows in blocks that hold all grams with the same three last bytes."""
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    for batch in batches:
+        part = [batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
+        rest = [np.concatenate(x) for x in zip(rest, part, strict=True)]
+        if len(rest[0]) > GRAMS:
+            cut = int(np.searchsorted(rest[0], rest[0][-1] >> (8 * (depth - 2)) << (8 * (depth - 2))))
+            if cut:
+                yield rest[0][:cut], rest[1][:cut]
+                rest = [x[cut:] for x in rest]
+    if len(rest[0]):
+        yield rest[0], rest[1]
+
+
+def pair_table(counts: DataFrame, depth: int) -> DataFrame:
+    """(pair, counts, children) for each two last bytes: counts of the next byte, and sums over the longer contexts at the 255 nodes."""
 
-def matrix(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Oldest bytes of the contexts of one group, and a row of 256 counts for each."""
-    oldest, row = np.unique(codes >> 24, return_inverse=True)
-    counts = np.zeros((len(oldest), 256))
-    counts[row, codes & 255] = n
-    return oldest, counts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n in pair_blocks(batches, depth):
+            pairs, children = pair_children(codes, levels_of(codes, n, depth), depth)
+            row = np.searchsorted(pairs, codes >> (8 * (depth - 1)))
+            counts = np.bincount(row * 256 + (codes & 255), n, len(pairs) * 256).reshape(-1, 256)
+            blobs = [pa.array([x.tobytes() for x in m], pa.binary()) for m in (counts, children)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), *blobs], ["pair", "counts", "children"])
 
+    return in_batches(in_order(counts, depth).select("code", "n"), run, "pair long, counts binary, children binary")
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(word, code, n): counts of words (code null) and of byte contexts (word null); docs has one column, text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        codes: list[np.ndarray] = []
+def in_order(counts: DataFrame, depth: int) -> DataFrame:
+    """Grams (and rows of their pair that have no code) dealt by their two last bytes, in order of these and of the code."""
+    pair = F.shiftright("code", 8 * (depth - 1))
+    pair = F.coalesce("pair", pair) if "pair" in counts.columns else pair
+    rows = counts.withColumn("pair", pair)
+    return rows.repartition("pair").sortWithinPartitions("pair", F.col("code").asc_nulls_first())
 
-        def flushed_words() -> pa.RecordBatch:
-            keys, n = list(words.keys()), list(words.values())
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(n, pa.int64())], names)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            all_codes, all_n = np.concatenate([c[0] for c in codes]), np.concatenate([c[1] for c in codes])
-            keys, row = np.unique(all_codes, return_inverse=True)
-            return keys, np.bincount(row, all_n).astype(np.int64)
+def added(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for the blocks of a pair (or byte): their counts and sums added."""
+    total = lambda c: np.stack([np.frombuffer(x) for x in pdf[c]]).sum(0).tobytes()
+    return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "counts": [total("counts")], "children": [total("children")]})
 
-        names = ["word", "code", "n"]
-        for batch in batches:
-            data, at = utf8(batch.column(0))
-            for a, b in steps(at):
-                part = LOWER_OF[data[at[a] : at[b]]]
-                own = np.sort(context_codes(part, at[a : b + 1] - at[a]))
-                cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-                codes.append((own[cut], np.diff(np.append(cut, len(own)))))
-                if sum(len(c[0]) for c in codes) > 4 * FLUSH:
-                    codes[:] = [merged()]
-                text = part.tobytes()
-                for i in range(a, b):
-                    words.update(text[at[i] - at[a] : at[i + 1] - at[a]].split())
-                if len(words) > FLUSH:
-                    yield flushed_words()
-        if words:
-            yield flushed_words()
-        if codes:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(n)], names)
-
-    return docs.mapInArrow(run, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
-
-
-def context_table(grams: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """grams: (code, n). Returns (pair, oldest, logs) for each two-byte context: the oldest bytes of its longer
-    contexts, and for each of them, and last for any other, the log10 probabilities of the next byte; and such rows for
-    the last byte alone (256 of them) and for no context at all."""
-
-    def pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, deep = matrix(pdf["code"].to_numpy(), pdf["n"].to_numpy())
-        counts = deep.sum(0)
-        total, _, _ = weigh(counts, estimate(*splits(deep)).sum(0))
-        return pd.DataFrame({"byte": [int(pdf["pair"].iloc[0]) & 255], "counts": [counts.tobytes()], "total": [total.tobytes()]})
-
-    def byte_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack = lambda c: np.stack([np.frombuffer(x) for x in pdf[c]]).sum(0)
-        return pd.DataFrame({"byte": [pdf["byte"].iloc[0]], "counts": [stack("counts").tobytes()], "children": [stack("total").tobytes()]})
-
-    grams = grams.withColumn("pair", F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
-    pairs = grams.groupBy("pair").applyInPandas(pair_sums, "byte long, counts binary, total binary")
-    level = pairs.groupBy("byte").applyInPandas(byte_sums, "byte long, counts binary, children binary").collect()  # at most 256 rows
-    counts1, children1 = np.zeros((256, 256)), np.zeros((256, 255))
+
+def byte_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for the pairs of a last byte: their counts and weighted log probabilities added."""
+    counts = np.stack([np.frombuffer(x) for x in pdf["counts"]])
+    total, _, _ = weigh(counts, np.stack([np.frombuffer(x) for x in pdf["children"]]))
+    return pd.DataFrame({"byte": [pdf["byte"].iloc[0]], "counts": [counts.sum(0).tobytes()], "children": [total.sum(0).tobytes()]})
+
+
+def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
+    """(code, value): the log10 probability of each gram of counts (code, n)."""
+    schema = "pair long, counts binary, children binary"
+    pairs = materialize(pair_table(counts, depth).groupBy("pair").applyInPandas(added, schema), "pairs")  # at most 65,536 rows
+    level = pairs.withColumn("byte", F.shiftright("pair", 8)).groupBy("byte").applyInPandas(byte_rows, "byte long, counts binary, children binary").collect()  # at most 256 rows
+    counts1, children1 = np.zeros((256, 256)), np.zeros((256, NODES))
     for row in level:
         counts1[row.byte], children1[row.byte] = np.frombuffer(row.counts), np.frombuffer(row.children)
     total1, stop1, one1 = weigh(counts1, children1)
     _, stop0, one0 = weigh(counts1.sum(0), total1.sum(0))
 
-    def above(one2: np.ndarray, byte: int) -> np.ndarray:
-        one = stop1[byte] * one1[byte] + (1 - stop1[byte]) * one2
-        return stop0 * one0 + (1 - stop0) * one
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pair = int(pdf["pair"].iloc[0])
-        oldest, deep = matrix(pdf["code"].to_numpy(), pdf["n"].to_numpy())
-        zeros, ones = splits(deep)
-        _, stop, one = weigh(deep.sum(0), estimate(zeros, ones).sum(0))
-        deepest = np.concatenate([next_one(zeros, ones), np.full((1, 255), 0.5)])
-        logs = byte_logs(above(stop * one + (1 - stop) * deepest, pair & 255)).astype("<f4")
-        return pd.DataFrame({"pair": [pair], "oldest": [oldest.astype(np.uint8).tobytes()], "logs": [logs.tobytes()]})
-
-    table_rows = grams.groupBy("pair").applyInPandas(rows, "pair long, oldest binary, logs binary")
-    alone = np.stack([byte_logs(above(np.full(255, 0.5), b)) for b in range(256)])
-    return materialize(table_rows, "contexts"), alone.astype(np.float32)
-
-
-class Block:
-    """Some two-byte contexts with all their rows. The first block also answers for pairs that no block has."""
-
-    def __init__(self, rows: list, alone: np.ndarray, first: bool):
-        self.place = np.full(1 << 16, -1, np.int32)
-        self.deeper = np.zeros((len(rows) + 1, 256), np.int32)
-        logs, n = [alone], 256
-        for k, row in enumerate(rows):
-            own = np.frombuffer(row.logs, "<f4").reshape(-1, 256)
-            oldest = np.frombuffer(row.oldest, np.uint8)
-            self.place[row.pair] = k
-            self.deeper[k] = n + len(oldest)
-            self.deeper[k, oldest] = n + np.arange(len(oldest))
-            logs.append(own)
-            n += len(own)
-        self.logs, self.first = np.concatenate(logs), first
-        self.others: np.ndarray | None = None  # pairs that other blocks have
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte; zero where another block answers."""
-        pair = (codes >> np.uint32(8)) & np.uint32(0xFFFF)
-        k = self.place[pair]
-        row = np.where(k >= 0, self.deeper[k, codes >> np.uint32(24)], (pair & np.uint32(255)).astype(np.int32))
-        out = self.logs[row, codes & np.uint32(255)]
-        if self.first and self.others is not None:
-            return np.where((k < 0) & self.others[pair], np.float32(0), out)
-        return out if self.first else np.where(k < 0, np.float32(0), out)
-
-
-def blocks_of(contexts: DataFrame, alone: np.ndarray, block: int) -> Iterator[Block]:
-    """The model in blocks of at most ``block`` rows (one pair has at most 257), each fetched when its turn comes."""
-    sizes = sorted((r.pair, r.n) for r in contexts.select("pair", (F.octet_length("logs") / 1024).cast("long").alias("n")).collect())  # at most 65,536 rows
-    parts: list[list[int]] = [[]]
-    held = 0
-    for pair, n in sizes:
-        if held + n > block and parts[-1]:
-            parts.append([])
-            held = 0
-        parts[-1].append(pair)
-        held += n
-    seen = np.zeros(1 << 16, bool)
-    seen[[p for p, _ in sizes]] = True
-    for i, part in enumerate(parts):
-        found = contexts.filter(F.col("pair").between(part[0], part[-1])).collect() if part else []
-        out = Block(found, alone, i == 0)
-        if i == 0 and len(parts) > 1:
-            out.others = seen.copy()
-            out.others[part] = False
-        yield out
-
-
-class Scorer:
-    """A trained model: word counts, totals, and the contexts' table."""
-
-    def __init__(self, docs: DataFrame, text_col: str = "text", block: int = BLOCK):
-        counts = materialize(counted(docs.select(F.col(text_col))), "counts")
-        self.words = counts.filter("code is null").select("word", "n")
-        self.n_docs = docs.count()
-        n, v = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        self.train_tokens, self.distinct = n + self.n_docs, v + (self.n_docs > 0)
-        self.contexts, self.alone = context_table(counts.filter("word is null").select("code", "n"))
-        self.block = block
-
-    def scored(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score) for each row."""
-        spark = docs.sparkSession
-        top = self.words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()  # at most FREQUENT rows
-        frequent = spark.sparkContext.broadcast({bytes(r.word): float(np.log10(r.n + 1)) for r in top})
-        model = blocks_of(self.contexts, self.alone, self.block)
-        first = spark.sparkContext.broadcast(next(model))
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        kind = rows.schema["doc_id"].dataType
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number, known, block = TaskContext.get().partitionId() << 40, frequent.value, first.value
-            for batch in batches:
-                data, at = utf8(batch.column(1))
-                for a, b in steps(at):
-                    part, cuts = LOWER_OF[data[at[a] : at[b]]], at[a : b + 1] - at[a]
-                    each = np.concatenate([[0.0], np.cumsum(block.score(context_codes(part, cuts)), dtype=np.float64)])
-                    text = part.tobytes()
-                    n, near, base = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a)
-                    uid, word, times = [], [], []
-                    for i in range(b - a):
-                        words = text[cuts[i] : cuts[i + 1]].split()
-                        n[i] = len(words)
-                        for w, t in Counter(words).items():
-                            value = known.get(w)
-                            if value is None:
-                                uid.append(number + i)
-                                word.append(w)
-                                times.append(t)
-                            else:
-                                near[i] += t
-                                base[i] += t * value
-                    own = np.arange(number, number + b - a)
-                    number += b - a
-                    score = each[cuts[1:]] - each[cuts[:-1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0).slice(a, b - a), pa.array(np.diff(cuts)), pa.array(n), pa.array(near), pa.array(base), pa.array(score), pa.nulls(b - a, pa.binary()), pa.nulls(b - a, pa.int64())], names)
-                    if uid:
-                        rest = [pa.nulls(len(uid), t) for t in (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                        yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *rest, pa.array(word, pa.binary()), pa.array(times, pa.int64())], names)
-
-        names = ["uid", "doc_id", "n_bytes", "n", "near", "base", "score", "word", "times"]
-        schema = f"uid long, doc_id {kind.simpleString()}, n_bytes long, n long, near long, base double, score double, word binary, times long"
-        out = materialize(rows.mapInArrow(run, schema), "scored")
-        rare = out.filter("word is not null").select("uid", "word", "times").join(self.words, "word")
-        rare = rare.groupBy("uid").agg(F.sum("times").alias("far"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
-        found = out.filter("word is null").drop("word", "times").join(rare, "uid", "left")
-        for block in model:  # contexts beyond the first block, in passes of their own
-            found = self.added(found, rows, spark.sparkContext.broadcast(block))
-        end = float(np.log10(self.n_docs + 1))
-        size = float(np.log10(self.train_tokens + self.distinct + 1))
-        tokens = F.col("n") + 1
-        base = F.col("base") + F.coalesce("more", F.lit(0.0)) + end - tokens * size
-        return found.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (F.col("near") + F.coalesce("far", F.lit(0)) + int(self.n_docs > 0)).alias("n_known"), F.lit(self.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
-    @staticmethod
-    def added(found: DataFrame, rows: DataFrame, block) -> DataFrame:
-        """found with the block's share of each score; rows are numbered as in the first pass."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = TaskContext.get().partitionId() << 40
-            for batch in batches:
-                data, at = utf8(batch.column(1))
-                for a, b in steps(at):
-                    cuts = at[a : b + 1] - at[a]
-                    each = np.concatenate([[0.0], np.cumsum(block.value.score(context_codes(LOWER_OF[data[at[a] : at[b]]], cuts)), dtype=np.float64)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + b - a)), pa.array(each[cuts[1:]] - each[cuts[:-1]])], ["uid", "part"])
-                    number += b - a
+    def above(pair: int, own: bytes, children: bytes) -> np.ndarray:
+        """The chance of a one that contexts of up to two bytes give, and the weight that is left for longer ones."""
+        _, stop, one = weigh(np.frombuffer(own), np.frombuffer(children))
+        byte = pair >> 8
+        known = stop0 * one0 + (1 - stop0) * (stop1[byte] * one1[byte] + (1 - stop1[byte]) * stop * one)
+        return np.stack([known, (1 - stop0) * (1 - stop1[byte]) * (1 - stop)])
 
-        part = rows.mapInArrow(run, "uid long, part double")
-        return found.join(part, "uid").withColumn("score", F.col("score") + F.col("part")).drop("part")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper: dict[int, np.ndarray] = {}
+
+        def grams() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                code = batch.column(0)
+                for i in np.flatnonzero(np.array(code.is_null())):
+                    pair = batch.column(2)[i].as_py()
+                    upper[pair] = above(pair, batch.column(3)[i].as_py(), batch.column(4)[i].as_py())
+                yield batch.select([0, 1]).filter(code.is_valid())
+
+        for codes, n in pair_blocks(grams(), depth):
+            levels = levels_of(codes, n, depth)
+            pairs, row = np.unique(codes >> (8 * (depth - 1)), return_inverse=True)
+            each = np.stack([upper[p] for p in pairs.tolist()], 1)
+            for old in [p for p in upper if p < pairs[-1]]:
+                del upper[old]
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(log_probabilities(codes, levels, each, row))], ["code", "value"])
+
+    both = counts.select("code", "n").withColumns({"pair": F.lit(None).cast("long"), "counts": F.lit(None).cast("binary"), "children": F.lit(None).cast("binary")})
+    both = both.unionByName(pairs.withColumns({"code": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}))
+    return materialize(in_batches(in_order(both, depth).select("code", "n", "pair", "counts", "children"), run, "code long, value double"), "scores")
+
+
+def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row, learned from those where train is true."""
+    if not 3 <= depth <= DEEPEST:
+        raise ValueError(f"a depth of 3 to {DEEPEST} bytes")
+    rows = parted(docs, train, id_col, text_col, depth)
+    of = lambda kind: rows.filter(F.col("kind") == kind)
+    values = gram_scores(materialize(of("gram").groupBy("code").agg(F.sum("n").alias("n")), "grams"), depth)
+    words = materialize(of("word").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    n_docs = of("text").filter("train").count()
+    train_tokens, distinct = n + n_docs, v + (n_docs > 0)
+    size, end = float(np.log10(train_tokens + distinct + 1)), float(np.log10(n_docs + 1))
+    none = lambda kind: F.lit(None).cast(kind)
+    known = of("gram").select("part", "code").join(values, "code").select("part", "code", "value", none("binary").alias("word"), none("long").alias("n"))
+    known = known.unionByName(of("word").select("part", "word").join(words, "word").select("part", none("long").alias("code"), none("double").alias("value"), "word", "n"))
+    texts = of("text").select(F.col("part").alias("text_part"), "doc_id", "text")
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = right.filter(right["code"].is_valid())
+        code, value = (grams[c].to_numpy() for c in ("code", "value"))
+        by = np.argsort(code)
+        code, value = code[by], value[by]
+        rest = right.filter(right["word"].is_valid())
+        count = dict(zip(rest["word"].to_pylist(), rest["n"].to_pylist(), strict=True))
+        logs = {w: float(np.log10(k + 1)) for w, k in count.items()}
+        out = []
+        for batch in left.to_batches():
+            data, at = utf8(batch.column(2))
+            for a, b in steps(at):
+                text, cuts = ended(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                each = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(code, gram_codes(text, cuts, depth))])])
+                whole = LOWER_OF[data[at[a] : at[b]]].tobytes()
+                tokens, near, base = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a)
+                for i in range(b - a):
+                    own = whole[at[a + i] - at[a] : at[a + i + 1] - at[a]].split()
+                    tokens[i] = len(own) + 1
+                    near[i] = sum(count[w] > 0 for w in own) + (n_docs > 0)
+                    base[i] = sum(map(logs.__getitem__, own)) + end - tokens[i] * size
+                score = each[cuts[1:]] - each[cuts[:-1]]
+                n_bytes = np.diff(at[a : b + 1])
+                bits = pa.array(-score / np.log10(2) / np.maximum(1, n_bytes), mask=n_bytes == 0)
+                out.append(pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *map(pa.array, (n_bytes, tokens, near, np.full(b - a, train_tokens), base, score)), bits], names))
+        return pa.Table.from_batches(out)
+
+    names = ["doc_id", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    schema = f"doc_id {id_type}, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return texts.groupBy("text_part").cogroup(known.groupBy("part")).applyInArrow(run, schema)
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rest = crc_mod(F.col("doc_id"), 7)
-    model = Scorer(docs.filter(rest != 2))
-    found = model.scored(docs)
-    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = scores(docs, rest != 2)
+    return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
