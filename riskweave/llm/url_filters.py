@@ -6,11 +6,13 @@ no key is wrong. A key is listed if the first level that lacks it is an even one
 For every key of the universe that is exact, so pages are judged without a join.
 
 Scale: keys are made distinct with partial aggregation, then levels are made from a written table of keys. The
-levels' bits are proportional to the number of listed keys that occur, not to the corpus, and are bounded by ``MOST_BITS``
-(an error beyond it). They reach the plan as constants that the optimizer folds.
+levels' bits are proportional to the number of listed keys that occur, not to the corpus; they reach the plan as one constant a
+level. The cascade is built while each level has at most ``MOST_BITS`` bits (about 3 million listed keys); a longer list
+is exact too, by a join of the universe's keys with it and then of the pages' hosts with the verdicts.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule, and is allowed unless the empty
-host is listed; repeated rows and null ids keep their rows; an empty table gives no rows.
+host is listed; repeated rows and null ids keep their rows; an empty table gives no rows, an empty list blocks nothing; null and
+repeated listed keys count as none and one; a very long url is read whole; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, quoted, table
 
 #: (verdict, host and path); the longest that fits wins.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: Sites of the default list, each under these domains.
 LISTED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
-MOST_BITS = 1 << 29
+MOST_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -66,10 +68,14 @@ class Level:
     def has(self, key: Column) -> Column:
         held = dict(self.words)
         words = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(-(-self.bits // 64)))), ",").cast("array<bigint>")
-        found = F.lit(True)
-        for place in self.places(key):
-            found &= F.getbit(F.get(words, (place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
-        return found
+
+        def found(w: Column) -> Column:
+            out = F.lit(True)
+            for place in self.places(key):
+                out &= F.getbit(F.get(w, (place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
+            return out
+
+        return F.transform(F.array(words), found)[0]
 
 
 class Cascade:
@@ -85,8 +91,8 @@ class Cascade:
         return found
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """universe: distinct keys in column key; listed: keys in column key, of which those of the universe count."""
+def build_cascade(universe: DataFrame, listed: DataFrame, most_bits: int = MOST_BITS) -> Cascade | None:
+    """universe: distinct keys in column key; listed: keys in column key, of which those of the universe count. None if a level would have more bits."""
     keys = materialize(universe.select("key").join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
     levels: list[Level] = []
     while True:
@@ -97,12 +103,12 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
             return Cascade(levels)
         rate = min(0.5, max(1e-9, n * math.sqrt(0.5) / max(1, rest))) if not levels else 0.5
         bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-        if bits > MOST_BITS:
-            raise ValueError(f"a level of {bits} bits is over {MOST_BITS}")
+        if bits > most_bits:
+            return None
         level = Level(len(levels) + 1, bits, max(1, round(bits / n * math.log(2))) if bits > 64 else 2, ())
         place = keys.filter(F.col("listed") == odd).select(F.explode(F.array(*level.places(F.col("key")))).alias("p"))
         words = place.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-        level = Level(level.number, level.bits, level.hashes, tuple((r.w, r.b) for r in words.collect()))  # at most MOST_BITS in all
+        level = Level(level.number, level.bits, level.hashes, tuple((r.w, r.b) for r in words.collect()))  # at most most_bits in all
         levels.append(level)
         keys = keys.filter((F.col("listed") == odd) | level.has(F.col("key")))
         if len(levels) % 4 == 1:
@@ -111,15 +117,20 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
             raise RuntimeError("the cascade does not end")
 
 
-def filtered(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filtered(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", most_bits: int = MOST_BITS) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) for each row; listed has one column, key."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     universe = rows.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct()
-    cascade = build_cascade(universe, listed)
+    cascade = build_cascade(universe, listed, most_bits)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    blocked = F.exists(domains(F.col("host")), cascade.lists)
-    rows = rows.withColumns({"rule": rule, "said": verdict, "listed": blocked})
+    if cascade is not None:
+        rows = rows.withColumn("listed", F.exists(domains(F.col("host")), cascade.lists))
+    else:
+        hosts = rows.select("host").distinct().withColumn("key", F.explode(domains(F.col("host"))))
+        hit = hosts.join(listed.select("key").distinct(), "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
+        rows = rows.join(hit, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    rows = rows.withColumns({"rule": rule, "said": verdict})
     return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 

@@ -20,12 +20,13 @@ def test_rows_equal_brute_force(spark):
     names = [f"h{i}" for i in range(400)]
     hosts = [".".join([*rnd.sample(names, rnd.randrange(3)), rnd.choice(names), rnd.choice(["com", "net", "org"])]) for _ in range(1500)]
     urls = [f"http://{h}{rnd.choice(['', '/', '/en/x', '/es/?q=/', '#a/b', '?x://y'])}" for h in hosts]
-    urls += [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/A?b", "a://b://c/d", "x://É.COM/\nq", "http://user@h:8/p", "http://..com/", urls[0], urls[0]]
+    urls += [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/A?b", "a://b://c/d", "x://É.COM/\nq", "http://user@h:8/p", "http://..com/", urls[0], urls[0], "http://" + "a." * 3000 + "com/" + "x" * 100_000]
     listed = {h for h in hosts if rnd.random() < 0.2} | {"never.seen"}
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(None, "http://a.net/es/", "x")], "page_id long, url string, host string")
-    out = U.filtered(pages, spark.createDataFrame([(k,) for k in listed], "key string"), U.RULES).collect()
+    keys = spark.createDataFrame([(k,) for k in [*listed, *list(listed)[:3], None]], "key string")
     want = [(i, *brute(u, listed, U.RULES)) for i, u in enumerate(urls)] + [(None, *brute("http://a.net/es/", listed, U.RULES))]
-    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+    for most_bits in (U.MOST_BITS, 64):  # a cascade, and a list that is too long for one
+        assert sorted(map(str, map(tuple, U.filtered(pages, keys, U.RULES, most_bits=most_bits).collect()))) == sorted(map(str, want))
 
 
 def test_cascade_is_exact_on_its_universe(spark):
