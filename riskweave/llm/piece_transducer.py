@@ -52,6 +52,8 @@ class Transducer:
             self.weight[-1] = 10 - min(scores)
             for piece, i in model.user.items():  # a bonus makes the shortest path take them
                 self.weight[i] = 0.1 - len(piece.encode()) * max(scores)
+        # of a BPE model, only pieces that merging gives
+        self.arcs_of = model.whole() if self.bpe else model.ids
         self._trie()
         self.pair_keys, self.pair_ok, self.pair_of = np.zeros(0, np.int64), np.zeros(0, bool), {}
         self.memory = Memory(REMEMBERED)
@@ -65,7 +67,7 @@ class Transducer:
     def _trie(self) -> None:
         steps_of: dict[tuple[int, int], int] = {}
         final = [-1]
-        for piece, i in self.model.ids.items():
+        for piece, i in self.arcs_of.items():
             node = 0
             for c in piece:
                 key = node, ord(c)
@@ -77,7 +79,7 @@ class Transducer:
         keys = np.array([a << 21 | c for a, c in steps_of], np.int64)
         by = np.argsort(keys)
         self.arcs, self.targets, self.final = keys[by], np.array(list(steps_of.values()))[by], np.array(final)
-        self.longest = max(map(len, self.model.ids))
+        self.longest = max(map(len, self.arcs_of))
 
     def follow(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The node behind the arc of each character; -1 if there is none."""
@@ -165,7 +167,7 @@ class Transducer:
 
     def shortest_path(self, text: str) -> list[int]:
         """The same for one input of any length."""
-        ids, most = self.model.ids, self.longest
+        ids, most = self.arcs_of, self.longest
         cost, last, back = [0.0] + [np.inf] * len(text), [START] * (len(text) + 1), [0] * (len(text) + 1)
         pair = self.model_pairs
         for i in range(len(text)):
@@ -190,10 +192,16 @@ class Transducer:
         return self.pair_of[left, right]
 
     def ids_of(self, text: str, path: list[int]) -> bytes:
-        if self.unknown in path:
-            unknown = iter([c for c in text if c not in self.model.ids])
-            path = [x for i in path for x in ([i] if i != self.unknown else [self.model.bytes[b] for b in next(unknown).encode()])]
-        return np.array(path, "<i4").tobytes()
+        """The ids of a path: its pieces, and the bytes of each unknown character."""
+        out, at = [], 0
+        for i in path:
+            if i == self.unknown:
+                out += [self.model.bytes[b] for b in text[at].encode()]
+                at += 1
+            else:
+                out.append(i)
+                at += len(self.model.pieces[i])
+        return np.array(out, "<i4").tobytes()
 
     def paths(self, parts: list[str]) -> dict[str, bytes]:
         """The ids of each part, as little-endian 32-bit numbers."""
@@ -257,7 +265,8 @@ class Transducer:
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.emitted(ids).tobytes().decode(errors="replace")
-        return text.removeprefix(self.model.normalised.prefix)
+        own = self.model.normalised
+        return text.lstrip(" ") if own.trim else text.removeprefix(own.prefix)
 
     def gives_back(self, ids: np.ndarray, at: np.ndarray, normal: list[str]) -> list[bool]:
         """Whether each normalised text is what its ids stand for."""
