@@ -6,7 +6,7 @@ import sentencepiece
 import corpus_pipeline
 from riskweave.llm.quality_rules import COMMON
 
-from . import test_decontamination, test_line_templates, test_simhash_neardup
+from . import test_decontamination, test_jaccard_neardup, test_line_templates
 
 
 def documents():
@@ -19,6 +19,7 @@ def documents():
     docs = [(i, t + ("\nThis page was last seen on 2024-05-%02d by all readers of the site." % (i % 28) if i % 4 == 0 else "")) for i, t in docs]
     docs += [(100 + i, docs[i][1]) for i in range(10)] + [(150 + i, docs[2][1]) for i in range(4)]
     docs += [(200 + i, say(40) + "\n" + items[i][1] + "\n" + say(40)) for i in range(6)]
+    docs += [docs[7], (None, docs[8][1]), (400, (say(10) + " ") * 20)]
     docs += [(300, (say(120)).upper().replace(" ", "!! ")), (301, "short"), (302, None), (303, "")]
     return docs, items
 
@@ -30,13 +31,10 @@ def test_run_equals_a_plain_version(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
 
-    good = [(i, t) for i, t in docs if i < 300]  # the odd ones are rejected
+    good = [(i, t) for i, t in docs if i is None or i < 300]  # the odd ones are rejected
     cleaned = [(i, t) for i, t, *_ in test_line_templates.brute(good)]
-    groups = {}
-    for i, _, component in test_simhash_neardup.brute(cleaned, words=corpus_pipeline.SHINGLE):
-        groups.setdefault(component, []).append(i)
     texts = dict(cleaned)
-    alone = [(min(g), texts[min(g)]) for g in groups.values()]
+    alone = [(i, texts[i]) for i in sorted(set(test_jaccard_neardup.brute(cleaned)))]
     bad = {d for d, _ in test_decontamination.brute(alone, items)}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {i: library.encode(t) for i, t in alone if i not in bad}
@@ -45,9 +43,18 @@ def test_run_equals_a_plain_version(spark, tmp_path):
     assert not any("last seen" in texts[i] for i in want)
 
 
-def test_stages_keep_the_columns_of_documents(spark, tmp_path):
+#: Names that stages use for columns of their own.
+CLASHING = ["row", "chars", "words", "kept", "text_key", "drop", "copy_like", "key_none", "key_id", "key_text", "place", "others", "node", "cluster", "item_id"]
+
+
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark, tmp_path):
     docs, items = documents()
-    frame = spark.createDataFrame([(i, t, None, "s", 3, 1) for i, t in docs[:20]], "doc_id long, text string, lang string, source string, n_chars long, leaf int")
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} int" for c in CLASHING) + ", `a.b` int"
+    frame = spark.createDataFrame([(i, t, None, "s", len(t), *range(len(CLASHING) + 1)) for i, t in docs[:12]], schema)
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, frame, f"file://{tmp_path}").columns == frame.columns
+        out = stage(spark, frame, f"file://{tmp_path}")
+        assert out.columns == frame.columns
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple(range(len(CLASHING) + 1))}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), f"file://{tmp_path}").count() == 0, name
