@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import normalise as N
 
@@ -40,14 +48,26 @@ def index(anchors: DataFrame, id_col: str, text_col: str, grams: bool = True) ->
     return idf, w.join(norms, "anchor")
 
 
-def similarities(queries: DataFrame, anchors: DataFrame, id_col: str, text_col: str, anchor_id: str, anchor_text: str, grams: bool = True) -> DataFrame:
-    """(id, anchor, similarity) of the pairs that share a feature; the anchor set is small and fixed, so it is broadcast by size."""
-    idf, side = index(anchors, anchor_id, anchor_text, grams)
-    tf = weighted(queries, id_col, text_col, grams).join(idf, "feature", "left")
-    tf = tf.select("id", "feature", ((1 + F.ln("tf")) * F.coalesce("idf", F.lit(UNSEEN))).alias("q"))
-    norms = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    dots = tf.join(side, "feature").groupBy("id", "anchor").agg(F.sum(F.col("q") * F.col("w")).alias("dot"), F.first("norm").alias("norm"))
-    return dots.join(norms, "id").select("id", "anchor", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
+def similarities(queries: DataFrame, anchors: DataFrame, id_col: str, text_col: str, anchor_id: str, anchor_text: str, grams: bool = True, most: int = 500_000) -> DataFrame:
+    """(id, anchor, similarity) of the pairs that share a feature.
+
+    The queries are dealt by id once, as texts; what follows keeps that partitioning. The anchors' features stand in one row each, with
+    their anchors, and are broadcast up to ``most`` of them. A feature gives a term for each of its anchors and one, without
+    anchor, for the query's norm.
+    """
+    idf, weights = index(anchors, anchor_id, anchor_text, grams)
+    postings = weights.groupBy("feature").agg(F.collect_list(F.struct("anchor", (F.col("w") / F.col("norm")).alias("w"))).alias("postings"))  # no longer than the anchor set
+    side = idf.join(postings, "feature", "left")
+    side = F.broadcast(side) if side.limit(most + 1).count() <= most else side
+    tf = weighted(queries.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id"), "id", "text", grams)
+    q = (1 + F.ln("tf")) * F.coalesce("idf", F.lit(UNSEEN))
+    none = F.array().cast("array<struct<anchor:bigint,w:double>>")
+    terms = tf.join(side, "feature", "left").select("id", q.alias("q"), F.coalesce(F.col("postings").cast("array<struct<anchor:bigint,w:double>>"), none).alias("postings"))
+    own = F.struct(F.lit(None).cast("long").alias("anchor"), F.col("q").alias("w"))
+    terms = terms.select("id", "q", F.explode(F.array_append("postings", own)).alias("p"))
+    sums = terms.groupBy("id", F.col("p.anchor").alias("anchor")).agg(F.sum(F.col("q") * F.col("p.w")).alias("s"))
+    norm = F.sqrt(F.max(F.when(F.col("anchor").isNull(), F.col("s"))).over(Window.partitionBy("id")))
+    return sums.withColumn("norm", norm).filter("anchor is not null").select("id", "anchor", (F.col("s") / F.col("norm")).alias("similarity"))
 
 
 def best_margin(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -74,11 +94,96 @@ def safety_confidence(similarity: Column, margin: Column) -> Column:
     return F.when((similarity >= 0.55) & (margin >= 0.20), 0.60 + 0.32 * scaled(similarity, 0.34, 0.62))
 
 
+# Retrieval over hashed features ----------------------------------------------------------------------------------
+
+BUCKETS, MOST_ANCHORS = 1 << 18, 10_000
+LEAST_TOKENS = {"contact": 4, "safety": 3, "innocent": 3}
+NOT_WORD = re.compile(r"[\W_]+")
+
+
+def hashed_features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The buckets of a text's words, word pairs and character 4-grams, how often each occurs, and the number of words."""
+    plain = NOT_WORD.sub(" ", (text or "").lower()).strip()
+    words = plain.split()
+    keys = [zlib.crc32(f"w:{w}".encode()) for w in words] + [zlib.crc32(f"b:{a} {b}".encode()) for a, b in zip(words, words[1:])]
+    points = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    fours = np.zeros(max(0, len(points) - 3), np.uint64)
+    for i in range(4):
+        fours = (fours * np.uint64(0x9E3779B97F4A7C15) + points[i : i + len(fours)] + np.uint64(1)) ^ (fours >> np.uint64(29))
+    found, n = np.unique(np.concatenate([np.array(keys, np.uint64), fours >> np.uint64(7)]) % np.uint64(BUCKETS), return_counts=True)
+    return found.astype(np.int64), n, len(words)
+
+
+class AnchorIndex:
+    """Weights of the anchors' features by bucket, and the idf of each bucket."""
+
+    def __init__(self, rows: list[tuple[str, str, str]]):
+        """rows: (family, intent, text)."""
+        self.families = np.array([r[0] for r in rows])
+        self.intents = [r[1] for r in rows]
+        found = [hashed_features(r[2]) for r in rows]
+        df = np.zeros(BUCKETS)
+        for buckets, _, _ in found:
+            df[buckets] += 1
+        self.idf = np.where(df > 0, np.maximum(np.log((len(rows) + 1) / (df + 1)), 0.0), UNSEEN)
+        weights = [(1 + np.log(n)) * self.idf[b] for b, n, _ in found]
+        norms = [np.sqrt((w * w).sum()) or 1.0 for w in weights]
+        bucket = np.concatenate([*(b for b, _, _ in found), np.zeros(0, np.int64)])
+        by = np.argsort(bucket, kind="stable")
+        self.anchor = np.repeat(np.arange(len(rows)), [len(w) for w in weights])[by]
+        self.weight = np.concatenate([*(w / n for w, n in zip(weights, norms, strict=True)), np.zeros(0)])[by]
+        self.start = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+
+    def best(self, text: str | None) -> dict[str, tuple[float, int]]:
+        """For each family the highest similarity and its anchor; -1 for a text with too few words."""
+        buckets, n, words = hashed_features(text)
+        q = (1 + np.log(n)) * self.idf[buckets]
+        first, size = self.start[buckets], self.start[buckets + 1] - self.start[buckets]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        norm = np.sqrt((q * q).sum()) or 1.0
+        near = np.bincount(self.anchor[at], np.repeat(q, size) * self.weight[at], len(self.families)) / norm
+        out = {}
+        for family, least in LEAST_TOKENS.items():
+            own = np.flatnonzero(self.families == family)
+            k = int(own[near[own].argmax()]) if len(own) else -1
+            out[family] = (float(near[k]), k) if words >= least and k >= 0 else (-1.0, -1)
+        return out
+
+
+RETRIEVED = "contact_similarity double, safety_similarity double, innocent_similarity double, safety_intent string"
+
+
+def with_similarities(rows: DataFrame, anchors: DataFrame, text_col: str = "text") -> DataFrame:
+    """rows with their highest similarity to the contact, safety and innocent anchors (-1 where the text is too short), and the
+    intent of the nearest safety anchor. anchors (family, intent, text) is a list of at most MOST_ANCHORS rows. No shuffle."""
+    held = [tuple(r) for r in anchors.select("family", "intent", "text").limit(MOST_ANCHORS + 1).collect()]
+    if len(held) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    shared = rows.sparkSession.sparkContext.broadcast(AnchorIndex(sorted(held)))
+    place = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            best = [index.best(t) for t in batch.column(place).to_pylist()]
+            near = [pa.array([b[f][0] for b in best], pa.float64()) for f in ("contact", "safety", "innocent")]
+            intents = pa.array([index.intents[b["safety"][1]] if b["safety"][1] >= 0 else None for b in best], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *near, intents], [*batch.schema.names, *(x.split()[0] for x in RETRIEVED.split(", "))])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(RETRIEVED).fields]))
+
+
+#: Query vectors that are broadcast at once.
+BLOCK = 20_000
+
+
 def embedding_neighbours(queries: DataFrame, base: DataFrame, k: int = 3) -> DataFrame:
-    """(id, vec_id, similarity, place): the k nearest of base for a stated, bounded set of queries (a block)."""
+    """(id, vec_id, similarity, place): the k nearest of base for a stated set of queries, in blocks of at most ``BLOCK`` of them: each
+    block meets all of base, which is read once for each."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    block = queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("q"))
-    pairs = base.join(F.broadcast(block), F.col("vec_id") != F.col("id"))
+    n = max(1, -(-queries.count() // BLOCK))
+    parts = [queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).select(F.col("vec_id").alias("id"), F.col("embedding").alias("q")) for i in range(n)]
+    pairs = reduce(DataFrame.unionByName, [base.join(F.broadcast(part), F.col("vec_id") != F.col("id")) for part in parts])
     rows = pairs.select("id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("embedding"), F.col("embedding")))), 6).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "vec_id"))
     return rows.withColumn("place", place).filter(F.col("place") <= k)

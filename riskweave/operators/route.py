@@ -11,31 +11,40 @@ from . import extract as X
 from . import safety as S
 from .policy import higher
 
-DEFANGED = r"\b[a-z0-9-]{2,} ?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]| dot |\{\.\}) ?(?:" + "|".join(A.TLDS) + r")\b"
+TLD = "(?:" + "|".join(A.TLDS) + ")"
+#: Endings that are words too: after a spelled dot they count only at the end of a phrase.
+WORDLIKE = r"(?:in|me|co|app|shop|site|store|online)"
+DEFANGED = [
+    rf"\b[a-z0-9-]{{2,}} ?[\[({{] ?(?:\.|dot) ?[\])}}] ?{TLD}\b", rf"\b[a-z0-9-]{{3,}} dot (?!{WORDLIKE}\b){TLD}\b", rf"\b[a-z0-9-]{{3,}} dot {WORDLIKE}(?: ?[/.,!?]|$)",
+    r"\bhxxps?:", rf"\b[a-z0-9-]{{3,}} ?, ?(?!{WORDLIKE}\b){TLD}(?:/|$)", rf"\b[a-z0-9-]{{3,}} \. {TLD}\b(?! [a-z])", rf"\b[a-z0-9-]{{3,}}\.\s*[/|]\s*{TLD}\b",
+]
 
 
-def suspicions(base: Column, raw: Column, contact_found: Column, innocent_similarity: Column, abuse_lead: Column, contact_similarity: Column, contact_margin: Column) -> Column:
-    """Names in the order of the checks; a contact detection ends the list after the first four."""
-    tokens = N.tokens(base)
+def suspicions(base: Column, raw: Column, contact_found: Column, innocent_similarity: Column, abuse_lead: Column, contact_similarity: Column, contact_margin: Column, tokens: Column | None = None, numbers: Column | None = None, carriers: Column | None = None) -> Column:
+    """Names in the order of the checks; a contact detection ends the list after the first four. tokens, numbers (number_digits)
+    and carriers (positional detections) are computed here if they are not given."""
+    tokens = N.tokens(base) if tokens is None else tokens
+    spelled = N.number_digits(base) if numbers is None else numbers
+    carriers = X.positional(raw) if carriers is None else carriers
     person = S.addresses_person(tokens)
-    spelled = N.number_digits(base)
     written = N.digits_only(base)
     letters = N.count_matches(base, r"\p{L}")
-    injected = F.size(F.filter(F.array(*map(F.lit, A.INJECTION)), lambda p: F.contains(base, p)))
+    cues = F.size(F.filter(N.constants(A.INJECTION_CUES), lambda p: F.contains(base, p)))
+    native = "|".join([*map(N.fold_text, A.NATIVE_CONDITIONAL)])
     early = [
         ("personDirectedAnomaly", person & (((innocent_similarity >= 0) & (innocent_similarity < 0.20)) | (abuse_lead > 0.02))),
-        ("conditionalDemand", base.rlike(A.CONDITIONAL)),
-        ("promptManipulation", injected >= 1),
+        ("conditionalDemand", base.rlike(A.CONDITIONAL) | base.rlike(native)),
+        ("promptManipulation", base.rlike(S.any_of(A.INJECTION)) | (cues >= 2)),
         ("reportedMechanism", base.rlike(S.any_of(A.SCAMS))),
     ]
     late = [
         ("dictatedFragment", F.length(spelled).between(5, 14) & (F.length(spelled) - F.length(written) >= 2) & (F.length(spelled) >= 0.5 * F.size(tokens))),
         ("contiguousMobile", base.rlike(r"(?:^|[^0-9])[6-9][0-9]{9}(?:[^0-9]|$)") & ~base.rlike(r"[0-9]{1,3}(?:,[0-9]{2,3})+")),
-        ("positionalCarrier", F.size(X.positional(raw)) > 0),
-        ("repeatRunDigits", base.rlike(r"[!.*?]{5,}")),
-        ("obfuscatedDomain", base.rlike(DEFANGED)),
+        ("positionalCarrier", F.size(carriers) > 0),
+        ("repeatRunDigits", base.rlike(r"(?:[!.*?~]{1,9} ){6,}")),
+        ("obfuscatedDomain", base.rlike("|".join(DEFANGED))),
         ("wordlessProtocolCue", (letters == 0) & (F.length(base) > 0)),
-        ("anomalousRegularity", (N.count_matches(raw, r"\p{So}") >= 12) & (letters <= 12)),
+        ("anomalousRegularity", raw.rlike(r"(?:\b\p{L}([ ._-]))(?:\p{L}\1){5,}") | ((N.count_matches(raw, r"\p{So}") >= 12) & (letters <= 12))),
         ("intentWithoutPayload", ((contact_similarity >= 0.24) & (contact_margin >= 0.05)) | base.rlike(S.any_of([*A.SOLICITATION, *A.STEERING]))),
     ]
     names = lambda checks, ok: [F.when(F.coalesce(c, F.lit(False)) & ok, F.lit(n)) for n, c in checks]

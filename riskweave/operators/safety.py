@@ -15,12 +15,16 @@ FINDING = "array<struct<category:string,confidence:double,phrase:string>>"
 HEADS = ["threat", "harassment", "sexual", "selfHarm", "coercion", "scam"]
 
 
-def any_of(phrases: list[str]) -> str:
-    return r"\b(?:" + "|".join(re.escape(p) for p in phrases) + r")\b"
+any_of = N.any_of
+
+
+def with_native(category: str, phrases: list[str]) -> list[str]:
+    """The phrases of a category, those of other scripts folded as base texts are."""
+    return phrases + [N.fold_text(p) for p in A.NATIVE.get(category, [])]
 
 
 def first_phrase(text: Column, phrases: list[str]) -> Column:
-    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases])
+    return N.first_listed(text, phrases)
 
 
 def finding(category: str, confidence, phrase: Column) -> Column:
@@ -29,7 +33,7 @@ def finding(category: str, confidence, phrase: Column) -> Column:
 
 
 def addresses_person(tokens: Column) -> Column:
-    return F.exists(tokens, lambda t: t.isin(A.PERSON_TARGETS))
+    return F.arrays_overlap(tokens, N.constants(A.PERSON_TARGETS))
 
 
 def lever(text: Column) -> Column:
@@ -37,14 +41,35 @@ def lever(text: Column) -> Column:
     return F.when(text.rlike(any_of(A.ILLEGITIMATE_LEVERS)), "illegitimate").when(text.rlike(any_of(A.LAWFUL_LEVERS)), "lawful").otherwise("unknown")
 
 
+PERSON = "^(?:" + "|".join(A.PERSON_TARGETS) + ")$"
+
+
 def insult(tokens: Column, words: list[str], reach: int = 4) -> Column:
     """The first of the words that stands within reach of a word for a person."""
 
     def near(t: Column) -> Column:
-        beside = lambda i: F.exists(F.slice(t, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)), lambda x: x.isin(A.PERSON_TARGETS))
-        return F.get(F.filter(F.transform(t, lambda x, i: F.when(x.isin(words) & beside(i), x)), lambda x: x.isNotNull()), F.lit(0))
+        beside = lambda i: F.exists(F.slice(t, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)), lambda x: x.rlike(PERSON))
+        return F.get(F.filter(F.transform(t, lambda x, i: F.when(F.array_contains(N.constants(words), x), F.when(beside(i), x))), lambda x: x.isNotNull()), F.lit(0))
+
+    return F.when(F.arrays_overlap(tokens, N.constants(words)), N.let(tokens, near))
+
+
+def skeletons(words: list[str]) -> Column:
+    """The skeletons of some words as a constant array; those under four characters match too much and are left out."""
+    return F.filter(F.split(N.skeleton(F.lit(" ".join(words))), " "), lambda x: F.length(x) >= 4)
+
+
+def skeleton_insult(base: Column, tokens: Column, words: list[str]) -> Column:
+    """A word of the text whose skeleton is that of a listed word, where the text names a person."""
+    own = F.filter(F.split(N.skeleton(base), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4)
+    return F.when(addresses_person(tokens), F.get(F.array_intersect(own, skeletons(words)), F.lit(0)))
+
 
-    return N.let(tokens, near)
+def unstarred(base: Column, words: list[str]) -> Column:
+    """The first listed word that a starred word of the text stands for (``b*st*rd``)."""
+    starred = F.regexp_extract_all(base, F.lit(r"[a-z]+(?:[*#_]+[a-z]*)+"), F.lit(0))
+    fits = lambda w: F.exists(starred, lambda s: (F.length(s) == F.length(w)) & F.rlike(w, F.concat(F.lit("^"), F.regexp_replace(s, "[*#_]", "."), F.lit("$"))))
+    return F.when(base.rlike(r"[a-z][*#_]+[a-z]"), F.get(F.filter(N.constants(words), fits), F.lit(0)))
 
 
 def brand_links(base: Column) -> Column:
@@ -58,32 +83,63 @@ def brand_links(base: Column) -> Column:
 def discrimination(base: Column) -> Column:
     """An exclusion within 24 characters of a protected group."""
     group = any_of(A.PROTECTED)
-    return F.nullif(F.regexp_extract(base, rf"{A.EXCLUSION}.{{0,24}}?{group}|{group}.{{0,24}}?{A.EXCLUSION}", 0), F.lit(""))
+    return F.when(base.rlike(group), F.nullif(F.regexp_extract(base, rf"{A.EXCLUSION}.{{0,24}}?{group}|{group}.{{0,24}}?{A.EXCLUSION}", 0), F.lit("")))
 
 
 def threat(base: Column) -> Column:
-    """A threat phrase whose agent is the writer, or that needs none."""
-    said = first_phrase(base, A.THREATS)
-    excused = base.rlike(r"\b(?:can|could|would you like|happy to|repair|technician|cleaner)\b") & F.contains(said, F.lit("find you"))
-    return F.when(~F.coalesce(excused, F.lit(False)), said)
-
-
-def evaluate(base: Column) -> Column:
-    """Findings in the order of the rules; one for each rule at most."""
-    tokens = N.tokens(base)
-    sides = [
-        brand_links(base),
-        finding("discrimination", 0.88, discrimination(base)),
-        finding("harassment", 0.90, insult(tokens, A.INSULTS_STRONG)),
-        F.when(insult(tokens, A.INSULTS_STRONG).isNull(), finding("harassment", 0.74, insult(tokens, A.INSULTS_MILD))),
-        finding("selfHarm", 0.90, first_phrase(base, A.SELF_HARM)),
-        finding("threat", 0.93, threat(base)),
-        finding("sexual", 0.88, first_phrase(base, A.SEXUAL)),
-        F.when(addresses_person(tokens), finding("harassment", 0.74, first_phrase(base, A.HARASSMENT))),
-        finding("scam", 0.82, first_phrase(base, A.SCAMS)),
-        F.when(lever(base) == "illegitimate", finding("coercion", 0.88, F.nullif(F.regexp_extract(base, A.CONDITIONAL, 0), F.lit("")))),
-    ]
-    return F.coalesce(F.array_compact(F.array(*sides)), F.array().cast(FINDING))
+    """A threat phrase that names the writer as agent itself or within the eight words before, or that needs none; a visit that is
+    offered, or that some service makes, is none."""
+    said = first_phrase(base, with_native("threat", A.THREATS))
+    before = F.slice(F.reverse(N.tokens(F.call_function("substring_index", base, said, F.lit(1)))), 1, 8)
+    agent = N.let(before, lambda t: F.exists(t, lambda x: x.rlike("^(?:" + "|".join(A.AGENTS) + ")$"))) | said.rlike(r"^(?:i|we|watch|you will)\b|[^\x00-\x7F]")
+    visit = F.lit(False)
+    for v in A.VISITS:
+        visit |= F.contains(said, F.lit(v))
+    excused = visit & (base.rlike(any_of(A.OFFERS)) | base.rlike(any_of(A.SERVICE_WORDS)))
+    return F.when(said.isNotNull(), F.when(F.coalesce(agent & ~excused, F.lit(False)), said))
+
+
+def coercion(base: Column) -> Column:
+    """A demand with a condition (0.88) or a demanding phrase (0.78), if what it leans on is illegitimate."""
+    hard = F.nullif(F.regexp_extract(base, A.CONDITIONAL, 0), F.lit(""))
+    native = first_phrase(base, [N.fold_text(p) for p in A.NATIVE_CONDITIONAL])
+    soft = first_phrase(base, A.DEMAND_PHRASES)
+    return F.when(lever(base) == "illegitimate", F.coalesce(finding("coercion", 0.88, F.coalesce(hard, native)), finding("coercion", 0.78, soft)))
+
+
+def evaluate(base: Column, slurs: list[str] | None = None) -> Column:
+    """Findings in the order of the rules; one for each rule at most. slurs are words or phrases besides our own."""
+    slurs = [*A.SLURS, *(slurs or [])]
+    strong = A.INSULTS_STRONG
+
+    def of(tokens: Column) -> Column:
+        person = addresses_person(tokens)
+        slur = F.coalesce(first_phrase(base, slurs), unstarred(base, [w for w in slurs if " " not in w] or ["\x00"]))
+        profane = F.coalesce(
+            finding("harassment", 0.97, slur), finding("harassment", 0.94, insult(tokens, A.INDIC_INSULTS)), finding("harassment", 0.90, insult(tokens, strong)),
+            finding("harassment", 0.90, F.when(person, unstarred(base, strong))), finding("harassment", 0.74, insult(tokens, A.INSULTS_MILD)), finding("harassment", 0.94, skeleton_insult(base, tokens, [*A.INDIC_INSULTS, *strong])),
+        )
+        sides = [
+            brand_links(base),
+            finding("discrimination", 0.88, discrimination(base)),
+            profane,
+            finding("selfHarm", 0.90, first_phrase(base, with_native("selfHarm", A.SELF_HARM))),
+            finding("threat", 0.93, threat(base)),
+            finding("sexual", 0.88, first_phrase(base, with_native("sexual", A.SEXUAL))),
+            F.when(person, finding("harassment", 0.74, first_phrase(base, A.HARASSMENT))),
+            finding("harassment", 0.74, first_phrase(base, with_native("harassment", []))),
+            finding("scam", 0.82, first_phrase(base, A.SCAMS)),
+            coercion(base),
+        ]
+        return F.coalesce(F.array_compact(F.array(*sides)), F.array().cast(FINDING))
+
+    return N.let(N.tokens(base), of)
+
+
+def similar_finding(intent: Column, confidence: Column, base: Column, tokens: Column) -> Column:
+    """The finding of the nearest safety anchor; harassment needs a person, a scam what it would take."""
+    allowed = F.when(intent == "harassment", addresses_person(tokens)).when(intent == "scam", base.rlike(any_of(A.PHISHING))).otherwise(True)
+    return F.when(confidence.isNotNull() & allowed, F.struct(intent.alias("category"), confidence.alias("confidence"), F.lit("similar").alias("phrase")))
 
 
 def chunks(text: Column, size: int = 600, overlap: int = 120) -> Column:
@@ -98,6 +154,7 @@ def first_by_category(findings: Column) -> Column:
     return N.let(findings, lambda f: F.filter(f, lambda x, i: ~F.exists(F.slice(f, F.lit(1), i), lambda y: y["category"] == x["category"])))
 
 
+# The confidences of the rules above, and the weights of the heads below.
 def heads(findings: Column, safety_similarity: Column, innocent_similarity: Column, person: Column, conditional: Column, property_directed: Column) -> Column:
     """Scores of the six heads and of a legitimate complaint."""
     of = lambda c: F.coalesce(F.array_max(F.transform(F.filter(findings, lambda f: f["category"] == c), lambda f: f["confidence"])), F.lit(0.0))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-DAY, QUARTER, DEPTH = 24 * 3600 * 1_000_000, 15 * 60 * 1_000_000, 14
+DAY, QUARTER, DEPTH, LEASE = 24 * 3600 * 1_000_000, 15 * 60 * 1_000_000, 14, 15_000_000
 
 
 def micros(ts: Column) -> Column:
@@ -36,6 +40,7 @@ def actor_risk(events: DataFrame) -> DataFrame:
     return out.withColumns({"escalating": F.col("sub_threshold") >= F.when(F.col("reports") > 0, 2).otherwise(3), "composite": composite(*[F.col(c) for c in ("reports", "blocks", "sub_threshold", "conversations", "messages")])}).withColumn("elevated", F.col("composite") >= 0.35)
 
 
+# The weights and bounds of the composite.
 def composite(reports: Column, blocks: Column, sub_threshold: Column, conversations: Column, messages: Column) -> Column:
     parts = [(reports * 0.30, 0.60), (blocks * 0.20, 0.40), (sub_threshold * 0.12, 0.36), (conversations / 40.0, 0.20), (messages / 400.0, 0.10)]
     return F.round(F.least(sum((F.least(v, F.lit(m)) for v, m in parts), F.lit(0.0)), F.lit(1.0)), 6)
@@ -69,7 +74,52 @@ def not_decided(incoming: DataFrame, decided: DataFrame, key: str) -> DataFrame:
     return incoming.join(decided.select(key), key, "left_anti")
 
 
-def rate_limited(calls: DataFrame, burst: int = 200, per_second: int = 100) -> DataFrame:
-    """calls (caller, at in microseconds) with ``allowed``: whether those of the second up to each stay within the burst."""
-    second = Window.partitionBy("caller").orderBy("at").rangeBetween(-1_000_000, 0)
-    return calls.withColumn("allowed", F.count("*").over(second) <= max(burst, per_second))
+def reservable(incoming: DataFrame, decided: DataFrame, reserved: DataFrame, key: str, order: list[str], at: str, lease: int = LEASE) -> DataFrame:
+    """The rows of incoming that may be worked on: the first of each key that is neither decided nor reserved (key, reserved_at) less than
+    ``lease`` microseconds before; an older reservation is taken over."""
+    fresh = reserved.select(F.col(key).alias("r_key"), "reserved_at")
+    held = incoming.join(fresh, (F.col(key) == F.col("r_key")) & (F.col("reserved_at") > F.col(at) - lease) & (F.col("reserved_at") <= F.col(at)), "left_anti")
+    return first_writer(not_decided(held, decided, key), key, order)
+
+
+def replayed(incoming: DataFrame, decided: DataFrame, key: str) -> DataFrame:
+    """incoming with the stored decision where there is one (``replay`` tells)."""
+    names = {c: f"stored_{c}" for c in decided.columns if c != key}
+    return incoming.join(decided.withColumnsRenamed(names).withColumn("replay", F.lit(True)), key, "left").withColumn("replay", F.coalesce("replay", F.lit(False)))
+
+
+def replay_signals(signals: DataFrame, now: Column, window: int = DAY) -> DataFrame:
+    """The stored reports and blocks of the last day, from which actor state starts again."""
+    return signals.filter(F.col("kind").isin("report", "block") & (F.col("at") > now - window) & (F.col("at") <= now))
+
+
+def signal_events(signals: DataFrame) -> DataFrame:
+    """Report and block rows (signal_id, op, sender_id, conversation_id, ts) as events of actor_risk, to be unioned with messages."""
+    return signals.select(F.col("signal_id").alias("event_id"), F.col("sender_id").alias("sender"), F.col("conversation_id").alias("conversation"), F.col("op").alias("kind"), F.lit(False).alias("routed"), F.lit(False).alias("acted"), micros(F.col("ts")).alias("at"))
+
+
+def acknowledged(events: DataFrame) -> DataFrame:
+    """(sender, reports, blocks): the counters that a sender's signals are acknowledged with."""
+    return events.groupBy("sender").agg(F.count_if(F.col("kind") == "report").alias("reports"), F.count_if(F.col("kind") == "block").alias("blocks"))
+
+
+def rate_limited(calls: DataFrame, burst: int = 200, period: int = 10_000) -> DataFrame:
+    """calls (caller, at in microseconds, event_id) with ``allowed``: a token bucket for each caller that holds ``burst`` tokens and gains
+    one each ``period`` microseconds; a call takes one, a refused one none. Calls of a caller pass in order through one task, which
+    holds one number for it."""
+    most = burst * period
+    rows = calls.repartition("caller").sortWithinPartitions("caller", "at", "event_id")
+    names = calls.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller, level, last = None, most, 0
+        for batch in batches:
+            allowed = []
+            for who, at in zip(batch.column(names.index("caller")).to_pylist(), batch.column(names.index("at")).to_pylist(), strict=True):
+                level = min(most, level + at - last) if who == caller else most
+                caller, last = who, at
+                allowed.append(level >= period)
+                level -= period if level >= period else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*batch.schema.names, "allowed"])
+
+    return rows.mapInArrow(run, StructType([*calls.schema.fields, StructField("allowed", BooleanType())]))

@@ -1,89 +1,181 @@
 """The moderation plan: one chain of projections from messages to verdicts, for batch and stream alike.
 
-Everything is a Catalyst expression over one row, so the plan has no shuffle; what needs other rows (actor risk,
-context, buffers) is joined or windowed beforehand by operators.state.
+``moderate`` works on one row at a time, so it has no shuffle; what needs other rows comes as optional columns: similarities to
+anchors, the texts before (``buffer``), the sender's risk (``escalating``), a learned abuse score (``abuse``). ``cascade`` makes the
+first two. Every text is read whole; costly steps run only where a cheap test lets them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import assets as A
 from ..functions import normalise as N
 from ..operators import extract as X
 from ..operators import policy as P
+from ..operators import retrieve as V
 from ..operators import route as R
 from ..operators import safety as S
 from ..operators import score as C
+from ..operators import state as T
 
-ANALYSED, EXPENSIVE = 4000, 600
+#: The confidence of what several messages spell together.
+ASSEMBLED = 0.88
+
+
+def default_anchors(spark: SparkSession) -> DataFrame:
+    """Our labelled sentences (family, intent, text)."""
+    return spark.createDataFrame([(family, intent, text) for (family, intent), texts in A.ANCHORS.items() for text in texts], "family string, intent string, text string")
+
+
+def given(rows: DataFrame, name: str, otherwise) -> Column:
+    return F.coalesce(F.col(name), F.lit(otherwise)) if name in rows.columns else F.lit(otherwise)
 
 
 def normalised(messages: DataFrame) -> DataFrame:
     """messages with the views that the extractors read."""
-    out = N.settled(messages.withColumn("analysed", F.substring(F.coalesce("text", F.lit("")), 1, ANALYSED)), "analysed")
-    out = N.settled(out.withColumns({"base": N.base(F.col("analysed")), "transforms": N.transforms_used(F.col("analysed"))}), "base", "transforms")
-    out = out.withColumns({"alpha": N.alpha(F.col("base")), "compact": N.compact(F.col("base")), "separated": N.expand_separator_words(F.col("base")), "tokens": N.tokens(F.col("base")), "numbers": N.number_digits(F.col("base"))})
-    out = N.settled(out, "alpha", "compact", "separated", "tokens", "numbers")
-    return N.settled(out.withColumn("signals", X.signals(F.col("base"), F.col("alpha"), F.col("compact"))), "signals")
+    out = N.settled(messages.withColumn("raw", F.coalesce("text", F.lit(""))), "raw")
+    out = out.select("*", F.inline(F.array(N.base_and_transforms(F.col("raw")))))
+    base = F.col("base")
+    spelled = F.when(base.rlike(N.SPELLED), N.expand_number_words(base))
+    out = out.withColumns({"tokens": N.tokens(base), "words": N.tokens(N.alpha(base)), "compact": N.compact(base), "spelled": spelled, "separated": X.separated_for_mail(base)})
+    out = N.settled(out, "tokens", "words", "compact", "spelled", "separated")
+    out = out.withColumns({"signals": X.signals(base, F.col("words"), F.col("compact")), "numbers": N.digits_only(F.coalesce("spelled", "base"))})
+    return N.settled(out, "signals", "numbers")
+
+
+def phone_fallbacks(base: Column, numbers: Column, intent: Column) -> Column:
+    """Where no other way gives a phone: numbers in a known context (0.55 of their confidence, all of it if the whole text's digits are a
+    likely phone), a declared number, and Roman, backward and initial digits. The first way that gives some."""
+    laundered = F.coalesce(X.phone_confidence(N.digits_only(base)) >= 0.85, F.lit(False))
+    declared = F.when(intent & F.length(numbers).between(10, 13), F.array(X.found("phone", numbers, 0.86, 2)))
+    initials = N.digits_only(N.acrostic(base))
+    ways = [
+        F.when(laundered, X.phones(base)), declared, X.phones(base, 0.55), X.phones(N.expand_roman(base), 0.85, 3), F.when(base.rlike("[0-9]{8}"), X.phones(F.reverse(base), 0.85, 4)),
+        F.when(F.length(initials) >= 10, X.phones(initials, 0.85, 4)),
+    ]
+    return F.coalesce(*[F.when(F.size(w) > 0, w) for w in ways], X.nothing())
 
 
 def extracted(rows: DataFrame) -> DataFrame:
-    """rows with ``detections``: literal details first; disguised ones only where none is literal and the text is short."""
-    base, raw = F.col("base"), F.col("analysed")
+    """rows with ``detections`` and ``carriers``: literal details first, disguised ones where none is literal."""
+    base, raw, tokens = F.col("base"), F.col("raw"), F.col("tokens")
     intent = F.col("signals.contact_phrase").isNotNull() | F.col("signals.off_platform_phrase").isNotNull()
-    literal = F.concat(X.phones(N.masked_numbers(base)), X.emails(base, F.col("separated")), X.urls(base), X.handles(base), X.payments(base, raw))
-    rows = N.settled(rows.withColumn("literal", literal), "literal")
-    dictated = F.when((F.length("numbers") > F.length(N.digits_only(base))) & (X.phone_confidence(F.col("numbers")) >= 0.5), F.array(X.found("phone", F.col("numbers"), X.phone_confidence(F.col("numbers")), 3))).otherwise(F.array().cast(X.KIND))
-    suppressed = F.transform(X.phones(base, 0.55), lambda d: d)
-    hidden = F.concat(dictated, X.leet_digit_runs(base), X.encoded(base, raw), X.positional(raw), X.bare_identifiers(base, intent), X.platform_steering(base, F.col("compact"), F.col("tokens"), intent))
-    more = F.when((F.size("literal") == 0) & (F.length(raw) <= EXPENSIVE), F.concat(hidden, suppressed)).otherwise(F.array().cast(X.KIND))
-    found = F.concat("literal", more)
-    return rows.withColumn("detections", X.deduplicated(found)).withColumn("suppressed_only", (F.size("literal") == 0) & (F.size("detections") > 0) & ~F.exists("detections", lambda d: d["confidence"] >= 0.56)).drop("literal")
+    literal = F.concat(X.phones(N.masked_numbers(base)), X.emails(base, F.col("separated")), X.urls(base), X.handles(base, intent), X.payments(base, raw))
+    rows = N.settled(rows.withColumns({"literal": literal, "carriers": X.positional(raw, tokens), "intent": intent}), "literal", "carriers", "intent")
+    intent, none = F.col("intent"), F.size("literal") == 0
+    dictated = F.when(F.col("spelled").isNotNull(), X.phones(F.col("spelled"), 1.0, 3)).otherwise(X.nothing())
+    hidden = F.concat(dictated, X.leet_digit_runs(base), X.encoded(base, raw, tokens), F.col("carriers"), X.bare_identifiers(base, intent, tokens), X.platform_steering(base, F.col("compact"), tokens, intent))
+    rows = N.settled(rows.withColumn("hidden", F.when(none, hidden).otherwise(X.nothing())), "hidden")
+    no_phone = none & ~F.exists("hidden", lambda d: d["category"] == "phone") & (F.length("numbers") >= 8)
+    rows = N.settled(rows.withColumn("weak", F.when(no_phone, phone_fallbacks(base, F.col("numbers"), intent)).otherwise(X.nothing())), "weak")
+    only_weak = none & (F.size("hidden") == 0) & (F.size("weak") > 0) & ~F.exists("weak", lambda d: d["confidence"] >= 0.56)
+    rows = rows.withColumn("suppressed_only", only_weak)
+    rows = N.settled(rows.withColumn("detections", X.deduplicated(F.concat("literal", "hidden", "weak"))).drop("literal", "hidden", "weak"), "detections", "suppressed_only")
+    return assembled(rows) if "buffer" in rows.columns else rows.withColumn("cross_message", F.lit(False))
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """rows (with ``buffer``, the texts before) whose own text gives nothing, with what the texts spell together: phones, addresses, and
+    phones or platforms of the messages' first characters. Only where the text can add to it."""
+    whole = F.concat_ws(" ", F.array_append("buffer", F.col("raw")))
+    firsts = F.lower(F.array_join(F.transform(F.array_append("buffer", F.col("raw")), lambda t: F.substring(F.trim(t), 1, 1)), ""))
+    up = lambda category, found: F.transform(found, lambda d: X.found(category, d["surface"], ASSEMBLED, 4))
+
+    def of(base: Column) -> Column:
+        number = F.when(base.rlike(N.SPELLED), N.expand_number_words(base)).otherwise(base)
+        likely = F.filter(X.phones(N.masked_numbers(number)), lambda d: d["confidence"] >= 0.62)
+        joined = F.when(F.length(N.digits_only(number)).between(10, 14) & (X.phone_confidence(N.digits_only(number)) >= 0.62), F.array(X.found("phone", N.digits_only(number), ASSEMBLED, 4)))
+        mail = up("email", X.emails(base, X.separated_for_mail(base)))
+        some = lambda a: F.when(F.size(a) > 0, a)
+        return F.coalesce(some(up("phone", likely)), joined, some(mail), X.nothing())
+
+    initial = F.when(firsts.rlike("|".join(A.PLATFORMS)) | (F.length(N.digits_only(firsts)).between(10, 14) & (X.phone_confidence(N.digits_only(firsts)) >= 0.62)), F.array(X.found("referentialContact", firsts, ASSEMBLED, 4))).otherwise(X.nothing())
+    open_row = ((F.size("detections") == 0) | F.col("suppressed_only")) & (F.size("buffer") > 0)
+    adds = F.col("base").rlike(f"[0-9@]|{N.SPELLED}") | F.col("base").rlike(X.MAIL_WORD)
+    found = F.when(open_row & adds, N.let(N.base(whole), of)).otherwise(X.nothing())
+    rows = N.settled(rows.withColumn("together", found), "together")
+    rows = N.settled(rows.withColumn("together", F.when(open_row & (F.size("together") == 0), initial).otherwise(F.col("together"))), "together")
+    cross = F.size("together") > 0
+    return rows.withColumns({"detections": F.when(cross, F.col("together")).otherwise(F.col("detections")), "suppressed_only": F.col("suppressed_only") & ~cross, "cross_message": cross}).drop("together")
+
+
+def retrieved(rows: DataFrame) -> DataFrame:
+    """rows with the detection and the finding that similarity gives, where the rows have similarities."""
+    contact, safety, innocent = (given(rows, f"{f}_similarity", -1.0) for f in ("contact", "safety", "innocent"))
+    against = F.greatest(innocent, F.lit(0.0))
+    similar = F.when(F.size("detections") == 0, V.contact_confidence(contact, contact - against))
+    rows = rows.withColumns({"near_contact": similar, "contact_margin": contact - against, "near_safety": V.safety_confidence(safety, safety - against)})
+    hit = F.array(X.found("referentialContact", F.lit("similar"), F.col("near_contact")))
+    return rows.withColumn("detections", F.when(F.col("near_contact").isNotNull(), hit).otherwise(F.col("detections")))
 
 
 def scored(rows: DataFrame) -> DataFrame:
     s = F.col("signals")
     confidence = F.array_max(F.transform("detections", lambda d: d["confidence"]))
     density = F.when(s["character_count"] > 0, s["digit_count"] / s["character_count"]).otherwise(0.0)
-    cross = F.col("cross_message") if "cross_message" in rows.columns else F.lit(False)
     effort = N.effort(F.col("transforms")) + F.coalesce(F.array_max(F.transform("detections", lambda d: d["effort"])), F.lit(0))
-    values = C.features(confidence, F.size("detections"), effort, s["contact_phrase"].isNotNull(), s["platform_strong"], s["platform_weak"], s["off_platform_phrase"].isNotNull(), s["payment_keyword"], s["digits_embedded"], F.col("suppressed_only"), cross, F.col("priors"), s["at_count"], density)
-    return rows.withColumns({"score": C.score(values), "contributions": C.contributions(values)})
+    values = C.features(confidence, F.size("detections"), effort, s["contact_phrase"].isNotNull(), s["platform_strong"], s["platform_weak"], s["off_platform_phrase"].isNotNull(), s["payment_keyword"], s["digits_embedded"], F.col("suppressed_only"), F.col("cross_message"), F.col("priors"), s["at_count"], density)
+    rows = N.settled(rows.withColumn("values", F.struct(*[c.alias(n) for n, c in values.items()])), "values")
+    held = {n: F.col(f"values.{n}") for n in values}
+    return rows.withColumns({"score": C.score(held), "contributions": C.contributions(held)}).drop("values")
+
+
+def safety(rows: DataFrame) -> DataFrame:
+    """rows with ``findings`` (of the whole text, chunk by chunk, and of similarity) and ``routes``, the heads that send it on."""
+    base, tokens = F.col("base"), F.col("tokens")
+    own = S.first_by_category(F.flatten(F.transform(S.chunks(base), lambda t: S.evaluate(t))))
+    rows = N.settled(rows.withColumn("findings", own), "findings")
+    if "safety_intent" in rows.columns:
+        similar = S.similar_finding(F.col("safety_intent"), F.col("near_safety"), base, tokens)
+        rows = rows.withColumn("findings", F.when(F.size("findings") == 0, F.array_compact(F.array(similar))).otherwise(F.col("findings")))
+    property_directed = F.arrays_overlap(tokens, N.constants(A.PROPERTY_TARGETS))
+    heads = S.heads(F.col("findings"), given(rows, "safety_similarity", -1.0), given(rows, "innocent_similarity", -1.0), S.addresses_person(tokens), base.rlike(A.CONDITIONAL), property_directed)
+    rows = N.settled(rows.withColumn("heads", heads), "findings", "heads")
+    return rows.withColumn("routes", S.bands(F.col("heads"))["route"]).drop("heads")
 
 
 def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: bool = False) -> DataFrame:
     """messages (schema.MESSAGE, further columns allowed) with detections, findings, score, action, reasons, masked text and escalation."""
     policy = policy or P.Policy()
     rows = messages.withColumns({"priors": F.coalesce("prior_violations", F.lit(0)), "advisory": F.coalesce("advisory", F.lit(False))})
-    rows = N.settled(extracted(normalised(rows)), "detections", "suppressed_only")
-    rows = N.settled(scored(rows), "score", "contributions")
-    rows = N.settled(rows.withColumn("findings", S.first_by_category(F.flatten(F.transform(S.chunks(F.col("base")), S.evaluate)))), "findings")
+    rows = N.settled(safety(scored(retrieved(extracted(normalised(rows))))), "score", "contributions", "routes", "findings")
     rows = rows.withColumn("marks", P.thresholds(F.col("trust"), F.col("stage"), F.col("priors"), policy))
     args = [F.col(c) for c in ("score", "marks", "priors", "detections", "findings")]
-    rows = rows.withColumn("action", P.decide(*args, F.col("advisory"), policy))
-    rows = N.settled(rows, "marks", "action")
-    none = F.lit(-1.0)
-    rows = rows.withColumns({
-        "reasons": P.reasons(*args, F.col("action"), policy),
-        "suspicions": R.suspicions(F.col("base"), F.col("analysed"), F.size("detections") > 0, none, F.lit(0.0), none, none),
-    })
-    rows = N.settled(rows, "reasons", "suspicions")
+    rows = N.settled(rows.withColumn("action", P.decide(*args, F.col("advisory"), policy)), "marks", "action")
+    # a router's score counts by what it has over its mark
+    lead = given(rows, "abuse", 0.0) - 0.5 if "abuse" in rows.columns else F.lit(0.0)
+    found = R.suspicions(F.col("base"), F.col("raw"), F.size("detections") > 0, given(rows, "innocent_similarity", -1.0), lead, given(rows, "contact_similarity", -1.0), F.col("contact_margin"), F.col("tokens"), F.col("numbers"), F.col("carriers"))
+    rows = N.settled(rows.withColumns({"reasons": P.reasons(*args, F.col("action"), policy), "suspicions": found}), "reasons", "suspicions")
     rows = rows.withColumn("action", F.when(F.array_contains("suspicions", "promptManipulation") & ~F.col("advisory"), "block").otherwise(F.col("action")))
-    rows = rows.withColumn("escalated", P.escalates(F.col("score"), F.col("suspicions"), F.lit(False)))
+    # a sender whose messages keep coming close is blocked with the next one that is suspicious, unless it only claims a right
+    pattern = given(rows, "escalating", False)
+    stopped = pattern & ((F.size("suspicions") > 0) | (F.size("routes") > 0)) & (S.lever(F.col("base")) != "lawful") & ~F.col("advisory")
+    rows = rows.withColumns({"behavioural": stopped, "action": F.when(stopped, P.higher(F.col("action"), F.lit("block"))).otherwise(F.col("action"))})
+    rows = rows.withColumn("escalated", P.escalates(F.col("score"), F.col("suspicions"), pattern | (F.size("routes") > 0)))
     held, action = P.hold(F.col("escalated"), F.transform("findings", lambda f: f["category"]), F.col("action"), adjudicator)
-    rows = N.settled(rows.withColumns({"held": held, "action": action}), "held", "action", "escalated")
-    rows = rows.withColumn("detections", X.located(F.col("detections"), F.coalesce("text", F.lit(""))))
-    rows = N.settled(rows, "detections")
+    rows = N.settled(rows.withColumns({"held": held, "action": action}), "held", "action", "escalated", "behavioural")
+    masks = P.rank(F.col("action")) >= P.rank(F.lit("mask"))
+    rows = N.settled(rows.withColumn("detections", X.located(F.col("detections"), F.col("raw"))), "detections")
     # what has no place of its own in the text (spelled or hidden details) hides the whole text
     whole = F.struct(F.lit(0).alias("low"), F.length("text").alias("high"))
     ranges = F.transform("detections", lambda d: F.when(d["low"] >= 0, F.struct(d["low"].alias("low"), d["high"].alias("high"))).otherwise(whole))
-    masks = P.rank(F.col("action")) >= P.rank(F.lit("mask"))
     rows = rows.withColumn("masked_text", F.when(masks & F.col("text").isNotNull(), P.redact(F.col("text"), ranges)))
-    return rows.withColumns({"tier": P.tier(F.col("detections"), F.lit(False), F.col("escalated")), "threshold": F.col("marks.mask"), "policy_version": F.lit(policy.version)})
+    similar = F.col("near_contact").isNotNull() | F.col("near_safety").isNotNull()
+    return rows.withColumns({"tier": P.tier(F.col("detections"), similar, F.col("escalated")), "threshold": F.col("marks.mask"), "policy_version": F.lit(policy.version)})
+
+
+def cascade(messages: DataFrame, anchors: DataFrame | None = None, policy: P.Policy | None = None, adjudicator: bool = False) -> DataFrame:
+    """moderate() over messages (schema.MESSAGE) with what their conversation and the anchors add: the sender's last texts of 15
+    minutes in the conversation, and similarities."""
+    anchors = default_anchors(messages.sparkSession) if anchors is None else anchors
+    rows = messages.withColumn("sent_at", T.micros(F.col("ts")))
+    rows = T.conversation_window(rows, ["conversation_id", "sender_id"], ["sent_at", "message_id"], "text", "sent_at").drop("sent_at")
+    return moderate(V.with_similarities(rows, anchors), policy, adjudicator)
 
 
-VERDICT = ["action", "score", "threshold", "reasons", "detections", "findings", "suspicions", "escalated", "held", "tier", "masked_text", "transforms", "policy_version"]
+VERDICT = ["action", "score", "threshold", "reasons", "detections", "findings", "suspicions", "routes", "escalated", "held", "tier", "masked_text", "transforms", "policy_version"]
 
 
 def decisions(verdicts: DataFrame) -> DataFrame:

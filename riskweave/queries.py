@@ -18,7 +18,7 @@ from .operators import route as E
 from .operators import safety as S
 from .operators import score as C
 from .operators import state as T
-from .plans.moderate import decisions, log_lines, moderate
+from .plans.moderate import cascade, decisions, default_anchors, log_lines
 from .sources import messages as IO
 from .sources import sinks as K
 
@@ -76,21 +76,38 @@ def normalise_words(spark, d):
     return rows.select("conv_id", "turn", F.md5(N.expand_number_words(F.col("b"))).alias("numbers"), N.number_digits(F.col("b")).alias("digits"), F.md5(N.expand_separator_words(F.col("b"))).alias("separated"), F.md5(N.expand_roman(F.col("b"))).alias("roman"), F.md5(N.skeleton(F.col("b"))).alias("skeleton"), N.effort(F.col("transforms")).alias("effort"))
 
 
-@query("SELECT doc_id, n AS n_chars, n AS last_plus_one, 0::BIGINT AS first FROM (SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) BETWEEN 1 AND 2000)")
+@query(f"""SELECT doc_id, length({N.sql_folded('text')})::BIGINT AS n_chars, md5({N.sql_folded('text')}) AS text_md5, CASE WHEN length(text) > 0 THEN length(text)::BIGINT END AS last_plus_one,
+    CASE WHEN length(text) > 0 THEN 0::BIGINT END AS first FROM documents""")
 def view_offsets(spark, d):
-    """Each character's origin after a fold that keeps lengths, and the source range of the whole."""
-    rows = read(spark, d, "documents").filter(F.length("text").between(1, 2000)).select("doc_id", N.mapped(N.view(F.lower("text")), A.LEET).alias("v"))
-    rows = rows.withColumn("r", N.original_range(F.col("v"), F.lit(0), F.size("v")))
-    return rows.select("doc_id", F.size("v").cast("long").alias("n_chars"), F.col("r.high").cast("long").alias("last_plus_one"), F.col("r.low").cast("long").alias("first"))
+    """Each character's origin through all folds, and the source range of the whole."""
+    rows = read(spark, d, "documents").select("doc_id", N.folded_view(F.col("text")).alias("v"))
+    rows = N.settled(rows, "v").withColumn("r", N.original_range(F.col("v"), F.lit(0), F.size("v")))
+    return rows.select("doc_id", F.size("v").cast("long").alias("n_chars"), F.md5(N.view_text(F.col("v"))).alias("text_md5"), F.col("r.high").cast("long").alias("last_plus_one"), F.col("r.low").cast("long").alias("first"))
 
 
-NUMERIC = ", ".join(f"count_if(regexp_matches(lower(text), {q(p)}))::BIGINT AS \"{n.replace('-', '_')}\"" for n, p in N.NUMERIC_CONTEXT.items())
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))::BIGINT AS words, len(regexp_extract_all(text, '(?s)[^\\p{L}\\p{N}]'))::BIGINT AS others FROM documents""")
+def token_kinds(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", N.all_tokens(F.col("text")).alias("t"))
+    n = lambda word: F.size(F.filter("t", lambda x: x["is_word"] == word)).cast("long")
+    return rows.select("doc_id", n(True).alias("words"), n(False).alias("others"))
+
+
+NUMERIC = ", ".join(f'count_if(regexp_matches(lower(text), {q(p)}))::BIGINT AS "{n}"' for n, p in N.NUMBER_KINDS.items())
 
 
 @query(f"SELECT lang, {NUMERIC} FROM documents GROUP BY lang")
 def numeric_context_counts(spark, d):
     rows = read(spark, d, "documents").select("lang", F.lower("text").alias("t"))
-    return rows.groupBy("lang").agg(*[F.count_if(F.col("t").rlike(p)).alias(n.replace("-", "_")) for n, p in N.NUMERIC_CONTEXT.items()])
+    return rows.groupBy("lang").agg(*[F.count_if(F.col("t").rlike(p)).alias(n) for n, p in N.NUMBER_KINDS.items()])
+
+
+@query("""SELECT doc_id, length(text)::BIGINT AS n_chars, true AS same_places FROM documents WHERE regexp_matches(text, '[0-9]')""")
+def masked_places(spark, d):
+    """Numbers of known kinds masked digit by digit: every other character keeps its place."""
+    t = F.lower("text")
+    rows = read(spark, d, "documents").filter(F.col("text").rlike("[0-9]")).select("doc_id", t.alias("t"), N.masked_numbers(t).alias("m"))
+    same = F.translate("m", N.MASK + "0123456789", "#" * 11) == F.translate("t", N.MASK + "0123456789", "#" * 11)
+    return rows.select("doc_id", F.length("m").cast("long").alias("n_chars"), same.alias("same_places"))
 
 
 # Extraction ------------------------------------------------------------------------------------------------------
@@ -119,6 +136,16 @@ def phone_windows(spark, d):
     return rows.select("doc_id", "digits", F.col("width").cast("long").alias("width"), F.col("low").cast("long").alias("low"), "confidence")
 
 
+@query(f"""WITH x AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), {q(X.EMAIL)}) AS e FROM documents)
+    SELECT doc_id, len(e)::BIGINT AS n, (strpos(t, e[1]) - 1)::BIGINT AS first_low, (strpos(t, e[1]) - 1 + length(e[1]))::BIGINT AS first_high, array_to_string(e, ' ') AS surfaces FROM x WHERE len(e) > 0""")
+def email_spans(spark, d):
+    """Matches with their places; each place holds its surface."""
+    low = F.lower("text")
+    rows = read(spark, d, "documents").filter(low.rlike(X.EMAIL)).select("doc_id", low.alias("t"), X.spans(low, X.EMAIL).alias("s"))
+    there = F.transform("s", lambda x: F.substr(F.col("t"), x["low"] + 1, x["high"] - x["low"]))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.col("s")[0]["low"].cast("long").alias("first_low"), F.col("s")[0]["high"].cast("long").alias("first_high"), F.array_join(there, " ").alias("surfaces"))
+
+
 @query()
 def phones_found(spark, d):
     """Greedy non-overlapping phones of each document."""
@@ -155,7 +182,7 @@ def url_reputation(spark, d):
 def signal_counts(spark, d):
     low = F.lower("text")
     n = lambda c, p: N.count_matches(c, p).cast("long")
-    intent = X.signals(low, low, low)["contact_phrase"].isNotNull()
+    intent = X.signals(low, N.tokens(low), low)["contact_phrase"].isNotNull()
     return read(spark, d, "documents").select("doc_id", n(low, "@").alias("at_count"), n(F.col("text"), r"\p{N}").alias("digit_count"), F.length("text").cast("long").alias("character_count"), F.round(n(F.col("text"), r"\p{N}") / F.length("text"), 6).alias("density"), low.rlike(S.any_of(A.MAIL_WORDS)).alias("mail_keyword"), intent.alias("contact_intent"))
 
 
@@ -195,11 +222,12 @@ def anchor_retrieval(spark, d):
 
 @query()
 def anchor_detections(spark, d):
-    """The same with character 4-grams, as contact and safety confidences of the conversations' turns."""
+    """Similarities of the conversations' turns to our anchors, with words, pairs and 4-grams, as contact and safety confidences."""
     turns = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    anchors = read(spark, d, "benchmark")
-    out = R.best_margin(R.similarities(turns, anchors, "id", "text", "item_id", "text"), anchors.select(F.col("item_id").alias("anchor"), (F.col("item_id") % 3 != 0).alias("positive")))
-    return out.select("id", "nearest", R.contact_confidence(F.col("similarity"), F.col("margin")).alias("contact"), R.safety_confidence(F.col("similarity"), F.col("margin")).alias("safety"))
+    rows = R.with_similarities(turns, default_anchors(spark))
+    against = F.greatest("innocent_similarity", F.lit(0.0))
+    contact, safety = F.col("contact_similarity"), F.col("safety_similarity")
+    return rows.select("id", F.round(contact, 5).alias("similarity"), F.round("innocent_similarity", 5).alias("negative"), R.contact_confidence(contact, contact - against).alias("contact"), R.safety_confidence(safety, safety - against).alias("safety"), "safety_intent")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -225,7 +253,7 @@ def safety_lexicons(spark, d):
 def safety_findings(spark, d):
     """Findings of all documents, chunk by chunk; the first of each category. toxic is null without a label."""
     rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
-    found = S.first_by_category(F.flatten(F.transform(S.chunks(N.base(F.col("text"))), S.evaluate)))
+    found = S.first_by_category(F.flatten(F.transform(S.chunks(N.base(F.col("text"))), lambda t: S.evaluate(t))))
     return rows.select("doc_id", "toxic", F.explode_outer(found).alias("f")).select("doc_id", "toxic", "f.category", "f.confidence", "f.phrase")
 
 
@@ -310,7 +338,7 @@ def moderated(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws("-", "conv_id", "turn").alias("message_id"), c.cast("string").alias("conversation_id"), "role", F.col("role").alias("sender_id"), F.timestamp_seconds(c * 1000 + F.col("turn")).alias("ts"), "text",
         F.when(c % 3 == 0, "fresh").otherwise("standard").alias("trust"), F.lit("inquiry").alias("stage"), (c % 4).cast("int").alias("prior_violations"), (c % 7 == 0).alias("advisory"),
     )
-    return moderate(rows.repartition(spark.sparkContext.defaultParallelism))  # little data, much work a row: over all cores
+    return cascade(rows)
 
 
 @query()
@@ -407,10 +435,56 @@ def idempotent_decisions(spark, d):
     return T.not_decided(T.first_writer(twice, "event_id", ["n"]), e.filter("event_id % 9 = 0"), "event_id").select("event_id", "event_type", "value")
 
 
-@query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) <= 200 AS allowed FROM events""")
+BURST, PERIOD = 3, 3 * 3600 * 1_000_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b AS (SELECT event_id, user_id, us, n, true AS allowed, {(BURST - 1) * PERIOD}::BIGINT AS level FROM e WHERE n = 1
+    UNION ALL SELECT e.event_id, e.user_id, e.us, e.n, least({BURST * PERIOD}, b.level + e.us - b.us) >= {PERIOD},
+        least({BURST * PERIOD}, b.level + e.us - b.us) - CASE WHEN least({BURST * PERIOD}, b.level + e.us - b.us) >= {PERIOD} THEN {PERIOD} ELSE 0 END FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+SELECT event_id, user_id, allowed FROM b""")
 def rate_limits(spark, d):
+    """A token bucket of three calls that gains one every three hours, for each user."""
     calls = read(spark, d, "events").select("event_id", "user_id", F.col("user_id").alias("caller"), T.micros(F.col("ts")).alias("at"))
-    return T.rate_limited(calls).select("event_id", "user_id", "allowed")
+    return T.rate_limited(calls, BURST, PERIOD).select("event_id", "user_id", "allowed")
+
+
+RESERVED_SQL = """WITH i AS (SELECT event_id % 1000 AS message_id, event_id, epoch_us(ts) AS at FROM events), r AS (SELECT DISTINCT event_id % 1000 AS message_id, epoch_us(TIMESTAMP '2024-01-01') + (event_id % 1000) * 1000000 AS reserved_at FROM events WHERE event_id % 1000 < 300),
+f AS (SELECT i.* FROM i WHERE message_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.message_id = i.message_id AND reserved_at > i.at - 600000000 AND reserved_at <= i.at))
+SELECT message_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY event_id) AS n FROM f) WHERE n = 1"""
+
+
+@query(RESERVED_SQL)
+def reservations(spark, d):
+    """Events as requests for 1,000 keys: decided ones and those with a reservation of the last ten minutes wait."""
+    k = F.col("event_id") % 1000
+    rows = read(spark, d, "events").select(k.alias("message_id"), "event_id", T.micros(F.col("ts")).alias("at"))
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    reserved = rows.filter("message_id < 300").select("message_id", (start + F.col("message_id") * 1_000_000).alias("reserved_at")).distinct()
+    return T.reservable(rows, rows.filter("message_id % 7 = 0").select("message_id").distinct(), reserved, "message_id", ["event_id"], "at", 600_000_000).select("message_id", "event_id")
+
+
+@query("""SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS stored_action, o_orderkey % 3 = 0 AS replay FROM orders""")
+def replayed_decisions(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("message_id"), F.col("o_orderstatus").alias("action"))
+    return T.replayed(rows.select("message_id"), rows.filter("message_id % 3 = 0"), "message_id").select("message_id", "stored_action", "replay")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'report' WHEN 'signup' THEN 'block' END AS op, ts FROM events WHERE event_type IN ('error', 'signup'))
+    SELECT user_id::VARCHAR AS sender, count_if(op = 'report')::BIGINT AS reports, count_if(op = 'block')::BIGINT AS blocks FROM e WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '2024-01-20' GROUP BY user_id""")
+def replayed_signals(spark, d):
+    """The signals of the day before a restart, as events, and their counters."""
+    kind = F.when(F.col("event_type") == "error", "report").when(F.col("event_type") == "signup", "block")
+    signals = read(spark, d, "events").select(F.col("event_id").alias("signal_id"), kind.alias("op"), F.col("user_id").cast("string").alias("sender_id"), F.lit("c").alias("conversation_id"), "ts").filter("op IS NOT NULL")
+    now = F.unix_micros(F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return T.acknowledged(T.replay_signals(T.signal_events(signals), now))
+
+
+@query("""WITH left_over AS (SELECT event_id, ts FROM events WHERE event_id % 2 = 1), stop AS (SELECT min(ts) AS ts FROM left_over WHERE event_id % 41 = 0)
+    SELECT event_id, ts FROM left_over WHERE ts < (SELECT ts FROM stop) ORDER BY ts, event_id LIMIT 50""")
+def outbox_until_failure(spark, d):
+    e = read(spark, d, "events").select("event_id", F.col("ts").alias("occurred_at"))
+    return K.pending(e, e.filter("event_id % 2 = 0"), failed=e.filter("event_id % 41 = 0")).select("event_id", F.col("occurred_at").alias("ts"))
 
 
 @query("SELECT event_id, ts FROM events WHERE event_id % 2 = 1 ORDER BY ts, event_id LIMIT 50")
@@ -457,6 +531,42 @@ def confusion_matrix(spark, d):
     return M.confusion(rows, F.col("text").rlike(RULE), F.col("quality") == 0, ["lang"])
 
 
+@query(f"""WITH x AS (SELECT 'document' AS k, o_orderkey % 6 AS r, o_orderkey % 4 = 0 AS e FROM orders), f AS (SELECT e, r > 0 AS loose, r > 1 AS strict FROM x),
+    c AS (SELECT 'any' AS definition, loose AS f, e FROM f UNION ALL SELECT 'changed', strict, e FROM f)
+    SELECT definition, count_if(f AND e)::BIGINT AS tp, count_if(f AND NOT e)::BIGINT AS fp, count_if(NOT f AND e)::BIGINT AS fn, count_if(NOT f AND NOT e)::BIGINT AS tn FROM c GROUP BY definition""")
+def confusion_definitions(spark, d):
+    """One table of actions under both definitions of a flag."""
+    action = F.element_at(F.array(*map(F.lit, A.ACTIONS)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    rows = read(spark, d, "orders").select(action.alias("action"), (F.col("o_orderkey") % 4 == 0).alias("e"))
+    out = M.compared(rows, {"any": M.flagged(F.col("action")), "changed": M.flagged(F.col("action"), strict=True)}, F.col("e"))
+    return out.select(F.col("system").alias("definition"), "tp", "fp", "fn", "tn")
+
+
+COMPARED_SQL = f"""WITH x AS (SELECT doc_id, text, toxic = 1 AS a FROM documents JOIN labels USING (doc_id)), b AS (SELECT * FROM (SELECT * FROM x WHERE a ORDER BY doc_id LIMIT 60) UNION ALL SELECT * FROM (SELECT * FROM x WHERE NOT a ORDER BY doc_id LIMIT 30)),
+c AS (SELECT 'patterns' AS system, {' OR '.join(f"regexp_matches(lower(text), {q(p)})" for _, p in M.BASELINE)} AS f, a FROM b UNION ALL SELECT 'marks', regexp_matches(text, {q('[#*$%&|<>]{3}|!!')}), a FROM b UNION ALL SELECT 'none', false, a FROM b)
+SELECT system, count_if(f AND a)::BIGINT AS tp, count_if(f AND NOT a)::BIGINT AS fp, count_if(NOT f AND a)::BIGINT AS fn, count_if(NOT f AND NOT a)::BIGINT AS tn FROM c GROUP BY system"""
+
+
+@query(COMPARED_SQL)
+def baseline_comparison(spark, d):
+    """Systems side by side on toxic and other documents, two to one."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "text", "toxic")
+    both = M.balanced(rows.filter("toxic = 1"), rows.filter("toxic = 0"), "doc_id", 90)
+    systems = {"patterns": M.regex_baseline(F.lower("text")).isNotNull(), "marks": F.col("text").rlike(RULE), "none": F.lit(False)}
+    return M.compared(both, systems, F.col("attack")).select("system", "tp", "fp", "fn", "tn")
+
+
+@query("SELECT event_type, user_id % 3 AS status, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def action_counters(spark, d):
+    return M.counters(read(spark, d, "events").withColumn("status", F.col("user_id") % 3), "event_type", "status")
+
+
+@query("""WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+    SELECT lang, max(n_chars) FILTER (i = n // 2) AS p50 FROM r GROUP BY lang""")
+def median_lengths(spark, d):
+    return M.percentiles(read(spark, d, "documents"), "n_chars", [0.5], ["lang"], "median")
+
+
 @query("""WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
     SELECT lang, max(n_chars) FILTER (i = floor((n - 1) * 0.5 + 0.5)) AS p50, max(n_chars) FILTER (i = floor((n - 1) * 0.95 + 0.5)) AS p95, max(n_chars) FILTER (i = floor((n - 1) * 0.99 + 0.5)) AS p99 FROM r GROUP BY lang""")
 def nearest_percentiles(spark, d):
@@ -470,7 +580,7 @@ def latest_percentiles(spark, d):
 
 
 @query("""WITH m AS (SELECT o_orderpriority AS family, o_custkey AS case_id, o_orderkey % 6 AS r, o_orderkey % 10 = 0 AS e, o_custkey % 3 <> 0 AS a FROM orders), c AS (SELECT family, case_id, max(r) AS r, bool_or(e) AS e, bool_or(a) AS a FROM m GROUP BY ALL)
-    SELECT family, count(*)::BIGINT AS cases, count_if(r >= 2)::BIGINT AS caught, count_if(r = 1)::BIGINT AS hinted, count_if(r = 0)::BIGINT AS missed, round(count_if(a AND (r >= 2 OR e)) / count_if(a), 6) AS ceiling, count_if(a AND r < 2 AND NOT e)::BIGINT AS silent FROM c GROUP BY family""")
+    SELECT family, count(*)::BIGINT AS cases, count_if(r >= 2)::BIGINT AS caught, count_if(r = 1)::BIGINT AS hinted, count_if(r = 0)::BIGINT AS missed, round(count_if(a AND (r >= 2 OR e)) / count_if(a), 6) AS ceiling, count_if(a AND r < 2 AND NOT e)::BIGINT AS silent, count_if(NOT a AND e)::BIGINT AS innocent_calls FROM c GROUP BY family""")
 def case_rollup(spark, d):
     k = F.col("o_orderkey")
     action = F.element_at(F.array(*map(F.lit, A.ACTIONS)), (k % 6 + 1).cast("int"))
@@ -499,18 +609,38 @@ def case_ledger(spark, d):
     return M.ledger(rows)
 
 
-@query("""SELECT lang, source, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
+LEVELS_SQL = f"""WITH x AS (SELECT source, quality = 0 AS e, regexp_matches(text, {q('[#*$%&|<>]{3}|!!')}) AS f, n_chars % 10 AS k FROM documents JOIN labels USING (doc_id))
+SELECT source, count(*)::BIGINT AS n, round(count_if(e AND (f OR k = 9)) / nullif(count_if(e), 0), 6) AS closure, round(count_if(e AND f AND k < 8) / nullif(count_if(e), 0), 6) AS rules_recall, round(count_if(k < 8) / count(*), 6) AS tier1_share FROM x GROUP BY GROUPING SETS ((source), ())"""
+
+
+@query(LEVELS_SQL)
 def level_rollup(spark, d):
-    rows = read(spark, d, "documents")
-    return rows.groupingSets([[F.col("lang")], [F.col("source")], []], "lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    """By level and in all: attacks that are flagged or escalated, those that rules alone flag, and the share that rules decide."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("source", (F.col("quality") == 0).alias("e"), F.col("text").rlike(RULE).alias("f"), (F.col("n_chars") % 10).alias("k"))
+    e, f, k = F.col("e"), F.col("f"), F.col("k")
+    share = lambda c: F.round(F.try_divide(F.count_if(c), F.count_if(e)), 6)
+    return rows.groupingSets([[F.col("source")], []], "source").agg(F.count("*").alias("n"), share(e & (f | (k == 9))).alias("closure"), share(e & f & (k < 8)).alias("rules_recall"), F.round(F.count_if(k < 8) / F.count("*"), 6).alias("tier1_share"))
 
 
-@query()
-def evasion_loop(spark, d):
-    """Seeded disguises of phone numbers and addresses, moderated; what escapes is a row."""
+def replayed_evasions(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded disguises of phone numbers and addresses, moderated as conversations."""
     n = F.col("s_suppkey")
     payloads = read(spark, d, "supplier").select(n.alias("id"), F.when(n % 2 == 0, F.concat(F.lit("98"), F.lpad((n * 7919 % 100000000).cast("string"), 8, "7"))).otherwise(F.concat(F.lit("user"), n, F.lit("@gmail.com"))).alias("text"))
     cases = M.evasions(payloads).select("id", F.posexplode("messages").alias("part", "text"))
-    rows = cases.select(F.concat_ws("-", "id", "part").alias("message_id"), F.col("id").cast("string").alias("conversation_id"), F.lit("s").alias("sender_id"), F.lit(None).cast("timestamp").alias("ts"), "text", F.lit("standard").alias("trust"), F.lit("inquiry").alias("stage"), F.lit(0).alias("prior_violations"), F.lit(False).alias("advisory"))
-    out = moderate(rows)
+    rows = cases.select(F.concat_ws("-", "id", "part").alias("message_id"), F.col("id").cast("string").alias("conversation_id"), F.lit("s").alias("sender_id"), F.timestamp_seconds(F.col("part")).alias("ts"), "text", F.lit("standard").alias("trust"), F.lit("inquiry").alias("stage"), F.lit(0).alias("prior_violations"), F.lit(False).alias("advisory"))
+    return cascade(rows)
+
+
+@query()
+def evasion_loop(spark, d):
+    """Which disguised payloads are caught or escalated."""
+    out = replayed_evasions(spark, d)
     return out.groupBy("conversation_id").agg(F.max(P.rank(F.col("action"))).alias("r"), F.max("escalated").alias("escalated")).select("conversation_id", (F.col("r") >= 3).alias("caught"), "escalated")
+
+
+@query()
+def evasion_escapes(spark, d):
+    """The messages of the payloads that are neither."""
+    out = replayed_evasions(spark, d).select("conversation_id", "message_id", "text", (P.rank(F.col("action")) >= 3).alias("caught"), "escalated")
+    seen = out.filter(F.col("caught") | F.col("escalated")).select("conversation_id").distinct()
+    return out.join(seen, "conversation_id", "left_anti").select("conversation_id", "message_id", "text")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import first_writer, not_decided
+from ..operators.state import first_writer
+
+
+#: Partitions of a decision table by its key.
+PARTS = 64
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -13,13 +17,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def commit_if_absent(decisions: DataFrame, path: str, order: list[str], key: str = "message_id") -> None:
-    """Appends the first row of each key that the table does not have yet. One writer at a time; fit for foreachBatch."""
+def commit_if_absent(decisions: DataFrame, path: str, order: list[str], key: str = "message_id", parts: int = PARTS) -> None:
+    """Appends the first row of each key that the table does not have yet. One writer at a time; fit for foreachBatch.
+
+    The table is partitioned by a hash of the key; a commit reads the keys of the partitions that its rows fall in. Small commits
+    touch few of them, and many small files of a partition can be rewritten by themselves.
+    """
     spark = decisions.sparkSession
-    rows = first_writer(decisions, key, order)
+    rows = first_writer(decisions, key, order).withColumn("key_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     if exists(spark, path):
-        rows = not_decided(rows, spark.read.parquet(path), key)
-    rows.write.mode("append").parquet(path)
+        touched = [r.key_part for r in rows.select("key_part").distinct().collect()]  # at most parts numbers
+        held = spark.read.parquet(path).filter(F.col("key_part").isin(touched)).select("key_part", key)
+        rows = rows.join(held, ["key_part", key], "left_anti")
+    rows.write.mode("append").partitionBy("key_part").parquet(path)
 
 
 def outbox(decisions: DataFrame) -> DataFrame:
@@ -27,9 +37,13 @@ def outbox(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.col("message_id").alias("event_id"), F.lit("decision").alias("kind"), F.col("ts").alias("occurred_at"), F.to_json(F.struct("message_id", "action", "reasons", "policy_version")).alias("payload"))
 
 
-def pending(events: DataFrame, delivered: DataFrame, most: int = 50) -> DataFrame:
-    """The oldest events that are not delivered (a top-k report)."""
-    return events.join(delivered.select("event_id"), "event_id", "left_anti").orderBy("occurred_at", "event_id").limit(most)
+def pending(events: DataFrame, delivered: DataFrame, most: int = 50, failed: DataFrame | None = None) -> DataFrame:
+    """The oldest events that are not delivered (a top-k report); those from the first failed one (event_id) on wait."""
+    left = events.join(delivered.select("event_id"), "event_id", "left_anti")
+    if failed is not None:
+        stop = left.join(failed.select("event_id"), "event_id", "left_semi").agg(F.min(F.struct("occurred_at", "event_id")).alias("stop"))  # one row
+        left = left.join(F.broadcast(stop), F.col("stop").isNull() | (F.struct("occurred_at", "event_id") < F.col("stop")), "left_semi")
+    return left.orderBy("occurred_at", "event_id").limit(most)
 
 
 def with_adjudication(decisions: DataFrame, adjudications: DataFrame) -> DataFrame:
