@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted, table, unboxed
+from .common import KEY, boxed, broadcast_if_few, materialize, quoted, table, unboxed
 
 # Frequent function words of each reference language.
 COMMON = {
@@ -156,11 +156,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return judged(measures, references(measures)).select("doc_id", *RESULT)
 
 
-def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, with their own columns. The rows are written once with their measures, so the texts are read once."""
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
-    measures = materialize(measured(rows).drop("text"), "measures")
-    return unboxed(judged(measures, references(measures)).filter("kept"))
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with their own columns. Measures are written without texts; the rows are read once more without
+    those whose key was rejected."""
+    rows = boxed(docs.select(*[quoted(c) for c in dict.fromkeys((id_col, text_col, lang_col))]), id_col, text_col)
+    measures = materialize(measured(rows.select(*KEY, "text", F.col("row").getField(lang_col).alias("lang"))).drop("text"), "measures")
+    bad = materialize(judged(measures, references(measures)).filter(~F.col("kept")).select(*KEY).distinct(), "rejected")
+    return unboxed(boxed(docs, id_col, text_col).join(broadcast_if_few(bad), KEY, "left_anti"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
