@@ -12,8 +12,9 @@ it must stay whole. So texts are told apart first: one whose words lie mostly (o
 word is copy-like, and a template recurs only if texts that are not copy-like hold it often enough, and are at least
 ``OWN_SHARE`` of all that hold it. Copy-like texts lose lines of recurring templates as others do.
 
-Scale: two passes make small rows of hashes and counts; text is moved only for lines of leaves that vary and for the
-final join of the documents with their dropped lines; tokens, lines and leaves are compared by 64-bit hashes. All groups are
+Scale: two passes make small rows of hashes and counts; text is moved only for lines of leaves that vary. In a third pass the
+recurring lines are held in memory (at most ``MOST_HELD``, 8 bytes each) and taken out of the texts; if there are more, texts are joined
+with the places of their dropped lines instead, with the same result. Tokens, lines and leaves are compared by 64-bit hashes. All groups are
 counts with partial aggregation; equal texts count once, and a text once for a line however often it repeats in it.
 
 Defined results: a null text stays null and has no line; lines of fewer than ``LEAST_TOKENS`` tokens are never
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import broadcast_if_few, in_batches, materialize, quoted, steps, table, unboxed, utf8
 from .decontamination import BASE, bitmap, mixed, passing, rolled, token_bounds
@@ -40,6 +42,8 @@ CONSTANT, LEAST_CONSTANT = 0.8, 6
 COPY_SHARE, OWN_SHARE = 0.6, 0.25
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[32, *range(9, 14)]] = False
+#: Recurring lines up to which they are held by each task.
+MOST_HELD = 2_000_000
 FIELD = 0xF1E1DF1E1DF1E1DF  # stands for the hash of a variable field
 
 
@@ -137,8 +141,8 @@ def generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
     return parts.join(every.filter(recurs(F.col("n"), F.col("texts"), F.col("own"))).select("leaf", "template", "n"), ["leaf", "template", "n"]).select("leaf", "line")
 
 
-def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs has text_key and text. Returns (text_key, drop: positions) of the texts that lose lines, and (text_key) of the copy-like texts."""
+def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs has text_key and text. Returns (leaf, line) of the lines that are dropped, and all lines (text_key, pos, n, leaf, line, first)."""
     lines = materialize(addressed(docs), "addressed")
     # places that count: one for each text and line
     once = lines.filter(F.col("first") & (F.col("n") >= LEAST_TOKENS))
@@ -149,18 +153,53 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = once.join(broadcast_if_few(copies), "text_key", "left")
     counts = materialize(marked.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts"), F.count_if(F.col("copy").isNull()).alias("own")), "counts")
     counts = counts.withColumn("alone", recurs(F.col("n"), F.col("texts"), F.col("own")))
-    recurring = materialize(counts.filter("alone").select("leaf", "line").union(generalised(docs, counts)), "recurring")
-    drop = lines.join(broadcast_if_few(recurring), ["leaf", "line"]).groupBy("text_key").agg(F.collect_list("pos").alias("drop"))
-    return materialize(drop, "dropped"), copies.select("text_key")
+    return materialize(counts.filter("alone").select("leaf", "line").union(generalised(docs, counts)), "recurring"), lines
 
 
-def without_templates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, text, n_dropped, copy_like): each row of docs with its cleaned text and the number of its lines that went."""
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("text_key"))
-    drop, copies = dropped_lines(rows)
-    joined = rows.join(drop, "text_key", "left").join(broadcast_if_few(copies.withColumn("copy_like", F.lit(True))), "text_key", "left")
+def line_key(leaf: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mixed(leaf.view(np.uint64) * np.uint64(BASE) + line.view(np.uint64))
+
+
+def in_memory(rows: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(row, text, n_dropped): rows (row, text) with the lines taken out by each task."""
+    found = recurring.toArrow()  # at most MOST_HELD rows
+    held = rows.sparkSession.sparkContext.broadcast(np.unique(line_key(*(found.column(c).to_numpy() for c in ("leaf", "line")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for batch in batches:
+            data, at = utf8(batch.column(1))
+            texts: list[str | None] = [None] * len(batch)
+            dropped = np.zeros(len(batch), np.int64)
+            for a, b in steps(at):
+                own = Lines(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                key = line_key(own.leaf, own.line)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key) if len(known) else np.zeros(0, np.int64)
+                for i in np.unique(own.text[hit]).tolist():
+                    gone = set(own.pos[hit[own.text[hit] == i]].tolist())
+                    parts = data[at[a + i] : at[a + i + 1]].tobytes().split(b"\n")
+                    texts[a + i] = b"\n".join(p for k, p in enumerate(parts) if k not in gone).decode(errors="replace")
+                    dropped[a + i] = len(gone)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(dropped)], ["row", "new_text", "n_dropped"])
+
+    schema = StructType([rows.schema["row"], StructField("new_text", StringType()), StructField("n_dropped", LongType())])
+    return in_batches(rows.select("row", "text"), run, schema)
+
+
+def by_join(rows: DataFrame, recurring: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same by a join of rows (row, text, text_key) with the places of their lines."""
+    drop = materialize(lines.join(broadcast_if_few(recurring), ["leaf", "line"]).groupBy("text_key").agg(F.collect_set("pos").alias("drop")), "dropped")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
-    return joined.select("row", F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text")).alias("text"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("copy_like", F.lit(False)).alias("copy_like"))
+    joined = rows.join(drop, "text_key", "left")
+    return joined.select("row", F.when(F.col("drop").isNotNull(), kept).alias("new_text"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def without_templates(docs: DataFrame, text_col: str = "text", most_held: int = MOST_HELD) -> DataFrame:
+    """(row, text, n_dropped): each row of docs with its cleaned text and the number of its lines that went."""
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("text_key"))
+    recurring, lines = recurring_lines(rows)
+    out = in_memory(rows, recurring) if recurring.limit(most_held + 1).count() <= most_held else by_join(rows, recurring, lines)
+    return out.select("row", F.when(F.col("n_dropped") > 0, F.col("new_text")).otherwise(F.col("row").getField(text_col)).alias("text"), "n_dropped")
 
 
 def deduplicated_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
@@ -176,5 +215,4 @@ def deduplicated_lines(docs: DataFrame, text_col: str = "text", chars_col: str |
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = without_templates(docs)
-    return out.select("row.doc_id", "n_dropped", "copy_like", F.sha1("text").alias("text_sha1"))
+    return without_templates(docs).select("row.doc_id", "n_dropped", F.sha1("text").alias("text_sha1"))
