@@ -2,7 +2,7 @@
 
 Two texts are linked if the sets of their shingles' hashes have a Jaccard similarity of at least 4/5; a component is
 what links reach. First the fingerprints of simhash_neardup are covered with anchors, which finds exact and close copies;
-each such pair is verified on the whole sets. Fingerprints of pairs of similarity 0.8 differ in about 10 of 64 bits, too many for a
+each such pair (of at most ``BITS`` different bits, which three blocks cover with four anchors a text) is verified on the whole sets. Fingerprints of pairs of similarity 0.8 differ in about 10 of 64 bits, too many for a
 covering (threshold 15 in four blocks would put each at about 630 anchors), so an exact search follows: shingles stand in one
 global order, and two sets so alike share a shingle among the first n - ceil(4n/5) + 1 of each (prefix filter), so only
 texts that share such a shingle and are not linked yet are compared. No link is missed.
@@ -32,7 +32,9 @@ from .common import KEY, boxed, broadcast_if_few, in_batches, materialize, quote
 from .simhash_neardup import SEED, components, majority, one_of_each, shingle_hashes
 
 #: Prefixes from which on a shingle comes last in the order, and how many such shingles there are at most.
-COMMON, MOST_COMMON = 32, 500_000
+COMMON, MOST_COMMON = 200, 500_000
+#: Bits in which fingerprints may differ to be compared first.
+BITS = 2
 #: Rounds that compare with one text for each shingle, before all that is left.
 ROUNDS = 2
 #: Comparisons with one text that one task makes.
@@ -128,12 +130,12 @@ def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
         return materialize(plain.join(broadcast_if_few(counts.select("token")), "token").select("token", "node", "n"), "entries")
     moved = materialize(plain.join(F.broadcast(common), "token", "left_semi").select("node").distinct().join(one.select("node", *KEY), "node"), "moved")
     wanted = docs.join(broadcast_if_few(moved.select(*KEY)), KEY, "left_semi")
-    new = materialize(reordered(wanted, words, late).dropDuplicates(["node", "token"]), "reordered")
+    new = materialize(reordered(wanted, words, late), "reordered")  # a text that stands twice gives the same rows twice
     # a shingle that came in for a common one may meet any other
     rest = plain.join(broadcast_if_few(moved.select("node")), "node", "left_anti")
     both = rest.unionByName(new.select("node", "n", "token"))
-    counts = materialize(both.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1").select("token"), "shared")
-    return materialize(both.join(broadcast_if_few(counts), "token").select("token", "node", "n"), "entries")
+    shared = materialize(both.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token"), "shared")
+    return materialize(both.join(broadcast_if_few(shared), "token").select("token", "node", "n"), "entries")
 
 
 def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def fingerprint_pairs(one: DataFrame) -> DataFrame:
     """(a, b): nodes that are alike by their fingerprints: each with the first of its own, and the firsts that anchors link."""
     first = materialize(one.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
     own = one.join(first, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    near = simhash.links(first.select("fp"))
+    near = simhash.links(first.select("fp"), BITS)
     a, b = (first.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
     return own.union(near.join(a, "a").join(b, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
@@ -196,17 +198,20 @@ def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
         named = met.join(broadcast_if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("hub")
         parted = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).filter("low <> high")
+        parted = materialize(parted.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("from")), "parted")
+        # shingles of one component are done with
+        live = materialize(named.join(broadcast_if_few(parted), "token"), "live")
         if k < ROUNDS:
-            pairs = named.join(parted.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("from")), "token").filter("root <> from")
+            pairs = live.filter("root <> from")
         else:
-            ends = materialize(named.join(parted.select("token"), "token"), "ends")
+            ends = live.select("token", "node", "n", "root")
             pairs = ends.join(ends.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("from")), "token").filter("root <> from AND a < node")
         pairs = pairs.filter(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", F.col("node").alias("b")).distinct()
         new = materialize(check.links(materialize(pairs, "pairs")), "links")
-        if new.isEmpty():
-            continue
-        edges = edges.union(new)
-        roots = materialize(components(edges), "roots")
+        met = live.select("token", "node", "n")
+        if not new.isEmpty():
+            edges = edges.union(new)
+            roots = materialize(components(edges), "roots")
     return roots
 
 
