@@ -20,6 +20,8 @@ ENDED = re.compile(r"(.*[^\W_])[^\w\s]+$")
 LONG = 64
 #: Characters of the chunks that a worker remembers.
 MOST_CHARS = 16_000_000
+#: Chunks that are kept between tasks: a worker that goes on to other work must not hold more.
+BETWEEN_TASKS = 40_000
 RUN = re.compile("  +")
 
 
@@ -79,16 +81,16 @@ class Memory:
         self.chars += sum(map(len, new))
         return numbers, np.array(ends), new
 
-    def cleared(self) -> np.ndarray | None:
-        """To be called before a step: the numbers that stay, in their new order, if some go."""
-        if len(self.numbers) <= self.most and self.chars <= MOST_CHARS:
+    def cleared(self, most: int | None = None) -> np.ndarray | None:
+        """To be called between steps: the numbers that stay, in their new order, if some go. With ``most``, at most half of it stay."""
+        if len(self.numbers) <= (most or self.most) and self.chars <= MOST_CHARS:
             return None
         keys = list(self.numbers)
         size = np.array([len(k) for k in keys])
         least = 2
         while True:
             keep = np.flatnonzero(self.uses >= least)
-            if len(keep) <= self.most // 2 and size[keep].sum() <= MOST_CHARS // 2:
+            if len(keep) <= (most or self.most) // 2 and size[keep].sum() <= MOST_CHARS // 2:
                 break
             least *= 2
         self.numbers = Numbered((keys[k], i) for i, k in enumerate(keep.tolist()))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import in_batches, quoted, steps, table, utf8
-from .piece_model import BPE, BYTE, LONG, NORMAL, SPACE, USER, Memory, PieceModel, compiled
+from .piece_model import BETWEEN_TASKS, BPE, BYTE, LONG, NORMAL, SPACE, USER, Memory, PieceModel, compiled
 
 REMEMBERED, MOST_PAIRS = 400_000, 1_000_000
 #: Text bytes of one step: larger steps have more chunks in common.
@@ -243,12 +243,15 @@ class Transducer:
         ends = np.cumsum(size)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - ends + size, size)]
 
-    def encode_normal(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of some normalised texts, one after the other, and where each one's begin (and the end)."""
-        keep = self.memory.cleared()
+    def forget(self, most: int | None = None) -> None:
+        keep = self.memory.cleared(most)
         if keep is not None:
             flat, size = self.gathered(keep), self.size[keep]
             self.flat, self.start, self.size = flat, np.cumsum(size) - size, size
+
+    def encode_normal(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some normalised texts, one after the other, and where each one's begin (and the end)."""
+        self.forget()
         numbers, ends, new = self.memory.numbered(map(self.model.cut, texts))
         self.learn(new)
         return self.gathered(numbers), np.concatenate([[0], np.cumsum(self.size[numbers])])[ends]
@@ -309,6 +312,7 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                 else:
                     values = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([ids_of, n, values], ["doc_id", "n_tokens", "ids"])
+        tool.forget(BETWEEN_TASKS)
 
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

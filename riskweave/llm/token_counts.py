@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import in_batches, quoted, steps, table, utf8
-from .piece_model import SPACE, Memory, PieceModel, compiled
+from .piece_model import BETWEEN_TASKS, SPACE, Memory, PieceModel, compiled
 
 REMEMBERED = 300_000
 
@@ -41,10 +41,13 @@ class Counter:
             known[part] = sum(1 if i >= 0 else -i for i in ids)
         self.sizes = np.append(sizes, np.array([sum(map(known.__getitem__, cut)) for cut in parts], np.int64))
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        keep = self.memory.cleared()
+    def forget(self, most: int | None = None) -> None:
+        keep = self.memory.cleared(most)
         if keep is not None:
             self.sizes = self.sizes[keep]
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        self.forget()
         numbers, ends, new = self.memory.numbered(self.model.cut(self.model.normalised(t)) for t in texts)
         self.learn(new)
         return np.diff(np.concatenate([[0], np.cumsum(self.sizes[numbers])])[ends])
@@ -68,6 +71,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             for a, b in steps(at):
                 n[a:b] = counter.counts([data[at[i] : at[i + 1]].tobytes().decode(errors="replace") for i in range(a, b)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        counter.forget(BETWEEN_TASKS)
 
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     return in_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
