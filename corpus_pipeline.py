@@ -2,16 +2,21 @@
 
 Quality rules drop documents; line dedup takes recurring template lines out of texts; near-dedup keeps one document of
 each group of word-shingle similarity 0.8 or more; decontamination drops documents that hold benchmark passages; encoding gives each document's token ids.
+
+Defined results, for every stage: null and empty texts, null ids, repeated rows, very long texts and empty tables do not stop it, and further
+columns may have any name. A null or empty text fails the quality rules; a text of nothing but dropped lines stays, empty; equal rows
+are judged alike, and near-dedup keeps one of them (the smallest id, null last).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm.common import materialize, table
+from riskweave.llm.common import shared_dir, table, temporary_tables
 from riskweave.llm.decontamination import clean_documents
 from riskweave.llm.jaccard_neardup import deduplicated
 from riskweave.llm.line_templates import deduplicated_lines
@@ -57,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
