@@ -73,11 +73,16 @@ def unstarred(base: Column, words: list[str]) -> Column:
 
 
 def brand_links(base: Column) -> Column:
-    """A link whose user part or host names a brand of ours that is not its host, or that is punycode."""
-    links = X.every(base, X.URL)
+    """A link whose user part or host names a brand of ours that is not its host or whose host has other letters than ASCII, or that is punycode."""
     brand = A.OWN_HOSTS[0].split(".")[0]
-    bad = F.filter(links, lambda u: (F.regexp_extract(u, r"://([^/@]*)@", 1).contains(brand)) | (X.host_of(u).contains(brand) & ~X.owned(X.host_of(u))))
-    return F.coalesce(finding("scam", 0.96, F.get(bad, F.lit(0))), finding("scam", 0.82, F.get(F.filter(links, lambda u: X.host_of(u).contains("xn--")), F.lit(0))))
+
+    def judged(u: Column) -> Column:
+        return N.let(X.host_of(u), lambda host: F.struct(
+            F.when((F.regexp_extract(u, r"://([^/@]*)@", 1).contains(brand)) | (host.contains(brand) & ~X.owned(host)) | (u.contains(brand) & host.rlike(N.FOLDABLE)), 0.96).when(host.contains("xn--"), 0.82).alias("confidence"), u.alias("phrase"),
+        ))
+
+    best = F.get(F.array_sort(F.transform(F.filter(F.transform(X.every(base, X.URL), judged), lambda x: x["confidence"].isNotNull()), lambda x: F.struct((-x["confidence"]).alias("c"), x["phrase"].alias("phrase")))), F.lit(0))
+    return F.when(base.rlike("://|www"), N.let(best, lambda x: F.when(x.isNotNull(), F.struct(F.lit("scam").alias("category"), (-x["c"]).alias("confidence"), x["phrase"].alias("phrase")))))
 
 
 def discrimination(base: Column) -> Column:
@@ -99,12 +104,17 @@ def threat(base: Column) -> Column:
     return F.when(said.isNotNull(), F.when(F.coalesce(agent & ~excused, F.lit(False)), said))
 
 
-def coercion(base: Column) -> Column:
-    """A demand with a condition (0.88) or a demanding phrase (0.78), if what it leans on is illegitimate."""
-    hard = F.nullif(F.regexp_extract(base, A.CONDITIONAL, 0), F.lit(""))
-    native = first_phrase(base, [N.fold_text(p) for p in A.NATIVE_CONDITIONAL])
-    soft = first_phrase(base, A.DEMAND_PHRASES)
-    return F.when(lever(base) == "illegitimate", F.coalesce(finding("coercion", 0.88, F.coalesce(hard, native)), finding("coercion", 0.78, soft)))
+def candidates(*rules) -> Column:
+    """The findings of those rules (category, confidence, phrase) whose phrase is not null, in their order."""
+    each = [F.struct(F.lit(c).alias("category"), F.lit(float(v)).alias("confidence"), p.alias("phrase")) for c, v, p in rules]
+    return F.filter(F.array(*each), lambda x: x["phrase"].isNotNull())
+
+
+def coercion(base: Column) -> tuple[Column, Column]:
+    """What a demand leans on illegitimately: a condition (0.88), or else a demanding phrase (0.78)."""
+    illegitimate = base.rlike(any_of(A.ILLEGITIMATE_LEVERS))
+    hard = F.when(base.rlike(A.CONDITIONAL), F.regexp_extract(base, A.CONDITIONAL, 0)).otherwise(first_phrase(base, [N.fold_text(p) for p in A.NATIVE_CONDITIONAL]))
+    return F.when(illegitimate, hard), F.when(illegitimate & ~base.rlike(A.CONDITIONAL), first_phrase(base, A.DEMAND_PHRASES))
 
 
 def evaluate(base: Column, slurs: list[str] | None = None) -> Column:
@@ -114,26 +124,20 @@ def evaluate(base: Column, slurs: list[str] | None = None) -> Column:
 
     def of(tokens: Column) -> Column:
         person = addresses_person(tokens)
-        slur = F.coalesce(first_phrase(base, slurs), unstarred(base, [w for w in slurs if " " not in w] or ["\x00"]))
-        profane = F.coalesce(
-            finding("harassment", 0.97, slur), finding("harassment", 0.94, insult(tokens, A.INDIC_INSULTS)), finding("harassment", 0.90, insult(tokens, strong)),
-            finding("harassment", 0.90, F.when(person, unstarred(base, strong))), finding("harassment", 0.74, insult(tokens, A.INSULTS_MILD)), finding("harassment", 0.94, skeleton_insult(base, tokens, [*A.INDIC_INSULTS, *strong])),
+        slur = F.coalesce(first_phrase(base, slurs), *[unstarred(base, words) for words in [[w for w in slurs if " " not in w]] if words])
+        profane = F.slice(candidates(
+            ("harassment", 0.97, slur), ("harassment", 0.94, insult(tokens, A.INDIC_INSULTS)), ("harassment", 0.90, insult(tokens, strong)), ("harassment", 0.90, F.when(person, unstarred(base, strong))),
+            ("harassment", 0.74, insult(tokens, A.INSULTS_MILD)), ("harassment", 0.94, skeleton_insult(base, tokens, [*A.INDIC_INSULTS, *strong])),
+        ), 1, 1)
+        hard, soft = coercion(base)
+        later = candidates(
+            ("selfHarm", 0.90, first_phrase(base, with_native("selfHarm", A.SELF_HARM))), ("threat", 0.93, threat(base)), ("sexual", 0.88, first_phrase(base, with_native("sexual", A.SEXUAL))),
+            ("harassment", 0.74, F.when(person, first_phrase(base, A.HARASSMENT))), ("harassment", 0.74, first_phrase(base, with_native("harassment", []))), ("scam", 0.82, first_phrase(base, A.SCAMS)),
+            ("coercion", 0.88, hard), ("coercion", 0.78, soft),
         )
-        sides = [
-            brand_links(base),
-            finding("discrimination", 0.88, discrimination(base)),
-            profane,
-            finding("selfHarm", 0.90, first_phrase(base, with_native("selfHarm", A.SELF_HARM))),
-            finding("threat", 0.93, threat(base)),
-            finding("sexual", 0.88, first_phrase(base, with_native("sexual", A.SEXUAL))),
-            F.when(person, finding("harassment", 0.74, first_phrase(base, A.HARASSMENT))),
-            finding("harassment", 0.74, first_phrase(base, with_native("harassment", []))),
-            finding("scam", 0.82, first_phrase(base, A.SCAMS)),
-            coercion(base),
-        ]
-        return F.coalesce(F.array_compact(F.array(*sides)), F.array().cast(FINDING))
-
-    return N.let(N.tokens(base), of)
+        return F.concat(F.array_compact(F.array(brand_links(base))), candidates(("discrimination", 0.88, discrimination(base))), profane, later).cast(FINDING)
+
+    return F.when(base.isNotNull(), N.let(N.tokens(base), of)).otherwise(F.array().cast(FINDING))
 
 
 def similar_finding(intent: Column, confidence: Column, base: Column, tokens: Column) -> Column:

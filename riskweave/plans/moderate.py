@@ -45,34 +45,36 @@ def normalised(messages: DataFrame) -> DataFrame:
     return N.settled(out, "signals", "numbers")
 
 
-def phone_fallbacks(base: Column, numbers: Column, intent: Column) -> Column:
-    """Where no other way gives a phone: numbers in a known context (0.55 of their confidence, all of it if the whole text's digits are a
-    likely phone), a declared number, and Roman, backward and initial digits. The first way that gives some."""
+def phone_texts(base: Column) -> Column:
+    """array<struct<text, weight, effort>>: where to look for phones if no other way gives one: numbers in a known context (0.55 of their
+    confidence, all of it if the whole text's digits are a likely phone), and Roman, backward and initial digits."""
     laundered = F.coalesce(X.phone_confidence(N.digits_only(base)) >= 0.85, F.lit(False))
-    declared = F.when(intent & F.length(numbers).between(10, 13), F.array(X.found("phone", numbers, 0.86, 2)))
     initials = N.digits_only(N.acrostic(base))
-    ways = [
-        F.when(laundered, X.phones(base)), declared, X.phones(base, 0.55), X.phones(N.expand_roman(base), 0.85, 3), F.when(base.rlike("[0-9]{8}"), X.phones(F.reverse(base), 0.85, 4)),
-        F.when(F.length(initials) >= 10, X.phones(initials, 0.85, 4)),
-    ]
-    return F.coalesce(*[F.when(F.size(w) > 0, w) for w in ways], X.nothing())
+    ways = [(base, F.when(laundered, 1.0).otherwise(0.55), 0), (N.expand_roman(base), F.lit(0.85), 3), (F.reverse(base), F.lit(0.85), 4), (initials, F.lit(0.85), 4)]
+    return F.array(*[F.struct(t.alias("text"), w.alias("weight"), F.lit(e).alias("effort")) for t, w, e in ways])
 
 
 def extracted(rows: DataFrame) -> DataFrame:
     """rows with ``detections`` and ``carriers``: literal details first, disguised ones where none is literal."""
     base, raw, tokens = F.col("base"), F.col("raw"), F.col("tokens")
     intent = F.col("signals.contact_phrase").isNotNull() | F.col("signals.off_platform_phrase").isNotNull()
-    literal = F.concat(X.phones(N.masked_numbers(base)), X.emails(base, F.col("separated")), X.urls(base), X.handles(base, intent), X.payments(base, raw))
-    rows = N.settled(rows.withColumns({"literal": literal, "carriers": X.positional(raw, tokens), "intent": intent}), "literal", "carriers", "intent")
-    intent, none = F.col("intent"), F.size("literal") == 0
-    dictated = F.when(F.col("spelled").isNotNull(), X.phones(F.col("spelled"), 1.0, 3)).otherwise(X.nothing())
-    hidden = F.concat(dictated, X.leet_digit_runs(base), X.encoded(base, raw, tokens), F.col("carriers"), X.bare_identifiers(base, intent, tokens), X.platform_steering(base, F.col("compact"), tokens, intent))
+    rows = N.settled(rows.withColumns({"masked": N.masked_numbers(base), "carriers": X.positional(raw, tokens), "intent": intent}), "masked", "carriers", "intent")
+    intent = F.col("intent")
+    # phones of the masked text, of spelled and of leet numbers, and the weak ways: the first of these with one counts
+    one = lambda t, e: F.struct(t.alias("text"), F.lit(1.0).alias("weight"), F.lit(e).alias("effort"))
+    layers = F.array(F.array(one(F.col("masked"), 0)), F.array(one(F.col("spelled"), 3)), F.transform(X.leet_texts(base), lambda t: one(t, 3)), F.when(F.length("numbers") >= 8, phone_texts(base)).otherwise(F.array(one(F.lit(""), 0))))
+    rows = N.settled(rows.withColumn("phones", F.transform(layers, X.phones_of)), "phones")
+    literal = F.concat(F.col("phones")[0], X.emails(base, F.col("separated")), X.urls(base), X.handles(base, intent), X.payments(base, raw))
+    rows = N.settled(rows.withColumn("literal", literal), "literal")
+    none = F.size("literal") == 0
+    hidden = F.concat(F.col("phones")[1], F.col("phones")[2], X.encoded(base, raw, tokens), F.col("carriers"), X.bare_identifiers(base, intent, tokens), X.platform_steering(base, F.col("compact"), tokens, intent))
     rows = N.settled(rows.withColumn("hidden", F.when(none, hidden).otherwise(X.nothing())), "hidden")
-    no_phone = none & ~F.exists("hidden", lambda d: d["category"] == "phone") & (F.length("numbers") >= 8)
-    rows = N.settled(rows.withColumn("weak", F.when(no_phone, phone_fallbacks(base, F.col("numbers"), intent)).otherwise(X.nothing())), "weak")
+    declared = F.when(intent & F.length("numbers").between(10, 13), F.array(X.found("phone", F.col("numbers"), 0.86, 2))).otherwise(X.nothing())
+    no_phone = none & ~F.exists("hidden", lambda d: d["category"] == "phone")
+    rows = N.settled(rows.withColumn("weak", F.when(no_phone, F.concat(declared, F.col("phones")[3])).otherwise(X.nothing())), "weak")
     only_weak = none & (F.size("hidden") == 0) & (F.size("weak") > 0) & ~F.exists("weak", lambda d: d["confidence"] >= 0.56)
-    rows = rows.withColumn("suppressed_only", only_weak)
-    rows = N.settled(rows.withColumn("detections", X.deduplicated(F.concat("literal", "hidden", "weak"))).drop("literal", "hidden", "weak"), "detections", "suppressed_only")
+    rows = rows.withColumns({"suppressed_only": only_weak, "detections": X.deduplicated(F.concat("literal", "hidden", "weak"))}).drop("literal", "hidden", "weak", "phones", "masked")
+    rows = N.settled(rows, "detections", "suppressed_only")
     return assembled(rows) if "buffer" in rows.columns else rows.withColumn("cross_message", F.lit(False))
 
 
@@ -81,15 +83,14 @@ def assembled(rows: DataFrame) -> DataFrame:
     phones or platforms of the messages' first characters. Only where the text can add to it."""
     whole = F.concat_ws(" ", F.array_append("buffer", F.col("raw")))
     firsts = F.lower(F.array_join(F.transform(F.array_append("buffer", F.col("raw")), lambda t: F.substring(F.trim(t), 1, 1)), ""))
-    up = lambda category, found: F.transform(found, lambda d: X.found(category, d["surface"], ASSEMBLED, 4))
 
     def of(base: Column) -> Column:
         number = F.when(base.rlike(N.SPELLED), N.expand_number_words(base)).otherwise(base)
-        likely = F.filter(X.phones(N.masked_numbers(number)), lambda d: d["confidence"] >= 0.62)
-        joined = F.when(F.length(N.digits_only(number)).between(10, 14) & (X.phone_confidence(N.digits_only(number)) >= 0.62), F.array(X.found("phone", N.digits_only(number), ASSEMBLED, 4)))
-        mail = up("email", X.emails(base, X.separated_for_mail(base)))
-        some = lambda a: F.when(F.size(a) > 0, a)
-        return F.coalesce(some(up("phone", likely)), joined, some(mail), X.nothing())
+        digits = N.digits_only(number)
+        joined = F.when(F.length(digits).between(10, 14), digits).otherwise("")
+        texts = F.array(*[F.struct(t.alias("text"), F.lit(1.0).alias("weight"), F.lit(4).alias("effort")) for t in (N.masked_numbers(number), joined)])
+        likely = F.filter(X.phones_of(texts), lambda d: d["confidence"] >= 0.62)
+        return F.transform(F.slice(F.concat(likely, X.emails(base, X.separated_for_mail(base))), 1, 1), lambda d: F.struct(d["category"].alias("category"), d["surface"].alias("surface"), F.lit(ASSEMBLED).alias("confidence"), F.lit(4).alias("effort")))
 
     initial = F.when(firsts.rlike("|".join(A.PLATFORMS)) | (F.length(N.digits_only(firsts)).between(10, 14) & (X.phone_confidence(N.digits_only(firsts)) >= 0.62)), F.array(X.found("referentialContact", firsts, ASSEMBLED, 4))).otherwise(X.nothing())
     open_row = ((F.size("detections") == 0) | F.col("suppressed_only")) & (F.size("buffer") > 0)
