@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on inside a task.
 STEP_BYTES = 2_000_000
+#: Options of writes to a local file system: without checksum files, and without the process that Hadoop's default starts for each file
+#: to set its permissions where its native library is missing (a copy of the executor's address space for a moment).
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Bytes of an Arrow batch, and of a Parquet row group that a task holds while it writes.
 BATCH_BYTES, ROW_GROUP_BYTES = 16 << 20, 32 << 20
 
@@ -58,7 +61,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if _made is not None:
         _made.append(path)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
+    if path.startswith("file:"):
+        writer = writer.options(**PLAIN_FILES)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
