@@ -164,7 +164,8 @@ def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: b
     ranges = F.transform("detections", lambda d: F.when(d["low"] >= 0, F.struct(d["low"].alias("low"), d["high"].alias("high"))).otherwise(whole))
     rows = rows.withColumn("masked_text", F.when(masks & F.col("text").isNotNull(), P.redact(F.col("text"), ranges)))
     similar = F.col("near_contact").isNotNull() | F.col("near_safety").isNotNull()
-    return rows.withColumns({"tier": P.tier(F.col("detections"), similar, F.col("escalated")), "threshold": F.col("marks.mask"), "policy_version": F.lit(policy.version)})
+    own = F.filter("detections", lambda d: d["surface"] != "similar")
+    return rows.withColumns({"tier": P.tier(own, similar, F.col("escalated")), "threshold": F.col("marks.mask"), "policy_version": F.lit(policy.version)})
 
 
 def cascade(messages: DataFrame, anchors: DataFrame | None = None, policy: P.Policy | None = None, adjudicator: bool = False) -> DataFrame:
