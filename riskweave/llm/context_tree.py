@@ -10,13 +10,14 @@ log10(2) and the number of bytes is the code length per byte.
 
 Beside it stands the base score: add-one unigram log10 probabilities of the words and one end token.
 
-Scale: a gram is ``depth`` bytes of context and the next byte. One pass cuts the documents into parts of about ``PART_BYTES``
-and writes the texts with the different grams and words of each part, and how often training documents have them. Counts of
-a gram are summed over all parts, grams of no training document included; the log probability of each gram is
-worked out where all grams of its last two context bytes pass in order, of which only those with the same third byte
-are held at once; what two or fewer bytes of context need are tables of 65,536 rows at most. The log probabilities go
-back to the parts by a join on the gram, and each part's texts are scored with the part's own grams. So nothing is
-broadcast, the model has no size limit, and the driver gets 256 rows.
+Scale: a gram is ``depth`` bytes of context and the next byte. One pass counts the grams and words of the documents, pre-aggregated in
+each task; grams of no training document are counted as 0. The log probability of each gram is worked out where all grams of its
+last two context bytes pass in order, of which only those with the same third byte are held at once; what two or fewer bytes of
+context need are tables of 65,536 rows at most, and the driver gets 256 rows. Up to ``HELD`` grams are broadcast (16 bytes each) and the
+texts scored in one more pass, with the most frequent ``FREQUENT`` words broadcast and the others joined. A larger model is joined
+instead, with the same result: the documents are cut into parts of about ``PART_BYTES`` and written with the different grams and
+words of each, log probabilities and counts go to the parts by joins, and each part's texts are scored with the part's own. So
+no model is too large, and its depth is a parameter.
 
 Defined results: a null text counts as empty: no word, one end token, the end mark's probability, no code length per byte; a
 null training flag counts as false; null ids and repeated rows keep their rows, and repeated rows count each in training;
@@ -41,7 +42,9 @@ from .common import crc_mod, in_batches, materialize, quoted, steps, table, utf8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LOWER_OF = np.frombuffer(LOWER, np.uint8)
 END = 255
-DEPTH, DEEPEST = 5, 6
+DEPTH, DEEPEST = 3, 6
+#: Grams of a model that is broadcast, and words whose counts are.
+HELD, FREQUENT = 4_000_000, 100_000
 #: Text bytes of a part, and grams that are worked out at once where one third byte does not have more.
 PART_BYTES, GRAMS = 16_000_000, 400_000
 HALF = np.log(0.5)
@@ -173,9 +176,9 @@ def log_probabilities(codes: np.ndarray, levels: list[Level], upper: np.ndarray,
     return out
 
 
-def parted(docs: DataFrame, train: Column, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """Three kinds of rows, written: texts (part, doc_id, text, train), grams (part, code, n) and words (part, word, n), where n is the
-    count in training documents."""
+def emitted(docs: DataFrame, train: Column, id_col: str, text_col: str, depth: int, texts: bool) -> DataFrame:
+    """Grams (part, code, n) and words (part, word, n) of parts of the documents, where n is the count in training documents; with
+    texts, also the parts' texts (part, doc_id, text, train)."""
     names = ["kind", "part", "doc_id", "text", "train", "code", "word", "n"]
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -225,7 +228,8 @@ def parted(docs: DataFrame, train: Column, id_col: str, text_col: str, depth: in
                 whole = LOWER_OF[data[at[a] : at[b]]].tobytes()
                 for i in range(a, b):
                     words[int(trained[i])].update(whole[at[i] - at[a] : at[i + 1] - at[a]].split())
-                yield of_kind("text", b - a, doc_id=batch.column(0).slice(a, b - a), text=batch.column(1).slice(a, b - a), train=batch.column(2).slice(a, b - a))
+                if texts:
+                    yield of_kind("text", b - a, doc_id=batch.column(0).slice(a, b - a), text=batch.column(1).slice(a, b - a), train=batch.column(2).slice(a, b - a))
                 held += len(text)
                 if held > PART_BYTES:
                     yield from finished()
@@ -236,7 +240,7 @@ def parted(docs: DataFrame, train: Column, id_col: str, text_col: str, depth: in
             yield from finished()
 
     schema = f"kind string, part long, doc_id {id_type}, text string, train boolean, code long, word binary, n long"
-    return materialize(in_batches(rows, run, schema), "parts")
+    return in_batches(rows, run, schema)
 
 
 def pair_blocks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -331,23 +335,82 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
     return materialize(in_batches(in_order(both, depth).select("code", "n", "pair", "counts", "children"), run, "code long, value double"), "scores")
 
 
-def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row, learned from those where train is true."""
-    if not 3 <= depth <= DEEPEST:
-        raise ValueError(f"a depth of 3 to {DEEPEST} bytes")
-    rows = parted(docs, train, id_col, text_col, depth)
-    of = lambda kind: rows.filter(F.col("kind") == kind)
-    values = gram_scores(materialize(of("gram").groupBy("code").agg(F.sum("n").alias("n")), "grams"), depth)
-    words = materialize(of("word").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    n_docs = of("text").filter("train").count()
-    train_tokens, distinct = n + n_docs, v + (n_docs > 0)
+NAMES = ["doc_id", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+
+
+def result(n_bytes: Column, n_words: Column, known: Column, logs: Column, score: Column, totals: tuple[int, int, int]) -> list[Column]:
+    """The columns NAMES but the first: logs is the sum of log10(c + 1) over a text's words."""
+    n_docs, train_tokens, distinct = totals
     size, end = float(np.log10(train_tokens + distinct + 1)), float(np.log10(n_docs + 1))
+    tokens = n_words + 1
+    bits = F.when(n_bytes > 0, -score / float(np.log10(2)) / n_bytes)
+    columns = [n_bytes, tokens, known + int(n_docs > 0), F.lit(train_tokens).cast("long"), logs + end - tokens * size, score, bits]
+    return [c.alias(n) for c, n in zip(columns, NAMES[1:], strict=True)]
+
+
+def scored_rows(batch: pa.RecordBatch, place: int, depth: int, score) -> Iterator[tuple[int, int, np.ndarray, list[list[bytes]], np.ndarray]]:
+    """(a, b, bytes, words and scores) of the texts a to b of a batch; score gives the log probability of each code."""
+    data, at = utf8(batch.column(place))
+    for a, b in steps(at):
+        text, cuts = ended(data[at[a] : at[b]], at[a : b + 1] - at[a])
+        each = np.concatenate([[0.0], np.cumsum(score(gram_codes(text, cuts, depth)))])
+        whole = LOWER_OF[data[at[a] : at[b]]].tobytes()
+        words = [whole[at[i] - at[a] : at[i + 1] - at[a]].split() for i in range(a, b)]
+        yield a, b, np.diff(at[a : b + 1]), words, each[cuts[1:]] - each[cuts[:-1]]
+
+
+def scored_in_memory(docs: DataFrame, values: DataFrame, words: DataFrame, totals: tuple[int, int, int], id_col: str, text_col: str, depth: int) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    found = values.toArrow()  # at most HELD rows
+    code, value = (found.column(c).to_numpy() for c in ("code", "value"))
+    by = np.argsort(code)
+    model = context.broadcast((code[by], value[by].astype(np.float32)))
+    top = words.filter("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()  # at most FREQUENT rows
+    frequent = context.broadcast({bytes(r.word): float(np.log10(r.n + 1)) for r in top})
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, known = TaskContext.get().partitionId() << 40, frequent.value
+        codes, logs = model.value
+        for batch in batches:
+            for a, b, n_bytes, texts, score in scored_rows(batch, 1, depth, lambda c: logs[np.searchsorted(codes, c)].astype(np.float64)):
+                near, base = np.zeros(b - a, np.int64), np.zeros(b - a)
+                uid, word, times = [], [], []
+                for i, own in enumerate(texts):
+                    for w, t in Counter(own).items():
+                        if w in known:
+                            near[i] += t
+                            base[i] += t * known[w]
+                        else:
+                            uid.append(number + i)
+                            word.append(w)
+                            times.append(t)
+                own_id = pa.array(np.arange(number, number + b - a))
+                number += b - a
+                n = pa.array(np.array([len(x) for x in texts], np.int64))
+                yield pa.RecordBatch.from_arrays([own_id, batch.column(0).slice(a, b - a), *map(pa.array, (n_bytes,)), n, *map(pa.array, (near, base, score)), pa.nulls(b - a, pa.binary()), pa.nulls(b - a, pa.int64())], names)
+                if uid:
+                    rest = [pa.nulls(len(uid), t) for t in (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *rest, pa.array(word, pa.binary()), pa.array(times, pa.int64())], names)
+
+    names = ["uid", "doc_id", "n_bytes", "n", "near", "base", "score", "word", "times"]
+    schema = f"uid long, doc_id {kind}, n_bytes long, n long, near long, base double, score double, word binary, times long"
+    out = materialize(in_batches(rows, run, schema), "scored")  # numbered once, so the rows of a text find it
+    rare = out.filter("word IS NOT NULL").select("uid", "word", "times").join(words.filter("n > 0"), "word")
+    rare = rare.groupBy("uid").agg(F.sum("times").alias("far"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
+    both = out.filter("word IS NULL").drop("word", "times").join(rare, "uid", "left")
+    return both.select("doc_id", *result(F.col("n_bytes"), F.col("n"), F.col("near") + F.coalesce("far", F.lit(0)), F.col("base") + F.coalesce("more", F.lit(0.0)), F.col("score"), totals))
+
+
+def scored_by_parts(docs: DataFrame, train: Column, values: DataFrame, words: DataFrame, totals: tuple[int, int, int], id_col: str, text_col: str, depth: int) -> DataFrame:
+    rows = materialize(emitted(docs, train, id_col, text_col, depth, True), "parts")
+    of = lambda kind: rows.filter(F.col("kind") == kind)
     none = lambda kind: F.lit(None).cast(kind)
     known = of("gram").select("part", "code").join(values, "code").select("part", "code", "value", none("binary").alias("word"), none("long").alias("n"))
     known = known.unionByName(of("word").select("part", "word").join(words, "word").select("part", none("long").alias("code"), none("double").alias("value"), "word", "n"))
     texts = of("text").select(F.col("part").alias("text_part"), "doc_id", "text")
-    id_type = texts.schema["doc_id"].dataType.simpleString()
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         grams = right.filter(right["code"].is_valid())
@@ -359,26 +422,28 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         logs = {w: float(np.log10(k + 1)) for w, k in count.items()}
         out = []
         for batch in left.to_batches():
-            data, at = utf8(batch.column(2))
-            for a, b in steps(at):
-                text, cuts = ended(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                each = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(code, gram_codes(text, cuts, depth))])])
-                whole = LOWER_OF[data[at[a] : at[b]]].tobytes()
-                tokens, near, base = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a)
-                for i in range(b - a):
-                    own = whole[at[a + i] - at[a] : at[a + i + 1] - at[a]].split()
-                    tokens[i] = len(own) + 1
-                    near[i] = sum(count[w] > 0 for w in own) + (n_docs > 0)
-                    base[i] = sum(map(logs.__getitem__, own)) + end - tokens[i] * size
-                score = each[cuts[1:]] - each[cuts[:-1]]
-                n_bytes = np.diff(at[a : b + 1])
-                bits = pa.array(-score / np.log10(2) / np.maximum(1, n_bytes), mask=n_bytes == 0)
-                out.append(pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *map(pa.array, (n_bytes, tokens, near, np.full(b - a, train_tokens), base, score)), bits], names))
+            for a, b, n_bytes, own, score in scored_rows(batch, 2, depth, lambda c: value[np.searchsorted(code, c)]):
+                sums = [np.array(x) for x in ([len(w) for w in own], [sum(count[x] > 0 for x in w) for w in own], [float(sum(map(logs.__getitem__, w))) for w in own])]
+                out.append(pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *map(pa.array, (n_bytes, *sums, score))], ["doc_id", "n_bytes", "n", "near", "base", "score"]))
         return pa.Table.from_batches(out)
 
-    names = ["doc_id", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-    schema = f"doc_id {id_type}, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return texts.groupBy("text_part").cogroup(known.groupBy("part")).applyInArrow(run, schema)
+    found = texts.groupBy("text_part").cogroup(known.groupBy("part")).applyInArrow(run, f"doc_id {kind}, n_bytes long, n long, near long, base double, score double")
+    return found.select("doc_id", *result(*[F.col(c) for c in ("n_bytes", "n", "near", "base", "score")], totals))
+
+
+def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, held: int = HELD) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row, learned from those where train is true."""
+    if not 3 <= depth <= DEEPEST:
+        raise ValueError(f"a depth of 3 to {DEEPEST} bytes")
+    counts = materialize(emitted(docs, train, id_col, text_col, depth, False).groupBy("word", "code").agg(F.sum("n").alias("n")), "counts")
+    values = gram_scores(counts.filter("word IS NULL").select("code", "n"), depth)
+    words = counts.filter("word IS NOT NULL").select("word", "n")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    n_docs = docs.filter(F.coalesce(train, F.lit(False))).count()
+    totals = n_docs, n + n_docs, v + (n_docs > 0)
+    if values.count() <= held:
+        return scored_in_memory(docs, values, words, totals, id_col, text_col, depth)
+    return scored_by_parts(docs, train, values, words, totals, id_col, text_col, depth)
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
