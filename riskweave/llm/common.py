@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on inside a task.
 STEP_BYTES = 2_000_000
-#: Options of writes to a local file system: without checksum files, and without the process that Hadoop's default starts for each file
-#: to set its permissions where its native library is missing (a copy of the executor's address space for a moment).
+#: Options of writes to a local file system, for intermediate tables only: without checksum files, and without the process that Hadoop's default starts for each file
+#: to set its permissions where its native library is missing (a copy of the executor's address space for a moment). A "file:" folder on a shared mount that
+#: needs those permissions should be named by another scheme; other file systems are not touched.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Bytes of an Arrow batch, and of a Parquet row group that a task holds while it writes.
 BATCH_BYTES, ROW_GROUP_BYTES = 16 << 20, 32 << 20
@@ -38,34 +40,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_made: list[str] | None = None
+#: Tables written since temporary_tables() began, for each thread of the driver its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Tables that materialize() writes within go at the end: for steps whose result is stored elsewhere by then."""
-    global _made
-    outer, _made = _made, []
+    before = _made.set([])
     try:
         yield
     finally:
-        paths, _made = _made, outer
+        paths = _made.get() or []
+        _made.reset(before)
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            discard(spark, path)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later reads survive lost executors, and lineage ends here."""
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Removes a table of stored(), if it is still there."""
+    if path is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder, as it is read back, and where it lies: later reads survive lost executors, and lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _made is not None:
-        _made.append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
     if path.startswith("file:"):
         writer = writer.options(**PLAIN_FILES)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    return stored(df, tag)[0]
 
 
 def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
