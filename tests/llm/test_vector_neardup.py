@@ -70,7 +70,7 @@ def test_recall_with_many_tables(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
-    assert found(spark, [(None, None), (3, [0.0])]) == [(3, 0, 3, True), (None, 0, None, False)]
+    assert found(spark, [(None, None), (3, [0.0])]) == [(3, 0, 3, True), (None, 0, None, True)]
 
 
 def test_plan_grows_slowly():
