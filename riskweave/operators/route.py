@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import assets as A
+from .. import lexicons as L
 from ..functions import normalise as N
 from . import extract as X
 from . import safety as S
@@ -30,12 +31,12 @@ def suspicions(base: Column, raw: Column, contact_found: Column, innocent_simila
     written = N.digits_only(base)
     letters = N.count_matches(base, r"\p{L}")
     cues = F.size(F.filter(N.constants(A.INJECTION_CUES), lambda p: F.contains(base, p)))
-    native = "|".join([*map(N.fold_text, A.NATIVE_CONDITIONAL)])
+    native = "|".join([*map(N.fold_text, L.native("demand"))])
     early = [
         ("personDirectedAnomaly", person & (((innocent_similarity >= 0) & (innocent_similarity < 0.20)) | (abuse_lead > 0.02))),
         ("conditionalDemand", base.rlike(A.CONDITIONAL) | base.rlike(native)),
         ("promptManipulation", base.rlike(S.any_of(A.INJECTION)) | (cues >= 2)),
-        ("reportedMechanism", base.rlike(S.any_of(A.SCAMS))),
+        ("reportedMechanism", base.rlike(S.any_of(A.ASKED_FOR))),
     ]
     late = [
         ("dictatedFragment", F.length(spelled).between(5, 14) & (F.length(spelled) - F.length(written) >= 2) & (F.length(spelled) >= 0.5 * F.size(tokens))),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import assets as A
 from ..functions import normalise as N
 from . import extract as X
+from . import lexicon
 
 FINDING = "array<struct<category:string,confidence:double,phrase:string>>"
 HEADS = ["threat", "harassment", "sexual", "selfHarm", "coercion", "scam"]
@@ -18,60 +17,10 @@ HEADS = ["threat", "harassment", "sexual", "selfHarm", "coercion", "scam"]
 any_of = N.any_of
 
 
-def with_native(category: str, phrases: list[str]) -> list[str]:
-    """The phrases of a category, those of other scripts folded as base texts are."""
-    return phrases + [N.fold_text(p) for p in A.NATIVE.get(category, [])]
-
-
-def first_phrase(text: Column, phrases: list[str]) -> Column:
-    return N.first_listed(text, phrases)
-
-
-def finding(category: str, confidence, phrase: Column) -> Column:
-    confidence = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
-    return F.when(phrase.isNotNull(), F.struct(F.lit(category).alias("category"), confidence.cast("double").alias("confidence"), phrase.alias("phrase")))
-
-
 def addresses_person(tokens: Column) -> Column:
     return F.arrays_overlap(tokens, N.constants(A.PERSON_TARGETS))
 
 
-def lever(text: Column) -> Column:
-    """What a demand leans on: illegitimate beats lawful beats unknown."""
-    return F.when(text.rlike(any_of(A.ILLEGITIMATE_LEVERS)), "illegitimate").when(text.rlike(any_of(A.LAWFUL_LEVERS)), "lawful").otherwise("unknown")
-
-
-PERSON = "^(?:" + "|".join(A.PERSON_TARGETS) + ")$"
-
-
-def insult(tokens: Column, words: list[str], reach: int = 4) -> Column:
-    """The first of the words that stands within reach of a word for a person."""
-
-    def near(t: Column) -> Column:
-        beside = lambda i: F.exists(F.slice(t, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)), lambda x: x.rlike(PERSON))
-        return F.get(F.filter(F.transform(t, lambda x, i: F.when(F.array_contains(N.constants(words), x), F.when(beside(i), x))), lambda x: x.isNotNull()), F.lit(0))
-
-    return F.when(F.arrays_overlap(tokens, N.constants(words)), N.let(tokens, near))
-
-
-def skeletons(words: list[str]) -> Column:
-    """The skeletons of some words as a constant array; those under four characters match too much and are left out."""
-    return F.filter(F.split(N.skeleton(F.lit(" ".join(words))), " "), lambda x: F.length(x) >= 4)
-
-
-def skeleton_insult(base: Column, tokens: Column, words: list[str]) -> Column:
-    """A word of the text whose skeleton is that of a listed word, where the text names a person."""
-    own = F.filter(F.split(N.skeleton(base), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4)
-    return F.when(addresses_person(tokens), F.get(F.array_intersect(own, skeletons(words)), F.lit(0)))
-
-
-def unstarred(base: Column, words: list[str]) -> Column:
-    """The first listed word that a starred word of the text stands for (``b*st*rd``)."""
-    starred = F.regexp_extract_all(base, F.lit(r"[a-z]+(?:[*#_]+[a-z]*)+"), F.lit(0))
-    fits = lambda w: F.exists(starred, lambda s: (F.length(s) == F.length(w)) & F.rlike(w, F.concat(F.lit("^"), F.regexp_replace(s, "[*#_]", "."), F.lit("$"))))
-    return F.when(base.rlike(r"[a-z][*#_]+[a-z]"), F.get(F.filter(N.constants(words), fits), F.lit(0)))
-
-
 def brand_links(base: Column) -> Column:
     """A link whose user part or host names a brand of ours that is not its host or whose host has other letters than ASCII, or that is punycode."""
     brand = A.OWN_HOSTS[0].split(".")[0]
@@ -85,59 +34,18 @@ def brand_links(base: Column) -> Column:
     return F.when(base.rlike("://|www"), N.let(best, lambda x: F.when(x.isNotNull(), F.struct(F.lit("scam").alias("category"), (-x["c"]).alias("confidence"), x["phrase"].alias("phrase")))))
 
 
-def discrimination(base: Column) -> Column:
-    """An exclusion within 24 characters of a protected group."""
-    group = any_of(A.PROTECTED)
-    return F.when(base.rlike(group), F.nullif(F.regexp_extract(base, rf"{A.EXCLUSION}.{{0,24}}?{group}|{group}.{{0,24}}?{A.EXCLUSION}", 0), F.lit("")))
+judgements = lexicon.judgements
 
 
-def threat(base: Column) -> Column:
-    """A threat phrase that names the writer as agent itself or within the eight words before, or that needs none; a visit that is
-    offered, or that some service makes, is none."""
-    said = first_phrase(base, with_native("threat", A.THREATS))
-    before = F.slice(F.reverse(N.tokens(F.call_function("substring_index", base, said, F.lit(1)))), 1, 8)
-    agent = N.let(before, lambda t: F.exists(t, lambda x: x.rlike("^(?:" + "|".join(A.AGENTS) + ")$"))) | said.rlike(r"^(?:i|we|watch|you will)\b|[^\x00-\x7F]")
-    visit = F.lit(False)
-    for v in A.VISITS:
-        visit |= F.contains(said, F.lit(v))
-    excused = visit & (base.rlike(any_of(A.OFFERS)) | base.rlike(any_of(A.SERVICE_WORDS)))
-    return F.when(said.isNotNull(), F.when(F.coalesce(agent & ~excused, F.lit(False)), said))
-
-
-def candidates(*rules) -> Column:
-    """The findings of those rules (category, confidence, phrase) whose phrase is not null, in their order."""
-    each = [F.struct(F.lit(c).alias("category"), F.lit(float(v)).alias("confidence"), p.alias("phrase")) for c, v, p in rules]
-    return F.filter(F.array(*each), lambda x: x["phrase"].isNotNull())
-
-
-def coercion(base: Column) -> tuple[Column, Column]:
-    """What a demand leans on illegitimately: a condition (0.88), or else a demanding phrase (0.78)."""
-    illegitimate = base.rlike(any_of(A.ILLEGITIMATE_LEVERS))
-    hard = F.when(base.rlike(A.CONDITIONAL), F.regexp_extract(base, A.CONDITIONAL, 0)).otherwise(first_phrase(base, [N.fold_text(p) for p in A.NATIVE_CONDITIONAL]))
-    return F.when(illegitimate, hard), F.when(illegitimate & ~base.rlike(A.CONDITIONAL), first_phrase(base, A.DEMAND_PHRASES))
+def with_links(base: Column, findings: Column) -> Column:
+    """The findings of judgements() behind those of links, the first of each category."""
+    return first_by_category(F.concat(F.array_compact(F.array(brand_links(base))), findings).cast(FINDING))
 
 
 def evaluate(base: Column, slurs: list[str] | None = None) -> Column:
-    """Findings in the order of the rules; one for each rule at most. slurs are words or phrases besides our own."""
-    slurs = [*A.SLURS, *(slurs or [])]
-    strong = A.INSULTS_STRONG
-
-    def of(tokens: Column) -> Column:
-        person = addresses_person(tokens)
-        slur = F.coalesce(first_phrase(base, slurs), *[unstarred(base, words) for words in [[w for w in slurs if " " not in w]] if words])
-        profane = F.slice(candidates(
-            ("harassment", 0.97, slur), ("harassment", 0.94, insult(tokens, A.INDIC_INSULTS)), ("harassment", 0.90, insult(tokens, strong)), ("harassment", 0.90, F.when(person, unstarred(base, strong))),
-            ("harassment", 0.74, insult(tokens, A.INSULTS_MILD)), ("harassment", 0.94, skeleton_insult(base, tokens, [*A.INDIC_INSULTS, *strong])),
-        ), 1, 1)
-        hard, soft = coercion(base)
-        later = candidates(
-            ("selfHarm", 0.90, first_phrase(base, with_native("selfHarm", A.SELF_HARM))), ("threat", 0.93, threat(base)), ("sexual", 0.88, first_phrase(base, with_native("sexual", A.SEXUAL))),
-            ("harassment", 0.74, F.when(person, first_phrase(base, A.HARASSMENT))), ("harassment", 0.74, first_phrase(base, with_native("harassment", []))), ("scam", 0.82, first_phrase(base, A.SCAMS)),
-            ("coercion", 0.88, hard), ("coercion", 0.78, soft),
-        )
-        return F.concat(F.array_compact(F.array(brand_links(base))), candidates(("discrimination", 0.88, discrimination(base))), profane, later).cast(FINDING)
-
-    return F.when(base.isNotNull(), N.let(N.tokens(base), of)).otherwise(F.array().cast(FINDING))
+    """Findings of a whole text in the order of the rules, the first of each category; slurs are words or phrases besides our own. A demand and
+    its lever may stand ``lexicon.REACH`` code points apart. base must be a plain column where a plan has generators."""
+    return N.let(judgements(base, slurs), lambda j: with_links(base, j["findings"]))
 
 
 def similar_finding(intent: Column, confidence: Column, base: Column, tokens: Column) -> Column:
@@ -146,13 +54,6 @@ def similar_finding(intent: Column, confidence: Column, base: Column, tokens: Co
     return F.when(confidence.isNotNull() & allowed, F.struct(intent.alias("category"), confidence.alias("confidence"), F.lit("similar").alias("phrase")))
 
 
-def chunks(text: Column, size: int = 600, overlap: int = 120) -> Column:
-    """The whole of a long text in overlapping pieces, and a text of up to ``size`` as one."""
-    step = size - overlap
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(step)), lambda i: F.substr(text, i + 1, F.lit(size)))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(cut)
-
-
 def first_by_category(findings: Column) -> Column:
     """The first finding of each category."""
     return N.let(findings, lambda f: F.filter(f, lambda x, i: ~F.exists(F.slice(f, F.lit(1), i), lambda y: y["category"] == x["category"])))

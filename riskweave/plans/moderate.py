@@ -123,11 +123,11 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"score": C.score(held), "contributions": C.contributions(held)}).drop("values")
 
 
-def safety(rows: DataFrame) -> DataFrame:
-    """rows with ``findings`` (of the whole text, chunk by chunk, and of similarity) and ``routes``, the heads that send it on."""
+def safety(rows: DataFrame, slurs: list[str] | None = None) -> DataFrame:
+    """rows with ``lever``, ``findings`` (of the whole text, and of similarity) and ``routes``, the heads that send it on."""
     base, tokens = F.col("base"), F.col("tokens")
-    own = S.first_by_category(F.flatten(F.transform(S.chunks(base), lambda t: S.evaluate(t))))
-    rows = N.settled(rows.withColumn("findings", own), "findings")
+    rows = rows.withColumn("judged", S.judgements(base, slurs))
+    rows = N.settled(rows.withColumns({"lever": F.col("judged.lever"), "findings": S.with_links(base, F.col("judged.findings"))}).drop("judged"), "lever", "findings")
     if "safety_intent" in rows.columns:
         similar = S.similar_finding(F.col("safety_intent"), F.col("near_safety"), base, tokens)
         rows = rows.withColumn("findings", F.when(F.size("findings") == 0, F.array_compact(F.array(similar))).otherwise(F.col("findings")))
@@ -137,11 +137,11 @@ def safety(rows: DataFrame) -> DataFrame:
     return rows.withColumn("routes", S.bands(F.col("heads"))["route"]).drop("heads")
 
 
-def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: bool = False) -> DataFrame:
+def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: bool = False, slurs: list[str] | None = None) -> DataFrame:
     """messages (schema.MESSAGE, further columns allowed) with detections, findings, score, action, reasons, masked text and escalation."""
     policy = policy or P.Policy()
     rows = messages.withColumns({"priors": F.coalesce("prior_violations", F.lit(0)), "advisory": F.coalesce("advisory", F.lit(False))})
-    rows = N.settled(safety(scored(retrieved(extracted(normalised(rows))))), "score", "contributions", "routes", "findings")
+    rows = N.settled(safety(scored(retrieved(extracted(normalised(rows)))), slurs), "score", "contributions", "routes", "findings")
     rows = rows.withColumn("marks", P.thresholds(F.col("trust"), F.col("stage"), F.col("priors"), policy))
     args = [F.col(c) for c in ("score", "marks", "priors", "detections", "findings")]
     rows = N.settled(rows.withColumn("action", P.decide(*args, F.col("advisory"), policy)), "marks", "action")
@@ -152,16 +152,17 @@ def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: b
     rows = rows.withColumn("action", F.when(F.array_contains("suspicions", "promptManipulation") & ~F.col("advisory"), "block").otherwise(F.col("action")))
     # a sender whose messages keep coming close is blocked with the next one that is suspicious, unless it only claims a right
     pattern = given(rows, "escalating", False)
-    stopped = pattern & ((F.size("suspicions") > 0) | (F.size("routes") > 0)) & (S.lever(F.col("base")) != "lawful") & ~F.col("advisory")
+    stopped = pattern & ((F.size("suspicions") > 0) | (F.size("routes") > 0)) & (F.col("lever") != "lawful") & ~F.col("advisory")
     rows = rows.withColumns({"behavioural": stopped, "action": F.when(stopped, P.higher(F.col("action"), F.lit("block"))).otherwise(F.col("action"))})
     rows = rows.withColumn("escalated", P.escalates(F.col("score"), F.col("suspicions"), pattern | (F.size("routes") > 0)))
     held, action = P.hold(F.col("escalated"), F.transform("findings", lambda f: f["category"]), F.col("action"), adjudicator)
     rows = N.settled(rows.withColumns({"held": held, "action": action}), "held", "action", "escalated", "behavioural")
     masks = P.rank(F.col("action")) >= P.rank(F.lit("mask"))
-    rows = N.settled(rows.withColumn("detections", X.located(F.col("detections"), F.col("raw"))), "detections")
-    # what has no place of its own in the text (spelled or hidden details) hides the whole text
+    rows = X.located(rows, "detections", "raw")
+    # what has no place of its own in the text (spelled or hidden details), and what is held back for itself, hides the whole text
     whole = F.struct(F.lit(0).alias("low"), F.length("text").alias("high"))
     ranges = F.transform("detections", lambda d: F.when(d["low"] >= 0, F.struct(d["low"].alias("low"), d["high"].alias("high"))).otherwise(whole))
+    ranges = F.when((F.col("action") == "block") | (F.size("detections") == 0), F.array(whole)).otherwise(ranges)
     rows = rows.withColumn("masked_text", F.when(masks & F.col("text").isNotNull(), P.redact(F.col("text"), ranges)))
     similar = F.col("near_contact").isNotNull() | F.col("near_safety").isNotNull()
     own = F.filter("detections", lambda d: d["surface"] != "similar")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import assets as A
+from . import lexicons as L
 from .functions import normalise as N
 from .operators import abuse as B
 from .operators import extract as X
@@ -15,6 +16,7 @@ from .operators import metrics as M
 from .operators import policy as P
 from .operators import retrieve as R
 from .operators import route as E
+from .operators import lexicon as X2
 from .operators import safety as S
 from .operators import score as C
 from .operators import state as T
@@ -240,7 +242,7 @@ def embedding_neighbours(spark, d):
 
 # Safety ----------------------------------------------------------------------------------------------------------
 
-LISTS = {"threat": A.THREATS, "harassment": A.HARASSMENT, "sexual": A.SEXUAL, "self_harm": A.SELF_HARM, "scam": A.SCAMS, "insult": A.INSULTS_STRONG + A.INSULTS_MILD, "person": A.PERSON_TARGETS, "property": A.PROPERTY_TARGETS}
+LISTS = {"threat": L.phrases("threat"), "self_harm": L.phrases("selfHarm"), "demand": L.phrases("demand"), "insult": (*L.STRONG, *L.MILD), "person": A.PERSON_TARGETS, "property": A.PROPERTY_TARGETS}
 
 
 @query("SELECT source, " + ", ".join(f"count_if(regexp_matches(lower(text), {q(S.any_of(p))}))::BIGINT AS {n}" for n, p in LISTS.items()) + " FROM documents GROUP BY source")
@@ -249,11 +251,41 @@ def safety_lexicons(spark, d):
     return rows.groupBy("source").agg(*[F.count_if(F.col("t").rlike(S.any_of(p))).alias(n) for n, p in LISTS.items()])
 
 
+#: Phrases that lexicon_matches puts behind the documents, each in turn.
+PLANTED = [(k, p) for k in ("threat", "threat by agent", "visit", "selfHarm", "demand", "lawful", "slur") for p in L.phrases(k)]
+
+
+@query(f"""WITH phrase(i, kind, phrase) AS (VALUES {", ".join(f"({i}, {q(k)}, {q(p)})" for i, (k, p) in enumerate(PLANTED))}),
+text AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(regexp_replace(lower(text) || ' so ' || phrase || ', yes', '[''’ʼ`]', '', 'g'), '[\\p{{L}}\\p{{N}}]+'), '  ') || ' ' AS s FROM documents JOIN phrase ON i = doc_id % {len(PLANTED)}),
+key AS (SELECT kind, ' ' || replace(phrase, ' ', '  ') || ' ' AS k FROM phrase)
+SELECT kind, count(DISTINCT doc_id)::BIGINT AS documents, sum((length(s) - length(replace(s, k, ''))) / length(k))::BIGINT AS occurrences FROM text JOIN key ON contains(s, k) GROUP BY kind""")
+def lexicon_matches(spark, d):
+    """Occurrences of the phrase lists in all documents, each with one phrase put behind it."""
+    phrases = spark.createDataFrame([(i, p) for i, (_, p) in enumerate(PLANTED)], "i long, phrase string")
+    rows = read(spark, d, "documents").filter("text is not null").withColumn("i", F.col("doc_id") % len(PLANTED)).join(F.broadcast(phrases), "i")
+    hits = rows.select("doc_id", F.explode(X2.matches(F.concat(F.lower("text"), F.lit(" so "), "phrase", F.lit(", yes")))).alias("m")).select("doc_id", "m.kind")
+    kinds = hits.filter(F.col("kind").isin(*{k for k, _ in PLANTED}))
+    return kinds.groupBy("kind").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("occurrences"))
+
+
+REPEATED_MAIL = r"\b[a-z0-9]+(?:[._][a-z0-9]+)*@[a-z0-9]+\.(?:com|org|net)\b"
+
+
+@query(f"""SELECT doc_id, md5(replace(lower(text) || ' and ' || lower(text), regexp_extract(lower(text), {q(REPEATED_MAIL)}), repeat('●', least(10, greatest(3, length(regexp_extract(lower(text), {q(REPEATED_MAIL)}))::INT))))) AS masked
+FROM documents WHERE regexp_extract(lower(text), {q(REPEATED_MAIL)}) <> '' AND regexp_full_match(text, '[\\x00-\\x7F]*')""")
+def masked_repeats(spark, d):
+    """Texts that say an address twice and more, with all its places masked."""
+    rows = read(spark, d, "documents").withColumn("mail", F.regexp_extract(F.lower("text"), REPEATED_MAIL, 0)).filter((F.col("mail") != "") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    rows = rows.select("doc_id", F.concat_ws(" and ", F.lower("text"), F.lower("text")).alias("t"), F.array(X.found("email", F.col("mail"), 0.95)).alias("found"))
+    ranges = F.transform("at", lambda d: F.struct(d["low"].alias("low"), d["high"].alias("high")))
+    return X.located(rows.withColumn("at", F.col("found")), "at", "t").select("doc_id", F.md5(P.redact(F.col("t"), ranges)).alias("masked"))
+
+
 @query()
 def safety_findings(spark, d):
-    """Findings of all documents, chunk by chunk; the first of each category. toxic is null without a label."""
+    """Findings of all documents, whole; the first of each category. toxic is null without a label."""
     rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
-    found = S.first_by_category(F.flatten(F.transform(S.chunks(N.base(F.col("text"))), lambda t: S.evaluate(t))))
+    found = S.evaluate(N.base(F.col("text")))
     return rows.select("doc_id", "toxic", F.explode_outer(found).alias("f")).select("doc_id", "toxic", "f.category", "f.confidence", "f.phrase")
 
 
