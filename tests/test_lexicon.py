@@ -80,7 +80,7 @@ def test_skeletons_equal_the_expression(spark):
 
 
 MASKED = [
-    ("call 98765 43210 and 98765 43210", "call ●●●●●●●●●● and ●●●●●●●●●●"), ("mail a.b@c.org or A.B@C.ORG, not xa.b@c.org", None), ("refund me or else i tell your family", "●" * 10), ("write a.b@c.org", "write ●●●●●●●"), ("the house is quiet", None),
+    ("call 98765 43210 and 98765 43210", "call ●●●●●●●●●● and ●●●●●●●●●●"), ("mail a.b@c.org or A.B@C.ORG, not xa.b@c.org", None), ("refund me or else i tell your family", "●" * 10), ("write a.b@c.org", "write " + "●" * 9), ("the house is quiet", None),
 ]
 
 
