@@ -364,7 +364,7 @@ def scored_in_memory(docs: DataFrame, values: DataFrame, words: DataFrame, total
     found = values.toArrow()  # at most HELD rows
     code, value = (found.column(c).to_numpy() for c in ("code", "value"))
     by = np.argsort(code)
-    model = context.broadcast((code[by], value[by].astype(np.float32)))
+    model = context.broadcast((code[by], value[by]))
     top = words.filter("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()  # at most FREQUENT rows
     frequent = context.broadcast({bytes(r.word): float(np.log10(r.n + 1)) for r in top})
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
@@ -374,7 +374,7 @@ def scored_in_memory(docs: DataFrame, values: DataFrame, words: DataFrame, total
         number, known = TaskContext.get().partitionId() << 40, frequent.value
         codes, logs = model.value
         for batch in batches:
-            for a, b, n_bytes, texts, score in scored_rows(batch, 1, depth, lambda c: logs[np.searchsorted(codes, c)].astype(np.float64)):
+            for a, b, n_bytes, texts, score in scored_rows(batch, 1, depth, lambda c: logs[np.searchsorted(codes, c)]):
                 near, base = np.zeros(b - a, np.int64), np.zeros(b - a)
                 uid, word, times = [], [], []
                 for i, own in enumerate(texts):

@@ -8,9 +8,10 @@ texts: ``SHORT_DOCS`` for a short line, ``LONG_DOCS`` for one of ``LONG`` tokens
 wherever they stand.
 
 Near copies of one document share all their lines, which are no boilerplate: near-duplicate detection keeps one of them, and
-it must stay whole. So texts are told apart first: one whose words lie mostly (over ``COPY_SHARE``) in lines that recur word for
-word is copy-like, and a template recurs only if texts that are not copy-like hold it often enough, and are at least
-``OWN_SHARE`` of all that hold it. Copy-like texts lose lines of recurring templates as others do.
+it must stay whole. So texts are told apart first: one whose words lie mostly (over ``COPY_SHARE``) in several different lines that recur word for
+word is copy-like, and so is one of which a single such line is ``WHOLE_SHARE`` or more, the share from which texts are 0.8 alike; one
+passage or notice that is the larger part of many texts makes no copies of them. A template recurs only if texts that are not
+copy-like hold it often enough, and are at least ``OWN_SHARE`` of all that hold it. Copy-like texts lose lines of recurring templates as others do.
 
 Scale: two passes make small rows of hashes and counts; text is moved only for lines of leaves that vary. In a third pass the
 recurring lines are held in memory (at most ``MOST_HELD``, 8 bytes each) and taken out of the texts; if there are more, texts are joined
@@ -39,7 +40,7 @@ DEPTH = 3
 LEAST_TOKENS, LONG = 3, 20
 SHORT_DOCS, LONG_DOCS = 10, 3
 CONSTANT, LEAST_CONSTANT = 0.8, 6
-COPY_SHARE, OWN_SHARE = 0.6, 0.25
+COPY_SHARE, WHOLE_SHARE, OWN_SHARE = 0.6, 8 / 9, 0.25
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[32, *range(9, 14)]] = False
 #: Recurring lines up to which they are held by each task.
@@ -148,8 +149,9 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = lines.filter(F.col("first") & (F.col("n") >= LEAST_TOKENS))
     alone = once.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts")).filter(F.col("texts") >= needed(F.col("n")))
     alone = materialize(alone.select("leaf", "line", F.lit(1).alias("hit")), "alone")
-    shares = lines.join(broadcast_if_few(alone), ["leaf", "line"], "left").groupBy("text_key").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("hit") == 1, F.col("n"))).alias("lost"))
-    copies = materialize(shares.filter(F.col("lost") > COPY_SHARE * F.col("words")).select("text_key", F.lit(1).alias("copy")), "copies")
+    shares = lines.join(broadcast_if_few(alone), ["leaf", "line"], "left").groupBy("text_key").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("hit") == 1, F.col("n"))).alias("lost"), F.count_if((F.col("hit") == 1) & F.col("first")).alias("several"))
+    copy = (F.col("lost") > COPY_SHARE * F.col("words")) & ((F.col("several") > 1) | (F.col("lost") >= WHOLE_SHARE * F.col("words")))
+    copies = materialize(shares.filter(copy).select("text_key", F.lit(1).alias("copy")), "copies")
     marked = once.join(broadcast_if_few(copies), "text_key", "left")
     counts = materialize(marked.groupBy("leaf", "line", "n").agg(F.count("*").alias("texts"), F.count_if(F.col("copy").isNull()).alias("own")), "counts")
     counts = counts.withColumn("alone", recurs(F.col("n"), F.col("texts"), F.col("own")))

@@ -146,3 +146,13 @@ def test_long_text_and_nothing_to_learn_from(spark):
     long = spark.createDataFrame([(1, "some words " * 300_000), (2, "some words some words"), (3, "zq#!x")], "doc_id long, text string")
     row = {r.doc_id: r for r in C.scores(long, F.lit(True)).collect()}
     assert row[1].n_bytes == 3_300_000 and row[1].n_tokens == 600_001 and row[1].bits_per_byte < 0.01 and row[3].bits_per_byte > 5
+
+
+def test_both_ways_score_alike(spark):
+    """Held by the tasks or joined to parts: the size of the model changes no score."""
+    rnd = random.Random(8)
+    docs = [(i, " ".join(rnd.choice("one two three ünd fünf six".split()) for _ in range(rnd.randrange(40)))) for i in range(60)] + [(60, None), (None, "one")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    ways = [sorted((tuple(r) for r in C.scores(frame, F.expr("doc_id % 3 > 0"), held=held).collect()), key=lambda r: str(r[0])) for held in (C.HELD, 0)]
+    for a, b in zip(*ways, strict=True):
+        assert a[0] == b[0] and all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:], strict=True))

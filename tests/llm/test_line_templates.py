@@ -25,7 +25,8 @@ def brute(docs):
     copies = set()
     for text in texts:
         lines = [masked(x) for x in text.split("\n")]
-        if sum(len(t) for t in lines if t in often) > L.COPY_SHARE * sum(map(len, lines)):
+        lost, words = sum(len(t) for t in lines if t in often), sum(map(len, lines))
+        if lost > L.COPY_SHARE * words and (len(often.intersection(lines)) > 1 or lost >= L.WHOLE_SHARE * words):
             copies.add(text)
     own = {t: len(d - copies) for t, d in where.items()}
     recurs = lambda n, group: sum(own[t] for t in group) >= max(need(n), L.OWN_SHARE * sum(len(where[t]) for t in group))
@@ -81,6 +82,8 @@ def corpus():
     docs += [(310, "Posted on 2024-01-7 by user7 at site"), (311, "own little words\nPosted on 2024-01-7 by user7 at site")]
     base = [say(14) for _ in range(12)]  # near copies: each has another line of its own
     docs += [(400 + i, "\n".join([*base[: i % 12], say(14), *base[i % 12 + 1 :]])) for i in range(30)]
+    long, notice = say(50), say(9)  # the larger part of many texts, which are no copies
+    docs += [(600 + i, f"{say(20)}\n{long}") for i in range(30)] + [(700 + i, f"{notice}\n{say(4)}") for i in range(40)]
     return [*docs, (500, "\n".join([say(9) for _ in range(20_000)] + ["All rights reserved"]))]
 
 
@@ -93,6 +96,7 @@ def test_rows_equal_brute_force(spark):
         assert sorted(map(tuple, got), key=str) == want
     assert sum(r[2] for r in want) > 40 and all(r[2] == 0 for r in want if r[0] in range(400, 430))  # near copies stay whole
     assert not any(x in (r[1] or "") for r in want for x in ("weekly letter", "Posted on"))
+    assert all(r[2] == 1 for r in want if r[0] in range(600, 740))
     assert dict((r[0], r[1]) for r in want)[310] == ""
     clean = L.deduplicated_lines(frame, chars_col="leaf")
     assert clean.columns == frame.columns
