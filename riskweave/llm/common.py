@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -82,6 +83,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return stored(df, tag)[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage: Spark removes the shuffle files of steps that nothing refers to any more only then, and a job of many
+    steps would hold the files of all of them until memory happens to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """df.mapInArrow with batches of about ``BATCH_BYTES`` at most, where the session sets no lower bound: long texts must not
     meet in one batch by the thousand."""

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_neardup as simhash
-from .common import KEY, boxed, broadcast_if_few, in_batches, materialize, quoted, utf8
+from .common import KEY, boxed, broadcast_if_few, discard, in_batches, materialize, quoted, release, stored, utf8
 from .simhash_neardup import SEED, components, majority, one_of_each, shingle_hashes
 
 #: Prefixes from which on a shingle comes last in the order, and how many such shingles there are at most.
@@ -124,6 +124,7 @@ def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     """(token, node, n) for the prefix shingles that more than one node has."""
     plain = one.select("node", "n", F.explode("prefix").alias("token"))
     counts = materialize(plain.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1"), "shared")
+    release(docs.sparkSession)
     common = materialize(counts.filter(F.col("d") > COMMON).orderBy(F.desc("d"), "token").limit(MOST_COMMON).select("token"), "common")
     late = common.toArrow().column(0).to_numpy()  # at most MOST_COMMON rows
     if not len(late):
@@ -134,6 +135,7 @@ def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     # a shingle that came in for a common one may meet any other
     rest = plain.join(broadcast_if_few(moved.select("node")), "node", "left_anti")
     both = rest.unionByName(new.select("node", "n", "token"))
+    release(docs.sparkSession)
     shared = materialize(both.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token"), "shared")
     return materialize(both.join(broadcast_if_few(shared), "token").select("token", "node", "n"), "entries")
 
@@ -175,7 +177,9 @@ class Verifier:
         if not keys.isEmpty():
             wanted = self.docs.join(broadcast_if_few(keys), KEY, "left_semi")
             self.sets = self.sets.union(materialize(whole_sets(wanted, self.words).dropDuplicates(["node"]), "sets"))
-        values = self.sets.withColumnRenamed("shingles", "v")
+        # only the sets of these pairs are shuffled
+        ends = broadcast_if_few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends"))
+        values = self.sets.join(ends, "node", "left_semi").withColumnRenamed("shingles", "v")
         return beside(pairs, values).filter(alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b").distinct()
 
 
@@ -191,23 +195,32 @@ def fingerprint_pairs(one: DataFrame) -> DataFrame:
 def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     """(node, root) for nodes of links; docs has (KEY, text), one has a row for each node with its first text."""
     check = Verifier(docs, one, words)
+    spark = docs.sparkSession
     edges = materialize(check.links(materialize(fingerprint_pairs(one), "pairs")), "links")
+    release(spark)
     roots = materialize(components(edges), "roots")
-    met = entries(docs, one, words)
+    release(spark)
+    met, held = entries(docs, one, words), None
     for k in range(ROUNDS + 1):
+        release(spark)
         named = met.join(broadcast_if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("hub")
         parted = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).filter("low <> high")
         parted = materialize(parted.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("from")), "parted")
         # shingles of one component are done with
-        live = materialize(named.join(broadcast_if_few(parted), "token"), "live")
+        live, path = stored(named.join(broadcast_if_few(parted), "token"), "live")
+        discard(spark, held)
+        held = path
+        release(spark)
         if k < ROUNDS:
             pairs = live.filter("root <> from")
         else:
             ends = live.select("token", "node", "n", "root")
             pairs = ends.join(ends.select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("from")), "token").filter("root <> from AND a < node")
         pairs = pairs.filter(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", F.col("node").alias("b")).distinct()
-        new = materialize(check.links(materialize(pairs, "pairs")), "links")
+        pairs = materialize(pairs, "pairs")
+        release(spark)
+        new = materialize(check.links(pairs), "links")
         met = live.select("token", "node", "n")
         if not new.isEmpty():
             edges = edges.union(new)
@@ -218,16 +231,19 @@ def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(doc_id, text_key, fp, component_id) for each row of docs; fp is the hash of the text's set of shingles."""
     texts = boxed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col)
-    rows = materialize(prefixes(texts.select("doc_id", F.col(KEY[2]).alias("text_key"), "text"), words), "prefixes")
+    rows, path = stored(prefixes(texts.select("doc_id", F.col(KEY[2]).alias("text_key"), "text"), words), "prefixes")
     none = F.col("doc_id").isNull()
     first = F.min_by(F.struct("doc_id", "text_key", "n", "fp", "prefix", "sketch"), F.struct(none, "doc_id", "text_key"))
     one = rows.groupBy("node").agg(first.alias("r")).select("node", "r.*")
     one = materialize(one.withColumns({KEY[0]: none, KEY[1]: F.coalesce("doc_id", F.lit(0)), KEY[2]: F.col("text_key")}), "nodes")
+    rows = materialize(rows.select("doc_id", "text_key", "node"), "rows")
+    discard(docs.sparkSession, path)
+    release(docs.sparkSession)
     roots = links(texts.select(*KEY, "text"), one, words)
     named = one.join(broadcast_if_few(roots), "node", "left").select("node", F.col("doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = named.join(smallest, "root").select("node", "component_id")
-    return rows.select("doc_id", "text_key", "node").join(found, "node").select("doc_id", "text_key", F.col("node").alias("fp"), "component_id")
+    return rows.join(found, "node").select("doc_id", "text_key", F.col("node").alias("fp"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:

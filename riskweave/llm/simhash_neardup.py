@@ -41,6 +41,8 @@ HAMMING = 15
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Candidate pairs that one numpy step compares.
 PAIRS = 2_000_000
+#: Keys of documents that go, or stand more than once, that are broadcast.
+MOST_BROADCAST = 500_000
 #: Fingerprints from which on two blocks cost less than three.
 MANY = 200_000_000
 
@@ -259,15 +261,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component of found (doc_id, text_key, fp, component_id)."""
+    """docs with one document of each component of found (doc_id, text_key, fp, component_id). While the documents that go, and those that stand more than
+    once, are few, their keys are broadcast and no text is shuffled."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = found.groupBy(F.coalesce("component_id", "fp"), F.col("component_id").isNull()).agg(F.min(order).alias("k"))
+    key = [F.col("doc_id").isNull().alias(KEY[0]), F.coalesce("doc_id", F.lit(0)).alias(KEY[1]), F.col("text_key").alias(KEY[2])]
+    found = materialize(found.groupBy("doc_id", "text_key", F.coalesce("component_id", "fp").alias("group"), F.col("component_id").isNull().alias("unnamed")).agg(F.count("*").alias("times")), "members")
+    kept = found.groupBy("group", "unnamed").agg(F.min(order).alias("k"))
     kept = kept.select(F.col("k.none").alias(KEY[0]), F.coalesce("k.doc_id", F.lit(0)).alias(KEY[1]), F.col("k.text_key").alias(KEY[2])).distinct()
-    staying = boxed(docs, id_col, text_col).join(kept, KEY, "left_semi")
+    kept = materialize(kept, "kept")
+    gone = materialize(found.select(*key).distinct().join(kept, KEY, "left_anti"), "gone")
+    again = materialize(found.filter("times > 1").select(*key).join(kept, KEY, "left_semi").distinct(), "again")
+    rows = boxed(docs, id_col, text_col)
+    many = gone.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST or again.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST
+    staying = rows.join(kept, KEY, "left_semi") if many else rows.join(F.broadcast(gone), KEY, "left_anti")
     others = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("others"))
-    ranked = staying.withColumn("others", F.xxhash64(*others)).withColumn("place", place)
-    return unboxed(ranked.filter("place = 1"))
+    repeated = staying if many else staying.join(F.broadcast(again), KEY, "left_semi")
+    ranked = repeated.withColumn("others", F.xxhash64(*others)).withColumn("place", place).filter("place = 1").select("row")
+    return unboxed(ranked if many else staying.join(F.broadcast(again), KEY, "left_anti").select("row").unionByName(ranked))
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
