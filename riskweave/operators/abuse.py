@@ -48,4 +48,4 @@ def routed(rows: DataFrame, model: PipelineModel, text: str = "text", key: str =
     """rows with ``abuse``, the highest score of their pieces, and ``flagged``."""
     scored = model.transform(pieces(rows.select(key, text), text)).select(key, vector_to_array("probability")[1].alias("p"))
     best = scored.groupBy(key).agg(F.max("p").alias("abuse"))
-    return rows.join(best, key).withColumn("flagged", F.col("abuse") >= FLAG_FROM)
+    return rows.join(best, key, "left").withColumn("flagged", F.col("abuse") >= FLAG_FROM)

@@ -1,17 +1,19 @@
 """The moderation plan: one chain of projections from messages to verdicts, for batch and stream alike.
 
 ``moderate`` works on one row at a time, so it has no shuffle; what needs other rows comes as optional columns: similarities to
-anchors, the texts before (``buffer``), the sender's risk (``escalating``), a learned abuse score (``abuse``). ``cascade`` makes the
-first two. Every text is read whole; costly steps run only where a cheap test lets them.
+anchors, the texts before (``buffer``), the sender's risk (``escalating``), a learned abuse score (``abuse``). ``cascade`` adds
+them, the sender's pattern (``behavioural``) from the verdicts themselves. Every text is read whole; costly steps run only where a cheap test lets them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import assets as A
 from ..functions import normalise as N
+from ..operators import abuse as B
 from ..operators import extract as X
 from ..operators import policy as P
 from ..operators import retrieve as V
@@ -169,13 +171,48 @@ def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: b
     return rows.withColumns({"tier": P.tier(own, similar, F.col("escalated")), "threshold": F.col("marks.mask"), "policy_version": F.lit(policy.version)})
 
 
-def cascade(messages: DataFrame, anchors: DataFrame | None = None, policy: P.Policy | None = None, adjudicator: bool = False) -> DataFrame:
-    """moderate() over messages (schema.MESSAGE) with what their conversation and the anchors add: the sender's last texts of 15
-    minutes in the conversation, and similarities."""
+def behavioural(verdicts: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """verdicts (of moderate()) where a sender's pattern counts: of the messages in a conversation within 24 hours, those that were suspicious and not acted on. Behind
+    three of them, or two where someone reported the sender, a suspicious message is blocked, unless it only claims a right or is advisory.
+    A message that the pattern stops counts as the others do.
+
+    signals (sender_id, conversation_id, kind: report or block, ts) are what others said of senders. Without them one window over each
+    sender's conversation decides; with them the sender's risk of operators.state does.
+    """
+    suspicious = (F.size("suspicions") > 0) | (F.size("routes") > 0)
+    own = suspicious & (P.rank(F.col("action")) < P.rank(F.lit("mask")))
+    row = F.struct(*[F.col(f"`{c}`") for c in verdicts.columns]).alias("row")
+    events = verdicts.select("conversation_id", "sender_id", T.micros(F.col("ts")).alias("at"), suspicious.alias("routed"), (~own).alias("acted"), row)
+    if signals is None:
+        here = Window.partitionBy("conversation_id", "sender_id").orderBy("at").rangeBetween(-T.DAY, 0)
+        events = events.withColumns({"sub_threshold": F.count(F.when(F.col("routed") & ~F.col("acted"), 1)).over(here), "reports": F.lit(0)})
+    else:
+        said = signals.select("conversation_id", "sender_id", T.micros(F.col("ts")).alias("at"), "kind")
+        events = events.withColumn("kind", F.lit("message")).unionByName(said, allowMissingColumns=True)
+        events = T.actor_risk(events.withColumnsRenamed({"conversation_id": "conversation", "sender_id": "sender"})).filter("kind = 'message'")
+    before = F.col("sub_threshold") - (F.col("routed") & ~F.col("acted")).cast("long")
+    pattern = before >= F.when(F.col("reports") > 0, 2).otherwise(3)
+    rows = N.settled(events.select("row", pattern.alias("pattern"), (pattern & F.col("routed") & (F.col("row.lever") != "lawful") & ~F.col("row.advisory")).alias("stopped")), "pattern", "stopped")
+    text = F.col("row.text")
+    whole = F.array(F.struct(F.lit(0).alias("low"), F.length(text).alias("high")))
+    new = {
+        "behavioural": F.col("row.behavioural") | F.col("stopped"), "escalated": F.col("row.escalated") | F.col("pattern"),
+        "masked_text": F.when(F.col("stopped") & text.isNotNull(), P.redact(text, whole)).otherwise(F.col("row.masked_text")), "action": F.when(F.col("stopped"), P.higher(F.col("row.action"), F.lit("block"))).otherwise(F.col("row.action")),
+    }
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in verdicts.columns])
+
+
+def cascade(
+    messages: DataFrame, anchors: DataFrame | None = None, policy: P.Policy | None = None, adjudicator: bool = False, signals: DataFrame | None = None, router: PipelineModel | None = None, slurs: list[str] | None = None
+) -> DataFrame:
+    """moderate() over messages (schema.MESSAGE) with what others add: the sender's last texts of 15 minutes in the conversation, similarities to
+    anchors, the score of a trained router (operators.abuse), and the sender's pattern with the signals of others."""
     anchors = default_anchors(messages.sparkSession) if anchors is None else anchors
     rows = messages.withColumn("sent_at", T.micros(F.col("ts")))
     rows = T.conversation_window(rows, ["conversation_id", "sender_id"], ["sent_at", "message_id"], "text", "sent_at").drop("sent_at")
-    return moderate(V.with_similarities(rows, anchors), policy, adjudicator)
+    if router is not None:
+        rows = B.routed(rows, router, key="message_id").drop("flagged")
+    return behavioural(moderate(V.with_similarities(rows, anchors), policy, adjudicator, slurs), signals)
 
 
 VERDICT = ["action", "score", "threshold", "reasons", "detections", "findings", "suspicions", "routes", "escalated", "held", "tier", "masked_text", "transforms", "policy_version"]
