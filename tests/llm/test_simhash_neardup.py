@@ -109,3 +109,11 @@ def test_deduplicated_keeps_one_row_of_each_component(spark):
     got = kept.collect()
     assert len(got) == len(groups)
     assert {r.doc_id for r in got if r.doc_id is not None} == {g for g in groups if isinstance(g, int)}
+
+
+def test_one_of_each_by_joins_where_keys_are_many(spark, monkeypatch):
+    rows = texts(12)
+    docs = spark.createDataFrame([(a, b, i % 2) for i, (a, b) in enumerate(rows + rows[:6])], "doc_id long, text string, row int").cache()
+    few = sorted(map(str, S.deduplicated(docs).collect()))
+    monkeypatch.setattr(S, "MOST_BROADCAST", 0)
+    assert sorted(map(str, S.deduplicated(docs).collect())) == few and 0 < len(few) < docs.count()
