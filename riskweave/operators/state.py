@@ -26,17 +26,52 @@ def conversation_window(messages: DataFrame, keys: list[str], order: list[str],
     return messages.withColumn("buffer", fresh)
 
 
+def sliding(rows: DataFrame, keys: list[str], entering: dict[str, Column], leaving: dict[str, Column] | None = None, moved: list[tuple[Column, dict[str, Column]]] | None = None, latest: dict[str, Column] | None = None, span: int = DAY) -> DataFrame:
+    """rows (with ``at`` in microseconds) with the sums of ``entering`` over the rows of equal keys from ``span`` before up to each, equal times included.
+
+    Each row adds its values at its time and takes them back behind ``span``, so one running sum gives all windows: its cost is linear in a key's rows. A
+    window reaches from its own stretch of ``span`` into the one before only, so rows are dealt by key and stretch, and each is there for the next stretch too:
+    a hot key is split by time, without a join. ``leaving`` names values that are taken back in place of those that entered, ``moved`` are further steps
+    (time, values) of a row that leave no trace behind ``span``, ``latest`` are values of the last row before that has one (within the two stretches).
+
+    Rows without a time are counted among themselves; null keys are a key. Columns of the names given are replaced.
+    """
+    at, row = F.col("at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    names, moved, latest = list(entering), moved or [], latest or {}
+    start = at - F.pmod(at, F.lit(span))
+    number = lambda v: F.coalesce(v.cast("long"), F.lit(0).cast("long"))
+    enter = {n: number(v) for n, v in entering.items()}
+    leave = {n: -number((leaving or {}).get(n, v)) for n, v in entering.items()}
+
+    def step(stretch: Column, t: Column, values: dict[str, Column], real: bool = False, seen: bool = False) -> Column:
+        sums = [values.get(n, F.lit(0)).cast("long").alias(f"s{i}") for i, n in enumerate(names)]
+        marks = [(v if seen else F.when(F.lit(False), v)).alias(f"l{i}") for i, v in enumerate(latest.values())]
+        return F.struct(stretch.alias("stretch"), t.alias("t"), *sums, *marks, (row if real else F.when(F.lit(False), row)).alias("row"))
+
+    timed = at.isNotNull()
+    steps = [step(start, at, enter, True, True), F.when(timed, step(start + span, at, enter, False, True)), F.when(timed, step(start + span, at + span + 1, leave))]
+    steps += [F.when(t.isNotNull(), step(s, t, values)) for t, values in moved for s in (start, start + span)]
+    each = rows.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.explode(F.array_compact(F.array(*steps))).alias("x")).select(*[f"k{i}" for i in range(len(keys))], "x.*")
+    upto = Window.partitionBy(*[f"k{i}" for i in range(len(keys))], "stretch").orderBy("t")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {n: F.sum(f"s{i}").over(upto) for i, n in enumerate(names)} | {n: F.last(f"l{i}", ignorenulls=True).over(before) for i, n in enumerate(latest)}
+    kept = [F.col("row").getField(c).alias(c) for c in rows.columns if c not in sums]
+    return each.withColumns({f"out{i}": v for i, v in enumerate(sums.values())}).filter("row is not null").select(*kept, *[F.col(f"out{i}").alias(n) for i, n in enumerate(sums)])
+
+
 def actor_risk(events: DataFrame) -> DataFrame:
     """events (sender, conversation, kind: message, report or block, routed, acted, at in microseconds, event_id) with the
-    sender's risk over the 24 hours up to and including each: counts, escalation, composite and elevated."""
-    day = Window.partitionBy("sender").orderBy("at").rangeBetween(-DAY, 0)
-    here = Window.partitionBy("sender", "conversation").orderBy("at").rangeBetween(-DAY, 0)
-    is_message = F.col("kind") == "message"
-    count = lambda condition, over: F.count(F.when(condition, 1)).over(over)
-    out = events.withColumns({
-        "messages": count(is_message, day), "conversations": F.size(F.collect_set(F.when(is_message, F.col("conversation"))).over(day)), "reports": count(F.col("kind") == "report", day),
-        "blocks": count(F.col("kind") == "block", day), "repeat_target": count(is_message, here), "sub_threshold": count(is_message & F.col("routed") & ~F.col("acted"), here),
-    })
+    sender's risk over the 24 hours up to and including each: counts, escalation, composite and elevated.
+
+    Different conversations are counted by steps too: the first message of one enters, the next within a day puts off when it leaves."""
+    is_message, at = F.coalesce(F.col("kind") == "message", F.lit(False)), F.col("at")
+    named = is_message & F.col("conversation").isNotNull()
+    rows = sliding(events, ["sender", "conversation"], {"repeat_target": is_message, "sub_threshold": is_message & F.col("routed") & ~F.col("acted")}, latest={"__before": F.when(is_message, F.coalesce(at, F.lit(0)))})
+    again = named & (F.coalesce(F.col("__before") >= at - DAY, F.col("__before").isNotNull()))
+    out = sliding(
+        rows, ["sender"], {"messages": is_message, "conversations": named & ~again, "reports": F.col("kind") == "report", "blocks": F.col("kind") == "block"},
+        leaving={"conversations": named}, moved=[(F.when(again, F.col("__before") + DAY + 1 + at * 0), {"conversations": F.lit(1)})],
+    ).drop("__before").withColumn("conversations", F.col("conversations").cast("int"))
     return out.withColumns({"escalating": F.col("sub_threshold") >= F.when(F.col("reports") > 0, 2).otherwise(3), "composite": composite(*[F.col(c) for c in ("reports", "blocks", "sub_threshold", "conversations", "messages")])}).withColumn("elevated", F.col("composite") >= 0.35)
 
 

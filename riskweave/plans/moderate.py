@@ -8,7 +8,7 @@ them, the sender's pattern (``behavioural``) from the verdicts themselves. Every
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import assets as A
@@ -176,16 +176,15 @@ def behavioural(verdicts: DataFrame, signals: DataFrame | None = None) -> DataFr
     three of them, or two where someone reported the sender, a suspicious message is blocked, unless it only claims a right or is advisory.
     A message that the pattern stops counts as the others do.
 
-    signals (sender_id, conversation_id, kind: report or block, ts) are what others said of senders. Without them one window over each
-    sender's conversation decides; with them the sender's risk of operators.state does.
+    signals (sender_id, conversation_id, kind: report or block, ts) are what others said of senders. Without them the counts of each
+    sender's conversation decide; with them the sender's risk of operators.state does.
     """
     suspicious = (F.size("suspicions") > 0) | (F.size("routes") > 0)
     own = suspicious & (P.rank(F.col("action")) < P.rank(F.lit("mask")))
     row = F.struct(*[F.col(f"`{c}`") for c in verdicts.columns]).alias("row")
     events = verdicts.select("conversation_id", "sender_id", T.micros(F.col("ts")).alias("at"), suspicious.alias("routed"), (~own).alias("acted"), row)
     if signals is None:
-        here = Window.partitionBy("conversation_id", "sender_id").orderBy("at").rangeBetween(-T.DAY, 0)
-        events = events.withColumns({"sub_threshold": F.count(F.when(F.col("routed") & ~F.col("acted"), 1)).over(here), "reports": F.lit(0)})
+        events = T.sliding(events, ["conversation_id", "sender_id"], {"sub_threshold": F.col("routed") & ~F.col("acted")}).withColumn("reports", F.lit(0))
     else:
         said = signals.select("conversation_id", "sender_id", T.micros(F.col("ts")).alias("at"), "kind")
         events = events.withColumn("kind", F.lit("message")).unionByName(said, allowMissingColumns=True)

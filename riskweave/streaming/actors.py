@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,27 +19,46 @@ RISK = "sender string, event_id long, at long, messages long, conversations int,
 
 
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The sender's events of the last day are the state; each event is counted before its risk is read."""
+    """The sender's events of the last day are the state. Old and new ones in order of time pass through one window whose counts are kept as events
+    enter and leave it, so a batch costs what it holds, not its square; equal times of a batch count each other."""
     if state.hasTimedOut:
         state.remove()
         return
     held = list(zip(*state.get, strict=True)) if state.exists else []
-    rows = []
-    for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.at, r.event_id)):
-        held.append((row.at, row.conversation, row.kind, bool(row.routed and not row.acted)))
-        held = [h for h in held if h[0] >= row.at - DAY]
-        messages = [h for h in held if h[2] == "message"]
-        here = [h for h in messages if h[1] == row.conversation]
-        reports, blocks, below = sum(h[2] == "report" for h in held), sum(h[2] == "block" for h in held), sum(h[3] for h in here)
-        rows.append((key[0], row.event_id, row.at, len(messages), len({h[1] for h in messages}), reports, blocks, len(here), below, below >= (2 if reports else 3)))
-    state.update(tuple(list(c) for c in zip(*held, strict=True)))
-    state.setTimeoutTimestamp(max(h[0] for h in held) // 1000 + DAY // 1000 + 1)
+    new = sorted(((int(r.at), r.event_id, r.conversation, r.kind, bool(r.routed and r.acted is not None and not r.acted)) for b in batches for r in b.itertuples(index=False)), key=lambda r: r[:2])
+    held = sorted([*held, *((at, conversation, kind, counted) for at, _, conversation, kind, counted in new)], key=lambda h: h[0])
+    kinds, here, below = Counter(), Counter(), Counter()
+
+    def move(event: tuple, by: int) -> None:
+        _, conversation, kind, counted = event
+        kinds[kind] += by
+        if kind == "message":
+            here[conversation] += by
+            below[conversation] += by * counted
+            if not here[conversation]:
+                del here[conversation], below[conversation]
+
+    rows, low, high = [], 0, 0
+    for at, event_id, conversation, _, _ in new:
+        while high < len(held) and held[high][0] <= at:
+            move(held[high], 1)
+            high += 1
+        while held[low][0] < at - DAY:
+            move(held[low], -1)
+            low += 1
+        rows.append((key[0], event_id, at, kinds["message"], len(here) - (None in here), kinds["report"], kinds["block"], here[conversation], below[conversation], below[conversation] >= (2 if kinds["report"] else 3)))
+        if not here[conversation]:
+            del here[conversation], below[conversation]
+    # late rows that the watermark lets pass look a day back from their own time
+    least = min(held[-1][0], max(state.getCurrentWatermarkMs(), 0) * 1000) - DAY
+    state.update(tuple(list(c) for c in zip(*(h for h in held if h[0] >= least), strict=True)))
+    state.setTimeoutTimestamp(held[-1][0] // 1000 + DAY // 1000 + 1)
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in RISK.split(", ")])
 
 
 def actor_risk_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """events as operators.state.actor_risk takes them, with a timestamp ``ts``; late rows are dropped by the watermark."""
-    return events.withWatermark("ts", lateness).groupBy("sender").applyInPandasWithState(fold, RISK, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """events as operators.state.actor_risk takes them, with a timestamp ``ts``; late rows are dropped by the watermark, rows without a time at once."""
+    return events.filter("at is not null and ts is not null").withWatermark("ts", lateness).groupBy("sender").applyInPandasWithState(fold, RISK, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def moderated_stream(messages: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour"):
