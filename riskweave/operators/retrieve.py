@@ -1,11 +1,10 @@
-"""Similarity retrieval: tf-idf over words, word pairs and character 4-grams against a labelled anchor set, and embeddings."""
+"""Similarity retrieval: tf-idf over words, word pairs and character 4-grams against a labelled anchor set."""
 
 from __future__ import annotations
 
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,19 +170,3 @@ def with_similarities(rows: DataFrame, anchors: DataFrame, text_col: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns, *near, intents], [*batch.schema.names, *(x.split()[0] for x in RETRIEVED.split(", "))])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(RETRIEVED).fields]))
-
-
-#: Query vectors that are broadcast at once.
-BLOCK = 20_000
-
-
-def embedding_neighbours(queries: DataFrame, base: DataFrame, k: int = 3) -> DataFrame:
-    """(id, vec_id, similarity, place): the k nearest of base for a stated set of queries, in blocks of at most ``BLOCK`` of them: each
-    block meets all of base, which is read once for each."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    n = max(1, -(-queries.count() // BLOCK))
-    parts = [queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).select(F.col("vec_id").alias("id"), F.col("embedding").alias("q")) for i in range(n)]
-    pairs = reduce(DataFrame.unionByName, [base.join(F.broadcast(part), F.col("vec_id") != F.col("id")) for part in parts])
-    rows = pairs.select("id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("embedding"), F.col("embedding")))), 6).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "vec_id"))
-    return rows.withColumn("place", place).filter(F.col("place") <= k)

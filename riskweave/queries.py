@@ -13,6 +13,7 @@ from .functions import normalise as N
 from .operators import abuse as B
 from .operators import extract as X
 from .operators import metrics as M
+from .operators import neighbours as V
 from .operators import policy as P
 from .operators import retrieve as R
 from .operators import route as E
@@ -237,7 +238,7 @@ s AS (SELECT a.vec_id AS id, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(
 SELECT id, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, vec_id) AS place FROM s) WHERE place <= 3""")
 def embedding_neighbours(spark, d):
     vectors = read(spark, d, "embeddings")
-    return R.embedding_neighbours(vectors.filter("vec_id % 100 = 0"), vectors).select("id", "vec_id", "similarity", F.col("place").cast("long").alias("place"))
+    return V.nearest(vectors.filter("vec_id % 100 = 0"), vectors).select("id", "vec_id", "similarity", F.col("place").cast("long").alias("place"))
 
 
 # Safety ----------------------------------------------------------------------------------------------------------
