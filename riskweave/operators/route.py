@@ -20,6 +20,9 @@ DEFANGED = [
     r"\bhxxps?:", rf"\b[a-z0-9-]{{3,}} ?, ?(?!{WORDLIKE}\b){TLD}(?:/|$)", rf"\b[a-z0-9-]{{3,}} \. {TLD}\b(?! [a-z])", rf"\b[a-z0-9-]{{3,}}\.\s*[/|]\s*{TLD}\b",
 ]
 
+#: A number in groups, such as 1,50,000 or 2,500,000; it is an amount, whatever other numbers stand in the text.
+GROUPED = r"(?<![0-9,])[0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?(?![0-9])"
+
 
 def suspicions(base: Column, raw: Column, contact_found: Column, innocent_similarity: Column, abuse_lead: Column, contact_similarity: Column, contact_margin: Column, tokens: Column | None = None, numbers: Column | None = None, carriers: Column | None = None) -> Column:
     """Names in the order of the checks; a contact detection ends the list after the first four. tokens, numbers (number_digits)
@@ -40,7 +43,7 @@ def suspicions(base: Column, raw: Column, contact_found: Column, innocent_simila
     ]
     late = [
         ("dictatedFragment", F.length(spelled).between(5, 14) & (F.length(spelled) - F.length(written) >= 2) & (F.length(spelled) >= 0.5 * F.size(tokens))),
-        ("contiguousMobile", base.rlike(r"(?:^|[^0-9])[6-9][0-9]{9}(?:[^0-9]|$)") & ~base.rlike(r"[0-9]{1,3}(?:,[0-9]{2,3})+")),
+        ("contiguousMobile", F.regexp_replace(base, GROUPED, " ").rlike(r"(?:^|[^0-9])[6-9][0-9]{9}(?:[^0-9]|$)")),
         ("positionalCarrier", F.size(carriers) > 0),
         ("repeatRunDigits", base.rlike(r"(?:[!.*?~]{1,9} ){6,}")),
         ("obfuscatedDomain", base.rlike("|".join(DEFANGED))),
@@ -54,13 +57,14 @@ def suspicions(base: Column, raw: Column, contact_found: Column, innocent_simila
 
 def adjudicated(decisions: DataFrame, judgements: DataFrame) -> DataFrame:
     """decisions (message_id, action, score, detections, suspicions, window_text) with the judgements (window_text,
-    decision, category, confidence) joined by the frozen window text; no judgement counts as an abstention.
+    decision, category, confidence) joined by the frozen window text; no judgement counts as an abstention, of several
+    the surest counts (ties: the larger decision and category by name).
 
     A safety verdict acts as its category; a benign one allows with score 0.15 at most, unless a literal detail or
     an injection stands against it; an exfiltration verdict masks, or warns from 0.60. An abstention blocks what is safety-shaped.
     """
     text = F.trim(F.regexp_replace(F.lower("window_text"), r"[^\p{L}\p{N}]+", " "))
-    once = judgements.groupBy(F.trim(F.regexp_replace(F.lower("window_text"), r"[^\p{L}\p{N}]+", " ")).alias("__t")).agg(F.max_by(F.struct("decision", "category", F.col("confidence").alias("judged")), "confidence").alias("__j"))
+    once = judgements.groupBy(F.trim(F.regexp_replace(F.lower("window_text"), r"[^\p{L}\p{N}]+", " ")).alias("__t")).agg(F.max_by(F.struct("decision", "category", F.col("confidence").alias("judged")), F.struct("confidence", "decision", "category")).alias("__j"))
     rows = decisions.withColumn("__t", text).join(once, "__t", "left")
     said = F.coalesce("__j.decision", F.lit("abstain"))
     hard = F.exists("detections", lambda d: d["category"].isin(A.LITERAL_CATEGORIES) & (d["confidence"] >= 0.85)) | F.array_contains("suspicions", "promptManipulation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import first_writer
@@ -21,17 +21,41 @@ def commit_if_absent(decisions: DataFrame, path: str, order: list[str], key: str
     """Appends the first row of each key that the table does not have yet. One writer at a time; fit for foreachBatch.
 
     The table is partitioned by a hash of the key; a commit reads the keys of the partitions that its rows fall in. Small commits
-    touch few of them, and many small files of a partition can be rewritten by themselves.
+    touch few of them, and many small files of a partition can be rewritten by themselves. A commit without rows leaves an empty table.
     """
     spark = decisions.sparkSession
     rows = first_writer(decisions, key, order).withColumn("key_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     if exists(spark, path):
         touched = [r.key_part for r in rows.select("key_part").distinct().collect()]  # at most parts numbers
-        held = spark.read.parquet(path).filter(F.col("key_part").isin(touched)).select("key_part", key)
+        held = spark.read.schema(rows.schema).parquet(path).filter(F.col("key_part").isin(touched)).select("key_part", key)
         rows = rows.join(held, ["key_part", key], "left_anti")
     rows.write.mode("append").partitionBy("key_part").parquet(path)
 
 
+def finalize(decisions: DataFrame, path: str, order: list[str], key: str = "message_id", parts: int = PARTS) -> DataFrame:
+    """Commits what reservations were made for and gives the canonical decision of each key: the new one, or the one that another writer
+    stored before. Reservations need no removal: operators.state.reservable asks for decided keys first."""
+    commit_if_absent(decisions, path, order, key, parts)
+    keys = decisions.select(key).distinct()
+    return decisions.sparkSession.read.parquet(path).join(keys.withColumn("key_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), ["key_part", key], "left_semi").drop("key_part")
+
+
+def mark_delivered(events: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Notes events (event_id, delivered_at) as delivered; an event noted twice keeps its first time."""
+    commit_if_absent(events.select("event_id", "delivered_at"), path, ["delivered_at"], "event_id", parts)
+
+
+def delivered(spark: SparkSession, path: str) -> DataFrame:
+    """The events noted as delivered; none before the first note."""
+    kind = "event_id string, delivered_at timestamp"
+    return spark.read.schema(kind).parquet(path) if exists(spark, path) else spark.createDataFrame([], kind)
+
+
+def events_since(events: DataFrame, since: Column) -> DataFrame:
+    """Events from a time on, delivered or not, oldest first: what state is built from again after a restart."""
+    return events.filter(F.col("occurred_at") >= since).orderBy("occurred_at", "event_id")
+
+
 def outbox(decisions: DataFrame) -> DataFrame:
     """An event for each decision."""
     return decisions.select(F.col("message_id").alias("event_id"), F.lit("decision").alias("kind"), F.col("ts").alias("occurred_at"), F.to_json(F.struct("message_id", "action", "reasons", "policy_version")).alias("payload"))
