@@ -39,10 +39,10 @@ def normalised(messages: DataFrame) -> DataFrame:
     """messages with the views that the extractors read."""
     out = N.settled(messages.withColumn("raw", F.coalesce("text", F.lit(""))), "raw")
     out = out.select("*", F.inline(F.array(N.base_and_transforms(F.col("raw")))))
-    base = F.col("base")
-    spelled = F.when(base.rlike(N.SPELLED), N.expand_number_words(base))
-    out = out.withColumns({"tokens": N.tokens(base), "words": N.tokens(N.alpha(base)), "compact": N.compact(base), "spelled": spelled, "separated": X.separated_for_mail(base)})
-    out = N.settled(out, "tokens", "words", "compact", "spelled", "separated")
+    base, read = F.col("base"), F.col("read")
+    out = N.settled(out.withColumn("read", N.numbers(base)), "read")
+    out = out.withColumns({"tokens": N.tokens(base), "words": N.tokens(N.alpha(base)), "compact": N.compact(base), "spelled": F.when(N.spelled(read), read["text"]), "separated": X.separated_for_mail(base)})
+    out = N.settled(out.drop("read"), "tokens", "words", "compact", "spelled", "separated")
     out = out.withColumns({"signals": X.signals(base, F.col("words"), F.col("compact")), "numbers": N.digits_only(F.coalesce("spelled", "base"))})
     return N.settled(out, "signals", "numbers")
 
@@ -86,8 +86,7 @@ def assembled(rows: DataFrame) -> DataFrame:
     whole = F.concat_ws(" ", F.array_append("buffer", F.col("raw")))
     firsts = F.lower(F.array_join(F.transform(F.array_append("buffer", F.col("raw")), lambda t: F.substring(F.trim(t), 1, 1)), ""))
 
-    def of(base: Column) -> Column:
-        number = F.when(base.rlike(N.SPELLED), N.expand_number_words(base)).otherwise(base)
+    def of(base: Column, number: Column) -> Column:
         digits = N.digits_only(number)
         joined = F.when(F.length(digits).between(10, 14), digits).otherwise("")
         texts = F.array(*[F.struct(t.alias("text"), F.lit(1.0).alias("weight"), F.lit(4).alias("effort")) for t in (N.masked_numbers(number), joined)])
@@ -97,8 +96,11 @@ def assembled(rows: DataFrame) -> DataFrame:
     initial = F.when(firsts.rlike("|".join(A.PLATFORMS)) | (F.length(N.digits_only(firsts)).between(10, 14) & (X.phone_confidence(N.digits_only(firsts)) >= 0.62)), F.array(X.found("referentialContact", firsts, ASSEMBLED, 4))).otherwise(X.nothing())
     open_row = ((F.size("detections") == 0) | F.col("suppressed_only")) & (F.size("buffer") > 0)
     adds = F.col("base").rlike(f"[0-9@]|{N.SPELLED}") | F.col("base").rlike(X.MAIL_WORD)
-    found = F.when(open_row & adds, N.let(N.base(whole), of)).otherwise(X.nothing())
-    rows = N.settled(rows.withColumn("together", found), "together")
+    rows = N.settled(rows.withColumn("joined", F.when(open_row & adds, N.base(whole))), "joined")
+    rows = N.settled(rows.withColumn("read", N.numbers(F.col("joined"))), "read")
+    number = F.when(N.spelled(F.col("read")), F.col("read.text")).otherwise(F.col("joined"))
+    found = F.when(F.col("joined").isNotNull(), of(F.col("joined"), number)).otherwise(X.nothing())
+    rows = N.settled(rows.withColumn("together", found).drop("joined", "read"), "together")
     rows = N.settled(rows.withColumn("together", F.when(open_row & (F.size("together") == 0), initial).otherwise(F.col("together"))), "together")
     cross = F.size("together") > 0
     return rows.withColumns({"detections": F.when(cross, F.col("together")).otherwise(F.col("detections")), "suppressed_only": F.col("suppressed_only") & ~cross, "cross_message": cross}).drop("together")

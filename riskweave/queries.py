@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import assets as A
 from . import lexicons as L
 from .functions import normalise as N
+from .functions import numbers
 from .operators import abuse as B
 from .operators import extract as X
 from .operators import metrics as M
@@ -79,6 +80,38 @@ def normalise_words(spark, d):
     return rows.select("conv_id", "turn", F.md5(N.expand_number_words(F.col("b"))).alias("numbers"), N.number_digits(F.col("b")).alias("digits"), F.md5(N.expand_separator_words(F.col("b"))).alias("separated"), F.md5(N.expand_roman(F.col("b"))).alias("roman"), F.md5(N.skeleton(F.col("b"))).alias("skeleton"), N.effort(F.col("transforms")).alias("effort"))
 
 
+SPELLINGS = ", ".join(f"({q(w)}, {q(c)}, {q(v)}, {k})" for k, (w, (c, v)) in enumerate(numbers.listed().items()))
+CORE_WORDS = "|".join(sorted(A.CORE_NUMBERS, key=len, reverse=True))
+SIGNS, LETTERS = "".join(k for k in A.LEET if k.isdigit()), "".join(v for k, v in A.LEET.items() if k.isdigit())
+
+
+@query(f"""WITH listed(w, c, v, k) AS (VALUES {SPELLINGS}), t AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM
+        (SELECT doc_id, regexp_extract_all({N.sql_folded('text')}, '[\\p{{L}}\\p{{N}}]+') AS l FROM documents)),
+    different AS (SELECT DISTINCT t FROM t),
+    fuzzy AS (SELECT t, arg_min(v, k) AS v FROM different JOIN listed ON c = 'C' AND length(w) >= {numbers.FUZZY_FROM} AND abs(length(w) - length(t)) <= 1 AND damerau_levenshtein(t, w) <= 1
+        WHERE length(t) >= {numbers.FUZZY_FROM} AND regexp_full_match(t, '\\p{{L}}+') AND t NOT IN ({', '.join(map(q, A.NEAR_NUMBERS))}) GROUP BY t),
+    classed AS (SELECT d.t, CASE WHEN regexp_full_match(d.t, '[0-9]+') THEN 'D' WHEN a.c IS NOT NULL THEN a.c WHEN b.w IS NOT NULL THEN 'C' WHEN f.t IS NOT NULL THEN 'Z'
+            WHEN regexp_full_match(d.t, '\\p{{L}}+') AND regexp_matches(d.t, '(?:{CORE_WORDS}){{3}}') THEN 'G'
+            WHEN length(d.t) >= 6 AND regexp_matches(d.t, '[0-9]') AND regexp_full_match(d.t, '(?:{CORE_WORDS}|[0-9])+') THEN 'G' ELSE 'W' END AS c,
+            CASE WHEN regexp_full_match(d.t, '[0-9]+') THEN d.t ELSE coalesce(a.v, b.v, f.v) END AS v
+        FROM different d LEFT JOIN listed a ON a.w = d.t LEFT JOIN listed b ON b.c = 'C' AND b.w = translate(d.t, {q(SIGNS)}, {q(LETTERS)}) LEFT JOIN fuzzy f ON f.t = d.t),
+    beside AS (SELECT doc_id, i, c, v, lag(c) OVER o AS x, lead(c) OVER o AS y FROM t JOIN classed USING (t) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    counted AS (SELECT *, c IN ('C', 'G', 'D') OR (c = 'R' AND (coalesce(x, 'W') <> 'W' OR coalesce(y, 'W') <> 'W')) OR (c IN ('H', 'Z') AND (x IN ('C', 'G', 'R', 'H', 'Z') OR y IN ('C', 'G', 'R', 'H', 'Z')))
+        OR (c = 'H' AND coalesce(x, 'M') IN ('M', 'D') AND coalesce(y, 'M') IN ('M', 'D') AND (x IS NOT NULL OR y IS NOT NULL)) AS ok FROM beside)
+    SELECT doc_id, count_if(coalesce(ok, false) AND c = 'D')::BIGINT AS written, count_if(coalesce(ok, false) AND c = 'C')::BIGINT AS core, count_if(coalesce(ok, false) AND c = 'G')::BIGINT AS glued, count_if(coalesce(ok, false) AND c = 'R')::BIGINT AS risky,
+        count_if(coalesce(ok, false) AND c = 'H')::BIGINT AS homophone, count_if(coalesce(ok, false) AND c = 'Z')::BIGINT AS fuzzy, md5(coalesce(string_agg(v, ' ' ORDER BY i) FILTER (coalesce(ok, false) AND c NOT IN ('G', 'D', 'M')), '')) AS spelled_md5
+    FROM (SELECT doc_id FROM documents) LEFT JOIN counted USING (doc_id) GROUP BY doc_id""")
+def number_classes(spark, d):
+    """Numbers of each class in every document, with the digits of the spelled ones; a number after ``double`` counts by its own digit."""
+    n = F.col("n")
+    rows = N.settled(read(spark, d, "documents").select("doc_id", N.numbers(N.folded(F.col("text")))["numbers"].alias("n")), "n")
+    count = lambda kind: F.coalesce(F.size(F.filter(n, lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
+    once = lambda x, i: F.when(F.get(n, i - 1)["kind"] == "modifier", F.left(x["digits"], F.lit(1))).otherwise(x["digits"])
+    said = F.filter(F.transform(n, lambda x, i: F.when(~x["kind"].isin("glued", "digits", "modifier"), once(x, i))), lambda x: x.isNotNull())
+    kinds = {"written": "digits", **{k: k for k in ("core", "glued", "risky", "homophone", "fuzzy")}}
+    return rows.select("doc_id", *[count(k).alias(name) for name, k in kinds.items()], F.md5(F.coalesce(F.array_join(said, " "), F.lit(""))).alias("spelled_md5"))
+
+
 @query(f"""SELECT doc_id, length({N.sql_folded('text')})::BIGINT AS n_chars, md5({N.sql_folded('text')}) AS text_md5, CASE WHEN length(text) > 0 THEN length(text)::BIGINT END AS last_plus_one,
     CASE WHEN length(text) > 0 THEN 0::BIGINT END AS first FROM documents""")
 def view_offsets(spark, d):
