@@ -15,6 +15,7 @@ from .. import assets as A
 from ..functions import normalise as N
 from ..operators import abuse as B
 from ..operators import extract as X
+from ..operators import letters as L
 from ..operators import policy as P
 from ..operators import retrieve as V
 from ..operators import route as R
@@ -56,8 +57,23 @@ def phone_texts(base: Column) -> Column:
     return F.array(*[F.struct(t.alias("text"), w.alias("weight"), F.lit(e).alias("effort")) for t, w, e in ways])
 
 
-def extracted(rows: DataFrame) -> DataFrame:
-    """rows with ``detections`` and ``carriers``: literal details first, disguised ones where none is literal."""
+def ciphered(rows: DataFrame, none: Column, model: L.Letters) -> DataFrame:
+    """rows (without literal details where none holds) with ``ciphered``: contacts in a likelier reading of shifted texts, and carriers that spell something."""
+    asked = rows.withColumns({"shifted": F.when(none, F.col("base")), "places": F.when(none & (F.size("carriers") == 0), X.carriers_of(F.col("raw")))})
+    asked = N.settled(asked, "shifted", "places")
+    read = asked.withColumns({"shifted": L.unshifted(F.col("shifted"), model), "places": L.spelling(F.col("places"), model)})
+    read = N.settled(read, "shifted", "places")
+    said = F.col("shifted")
+    contact = X.looks_like_contact(said["text"]) | said["text"].rlike("|".join(p for p in A.PLATFORMS if len(p) >= 5)) | F.coalesce(X.phone_confidence(said["digits"]) >= 0.62, F.lit(False))
+    turned = X.found("referentialContact", said["text"], F.when(said["shift"] == 13, 0.80).otherwise(0.74), 4)
+    word = X.found("referentialContact", F.col("places.word"), 0.58, 4)
+    parts = [F.when(L.surely(said) & contact, F.array(turned)).otherwise(X.nothing()), F.when(L.spells(F.col("places")), F.array(word)).otherwise(X.nothing())]
+    return read.withColumn("ciphered", F.concat(*parts)).drop("shifted", "places")
+
+
+def extracted(rows: DataFrame, letters: L.Letters | None = None) -> DataFrame:
+    """rows with ``detections`` and ``carriers``: literal details first, disguised ones where none is literal; shifted texts and spelling carriers
+    by a model of letters where one is given."""
     base, raw, tokens = F.col("base"), F.col("raw"), F.col("tokens")
     intent = F.col("signals.contact_phrase").isNotNull() | F.col("signals.off_platform_phrase").isNotNull()
     rows = N.settled(rows.withColumns({"masked": N.masked_numbers(base), "carriers": X.positional(raw, tokens), "intent": intent}), "masked", "carriers", "intent")
@@ -70,7 +86,10 @@ def extracted(rows: DataFrame) -> DataFrame:
     rows = N.settled(rows.withColumn("literal", literal), "literal")
     none = F.size("literal") == 0
     hidden = F.concat(F.col("phones")[1], F.col("phones")[2], X.encoded(base, raw, tokens), F.col("carriers"), X.bare_identifiers(base, intent, tokens), X.platform_steering(base, F.col("compact"), tokens, intent))
-    rows = N.settled(rows.withColumn("hidden", F.when(none, hidden).otherwise(X.nothing())), "hidden")
+    if letters is not None:
+        rows = ciphered(rows, none, letters)
+        hidden = F.concat(hidden, F.col("ciphered"))
+    rows = N.settled(rows.withColumn("hidden", F.when(none, hidden).otherwise(X.nothing())).drop("ciphered"), "hidden")
     declared = F.when(intent & F.length("numbers").between(10, 13), F.array(X.found("phone", F.col("numbers"), 0.86, 2))).otherwise(X.nothing())
     no_phone = none & ~F.exists("hidden", lambda d: d["category"] == "phone")
     rows = N.settled(rows.withColumn("weak", F.when(no_phone, F.concat(declared, F.col("phones")[3])).otherwise(X.nothing())), "weak")
@@ -141,11 +160,12 @@ def safety(rows: DataFrame, slurs: list[str] | None = None) -> DataFrame:
     return rows.withColumn("routes", S.bands(F.col("heads"))["route"]).drop("heads")
 
 
-def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: bool = False, slurs: list[str] | None = None) -> DataFrame:
-    """messages (schema.MESSAGE, further columns allowed) with detections, findings, score, action, reasons, masked text and escalation."""
+def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: bool = False, slurs: list[str] | None = None, letters: L.Letters | None = None) -> DataFrame:
+    """messages (schema.MESSAGE, further columns allowed) with detections, findings, score, action, reasons, masked text and escalation.
+    A model of letters (operators.letters) finds shifted texts and carriers that spell something."""
     policy = policy or P.Policy()
     rows = messages.withColumns({"priors": F.coalesce("prior_violations", F.lit(0)), "advisory": F.coalesce("advisory", F.lit(False))})
-    rows = N.settled(safety(scored(retrieved(extracted(normalised(rows)))), slurs), "score", "contributions", "routes", "findings")
+    rows = N.settled(safety(scored(retrieved(extracted(normalised(rows), letters))), slurs), "score", "contributions", "routes", "findings")
     rows = rows.withColumn("marks", P.thresholds(F.col("trust"), F.col("stage"), F.col("priors"), policy))
     args = [F.col(c) for c in ("score", "marks", "priors", "detections", "findings")]
     rows = N.settled(rows.withColumn("action", P.decide(*args, F.col("advisory"), policy)), "marks", "action")
@@ -204,7 +224,7 @@ def behavioural(verdicts: DataFrame, signals: DataFrame | None = None) -> DataFr
 
 
 def cascade(
-    messages: DataFrame, anchors: DataFrame | None = None, policy: P.Policy | None = None, adjudicator: bool = False, signals: DataFrame | None = None, router: PipelineModel | None = None, slurs: list[str] | None = None
+    messages: DataFrame, anchors: DataFrame | None = None, policy: P.Policy | None = None, adjudicator: bool = False, signals: DataFrame | None = None, router: PipelineModel | None = None, slurs: list[str] | None = None, letters: L.Letters | None = None
 ) -> DataFrame:
     """moderate() over messages (schema.MESSAGE) with what others add: the sender's last texts of 15 minutes in the conversation, similarities to
     anchors, the score of a trained router (operators.abuse), and the sender's pattern with the signals of others."""
@@ -213,7 +233,7 @@ def cascade(
     rows = T.conversation_window(rows, ["conversation_id", "sender_id"], ["sent_at", "message_id"], "text", "sent_at").drop("sent_at")
     if router is not None:
         rows = B.routed(rows, router, key="message_id").drop("flagged")
-    return behavioural(moderate(V.with_similarities(rows, anchors), policy, adjudicator, slurs), signals)
+    return behavioural(moderate(V.with_similarities(rows, anchors), policy, adjudicator, slurs, letters), signals)
 
 
 VERDICT = ["action", "score", "threshold", "reasons", "detections", "findings", "suspicions", "routes", "escalated", "held", "tier", "masked_text", "transforms", "policy_version"]

@@ -13,6 +13,7 @@ from .functions import normalise as N
 from .functions import numbers
 from .operators import abuse as B
 from .operators import extract as X
+from .operators import letters as LT
 from .operators import metrics as M
 from .operators import neighbours as V
 from .operators import policy as P
@@ -146,6 +147,39 @@ def masked_places(spark, d):
     return rows.select("doc_id", F.length("m").cast("long").alias("n_chars"), same.alias("same_places"))
 
 
+# Letters -----------------------------------------------------------------------------------------------------------
+
+PAIR_MODEL = f"""folded AS (SELECT doc_id, {N.sql_folded('text')} AS t FROM documents), pairs AS (SELECT doc_id, substring(w, i, 2) AS p FROM (SELECT doc_id, w, unnest(range(1, length(w))) AS i FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z]{{2,}}')) AS w FROM folded))),
+    ab AS (SELECT chr((97 + i)::INT) AS l, i FROM range(26) r(i)), counted AS (SELECT p, count(*) AS n FROM pairs GROUP BY p),
+    model AS (SELECT a.i AS a, b.i AS b, coalesce(n, 0) AS n, round({LT.UNIT} * log2((coalesce(n, 0) + 1) / (sum(coalesce(n, 0)) OVER (PARTITION BY a.i) + 26)))::BIGINT AS s FROM ab a, ab b LEFT JOIN counted ON p = a.l || b.l)"""
+
+
+@query(f"""WITH {PAIR_MODEL}, alphabet AS (SELECT '{LT.LETTERS}' AS l), moved AS (SELECT doc_id, (ascii(p[1]) - 97 + doc_id) % 26 AS a, (ascii(p[2]) - 97 + doc_id) % 26 AS b, count(*) AS n FROM pairs GROUP BY ALL),
+    read AS (SELECT doc_id, k, sum(moved.n * s)::BIGINT AS score, sum(moved.n)::BIGINT AS pairs FROM moved, range(27) r(k), model WHERE model.a = CASE WHEN k = 26 THEN 25 - moved.a ELSE (moved.a - k + 26) % 26 END
+        AND model.b = CASE WHEN k = 26 THEN 25 - moved.b ELSE (moved.b - k + 26) % 26 END GROUP BY doc_id, k)
+    SELECT d.doc_id, (d.doc_id % 26)::INT AS planted, arg_max(k, (score, -k))::INT AS found, coalesce(max(pairs), 0)::BIGINT AS pairs, max(score) AS score, max(score) FILTER (k = 0) AS written FROM documents d LEFT JOIN read USING (doc_id) GROUP BY d.doc_id""")
+def shift_recovery(spark, d):
+    """Every document with its letters shifted by its number, and the shift that a model of all documents' letter pairs finds likeliest."""
+    rows = read(spark, d, "documents").select("doc_id", N.folded(F.col("text")).alias("t"))
+    planted = (F.col("doc_id") % 26).cast("int")
+    shifted = F.call_function("translate", F.col("t"), F.lit(LT.LETTERS), F.substr(F.lit(LT.LETTERS * 2), planted + 1, F.lit(26)))
+    rows = rows.withColumns({"planted": planted, "shifted": shifted})
+    found = N.settled(rows.select("doc_id", "planted", LT.unshifted(F.col("shifted"), LT.fit(rows, "t")).alias("r")), "r")
+    return found.select("doc_id", "planted", F.col("r.shift").alias("found"), F.col("r.pairs").alias("pairs"), F.col("r.score").alias("score"), F.col("r.written").alias("written"))
+
+
+@query(f"""WITH {PAIR_MODEL}, alone AS (SELECT b, round({LT.UNIT} * log2((sum(n) + 1) / (sum(sum(n)) OVER () + 26)))::BIGINT AS s FROM model GROUP BY b),
+    initials AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(regexp_split_to_array(t, '[.!?]\\s+'), lambda x: substring(trim(x), 1, 1)), ''), '[^a-z]', '', 'g') AS w FROM folded),
+    scored AS (SELECT doc_id, sum(model.s - alone.s)::BIGINT AS bits FROM (SELECT doc_id, w, unnest(range(1, length(w))) AS i FROM initials WHERE length(w) >= {LT.CARRIER}) JOIN model ON model.a = ascii(substring(w, i, 1)) - 97 AND model.b = ascii(substring(w, i + 1, 1)) - 97 JOIN alone USING (b) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN length(w) >= {LT.CARRIER} THEN w END AS initials, coalesce(bits, 0) AS bits, coalesce(bits >= {int(LT.SPELLS * LT.UNIT)}, false) AS spells FROM initials LEFT JOIN scored USING (doc_id)""")
+def initials_that_spell(spark, d):
+    """The initials of every document's sentences: how much likelier they are as a word than one by one, and whether that would be a finding."""
+    rows = read(spark, d, "documents").select("doc_id", N.folded(F.col("text")).alias("t"))
+    initials = F.array_join(F.transform(F.split("t", r"[.!?]\s+"), lambda x: F.substring(F.trim(x), 1, 1)), "")
+    found = N.settled(rows.select("doc_id", LT.spelling(F.array(initials), LT.fit(rows, "t")).alias("r")), "r")
+    return found.select("doc_id", F.col("r.word").alias("initials"), F.coalesce(F.col("r.bits"), F.lit(0)).cast("long").alias("bits"), LT.spells(F.col("r")).alias("spells"))
+
+
 # Extraction ------------------------------------------------------------------------------------------------------
 
 @query(f"""SELECT lang, count(*)::BIGINT AS emails, count(DISTINCT e)::BIGINT AS different FROM
