@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,83 @@ def best_margin(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("margin", F.col("similarity") - F.col("negative"))
 
 
+class FeatureIndex:
+    """The anchors' features, exact, each with its idf and its weight in every anchor."""
+
+    def __init__(self, rows: list[tuple[str, float, list]], positive: set[int], negative: set[int]):
+        """rows: (feature, idf, postings: (anchor, w)). positive and negative are the anchors that count, by label."""
+        self.anchors = np.array(sorted({p[0] for r in rows for p in r[2]}), np.int64)
+        place = {a: i for i, a in enumerate(self.anchors.tolist())}
+        self.rank = {r[0]: i for i, r in enumerate(rows)}
+        self.idf = np.array([*(r[1] for r in rows), UNSEEN])
+        self.start = np.cumsum([0, *(len(r[2]) for r in rows), 0])
+        self.anchor = np.array([place[p[0]] for r in rows for p in r[2]], np.int64)
+        self.weight = np.array([p[1] for r in rows for p in r[2]])
+        self.sides = [np.array([a in side for a in self.anchors.tolist()], bool) for side in (positive, negative)]
+
+    def best(self, counts: Counter) -> tuple[int | None, float, float] | None:
+        """(nearest, similarity, negative) of a text's features; None without an anchor that shares one."""
+        tf = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        at = np.fromiter((self.rank.get(x, -1) for x in counts), np.int64, len(counts))  # -1: unseen
+        q = tf * self.idf[at]
+        first, size = self.start[at], np.where(at >= 0, self.start[at + 1] - self.start[at], 0)
+        own = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        near = np.bincount(self.anchor[own], np.repeat(q, size) * self.weight[own], len(self.anchors)) / (np.sqrt((q * q).sum()) or 1.0)
+        met = np.zeros(len(self.anchors), bool)
+        met[self.anchor[own]] = True
+        good, bad = (np.flatnonzero(side & met) for side in self.sides)
+        if not len(good) and not len(bad):
+            return None
+        nearest = good[near[good].argmax()] if len(good) else None
+        return (None if nearest is None else int(self.anchors[nearest]), 0.0 if nearest is None else float(near[nearest]), float(near[bad].max()) if len(bad) else 0.0)
+
+
+def counted(plain: str, grams: bool) -> Counter:
+    """features() of a normalised text."""
+    words = [w for w in plain.split(" ") if w]
+    out = Counter(f"w:{w}" for w in words)
+    out.update(f"b:{a} {b}" for a, b in zip(words, words[1:]))
+    if grams:
+        out.update(f"c:{plain[i : i + 4]}" for i in range(len(plain) - 3))
+    return out
+
+
+def best_margins(queries: DataFrame, anchors: DataFrame, labels: DataFrame, id_col: str, text_col: str, anchor_id: str, anchor_text: str, grams: bool = True, most: int = 500_000) -> DataFrame:
+    """best_margin() of similarities(). Up to ``most`` features of the anchors are held by each task, which makes a text's features and compares them where
+    the text stands: what is shuffled are the texts, once, to bring those of one id together. With more features the pairs are made by joins."""
+    idf, weights = index(anchors, anchor_id, anchor_text, grams)
+    postings = weights.filter("anchor is not null").groupBy("feature").agg(F.collect_list(F.struct(F.col("anchor").cast("long"), (F.col("w") / F.col("norm")).alias("w"))).alias("postings"))
+    held = idf.join(postings, "feature", "left").select("feature", "idf", "postings").limit(most + 1).collect()
+    if len(held) > most:
+        return best_margin(similarities(queries, anchors, id_col, text_col, anchor_id, anchor_text, grams, most), labels)
+    sides = labels.select(F.col("anchor").cast("long"), "positive").distinct().collect()  # no longer than the anchor set
+    shared = queries.sparkSession.sparkContext.broadcast(FeatureIndex(sorted((r[0], r[1], [tuple(p) for p in r[2] or ()]) for r in held), *({r[0] for r in sides if r[1] is side} for side in (True, False))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, now, counts = shared.value, None, None
+        for batch in batches:
+            out = []
+            for i, plain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if counts is not None and i == now:
+                    counts.update(counted(plain or "", grams))
+                    continue
+                if counts and (best := index.best(counts)):
+                    out.append((now, *best))
+                now, counts = i, counted(plain or "", grams)
+            kind = batch.schema.field(0).type
+            yield found(out, kind)
+        if counts and (best := index.best(counts)):
+            yield found([(now, *best)], kind)
+
+    def found(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((kind, pa.int64(), pa.float64(), pa.float64()))], ["id", "nearest", "similarity", "negative"])
+
+    dealt = queries.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").sortWithinPartitions("id")
+    schema = StructType([dealt.schema["id"], *StructType.fromDDL("nearest long, similarity double, negative double").fields])
+    rows = dealt.select("id", normalised(F.col("text")).alias("text")).mapInArrow(run, schema)
+    return rows.withColumn("margin", F.col("similarity") - F.col("negative"))
+
+
 def scaled(similarity: Column, low: float, high: float) -> Column:
     return F.least(F.greatest((similarity - low) / (high - low), F.lit(0.0)), F.lit(1.0))
 

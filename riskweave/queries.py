@@ -285,8 +285,8 @@ SELECT id, round(coalesce(max(similarity) FILTER (anchor % 3 <> 0), 0), 5) AS si
 def anchor_retrieval(spark, d):
     """Best positive and negative anchors of each document, words and pairs; every third benchmark item stands as innocent."""
     anchors = read(spark, d, "benchmark")
-    pairs = R.similarities(read(spark, d, "documents"), anchors, "doc_id", "text", "item_id", "text", grams=False)
-    out = R.best_margin(pairs, anchors.select(F.col("item_id").alias("anchor"), (F.col("item_id") % 3 != 0).alias("positive")))
+    labels = anchors.select(F.col("item_id").alias("anchor"), (F.col("item_id") % 3 != 0).alias("positive"))
+    out = R.best_margins(read(spark, d, "documents"), anchors, labels, "doc_id", "text", "item_id", "text", grams=False)
     return out.select("id", F.round("similarity", 5).alias("similarity"), F.round("negative", 5).alias("negative"))
 
 
