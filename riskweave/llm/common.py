@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on inside a task.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 #: Options of writes to a local file system, for intermediate tables only: without checksum files, and without the process that Hadoop's default starts for each file
 #: to set its permissions where its native library is missing (a copy of the executor's address space for a moment). A "file:" folder on a shared mount that
 #: needs those permissions should be named by another scheme; other file systems are not touched.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Bytes of an Arrow batch, and of a Parquet row group that a task holds while it writes.
-BATCH_BYTES, ROW_GROUP_BYTES = 16 << 20, 32 << 20
+BATCH_BYTES, ROW_GROUP_BYTES = 4 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
