@@ -164,7 +164,7 @@ def moderate(messages: DataFrame, policy: P.Policy | None = None, adjudicator: b
     """messages (schema.MESSAGE, further columns allowed) with detections, findings, score, action, reasons, masked text and escalation.
     A model of letters (operators.letters) finds shifted texts and carriers that spell something."""
     policy = policy or P.Policy()
-    rows = messages.withColumns({"priors": F.coalesce("prior_violations", F.lit(0)), "advisory": F.coalesce("advisory", F.lit(False))})
+    rows = N.in_small_batches(messages).withColumns({"priors": F.coalesce("prior_violations", F.lit(0)), "advisory": F.coalesce("advisory", F.lit(False))})
     rows = N.settled(safety(scored(retrieved(extracted(normalised(rows), letters))), slurs), "score", "contributions", "routes", "findings")
     rows = rows.withColumn("marks", P.thresholds(F.col("trust"), F.col("stage"), F.col("priors"), policy))
     args = [F.col(c) for c in ("score", "marks", "priors", "detections", "findings")]
