@@ -316,7 +316,7 @@ LISTS = {"threat": L.phrases("threat"), "self_harm": L.phrases("selfHarm"), "dem
 @query("SELECT source, " + ", ".join(f"count_if(regexp_matches(lower(text), {q(S.any_of(p))}))::BIGINT AS {n}" for n, p in LISTS.items()) + " FROM documents GROUP BY source")
 def safety_lexicons(spark, d):
     rows = read(spark, d, "documents").select("source", F.lower("text").alias("t"))
-    return rows.groupBy("source").agg(*[F.count_if(F.col("t").rlike(S.any_of(p))).alias(n) for n, p in LISTS.items()])
+    return rows.groupBy("source").agg(*[F.count_if(F.col("t").rlike(N.any_of_long(p))).alias(n) for n, p in LISTS.items()])
 
 
 #: Phrases that lexicon_matches puts behind the documents, each in turn.
