@@ -9,10 +9,12 @@ shifts the smallest counts; without any text all pairs are equally likely.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +50,20 @@ def scores(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: DataFrame, column: str) -> Letters:
-    """The model of a column of folded texts, whole, all rows."""
-    found = texts.select(F.explode(pairs_of(F.col(column))).alias("pair")).groupBy("pair").count().collect()  # at most 676 rows
+    """The model of a column of folded texts, whole, all rows. Each Arrow batch gives one row for each of its different pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.zeros(676, np.int64)
+            for t in batch.column(0).to_pylist():
+                counts += pair_counts(t)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["pair", "n"])
+
+    found = texts.select(column).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 676 rows
     counts = np.zeros((26, 26), np.int64)
     for pair, n in found:
-        counts[LETTERS.index(pair[0]), LETTERS.index(pair[1])] = n
+        counts[divmod(pair, 26)] = n
     return Letters(tuple(tuple(scores(row).tolist()) for row in counts), tuple(scores(counts.sum(axis=0)).tolist()))
 
 
@@ -62,6 +73,13 @@ def codes_of(text: str) -> np.ndarray:
     return np.where((points >= 0) & (points < 26), points, -1)
 
 
+def pair_counts(text: str | None) -> np.ndarray:
+    """How often each of the 676 pairs of neighbouring letters stands in a folded text."""
+    codes = codes_of(text) if text else np.zeros(0, np.int64)
+    a, b = codes[:-1], codes[1:]
+    return np.bincount((a * 26 + b)[(a >= 0) & (b >= 0)], minlength=676) if codes.size > 1 else np.zeros(676, np.int64)
+
+
 def readings(model: np.ndarray) -> np.ndarray:
     """For each shift (26: the mirrored alphabet) the scores of written pairs once read back, 27 x 676."""
     at = np.arange(26)
@@ -75,25 +93,23 @@ def moved(text: str, shift: int) -> str:
     return text.translate(str.maketrans(LETTERS, turned))
 
 
-def unshifted(texts: Column, model: Letters) -> Column:
+def unshifted(texts: Column, model: Letters, digits: bool = True) -> Column:
     """struct<text, shift, pairs, written, score, digits> of folded texts: the likeliest reading, its shift, the number of pairs, the scores as written and as
-    read, and the reading's digits with number words read."""
+    read, and the reading's digits with number words read (null if they are not asked for)."""
     table = readings(np.array(model.pairs))
 
     def read(column: pd.Series) -> pd.DataFrame:
         rows = []
         for t in column:
-            codes = codes_of(t) if t else np.zeros(0, np.int64)
-            a, b = codes[:-1], codes[1:]
-            counts = np.bincount((a * 26 + b)[(a >= 0) & (b >= 0)], minlength=676) if codes.size > 1 else np.zeros(676, np.int64)
+            counts = pair_counts(t)
             total = table @ counts
             if not counts.any():
                 rows.append((None, None, 0, None, None, None))
                 continue
             k = int(total.argmax())
             plain = moved(t, k)
-            digits = "".join(c for c in read_numbers(plain)[0] if c in "0123456789") if k else None
-            rows.append((plain, k, int(counts.sum()), int(total[0]), int(total[k]), digits))
+            said = "".join(c for c in read_numbers(plain)[0] if c in "0123456789") if k and digits else None
+            rows.append((plain, k, int(counts.sum()), int(total[0]), int(total[k]), said))
         return pd.DataFrame(rows, columns=["text", "shift", "pairs", "written", "score", "digits"], dtype=object)
 
     return F.pandas_udf(read, SHIFTED)(texts)

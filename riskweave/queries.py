@@ -164,7 +164,7 @@ def shift_recovery(spark, d):
     planted = (F.col("doc_id") % 26).cast("int")
     shifted = F.call_function("translate", F.col("t"), F.lit(LT.LETTERS), F.substr(F.lit(LT.LETTERS * 2), planted + 1, F.lit(26)))
     rows = rows.withColumns({"planted": planted, "shifted": shifted})
-    found = N.settled(rows.select("doc_id", "planted", LT.unshifted(F.col("shifted"), LT.fit(rows, "t")).alias("r")), "r")
+    found = N.settled(rows.select("doc_id", "planted", LT.unshifted(F.col("shifted"), LT.fit(rows, "t"), digits=False).alias("r")), "r")
     return found.select("doc_id", "planted", F.col("r.shift").alias("found"), F.col("r.pairs").alias("pairs"), F.col("r.score").alias("score"), F.col("r.written").alias("written"))
 
 
