@@ -7,8 +7,9 @@ covering (threshold 15 in four blocks would put each at about 630 anchors), so a
 global order, and two sets so alike share a shingle among the first n - ceil(4n/5) + 1 of each (prefix filter), so only
 texts that share such a shingle and are not linked yet are compared. No link is missed.
 
-Scale: equal sets are one node. The order is by hash, but shingles that stand in many prefixes come last (any order is
-right), so boilerplate meets only in texts made of it. In the rounds each text of a shingle is compared with one text of
+Scale: equal sets are one node. The order is by hash, but shingles that many texts have come last, the most frequent at the
+end, so boilerplate meets only in texts made of it, and of near copies that are no links, only what is their own. Any order
+is right and gives the same links, so how frequent a shingle is is read from one set in ``ORDERED_BY``; the texts compared are all. In the rounds each text of a shingle is compared with one text of
 each round's choice, and links found are merged; only then are all pairs compared that still lie in different components.
 So dense groups cost a few comparisons a text. Most pairs are ruled out by counts of their shingles' first bytes, an upper bound
 of what they share; the others by their whole sets, which are made once for each text that needs them. Texts made mostly of
@@ -31,8 +32,8 @@ from . import simhash_neardup as simhash
 from .common import KEY, boxed, broadcast_if_few, discard, in_batches, materialize, quoted, release, stored, utf8
 from .simhash_neardup import SEED, components, majority, one_of_each, shingle_hashes
 
-#: Prefixes from which on a shingle comes last in the order, and how many such shingles there are at most.
-COMMON, MOST_COMMON = 200, 500_000
+#: One set in so many tells the order of shingles; those that more than COMMON of them have come last, the MOST_COMMON most frequent at most.
+ORDERED_BY, COMMON, MOST_COMMON = 8, 4, 500_000
 #: Bits in which fingerprints may differ to be compared first.
 BITS = 2
 #: Rounds that compare with one text for each shingle, before all that is left.
@@ -63,48 +64,59 @@ def alike(shared: Column, a: Column, b: Column) -> Column:
     return 9 * shared >= 4 * (a + b)
 
 
-def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, node, n, fp, prefix, sketch) of docs (doc_id, text_key, text): the set's hash and size, the text's
-    fingerprint, and the set's first shingles by hash."""
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_key, node, n, fp, sketch, told) of docs (doc_id, text_key, text): the set's hash and size, the text's fingerprint, and of one set in
+    ORDERED_BY its shingles, which tell the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(2))
-            node, size, prints, first, counts = [], [], [], [], []
+            node, size, prints, counts, told = [], [], [], [], []
             for a, b in zip(at, at[1:], strict=False):
                 hashes = shingle_hashes(data[a:b].tobytes(), words)
                 own = np.unique(hashes)
                 node.append(node_of(own))
                 size.append(len(own))
                 prints.append(majority(hashes))
-                first.append(own[: prefix_length(len(own))].view(np.int64))
                 counts.append(sketch(own))
+                told.append(own.view(np.int64) if node[-1] % ORDERED_BY == 0 else None)
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed[0], pa.array(size, pa.int32()), signed[1], pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "text_key", "node", "n", "fp", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed[0], pa.array(size, pa.int32()), signed[1], pa.array(counts, pa.binary()), pa.array(told, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "n", "fp", "sketch", "told"])
+
+    return in_batches(docs, run, "doc_id long, text_key long, node long, n int, fp long, sketch binary, told array<long>")
+
 
-    return in_batches(docs, run, "doc_id long, text_key long, node long, n int, fp long, prefix array<long>, sketch binary")
+def latest(one: DataFrame) -> np.ndarray:
+    """The shingles that come last, in their order: by how many of the sets told they stand in, then by hash."""
+    counts = one.select(F.explode("told").alias("token")).groupBy("token").agg(F.count("*").alias("d")).filter(F.col("d") > COMMON)
+    found = materialize(counts.orderBy(F.desc("d"), "token").limit(MOST_COMMON), "common").toArrow()  # at most MOST_COMMON rows
+    token, d = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    return token[np.lexsort((token, d))]
 
 
-def reordered(docs: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """(node, n, token) for the texts of docs (text): the first shingles where common ones come last."""
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)))
+def prefixes(docs: DataFrame, words: int, last: np.ndarray) -> DataFrame:
+    """(node, n, prefix) of each of docs (text): the first shingles of its set, where those of ``last`` come behind all others, in their order."""
+    by_hash = np.argsort(last)
+    held = docs.sparkSession.sparkContext.broadcast((last[by_hash], by_hash))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = held.value
+        common, place = held.value
         for batch in batches:
             data, at = utf8(batch.column(0))
-            node, size, token = [], [], []
+            node, size, first = [], [], []
             for a, b in zip(at, at[1:], strict=False):
                 own = shingle_set(data[a:b].tobytes(), words)
-                k = prefix_length(len(own))
-                late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
-                node.append(np.full(k, node_of(own), np.uint64))
-                size.append(np.full(k, len(own), np.int32))
-                token.append(np.concatenate([own[~late], own[late]])[:k])
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(size)), pa.array(np.concatenate(token).view(np.int64))], ["node", "n", "token"])
+                node.append(node_of(own))
+                size.append(len(own))
+                if len(common):
+                    spot = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    late = common[spot] == own
+                    behind = own[late][np.argsort(place[spot[late]])]
+                    own = np.concatenate([own[~late], behind])
+                first.append(own[: prefix_length(len(own))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["node", "n", "prefix"])
 
-    return in_batches(docs.select("text"), run, "node long, n int, token long")
+    return in_batches(docs.select("text"), run, "node long, n int, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -122,22 +134,18 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     """(token, node, n) for the prefix shingles that more than one node has."""
-    plain = one.select("node", "n", F.explode("prefix").alias("token"))
-    counts = materialize(plain.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1"), "shared")
-    release(docs.sparkSession)
-    common = materialize(counts.filter(F.col("d") > COMMON).orderBy(F.desc("d"), "token").limit(MOST_COMMON).select("token"), "common")
-    late = common.toArrow().column(0).to_numpy()  # at most MOST_COMMON rows
-    if not len(late):
-        return materialize(plain.join(broadcast_if_few(counts.select("token")), "token").select("token", "node", "n"), "entries")
-    moved = materialize(plain.join(F.broadcast(common), "token", "left_semi").select("node").distinct().join(one.select("node", *KEY), "node"), "moved")
-    wanted = docs.join(broadcast_if_few(moved.select(*KEY)), KEY, "left_semi")
-    new = materialize(reordered(wanted, words, late), "reordered")  # a text that stands twice gives the same rows twice
-    # a shingle that came in for a common one may meet any other
-    rest = plain.join(broadcast_if_few(moved.select("node")), "node", "left_anti")
-    both = rest.unionByName(new.select("node", "n", "token"))
-    release(docs.sparkSession)
-    shared = materialize(both.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token"), "shared")
-    return materialize(both.join(broadcast_if_few(shared), "token").select("token", "node", "n"), "entries")
+    spark = docs.sparkSession
+    last = latest(one)
+    release(spark)
+    each = prefixes(docs, words, last).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # equal for equal nodes
+    each, path = stored(each, "prefixes")
+    release(spark)
+    plain = each.select("node", "n", F.explode("prefix").alias("token"))
+    shared = materialize(plain.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1").select("token"), "shared")
+    release(spark)
+    met = materialize(plain.join(broadcast_if_few(shared), "token").select("token", "node", "n"), "entries")
+    discard(spark, path)
+    return met
 
 
 def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -231,9 +239,9 @@ def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(doc_id, text_key, fp, component_id) for each row of docs; fp is the hash of the text's set of shingles."""
     texts = boxed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col)
-    rows, path = stored(prefixes(texts.select("doc_id", F.col(KEY[2]).alias("text_key"), "text"), words), "prefixes")
+    rows, path = stored(described(texts.select("doc_id", F.col(KEY[2]).alias("text_key"), "text"), words), "described")
     none = F.col("doc_id").isNull()
-    first = F.min_by(F.struct("doc_id", "text_key", "n", "fp", "prefix", "sketch"), F.struct(none, "doc_id", "text_key"))
+    first = F.min_by(F.struct("doc_id", "text_key", "n", "fp", "sketch", "told"), F.struct(none, "doc_id", "text_key"))
     one = rows.groupBy("node").agg(first.alias("r")).select("node", "r.*")
     one = materialize(one.withColumns({KEY[0]: none, KEY[1]: F.coalesce("doc_id", F.lit(0)), KEY[2]: F.col("text_key")}), "nodes")
     rows = materialize(rows.select("doc_id", "text_key", "node"), "rows")

@@ -68,3 +68,26 @@ def test_stage_drops_near_copies(spark, tmp_path):
         near += 0.8 <= len(a & b) / len(a | b) <= 0.91
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert near == 60 and sorted(r.doc_id for r in kept) == list(range(0, 120, 2))
+
+
+def test_near_copies_that_are_no_links_meet_seldom(spark, monkeypatch):
+    """800 changed copies of one text, mostly of similarity 0.5 to 0.8: what all have in common must not bring all pairs together."""
+    rnd = random.Random(7)
+    base = [f"u{i}" for i in range(150)]
+    rows = []
+    for k in range(800):
+        copy = list(base)
+        for i in rnd.sample(range(150), 8):
+            copy[i] = f"x{k}y{i}"
+        rows.append((k, " ".join(copy)))
+    compared, before = [], J.materialize
+
+    def counted(df, tag):
+        out = before(df, tag)
+        compared.append(out.count() if tag == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(J, "materialize", counted)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == list(zip(range(800), brute(rows), strict=True))
+    assert sum(compared) < 30 * len(rows)
