@@ -117,9 +117,10 @@ def number_classes(spark, d):
     CASE WHEN length(text) > 0 THEN 0::BIGINT END AS first FROM documents""")
 def view_offsets(spark, d):
     """Each character's origin through all folds, and the source range of the whole."""
-    rows = read(spark, d, "documents").select("doc_id", N.folded_view(F.col("text")).alias("v"))
-    rows = N.settled(rows, "v").withColumn("r", N.original_range(F.col("v"), F.lit(0), F.size("v")))
-    return rows.select("doc_id", F.size("v").cast("long").alias("n_chars"), F.md5(N.view_text(F.col("v"))).alias("text_md5"), F.col("r.high").cast("long").alias("last_plus_one"), F.col("r.low").cast("long").alias("first"))
+    rows = N.settled(read(spark, d, "documents").select("doc_id", "text", N.folded(F.col("text")).alias("whole")), "whole")
+    rows = N.settled(rows.select("doc_id", N.folded_places(F.col("text"), F.col("whole")).alias("v")), "v")
+    rows = N.settled(rows.select("doc_id", "v", N.range_of(F.col("v.places"), F.lit(0), F.size("v.places")).alias("r")), "r")
+    return rows.select("doc_id", F.size("v.places").cast("long").alias("n_chars"), F.md5("v.text").alias("text_md5"), F.col("r.high").cast("long").alias("last_plus_one"), F.col("r.low").cast("long").alias("first"))
 
 
 @query("""SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))::BIGINT AS words, len(regexp_extract_all(text, '(?s)[^\\p{L}\\p{N}]'))::BIGINT AS others FROM documents""")
