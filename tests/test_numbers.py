@@ -99,3 +99,15 @@ def test_query_equals_sql_on_planted_documents(spark, tmp_path):
 @pytest.mark.parametrize("text", ["week 98765 43210", "98765 43210"])
 def test_written_numbers_alone_are_not_spelled(spark, text):
     assert not spark.createDataFrame([(text,)], "t string").select(G.spelled(G.numbers(F.col("t"))).alias("s")).first().s
+
+
+def test_misread_words_are_looked_up(monkeypatch):
+    """Each word's class comes from one lookup that gives what comparing it with all core words gives."""
+    words = [w for w in numbers.A.CORE_NUMBERS if len(w) >= numbers.FUZZY_FROM]
+    tokens = {w[:i] + c + w[j:] for w in words for i in range(len(w) + 1) for j in (i, i + 1, i + 2) for c in ("", "q", "é", w[i : i + 2][::-1])}
+    tokens = sorted(t for t in tokens if len(t) >= numbers.FUZZY_FROM and t.isalpha() and t not in numbers.listed() and t not in numbers.A.NEAR_NUMBERS)
+    slow = {t: next((numbers.A.CORE_NUMBERS[w] for w in words if numbers.near(t, w)), None) for t in tokens}
+    monkeypatch.setattr(numbers, "near", None)
+    numbers.classified.cache_clear()
+    assert {t: (numbers.classified(t) if slow[t] is not None else None) for t in tokens} == {t: ("Z", v) if v is not None else None for t, v in slow.items()}
+    assert len([v for v in slow.values() if v is not None]) > 300 and all(numbers.classified(t)[0] in "WGC" for t in tokens if slow[t] is None)
