@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from riskweave import assets as A
 from riskweave.functions import normalise as N
+from riskweave.functions import numbers
 from riskweave.functions import numbers as G
 
 CASES = [
