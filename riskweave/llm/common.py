@@ -12,7 +12,8 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on inside a task.
@@ -83,11 +84,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return stored(df, tag)[0]
 
 
+def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """materialize(df, tag) and its number of rows, counted as they are written: a query of its own for each count fills the driver with plans and threads."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), tag)
+    n = seen.get.get("n")
+    return out, out.count() if n is None else n
+
+
 def release(spark: SparkSession) -> None:
     """Asks the driver to collect its garbage: Spark removes the shuffle files of steps that nothing refers to any more only then, and a job of many
-    steps would hold the files of all of them until memory happens to fill."""
+    steps would hold the files of all of them until memory happens to fill. Then the JVM hands back what its hundreds of short-lived threads have freed,
+    which the C library would keep; a JVM without that command keeps it."""
     gc.collect()
     spark._jvm.System.gc()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        kind = jvm.java.lang.Class.forName
+        types, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = kind(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        pass
 
 
 def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
@@ -124,9 +144,19 @@ def unboxed(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
-def broadcast_if_few(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; counting is cheap for what materialize() wrote."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Rows up to which a table is broadcast.
+FEW = 100_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW, n: int | None = None) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; n is its number of rows where counted() told it. Else counting is cheap for what materialize() wrote."""
+    return F.broadcast(df) if (df.limit(most + 1).count() if n is None else n) <= most else df
+
+
+def few(df: DataFrame, tag: str, most: int = FEW) -> DataFrame:
+    """materialize(df, tag), to be broadcast if it has at most so many rows."""
+    out, n = counted(df, tag)
+    return broadcast_if_few(out, most, n)
 
 
 def crc_mod(column: Column, n: int) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_neardup as simhash
-from .common import KEY, boxed, broadcast_if_few, discard, in_batches, materialize, quoted, release, stored, utf8
+from .common import KEY, boxed, broadcast_if_few, counted, discard, few, in_batches, materialize, quoted, release, stored, utf8
 from .simhash_neardup import SEED, components, majority, one_of_each, shingle_hashes
 
 #: One set in so many tells the order of shingles; those that more than COMMON of them have come last, the MOST_COMMON most frequent at most.
@@ -141,9 +141,9 @@ def entries(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     each, path = stored(each, "prefixes")
     release(spark)
     plain = each.select("node", "n", F.explode("prefix").alias("token"))
-    shared = materialize(plain.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1").select("token"), "shared")
+    shared = few(plain.groupBy("token").agg(F.count("*").alias("d")).filter("d > 1").select("token"), "shared")
     release(spark)
-    met = materialize(plain.join(broadcast_if_few(shared), "token").select("token", "node", "n"), "entries")
+    met = materialize(plain.join(shared, "token").select("token", "node", "n"), "entries")
     discard(spark, path)
     return met
 
@@ -152,7 +152,7 @@ def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """pairs (a, b) with x and y, the values (node, v) of their ends; the value of a crowded end a goes to as many tasks as it needs."""
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
     left = values.join(crowd, values.node == crowd.a).select("a", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(broadcast_if_few(materialize(crowd.filter("parts > 1"), "crowd")), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    dealt = pairs.join(few(crowd.filter("parts > 1"), "crowd"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     return dealt.join(left, ["a", "part"]).join(values.select(F.col("node").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
 
 
@@ -177,16 +177,21 @@ class Verifier:
         self.docs, self.one, self.words = docs, one, words
         self.sets = docs.sparkSession.createDataFrame([], "node long, shingles array<long>")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The links (a, b) among pairs: of those that the sketches allow, those whose whole sets are alike."""
-        pairs = materialize(hopeful(beside(pairs, self.one.select("node", F.col("sketch").alias("v")))), "hopeful")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.sets.select("node"), "node", "left_anti")
-        keys = materialize(ends.join(self.one.select("node", *KEY), "node").select(*KEY), "ends")
-        if not keys.isEmpty():
-            wanted = self.docs.join(broadcast_if_few(keys), KEY, "left_semi")
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """The links (a, b) among pairs: of those that the sketches allow, those whose whole sets are alike. None if the sketches allow none."""
+        pairs, n = counted(hopeful(beside(pairs, self.one.select("node", F.col("sketch").alias("v")))), "hopeful")
+        release(self.docs.sparkSession)
+        if not n:
+            return None
+        ends, n = counted(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        ends = broadcast_if_few(ends, n=n)
+        missing = ends.join(self.sets.select("node"), "node", "left_anti")
+        keys, n = counted(missing.join(self.one.select("node", *KEY), "node").select(*KEY), "keys")
+        if n:
+            wanted = self.docs.join(broadcast_if_few(keys, n=n), KEY, "left_semi")
             self.sets = self.sets.union(materialize(whole_sets(wanted, self.words).dropDuplicates(["node"]), "sets"))
+            release(self.docs.sparkSession)
         # only the sets of these pairs are shuffled
-        ends = broadcast_if_few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends"))
         values = self.sets.join(ends, "node", "left_semi").withColumnRenamed("shingles", "v")
         return beside(pairs, values).filter(alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b").distinct()
 
@@ -204,19 +209,34 @@ def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
     """(node, root) for nodes of links; docs has (KEY, text), one has a row for each node with its first text."""
     check = Verifier(docs, one, words)
     spark = docs.sparkSession
-    edges = materialize(check.links(materialize(fingerprint_pairs(one), "pairs")), "links")
-    release(spark)
-    roots = materialize(components(edges), "roots")
-    release(spark)
+    edges = spark.createDataFrame([], "a long, b long")
+    roots = few(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+
+    def merged(pairs: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """edges with the links among pairs, and the components then."""
+        found = check.links(pairs)
+        if found is None:
+            return edges, roots
+        new, n = counted(found, "links")
+        release(spark)
+        if n:
+            edges = edges.union(new)
+            roots = few(components(edges), "roots")
+        release(spark)
+        return edges, roots
+
+    edges, roots = merged(materialize(fingerprint_pairs(one), "pairs"), edges, roots)
     met, held = entries(docs, one, words), None
     for k in range(ROUNDS + 1):
         release(spark)
-        named = met.join(broadcast_if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         hub = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("hub")
         parted = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).filter("low <> high")
-        parted = materialize(parted.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("from")), "parted")
+        parted, n = counted(parted.select("token", F.col("hub.node").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("from")), "parted")
+        if not n:
+            break
         # shingles of one component are done with
-        live, path = stored(named.join(broadcast_if_few(parted), "token"), "live")
+        live, path = stored(named.join(broadcast_if_few(parted, n=n), "token"), "live")
         discard(spark, held)
         held = path
         release(spark)
@@ -228,11 +248,8 @@ def links(docs: DataFrame, one: DataFrame, words: int) -> DataFrame:
         pairs = pairs.filter(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", F.col("node").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         release(spark)
-        new = materialize(check.links(pairs), "links")
+        edges, roots = merged(pairs, edges, roots)
         met = live.select("token", "node", "n")
-        if not new.isEmpty():
-            edges = edges.union(new)
-            roots = materialize(components(edges), "roots")
     return roots
 
 
@@ -248,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(docs.sparkSession, path)
     release(docs.sparkSession)
     roots = links(texts.select(*KEY, "text"), one, words)
-    named = one.join(broadcast_if_few(roots), "node", "left").select("node", F.col("doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))
+    named = one.join(roots, "node", "left").select("node", F.col("doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = named.join(smallest, "root").select("node", "component_id")
     return rows.join(found, "node").select("doc_id", "text_key", F.col("node").alias("fp"), "component_id")

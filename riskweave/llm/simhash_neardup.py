@@ -31,10 +31,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, boxed, in_batches, materialize, quoted, spread_out, steps, table, unboxed, utf8
+from .common import FEW, KEY, boxed, counted, in_batches, materialize, quoted, spread_out, steps, table, unboxed, utf8
 
 SEED = 42
 HAMMING = 15
@@ -196,8 +196,7 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int | None = None, ti
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     rows = in_batches(spread_out(distinct.select("fp")), spread, "anchor long, fp long, home boolean")
-    crowded = materialize(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "crowded")
-    n_crowded = crowded.count()
+    crowded, n_crowded = counted(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "crowded")
     if n_crowded:
         side = F.broadcast(crowded) if n_crowded <= 50_000 else crowded
         rows = rows.join(side, "anchor", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int"))
@@ -216,30 +215,40 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int | None = None, ti
     return edges.distinct()
 
 
-def salted(edges: DataFrame, node: str, other: str, low: DataFrame, salts: int = 16) -> DataFrame:
-    """edges with m of ``low`` (a, m) at their end ``node``; the edges of one node are dealt by a hash of their other end."""
+def salted(edges: DataFrame, node: str, other: str, low: DataFrame, few: bool, salts: int = 16) -> DataFrame:
+    """edges with m of ``low`` (a, m) at their end ``node``; the edges of one node are dealt by a hash of their other end. Where edges are few, low is broadcast
+    and none is dealt."""
+    if few:
+        return edges.join(F.broadcast(low.select(F.col("a").alias("__node"), "m")), F.col(node) == F.col("__node"), "left").select("a", "b", "m")
     side = low.select(F.col("a").alias("__node"), "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     rows = edges.withColumn("__key", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
     return rows.join(side, (F.col(node) == F.col("__node")) & (F.col("__key") == F.col("__salt")), "left").select("a", "b", "m")
 
 
+def written_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges (a, b) as a table, and what tells whether they changed: their number and the sum of their hashes, found while they are written."""
+    seen, tells = Observation(), [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
+    edges = materialize(edges.observe(seen, *tells), "edges")
+    return edges, tuple(edges.agg(*tells).first()) if "n" not in seen.get else (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of an edge (a, b); root is the smallest node of its connected part."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges, state = written_edges(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = None
     for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not state[0] or state == seen:
             break
         seen = state
+        few = state[0] <= FEW
         # each edge goes from its larger end a to its smaller end b
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).filter("m < a")
-        large = salted(edges, "b", "a", low).select("a", F.coalesce("m", "b").alias("b")).filter("a <> b").distinct()
+        large = salted(edges, "b", "a", low, few).select("a", F.coalesce("m", "b").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        many = salted(large, "a", "b", low.filter("n > 1").select("a", "m")).filter("m is not null")
+        many = salted(large, "a", "b", low.filter("n > 1").select("a", "m"), few).filter("m is not null")
         small = many.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = materialize(small.filter("a <> b").distinct(), "edges")
+        edges, state = written_edges(small.filter("a <> b").distinct())
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -269,10 +278,10 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     kept = found.groupBy("group", "unnamed").agg(F.min(order).alias("k"))
     kept = kept.select(F.col("k.none").alias(KEY[0]), F.coalesce("k.doc_id", F.lit(0)).alias(KEY[1]), F.col("k.text_key").alias(KEY[2])).distinct()
     kept = materialize(kept, "kept")
-    gone = materialize(found.select(*key).distinct().join(kept, KEY, "left_anti"), "gone")
-    again = materialize(found.filter("times > 1").select(*key).join(kept, KEY, "left_semi").distinct(), "again")
+    gone, n_gone = counted(found.select(*key).distinct().join(kept, KEY, "left_anti"), "gone")
+    again, n_again = counted(found.filter("times > 1").select(*key).join(kept, KEY, "left_semi").distinct(), "again")
     rows = boxed(docs, id_col, text_col)
-    many = gone.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST or again.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST
+    many = max(n_gone, n_again) > MOST_BROADCAST
     staying = rows.join(kept, KEY, "left_semi") if many else rows.join(F.broadcast(gone), KEY, "left_anti")
     others = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("others"))

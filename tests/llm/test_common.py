@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from riskweave.llm import common
+from riskweave.llm import common, simhash_neardup
 
 
 def test_batches_and_steps_stay_small(spark):
@@ -17,3 +17,24 @@ def test_batches_and_steps_stay_small(spark):
     at = np.arange(0, 10_000_000, 1000)
     parts = list(common.steps(at))
     assert parts[0][0] == 0 and parts[-1][1] == len(at) - 1 and all(a == b for (_, a), (b, _) in zip(parts, parts[1:])) and max(at[b] - at[a] for a, b in parts) <= 500_000
+
+
+def test_each_round_of_components_is_one_query(spark):
+    sc = spark.sparkContext._jsc.sc()
+    ended = lambda: sc.listenerBus().waitUntilEmpty(30_000) or spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    edges, few = spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"), common.FEW
+    try:
+        for common_few in (few, 0):
+            simhash_neardup.FEW = common_few
+            before = ended()
+            roots = simhash_neardup.components(edges)
+            assert ended() - before <= 4  # the edges, a round, perhaps another, and one that changes nothing
+            assert sorted(tuple(r) for r in roots.collect()) == [(1, 1), (2, 1), (3, 1)]
+    finally:
+        simhash_neardup.FEW = few
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    for n in (0, 5):
+        df, found = common.counted(spark.range(n), "numbers")
+        assert found == n == df.count()
