@@ -19,6 +19,8 @@ DEFANGED = [
     rf"\b[a-z0-9-]{{2,}} ?[\[({{] ?(?:\.|dot) ?[\])}}] ?{TLD}\b", rf"\b[a-z0-9-]{{3,}} dot (?!{WORDLIKE}\b){TLD}\b", rf"\b[a-z0-9-]{{3,}} dot {WORDLIKE}(?: ?[/.,!?]|$)",
     r"\bhxxps?:", rf"\b[a-z0-9-]{{3,}} ?, ?(?!{WORDLIKE}\b){TLD}(?:/|$)", rf"\b[a-z0-9-]{{3,}} \. {TLD}\b(?! [a-z])", rf"\b[a-z0-9-]{{3,}}\.\s*[/|]\s*{TLD}\b",
 ]
+#: What each of DEFANGED cannot do without.
+MAY_BE_DEFANGED = rf"[\[({{]|hxxp|, ?{TLD}(?:/|$)| (?:dot|\.) |\.\s*[/|]"
 
 #: A number in groups, such as 1,50,000 or 2,500,000; it is an amount, whatever other numbers stand in the text.
 GROUPED = r"(?<![0-9,])[0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?(?![0-9])"
@@ -33,23 +35,24 @@ def suspicions(base: Column, raw: Column, contact_found: Column, innocent_simila
     person = S.addresses_person(tokens)
     written = N.digits_only(base)
     letters = N.count_matches(base, r"\p{L}")
+    symbols = N.count_matches(raw, r"\p{So}", raw.rlike(N.FOLDABLE))
     cues = F.size(F.filter(N.constants(A.INJECTION_CUES), lambda p: F.contains(base, p)))
     native = "|".join([*map(N.fold_text, L.native("demand"))])
     early = [
         ("personDirectedAnomaly", person & (((innocent_similarity >= 0) & (innocent_similarity < 0.20)) | (abuse_lead > 0.02))),
-        ("conditionalDemand", base.rlike(A.CONDITIONAL) | base.rlike(native)),
-        ("promptManipulation", base.rlike(S.any_of(A.INJECTION)) | (cues >= 2)),
-        ("reportedMechanism", base.rlike(S.any_of(A.ASKED_FOR))),
+        ("conditionalDemand", S.conditional(base) | base.rlike(native)),
+        ("promptManipulation", N.says(base, A.INJECTION) | (cues >= 2)),
+        ("reportedMechanism", N.says(base, A.ASKED_FOR)),
     ]
     late = [
         ("dictatedFragment", F.length(spelled).between(5, 14) & (F.length(spelled) - F.length(written) >= 2) & (F.length(spelled) >= 0.5 * F.size(tokens))),
-        ("contiguousMobile", F.regexp_replace(base, GROUPED, " ").rlike(r"(?:^|[^0-9])[6-9][0-9]{9}(?:[^0-9]|$)")),
+        ("contiguousMobile", base.rlike("[6-9][0-9]{9}") & F.regexp_replace(base, GROUPED, " ").rlike(r"(?:^|[^0-9])[6-9][0-9]{9}(?:[^0-9]|$)")),
         ("positionalCarrier", F.size(carriers) > 0),
         ("repeatRunDigits", base.rlike(r"(?:[!.*?~]{1,9} ){6,}")),
-        ("obfuscatedDomain", base.rlike("|".join(DEFANGED))),
-        ("wordlessProtocolCue", (letters == 0) & (F.length(base) > 0)),
-        ("anomalousRegularity", raw.rlike(r"(?:\b\p{L}([ ._-]))(?:\p{L}\1){5,}") | ((N.count_matches(raw, r"\p{So}") >= 12) & (letters <= 12))),
-        ("intentWithoutPayload", ((contact_similarity >= 0.24) & (contact_margin >= 0.05)) | base.rlike(S.any_of([*A.SOLICITATION, *A.STEERING]))),
+        ("obfuscatedDomain", base.rlike(MAY_BE_DEFANGED) & base.rlike("|".join(DEFANGED))),
+        ("wordlessProtocolCue", ~base.rlike(r"\p{L}") & (F.length(base) > 0)),
+        ("anomalousRegularity", raw.rlike(r"(?:\b\p{L}([ ._-]))(?:\p{L}\1){5,}") | ((symbols >= 12) & (letters <= 12))),
+        ("intentWithoutPayload", ((contact_similarity >= 0.24) & (contact_margin >= 0.05)) | N.says(base, [*A.SOLICITATION, *A.STEERING])),
     ]
     names = lambda checks, ok: [F.when(F.coalesce(c, F.lit(False)) & ok, F.lit(n)) for n, c in checks]
     return F.array_compact(F.array(*names(early, F.lit(True)), *names(late, ~contact_found)))

@@ -21,6 +21,11 @@ def addresses_person(tokens: Column) -> Column:
     return F.arrays_overlap(tokens, N.constants(A.PERSON_TARGETS))
 
 
+def conditional(base: Column) -> Column:
+    """Whether a text makes something a condition."""
+    return N.contains_any(base, A.CONDITIONAL_STARTS) & base.rlike(A.CONDITIONAL)
+
+
 def brand_links(base: Column) -> Column:
     """A link whose user part or host names a brand of ours that is not its host or whose host has other letters than ASCII, or that is punycode."""
     brand = A.OWN_HOSTS[0].split(".")[0]
@@ -31,7 +36,7 @@ def brand_links(base: Column) -> Column:
         ))
 
     best = F.get(F.array_sort(F.transform(F.filter(F.transform(X.every(base, X.URL), judged), lambda x: x["confidence"].isNotNull()), lambda x: F.struct((-x["confidence"]).alias("c"), x["phrase"].alias("phrase")))), F.lit(0))
-    return F.when(base.rlike("://|www"), N.let(best, lambda x: F.when(x.isNotNull(), F.struct(F.lit("scam").alias("category"), (-x["c"]).alias("confidence"), x["phrase"].alias("phrase")))))
+    return F.when(N.contains_any(base, ("://", "www")), N.let(best, lambda x: F.when(x.isNotNull(), F.struct(F.lit("scam").alias("category"), (-x["c"]).alias("confidence"), x["phrase"].alias("phrase")))))
 
 
 judgements = lexicon.judgements

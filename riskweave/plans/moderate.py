@@ -76,7 +76,7 @@ def extracted(rows: DataFrame, letters: L.Letters | None = None) -> DataFrame:
     by a model of letters where one is given."""
     base, raw, tokens = F.col("base"), F.col("raw"), F.col("tokens")
     intent = F.col("signals.contact_phrase").isNotNull() | F.col("signals.off_platform_phrase").isNotNull()
-    rows = N.settled(rows.withColumns({"masked": N.masked_numbers(base), "carriers": X.positional(raw, tokens), "intent": intent}), "masked", "carriers", "intent")
+    rows = N.settled(rows.withColumns({"masked": X.maskable(base), "carriers": X.positional(raw, tokens), "intent": intent}), "masked", "carriers", "intent")
     intent = F.col("intent")
     # phones of the masked text, of spelled and of leet numbers, and the weak ways: the first of these with one counts
     one = lambda t, e: F.struct(t.alias("text"), F.lit(1.0).alias("weight"), F.lit(e).alias("effort"))
@@ -108,13 +108,13 @@ def assembled(rows: DataFrame) -> DataFrame:
     def of(base: Column, number: Column) -> Column:
         digits = N.digits_only(number)
         joined = F.when(F.length(digits).between(10, 14), digits).otherwise("")
-        texts = F.array(*[F.struct(t.alias("text"), F.lit(1.0).alias("weight"), F.lit(4).alias("effort")) for t in (N.masked_numbers(number), joined)])
+        texts = F.array(*[F.struct(t.alias("text"), F.lit(1.0).alias("weight"), F.lit(4).alias("effort")) for t in (X.maskable(number), joined)])
         likely = F.filter(X.phones_of(texts), lambda d: d["confidence"] >= 0.62)
         return F.transform(F.slice(F.concat(likely, X.emails(base, X.separated_for_mail(base))), 1, 1), lambda d: F.struct(d["category"].alias("category"), d["surface"].alias("surface"), F.lit(ASSEMBLED).alias("confidence"), F.lit(4).alias("effort")))
 
-    initial = F.when(firsts.rlike("|".join(A.PLATFORMS)) | (F.length(N.digits_only(firsts)).between(10, 14) & (X.phone_confidence(N.digits_only(firsts)) >= 0.62)), F.array(X.found("referentialContact", firsts, ASSEMBLED, 4))).otherwise(X.nothing())
+    initial = F.when(N.contains_any(firsts, A.PLATFORMS) | (F.length(N.digits_only(firsts)).between(10, 14) & (X.phone_confidence(N.digits_only(firsts)) >= 0.62)), F.array(X.found("referentialContact", firsts, ASSEMBLED, 4))).otherwise(X.nothing())
     open_row = ((F.size("detections") == 0) | F.col("suppressed_only")) & (F.size("buffer") > 0)
-    adds = F.col("base").rlike(f"[0-9@]|{N.SPELLED}") | F.col("base").rlike(X.MAIL_WORD)
+    adds = F.col("base").rlike(f"[0-9@]|{N.SPELLED}") | N.says(F.col("base"), A.MAIL_WORDS)
     rows = N.settled(rows.withColumn("joined", F.when(open_row & adds, N.base(whole))), "joined")
     rows = N.settled(rows.withColumn("read", N.numbers(F.col("joined"))), "read")
     number = F.when(N.spelled(F.col("read")), F.col("read.text")).otherwise(F.col("joined"))
@@ -155,7 +155,7 @@ def safety(rows: DataFrame, slurs: list[str] | None = None) -> DataFrame:
         similar = S.similar_finding(F.col("safety_intent"), F.col("near_safety"), base, tokens)
         rows = rows.withColumn("findings", F.when(F.size("findings") == 0, F.array_compact(F.array(similar))).otherwise(F.col("findings")))
     property_directed = F.arrays_overlap(tokens, N.constants(A.PROPERTY_TARGETS))
-    heads = S.heads(F.col("findings"), given(rows, "safety_similarity", -1.0), given(rows, "innocent_similarity", -1.0), S.addresses_person(tokens), base.rlike(A.CONDITIONAL), property_directed)
+    heads = S.heads(F.col("findings"), given(rows, "safety_similarity", -1.0), given(rows, "innocent_similarity", -1.0), S.addresses_person(tokens), S.conditional(base), property_directed)
     rows = N.settled(rows.withColumn("heads", heads), "findings", "heads")
     return rows.withColumn("routes", S.bands(F.col("heads"))["route"]).drop("heads")
 
