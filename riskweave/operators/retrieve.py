@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import normalise as N
+from ..functions.numbers import words as plain_words
 
 UNSEEN = 1.2  # weight of a feature that no anchor has
 
@@ -180,7 +181,8 @@ NOT_WORD = re.compile(r"[\W_]+")
 
 def hashed_features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """The buckets of a text's words, word pairs and character 4-grams, how often each occurs, and the number of words."""
-    plain = NOT_WORD.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    plain = " ".join(plain_words(low)) if low.isascii() else NOT_WORD.sub(" ", low).strip()
     words = plain.split()
     keys = [zlib.crc32(f"w:{w}".encode()) for w in words] + [zlib.crc32(f"b:{a} {b}".encode()) for a, b in zip(words, words[1:])]
     points = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.uint64)

@@ -353,8 +353,8 @@ def masked_repeats(spark, d):
 @query()
 def safety_findings(spark, d):
     """Findings of all documents, whole; the first of each category. toxic is null without a label."""
-    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
-    found = S.evaluate(N.base(F.col("text")))
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", "toxic", N.base(F.col("text")).alias("base"))
+    rows, found = N.settled(rows, "base"), S.evaluate(F.col("base"))
     return rows.select("doc_id", "toxic", F.explode_outer(found).alias("f")).select("doc_id", "toxic", "f.category", "f.confidence", "f.phrase")
 
 
