@@ -251,10 +251,13 @@ def url_reputation(spark, d):
     round(len(regexp_extract_all(text, '\\p{{N}}')) / length(text), 6) AS density, regexp_matches(lower(text), {q(S.any_of(A.MAIL_WORDS))}) AS mail_keyword,
     regexp_matches(lower(text), {q('|'.join(map(N.plain, A.CONTACT_PHRASES)))}) AS contact_intent FROM documents""")
 def signal_counts(spark, d):
-    low = F.lower("text")
-    n = lambda c, p: N.count_matches(c, p).cast("long")
-    intent = X.signals(low, N.tokens(low), low)["contact_phrase"].isNotNull()
-    return read(spark, d, "documents").select("doc_id", n(low, "@").alias("at_count"), n(F.col("text"), r"\p{N}").alias("digit_count"), F.length("text").cast("long").alias("character_count"), F.round(n(F.col("text"), r"\p{N}") / F.length("text"), 6).alias("density"), low.rlike(S.any_of(A.MAIL_WORDS)).alias("mail_keyword"), intent.alias("contact_intent"))
+    """Counts and words of every document. As in SQL an empty text's density is not a number, a tie is rounded by its product, and a dotted capital I is a small i."""
+    low, length = F.col("low"), F.length("text")
+    rows = N.settled(read(spark, d, "documents").select("doc_id", "text", F.lower(F.replace(F.col("text"), F.lit("İ"), F.lit("i"))).alias("low")), "low")
+    at, digits = N.count_characters(low, "@", F.contains(low, F.lit("@"))).cast("long"), N.count_characters(F.col("text"), r"\p{N}").cast("long")
+    density = F.when(length == 0, float("nan")).otherwise(F.round(digits / length * 1e6) / 1e6)
+    intent = F.when(low.isNotNull(), X.signals(low, N.tokens(low), low)["contact_phrase"].isNotNull())
+    return rows.select("doc_id", at.alias("at_count"), digits.alias("digit_count"), length.cast("long").alias("character_count"), density.alias("density"), low.rlike(N.any_of_ascii(A.MAIL_WORDS)).alias("mail_keyword"), intent.alias("contact_intent"))
 
 
 @query()
