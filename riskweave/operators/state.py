actor_risk: an event is shuffled as two slim rows, not three and more wide ones

Symptom: each of the two shuffles got three rows of every event or more, one with all its columns in a struct, the others to enter and leave the next day's sums; shuffled data was many times the input.
Evidence: the profiler, 100,000 events (2 MB): 20 MB written and read, 269 JVM CPU and 10 GC seconds a GB (264 and 14 in a second run); 2,000,000 events (copies with shifted keys, event log, local[4]): 390 MB written and read, 77 task CPU seconds, 268 MB peak execution memory of a task.
Fix: an event goes to its own day, and its values alone to the next, which begins with the sum of what it was left and only takes back; columns are flat, so unread ones are pruned, rows without values leave nothing, and a conversation counts when its running sum leaves or reaches 0, which needs no further rows.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 540 -> 353 s, shuffle 1.24 -> 0.72 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 22 -> 11 s, most memory of a task 268 -> 201 MB; at 6 GB of input CPU 2413 -> 999 s, shuffle 7.60 -> 4.42 GB, spill 0.00 -> 0.00 GB, read 0.60 -> 0.60 GB, longest task 77 -> 28 s, most memory of a task 302 -> 336 MB; with hot keys, at 1 GB of input CPU 647 -> 375 s, shuffle 1.15 -> 0.65 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 25 -> 12 s, most memory of a task 302 -> 201 MB.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,52 +28,64 @@ def conversation_window(messages: DataFrame, keys: list[str], order: list[str],
     return messages.withColumn("buffer", fresh)
 
 
-def sliding(rows: DataFrame, keys: list[str], entering: dict[str, Column], leaving: dict[str, Column] | None = None, moved: list[tuple[Column, dict[str, Column]]] | None = None, latest: dict[str, Column] | None = None, span: int = DAY) -> DataFrame:
+def sliding(rows: DataFrame, keys: list[str], entering: dict[str, Column], part: str | None = None, within: dict[str, Column | str] | None = None, parts: dict[str, str] | None = None, span: int = DAY) -> DataFrame:
     """rows (with ``at`` in microseconds) with the sums of ``entering`` over the rows of equal keys from ``span`` before up to each, equal times included.
 
     Each row adds its values at its time and takes them back behind ``span``, so one running sum gives all windows: its cost is linear in a key's rows. A
-    window reaches from its own stretch of ``span`` into the one before only, so rows are dealt by key and stretch, and each is there for the next stretch too:
-    a hot key is split by time, without a join. ``leaving`` names values that are taken back in place of those that entered, ``moved`` are further steps
-    (time, values) of a row that leave no trace behind ``span``, ``latest`` are values of the last row before that has one (within the two stretches).
+    window reaches from its own stretch of ``span`` into the one before only, so rows are dealt by key and stretch, and each that has values leaves these, and
+    nothing else, to the next stretch, which begins with what it was left and takes it back bit by bit: a hot key is split by time, without a join.
+
+    ``within`` are sums over the rows that have an equal ``part`` (a column) too, of values of their own or of those named in ``entering``; for them rows are
+    dealt by key and part first. ``parts`` are counts of the parts, without null, for which a sum of ``within`` is above 0; its values must not be negative.
 
     Rows without a time are counted among themselves; null keys are a key. Columns of the names given are replaced.
     """
-    at, row = F.col("at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    names, moved, latest = list(entering), moved or [], latest or {}
+    at, own, within, parts = F.col("at"), F.col("own"), within or {}, parts or {}
+    kept = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    values = {n: F.coalesce(v.cast("long"), F.lit(0).cast("long")) for n, v in (entering | within).items() if isinstance(v, Column)}
+    step = {n: f"s{i}" for i, n in enumerate([*values, *parts])}
+    step |= {n: step[v] for n, v in within.items() if isinstance(v, str)}
+    out = {n: f"out{i}" for i, n in enumerate([*within, *entering, *parts])}
+    key = [kept[k] for k in keys]
+    inner = key if part is None else [*key, kept[part]]
+
     start = at - F.pmod(at, F.lit(span))
-    number = lambda v: F.coalesce(v.cast("long"), F.lit(0).cast("long"))
-    enter = {n: number(v) for n, v in entering.items()}
-    leave = {n: -number((leaving or {}).get(n, v)) for n, v in entering.items()}
-
-    def step(stretch: Column, t: Column, values: dict[str, Column], real: bool = False, seen: bool = False) -> Column:
-        sums = [values.get(n, F.lit(0)).cast("long").alias(f"s{i}") for i, n in enumerate(names)]
-        marks = [(v if seen else F.when(F.lit(False), v)).alias(f"l{i}") for i, v in enumerate(latest.values())]
-        return F.struct(stretch.alias("stretch"), t.alias("t"), *sums, *marks, (row if real else F.when(F.lit(False), row)).alias("row"))
-
-    timed = at.isNotNull()
-    steps = [step(start, at, enter, True, True), F.when(timed, step(start + span, at, enter, False, True)), F.when(timed, step(start + span, at + span + 1, leave))]
-    steps += [F.when(t.isNotNull(), step(s, t, values)) for t, values in moved for s in (start, start + span)]
-    each = rows.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.explode(F.array_compact(F.array(*steps))).alias("x")).select(*[f"k{i}" for i in range(len(keys))], "x.*")
-    upto = Window.partitionBy(*[f"k{i}" for i in range(len(keys))], "stretch").orderBy("t")
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    sums = {n: F.sum(f"s{i}").over(upto) for i, n in enumerate(names)} | {n: F.last(f"l{i}", ignorenulls=True).over(before) for i, n in enumerate(latest)}
-    kept = [F.col("row").getField(c).alias(c) for c in rows.columns if c not in sums]
-    return each.withColumns({f"out{i}": v for i, v in enumerate(sums.values())}).filter("row is not null").select(*kept, *[F.col(f"out{i}").alias(n) for i, n in enumerate(sums)])
+    here = F.struct(start.alias("stretch"), at.alias("t"), F.lit(True).alias("own"))
+    after = F.struct((start + span).alias("stretch"), (at + span + 1).alias("t"), F.lit(False).alias("own"))
+    leaves = at.isNotNull() & reduce(or_, [v != 0 for v in values.values()])
+    each = rows.select(F.inline(F.when(leaves, F.array(here, after)).otherwise(F.array(here))), *[F.col(f"`{c}`").alias(k) for c, k in kept.items()], *[v.alias(step[n]) for n, v in values.items()])
+    each = each.withColumns({k: F.when(own, F.col(k)) for c, k in kept.items() if c not in (*keys, part)})
+    # dealt before the columns that only the windows need are made, which are not shuffled then
+    dealt = each.repartition(*inner, "stretch").withColumns({step[n]: F.when(own, F.col(step[n])).otherwise(-F.col(step[n])) for n in values})
+
+    left = {step[n]: F.when(own, F.lit(0)).otherwise(-F.col(step[n])) for n in values}
+    upto = lambda by: Window.partitionBy(*by, "stretch").orderBy("t")
+    since = lambda s, by: F.sum(s).over(upto(by))
+    begun = lambda s, by: F.sum(left[s]).over(upto(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    if part is not None:
+        now = {f"now_{step[n]}": F.sum(step[n]).over(upto(inner).rowsBetween(Window.unboundedPreceding, Window.currentRow)) for n in parts.values()}
+        sums = {f"{name}_{step[n]}": of(step[n], inner) for n in within for name, of in (("since", since), ("begun", begun))}
+        dealt = dealt.withColumns({**sums, **now, "place": F.row_number().over(upto(inner))})
+        new = {out[n]: F.col(f"since_{step[n]}") + F.col(f"begun_{step[n]}") for n in within}
+        for p, n in parts.items():
+            named, s, first = F.col(kept[part]).isNotNull(), F.col(step[n]), F.col(f"begun_{step[n]}")
+            held = F.col(f"now_{step[n]}") + first
+            new[step[p]] = F.when(named & own & (s > 0) & (held == s), 1).when(named & ~own & (s < 0) & (held == 0), -1).otherwise(0)
+            new[f"left_{step[p]}"] = F.when(named & (F.col("place") == 1) & (first > 0), 1).otherwise(0)
+            left[step[p]] = F.col(f"left_{step[p]}")
+        dealt = dealt.withColumns(new).repartition(*key, "stretch")
+    dealt = dealt.withColumns({out[n]: since(step[n], key) + begun(step[n], key) for n in [*entering, *parts]}).filter(own)
+    return dealt.select(*[F.col(k).alias(c) for c, k in kept.items() if c not in out], *[F.col(k).alias(n) for n, k in out.items()])
 
 
 def actor_risk(events: DataFrame) -> DataFrame:
     """events (sender, conversation, kind: message, report or block, routed, acted, at in microseconds, event_id) with the
-    sender's risk over the 24 hours up to and including each: counts, escalation, composite and elevated.
-
-    Different conversations are counted by steps too: the first message of one enters, the next within a day puts off when it leaves."""
-    is_message, at = F.coalesce(F.col("kind") == "message", F.lit(False)), F.col("at")
-    named = is_message & F.col("conversation").isNotNull()
-    rows = sliding(events, ["sender", "conversation"], {"repeat_target": is_message, "sub_threshold": is_message & F.col("routed") & ~F.col("acted")}, latest={"__before": F.when(is_message, F.coalesce(at, F.lit(0)))})
-    again = named & (F.coalesce(F.col("__before") >= at - DAY, F.col("__before").isNotNull()))
+    sender's risk over the 24 hours up to and including each: counts, escalation, composite and elevated."""
+    kind_is = lambda kind: F.coalesce(F.col("kind") == kind, F.lit(False))
     out = sliding(
-        rows, ["sender"], {"messages": is_message, "conversations": named & ~again, "reports": F.col("kind") == "report", "blocks": F.col("kind") == "block"},
-        leaving={"conversations": named}, moved=[(F.when(again, F.col("__before") + DAY + 1 + at * 0), {"conversations": F.lit(1)})],
-    ).drop("__before").withColumn("conversations", F.col("conversations").cast("int"))
+        events, ["sender"], {"messages": kind_is("message"), "reports": kind_is("report"), "blocks": kind_is("block")},
+        part="conversation", within={"repeat_target": "messages", "sub_threshold": kind_is("message") & F.col("routed") & ~F.col("acted")}, parts={"conversations": "repeat_target"},
+    ).withColumn("conversations", F.col("conversations").cast("int"))
     return out.withColumns({"escalating": F.col("sub_threshold") >= F.when(F.col("reports") > 0, 2).otherwise(3), "composite": composite(*[F.col(c) for c in ("reports", "blocks", "sub_threshold", "conversations", "messages")])}).withColumn("elevated", F.col("composite") >= 0.35)
 
 

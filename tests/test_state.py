@@ -48,6 +48,29 @@ def test_a_hot_sender_is_dealt_by_time(spark):
     assert "Window [sum(s0" in plan and "stretch" in plan and plan.count("Exchange hashpartitioning") <= 1
 
 
+def test_a_row_is_shuffled_as_two_without_columns_that_nobody_reads(spark):
+    plan = T.actor_risk(spark.createDataFrame(made(7, 40), SCHEMA)).select("event_id", *NAMES)._jdf.queryExecution()
+    dealt = plan.optimizedPlan().toString()
+    assert dealt.count("Generate inline") == dealt.count("Generate ") == 1 and plan.executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert "struct(event_id" not in dealt and not any(f"{c}#" in line for line in dealt.split("Generate ")[0].splitlines()[:-2] for c in ("kind", "routed", "acted"))
+
+
+def test_rows_without_values_and_of_null_parts(spark):
+    day = T.DAY
+    rows = [(1, "a", None, 1, 0), (2, "a", "x", 0, 1), (3, "a", "x", 2, 1), (4, "a", "x", 2, 1), (5, "a", None, None, day), (6, "a", "y", 3, day), (7, "a", "y", 0, 1 + day), (8, "a", "x", 0, 2 + day), (9, None, "x", 1, 2), (10, "a", "x", 5, None), (11, "a", "z", 0, None), (12, "a", "x", 0, 3 * day), (13, "a", "x", 1, -1)]
+    events = spark.createDataFrame([*rows, rows[2]], "i long, k string, p string, v long, at long")
+    out = T.sliding(events, ["k"], {"all": F.col("v")}, part="p", within={"here": "all", "rows": F.lit(1)}, parts={"some": "here"})
+
+    def plain(r):
+        near = [x for x in [*rows, rows[2]] if x[1] == r[1] and ((r[4] is None and x[4] is None) or (None not in (r[4], x[4]) and r[4] - day <= x[4] <= r[4]))]
+        here = [x for x in near if x[2] == r[2]]
+        return (*r, sum(x[3] or 0 for x in here), len(here), sum(x[3] or 0 for x in near), len({x[2] for x in near if x[3]} - {None}))
+
+    assert out.columns == ["i", "k", "p", "v", "at", "here", "rows", "all", "some"]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(plain, [*rows, rows[2]])))
+    assert T.sliding(events.limit(0), ["k"], {"all": F.col("v")}, part="p", within={"here": "all"}, parts={"some": "here"}).count() == 0
+
+
 class Held:
     """A state as applyInPandasWithState hands it over."""
 
